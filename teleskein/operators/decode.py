@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleskein.functions import values, wire
+from teleskein.functions.cache import built_once
 from teleskein.functions.wire import pick
 from teleskein.schemas import TABLES, TIME_COLUMN, check_signal
 
@@ -60,8 +61,7 @@ def accept_lines(lines: DataFrame, signal: str, line: str = "value", strict: boo
     ``strict=False`` trusts the producer: one typed parse, which checks structure, integers,
     booleans and numbers but takes trailing text, repeated keys and a number where text is due.
     """
-    root = wire.ENVELOPES[check_signal(signal)]
-    resources = wire.KEYS[signal][0]
+    check_signal(signal)
     text = F.col(line)
     # Trimming by a character set is slow, so lines that plainly need none are let through.
     bare = text.startswith("{") & text.endswith("}")
@@ -69,31 +69,63 @@ def accept_lines(lines: DataFrame, signal: str, line: str = "value", strict: boo
         line, F.when(bare, text).otherwise(F.btrim(text, F.lit(BLANKS)))
     ).filter(text != "")
     plain = F.from_json(text, wire.line_schema(signal), wire.JSON_OPTIONS)
-    p = F.col("_plain")
-    plain_ok = p[wire.CORRUPT].isNull() & wire.typed_ok(root, p)
-    plain_result = F.when(plain_ok, pick(p, resources))
     if not strict:
         parsed = trimmed.withColumn("_plain", F.when(F.is_valid_utf8(text), plain))
-        return parsed.select(*lines.columns, plain_result.alias("_resources"))
+        return parsed.select(*lines.columns, _plain_result(signal).alias("_resources"))
 
     careful = F.from_json(text, wire.line_schema(signal, variant_leaves=True), wire.JSON_OPTIONS)
-    c, document = F.col("_careful"), F.col("_document")
+    document = F.col("_document")
     shape = F.schema_of_variant(F.try_variant_get(document, "$[0]", "variant"))
     parsed = (
         trimmed.withColumn("_document", F.when(F.is_valid_utf8(text), _marked_document(text)))
         .withColumn("_shape", F.when(_is_one_value(document, text), shape))
         .withColumn("_doubtful", wire.doubtful(F.col("_shape"), signal))
-        .withColumn("_plain", F.when(~F.col("_doubtful"), plain))
-        .withColumn("_careful", F.when(F.col("_doubtful"), careful))
+        .withColumns(
+            {
+                "_plain": F.when(~F.col("_doubtful"), plain),
+                "_careful": F.when(F.col("_doubtful"), careful),
+            }
+        )
     )
-    careful_ok = c[wire.CORRUPT].isNull() & wire.variant_ok(root, c)
-    careful_result = F.when(
-        careful_ok, wire.variant_to_typed(root.fields[resources], pick(c, resources))
+    accepted = F.when(F.col("_plain").isNotNull(), _plain_result(signal)).when(
+        F.col("_careful").isNotNull(), _careful_result(signal)
     )
-    accepted = F.when(p.isNotNull(), plain_result).when(c.isNotNull(), careful_result)
     return parsed.select(*lines.columns, accepted.alias("_resources"))
 
 
+@built_once
+def _plain_result(signal: str) -> Column:
+    """The resource list of the typed parse ``_plain``, if the line is acceptable."""
+    root, parsed = wire.ENVELOPES[signal], F.col("_plain")
+    ok = parsed[wire.CORRUPT].isNull() & wire.typed_ok(root, parsed)
+    return F.when(ok, pick(parsed, wire.KEYS[signal][0]))
+
+
+@built_once
+def _careful_result(signal: str) -> Column:
+    """The same from the VARIANT-leaf parse ``_careful``."""
+    root, parsed = wire.ENVELOPES[signal], F.col("_careful")
+    resources = wire.KEYS[signal][0]
+    ok = parsed[wire.CORRUPT].isNull() & wire.variant_ok(root, parsed)
+    return F.when(ok, wire.variant_to_typed(root.fields[resources], pick(parsed, resources)))
+
+
+@built_once
+def _service_name(resource: str) -> Column:
+    return values.service_name(F.col(resource)["resource"]["attributes"])
+
+
+@built_once
+def _attributes(record: str) -> Column:
+    return values.attribute_map(F.col(record)["attributes"])
+
+
+@built_once
+def _body_text(record: str) -> Column:
+    body = F.col(record)["body"]
+    return F.when(body.isNotNull(), values.any_value_text(body))
+
+
 def _unnest(accepted: DataFrame, signal: str, keep: list[str]) -> DataFrame:
     """One row per record: ``service_name`` and the record in ``_r``."""
     _, scopes, records = wire.KEYS[signal]
@@ -105,7 +137,7 @@ def _unnest(accepted: DataFrame, signal: str, keep: list[str]) -> DataFrame:
         accepted.select(*keep, F.explode_outer("_resources").alias("_resource"))
         .select(
             *keep,
-            values.service_name(resource["resource"]["attributes"]).alias("service_name"),
+            _service_name("_resource").alias("service_name"),
             record_list.alias("_records"),
         )
         .select(*keep, "service_name", F.explode_outer("_records").alias("_r"))
@@ -133,7 +165,7 @@ def _trace_rows(records: DataFrame, keep: list[str], now: Column) -> DataFrame:
         values.span_duration(start, end).alias("duration_ns"),
         F.coalesce(r["status"]["code"], F.lit(0)).alias("status_code"),
         "service_name",
-        values.attribute_map(r["attributes"]).alias("attributes"),
+        _attributes("_r").alias("attributes"),
     )
 
 
@@ -210,7 +242,7 @@ def _metric_rows(records: DataFrame, keep: list[str], now: Column) -> DataFrame:
             "aggregation_temporality",
             "is_monotonic",
             "unit",
-            values.attribute_map(d["attributes"]).alias("attributes"),
+            _attributes("_d").alias("attributes"),
         )
     )
 
@@ -230,14 +262,26 @@ def _log_rows(records: DataFrame, keep: list[str], now: Column) -> DataFrame:
         F.coalesce(values.instant_to_time(instant), now).alias("timestamp"),
         pick(r, "severityText").alias("severity"),
         pick(r, "severityNumber").alias("severity_number"),
-        F.when(r["body"].isNotNull(), values.any_value_text(r["body"])).alias("body"),
+        _body_text("_r").alias("body"),
         "service_name",
         id_or_null("traceId").alias("trace_id"),
         id_or_null("spanId").alias("span_id"),
-        values.attribute_map(r["attributes"]).alias("attributes"),
+        _attributes("_r").alias("attributes"),
     )
 
 
+def _rejected(accepted: DataFrame) -> DataFrame:
+    """Lines that were not accepted.
+
+    A plain filter would be moved below the parse and repeat it for every use of its result;
+    a generator is not.
+    """
+    refused = F.when(F.col("_resources").isNull(), F.array(F.lit(True)))
+    kept = [c for c in accepted.columns if c != "_resources"]
+    marked = accepted.select(*kept, F.explode_outer(refused).alias("_refused"))
+    return marked.filter(F.col("_refused").isNotNull()).drop("_refused")
+
+
 _ROWS = {"traces": _trace_rows, "metrics": _metric_rows, "logs": _log_rows}
 
 
@@ -296,6 +340,6 @@ def decode_accepted(
         complaint = F.raise_error(F.lit(f"{signal}: a record has no valid {time}"))
         timed = flat.withColumn(time, F.coalesce(F.col(time), complaint.cast("timestamp_ntz")))
     timed = timed.withColumn("date", F.to_date(time))
-    rejects = accepted.filter(F.col("_resources").isNull()).drop("_resources")
+    rejects = _rejected(accepted)
     timeless = flat.filter(F.lit(False) if fails else F.col(time).isNull())
     return Decoded(timed.select(*kept, *TABLES[signal].fieldNames()), rejects, timeless)
