@@ -123,16 +123,24 @@ def _sign(p: Column) -> Column:
 def double_text(number: Column) -> Column:
     """Plain decimal text: no exponent and no trailing ``.0``."""
 
-    def short(text: Column) -> Column:
+    def without_zero_fraction(text: Column) -> Column:
         return F.when(text.endswith(".0"), F.substr(text, F.lit(1), F.length(text) - 2)).otherwise(text)
 
-    # Up to 16 characters without an exponent the JVM's text needs no more than that.
-    return let(
-        number.cast("string"),
-        lambda text: F.when(~text.contains("E") & (F.length(text) <= 16), short(text)).otherwise(
-            _digits_and_exponent(number, lambda p: F.concat(_sign(p), _plain(p)))
-        ),
-    )
+    def as_decimal(scale: int) -> Column:
+        digits = number.try_cast(f"decimal(38,{scale})").cast("string")
+        return F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))
+
+    def text_of(text: Column) -> Column:
+        mantissa, size = F.instr(text, "E") - 1, F.abs(number)
+        return (
+            # Up to 16 digits the JVM's text is as short as can be.
+            F.when((mantissa < 0) & (F.length(text) <= 16), without_zero_fraction(text))
+            .when(mantissa.between(1, 17) & size.between(1e7, 1e20), as_decimal(17))
+            .when(mantissa.between(1, 17) & size.between(1e-19, 1), as_decimal(37))
+            .otherwise(_digits_and_exponent(number, lambda p: F.concat(_sign(p), _plain(p))))
+        )
+
+    return let(number.cast("string"), text_of)
 
 
 def json_number_text(value: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from teleskein.functions.values import json_number_text
+from teleskein.functions.values import json_number_text, let
 
 # Leaf kinds: what JSON a field admits.
 TEXT = "text"  # a JSON string
@@ -270,23 +270,10 @@ def typed_ok(node: Node, value: Column) -> Column | None:
 def variant_ok(node: Node, value: Column) -> Column:
     """The exact rules, on a parse whose leaves are VARIANT."""
     if isinstance(node, Leaf):
-        kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
         if node.kind == ANY:
-            ok = F.lit(True)
-        elif node.kind == TEXT:
-            ok = kind == "STRING"
-        elif node.kind == NANO:
-            ok = kind.isin("BIGINT", "STRING")
-        elif node.kind == BOOL:
-            ok = kind == "BOOLEAN"
-        elif node.kind == INT:
-            ok = (kind == "BIGINT") & F.try_variant_get(value, "$", "int").isNotNull()
-        else:
-            number = F.try_variant_get(value, "$", "double")
-            ok = (kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")) & (
-                F.abs(number) < float("inf")
-            )
-        return ok if node.required else ((kind == "VOID") | ok)
+            return F.lit(True)
+        ok = let(F.schema_of_variant(value), lambda kind: _leaf_ok(node, value, kind))
+        return (value.isNotNull() & ok) if node.required else (value.isNull() | ok)
     if isinstance(node, Items):
         ok = F.forall(value, lambda x: x.isNotNull() & variant_ok(node.item, x))
     else:
@@ -300,6 +287,32 @@ def variant_ok(node: Node, value: Column) -> Column:
     return F.coalesce((value.isNotNull() & ok) if node.required else (value.isNull() | ok), F.lit(False))
 
 
+def _leaf_ok(node: Leaf, value: Column, kind: Column) -> Column:
+    """Whether a present leaf of this ``schema_of_variant`` kind is admissible."""
+    if node.kind == TEXT:
+        ok = kind == "STRING"
+    elif node.kind == NANO:
+        ok = kind.isin("BIGINT", "STRING")
+    elif node.kind == BOOL:
+        ok = kind == "BOOLEAN"
+    elif node.kind == INT:
+        ok = (kind == "BIGINT") & F.try_variant_get(value, "$", "int").isNotNull()
+    else:
+        number = F.try_variant_get(value, "$", "double")
+        ok = (kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")) & (
+            F.abs(number) < float("inf")
+        )
+    return ok if node.required else ((kind == "VOID") | ok)
+
+
+def _any_text(value: Column, kind: Column) -> Column:
+    return (
+        F.when(kind.isin("STRING", "BIGINT"), F.try_variant_get(value, "$", "string"))
+        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), json_number_text(value))
+        .when(kind != "VOID", F.lit(""))
+    )
+
+
 def variant_to_typed(node: Node, value: Column) -> Column:
     """A VARIANT-leaf parse brought to the type of the plain parse."""
     if isinstance(node, Leaf):
@@ -308,12 +321,8 @@ def variant_to_typed(node: Node, value: Column) -> Column:
         text = F.try_variant_get(value, "$", "string")
         if node.kind != ANY:
             return text
-        kind = F.schema_of_variant(value)
-        return (
-            F.when(kind == "VOID", F.lit(None).cast("string"))
-            .when(kind.isin("STRING", "BIGINT"), text)
-            .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), json_number_text(value))
-            .when(kind.isNotNull(), F.lit(""))
+        return F.when(
+            value.isNotNull(), let(F.schema_of_variant(value), lambda kind: _any_text(value, kind))
         )
     if isinstance(node, Items):
         return F.transform(value, lambda x: variant_to_typed(node.item, x))

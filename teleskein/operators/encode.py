@@ -116,11 +116,13 @@ def encode(rows: DataFrame, signal: str, records_per_line: int = RECORDS_PER_LIN
     check_signal(signal)
     batched = rows.withColumn("_batch", int_div(F.monotonically_increasing_id(), records_per_line))
     batch = ["_batch", "service_name"]
+    # Gathering lists saves no volume before a shuffle, so rows are shuffled first and then
+    # gathered on all cores.
     if signal == "metrics":
         identity = ["metric_name", "metric_type", "unit", "aggregation_temporality", "is_monotonic"]
         points = (
             batched.select(*batch, *identity, _point().alias("_point"))
-            .repartition(*batch)  # serves both groupings below: one shuffle
+            .repartition(*batch)  # serves both groupings below
             .groupBy(*batch, *identity)
             .agg(F.collect_list("_point").alias("_points"))
         )
@@ -131,6 +133,7 @@ def encode(rows: DataFrame, signal: str, records_per_line: int = RECORDS_PER_LIN
         record = _span() if signal == "traces" else _log_record()
         grouped = (
             batched.select(*batch, record.alias("_record"))
+            .repartition(*batch)
             .groupBy(*batch)
             .agg(F.collect_list("_record").alias("_records"))
         )
