@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from teleskein.operators.decode import decode
 from teleskein.operators.encode import encode
 from teleskein.operators.scan import aggregate_metric
-from teleskein.plans import decode_queries, mapping
+from teleskein.plans import decode_queries, mapping, table_queries
 
-_ALL = {**decode_queries.QUERIES}
+_ALL = {**decode_queries.QUERIES, **table_queries.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
