@@ -43,7 +43,8 @@ def int_div(value: Column, by: int) -> Column:
 
 def time_to_micros(time: Column) -> Column:
     """Zone-free timestamp to Unix microseconds, whatever the session time zone is."""
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), time)
+    seconds = (time - F.expr(_EPOCH)).cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("bigint")
 
 
 def time_to_nanos(time: Column) -> Column:

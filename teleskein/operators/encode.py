@@ -116,15 +116,14 @@ def encode(rows: DataFrame, signal: str, records_per_line: int = RECORDS_PER_LIN
     check_signal(signal)
     batched = rows.withColumn("_batch", int_div(F.monotonically_increasing_id(), records_per_line))
     batch = ["_batch", "service_name"]
-    # Gathering lists saves no volume before a shuffle, so rows are shuffled first and then
-    # gathered on all cores.
+    # Gathering lists saves no volume before a shuffle, so flat rows are shuffled first and
+    # nested and gathered behind it.
     if signal == "metrics":
         identity = ["metric_name", "metric_type", "unit", "aggregation_temporality", "is_monotonic"]
         points = (
-            batched.select(*batch, *identity, _point().alias("_point"))
-            .repartition(*batch)  # serves both groupings below
+            batched.repartition(*batch)  # serves both groupings below
             .groupBy(*batch, *identity)
-            .agg(F.collect_list("_point").alias("_points"))
+            .agg(F.collect_list(_point()).alias("_points"))
         )
         grouped = points.groupBy(*batch).agg(
             F.collect_list(_metric(F.col("_points"))).alias("_records")
@@ -132,10 +131,7 @@ def encode(rows: DataFrame, signal: str, records_per_line: int = RECORDS_PER_LIN
     else:
         record = _span() if signal == "traces" else _log_record()
         grouped = (
-            batched.select(*batch, record.alias("_record"))
-            .repartition(*batch)
-            .groupBy(*batch)
-            .agg(F.collect_list("_record").alias("_records"))
+            batched.repartition(*batch).groupBy(*batch).agg(F.collect_list(record).alias("_records"))
         )
     return grouped.select(_line(signal, F.col("_records")).alias("value"))
 

@@ -19,6 +19,8 @@ from teleskein.tables import SignalStore
 
 REPORT = "signal string, service_name string, deleted bigint, cutoff string"
 CUTOFF_FORMAT = "%Y-%m-%dT%H:%M:%S"
+# Partitions rewritten by one job: keeps the partition filter of a plan small.
+FOLDERS_PER_REWRITE = 1000
 # "All" means everything up to this far ahead of now.
 ALL_MARGIN = timedelta(hours=1)
 
@@ -128,18 +130,13 @@ def _delete(
     store: SignalStore, signal: str, cutoff: datetime, service: str | None, counts: list[dict]
 ) -> None:
     table = store.table_path(signal)
-    mixed: dict[str, list] = {}
-    for c in counts:
-        if c["expired"] < c["total"]:
-            mixed.setdefault(c["ingest_batch"], []).append(c["date"])
-    if mixed:
-        touched = None
-        for batch, dates in mixed.items():
-            here = (F.col("ingest_batch") == batch) & F.col("date").isin(dates)
-            touched = here if touched is None else touched | here
-        rows = survivors(store.raw(signal).filter(touched), signal, cutoff, service)
+    mixed = [f"{c['ingest_batch']}/{c['date']}" for c in counts if c["expired"] < c["total"]]
+    folder = F.concat_ws("/", "ingest_batch", F.col("date").cast("string"))
+    for at in range(0, len(mixed), FOLDERS_PER_REWRITE):
+        chosen = store.raw(signal).filter(folder.isin(mixed[at : at + FOLDERS_PER_REWRITE]))
         (
-            rows.hint("rebalance", F.col("ingest_batch"), F.col("date"))
+            survivors(chosen, signal, cutoff, service)
+            .hint("rebalance", F.col("ingest_batch"), F.col("date"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("ingest_batch", "date")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from teleskein.functions import wire
+from teleskein.functions.values import time_to_nanos
 from teleskein.functions.render import attributes_text, parse_attributes
 from teleskein.operators.decode import decode
 from teleskein.operators.encode import encode, route, split_by_signal
@@ -51,7 +52,7 @@ def one_record_lines(
 
 
 def _nanos(time: str = "ts") -> Column:
-    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), m.ntz(F.col(time))) * 1000
+    return time_to_nanos(m.ntz(F.col(time)))
 
 
 def _time() -> Column:

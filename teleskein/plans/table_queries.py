@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from teleskein.functions import render, timeexpr
@@ -71,14 +71,14 @@ Q07_WHERE = f"WHERE service_name = 'svc-7' AND start_time >= TIMESTAMP '{SPAN_SI
 
 
 def q08_time_sort(spark, sf_dir):
-    """Position of each row in time order, for the log table whose times are unique."""
-    from pyspark.sql import Window
-
-    # The sort is what is checked: a row's time must not precede that of the row before it.
+    """Rows whose time precedes that of the row before them, per date: none."""
     ordered = scan_logs(m.logs(spark, sf_dir)).select("timestamp", "body")
-    numbered = ordered.withColumn("_at", F.monotonically_increasing_id())
-    by_service = Window.partitionBy(F.to_date("timestamp")).orderBy("_at")
-    steps = numbered.withColumn("_before", F.lag("timestamp").over(by_service))
+    numbered = ordered.select(
+        "*", F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_part")
+    )
+    # One window per sorted partition, so no window is larger than a task of the sort.
+    in_order = Window.partitionBy("_part").orderBy("_at")
+    steps = numbered.withColumn("_before", F.lag("timestamp").over(in_order))
     return steps.groupBy(F.to_date("timestamp").alias("date")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("_before") > F.col("timestamp")).alias("out_of_order"),
@@ -428,12 +428,16 @@ def s23_cursors(spark, sf_dir):
     """Cursors as a table: offsets add up to the size of what was read."""
     root, store = _lines(spark, sf_dir, ["logs"]), SignalStore(spark)
     ingest_new(store, root)
-    read = jsonl.read_lines(spark, root, "logs").agg(
-        F.sum(F.octet_length("value") + 1).alias("bytes")
-    )
-    at = store.cursors().agg(F.sum("byte_offset").alias("offset"))
-    rows = store.table("logs").agg(F.count(F.lit(1)).alias("rows"))
-    return at.crossJoin(read).crossJoin(rows).select((F.col("offset") == F.col("bytes")).alias("all_read"), "rows")
+    zero = F.lit(0).cast("bigint")
+    read = jsonl.read_lines(spark, root, "logs").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
+    parts = [
+        store.cursors().agg(F.sum("byte_offset").alias("offset")).select("offset", zero.alias("bytes"), zero.alias("rows")),
+        read.select(zero.alias("offset"), "bytes", zero.alias("rows")),
+        count_rows({"logs": store.table("logs")}).select(zero.alias("offset"), zero.alias("bytes"), "rows"),
+    ]
+    together = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sums = together.agg(F.sum("offset").alias("offset"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    return sums.select((F.col("offset") == F.col("bytes")).alias("all_read"), "rows")
 
 
 S23 = "SELECT TRUE AS all_read, COUNT(*) AS rows FROM events"
