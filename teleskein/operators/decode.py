@@ -65,9 +65,9 @@ def accept_lines(lines: DataFrame, signal: str, line: str = "value", strict: boo
     text = F.col(line)
     # Trimming by a character set is slow, so lines that plainly need none are let through.
     bare = text.startswith("{") & text.endswith("}")
-    trimmed = lines.withColumn(
-        line, F.when(bare, text).otherwise(F.btrim(text, F.lit(BLANKS)))
-    ).filter(text != "")
+    # Blank lines are not filtered here: a filter would be moved below whatever makes the
+    # lines and repeat that work. They parse to nothing and are no rejects either.
+    trimmed = lines.withColumn(line, F.when(bare, text).otherwise(F.btrim(text, F.lit(BLANKS))))
     plain = F.from_json(text, wire.line_schema(signal), wire.JSON_OPTIONS)
     if not strict:
         parsed = trimmed.withColumn("_plain", F.when(F.is_valid_utf8(text), plain))
@@ -270,13 +270,18 @@ def _log_rows(records: DataFrame, keep: list[str], now: Column) -> DataFrame:
     )
 
 
-def _rejected(accepted: DataFrame) -> DataFrame:
+def rejected(line: str = "value") -> Column:
+    """On the output of :func:`accept_lines`: the line is refused, and not just blank."""
+    return F.col("_resources").isNull() & (F.coalesce(F.col(line), F.lit("")) != "")
+
+
+def _rejected(accepted: DataFrame, line: str) -> DataFrame:
     """Lines that were not accepted.
 
     A plain filter would be moved below the parse and repeat it for every use of its result;
     a generator is not.
     """
-    refused = F.when(F.col("_resources").isNull(), F.array(F.lit(True)))
+    refused = F.when(rejected(line), F.array(F.lit(True)))
     kept = [c for c in accepted.columns if c != "_resources"]
     marked = accepted.select(*kept, F.explode_outer(refused).alias("_refused"))
     return marked.filter(F.col("_refused").isNotNull()).drop("_refused")
@@ -340,6 +345,6 @@ def decode_accepted(
         complaint = F.raise_error(F.lit(f"{signal}: a record has no valid {time}"))
         timed = flat.withColumn(time, F.coalesce(F.col(time), complaint.cast("timestamp_ntz")))
     timed = timed.withColumn("date", F.to_date(time))
-    rejects = _rejected(accepted)
+    rejects = _rejected(accepted, line)
     timeless = flat.filter(F.lit(False) if fails else F.col(time).isNull())
     return Decoded(timed.select(*kept, *TABLES[signal].fieldNames()), rejects, timeless)

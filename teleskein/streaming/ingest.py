@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from teleskein.functions.timeexpr import interval_seconds, trigger_text
-from teleskein.operators.decode import accept_lines, decode_accepted, utc_now
+from teleskein.operators.decode import accept_lines, decode_accepted, rejected, utc_now
 from teleskein.schemas import SIGNALS, check_signal
 from teleskein.sources import paths
 from teleskein.sources.jsonl import signal_dir
@@ -128,7 +128,7 @@ def _write_batch(
         batch = f"{epoch}-{number}"
         seen = Observation()
         accepted = accept_lines(lines, signal, strict=options.strict).observe(
-            seen, F.count_if(F.col("_resources").isNull()).alias("rejected")
+            seen, F.count_if(rejected()).alias("rejected")
         )
         decoded = decode_accepted(
             accepted, signal, now=F.col("ingested_at"), on_missing_time=options.on_missing_time,
@@ -136,8 +136,8 @@ def _write_batch(
         )
         rows = store.without_pruned(signal, decoded.rows, number, epoch)
         store.append(signal, rows, batch, version)
-        rejected = seen.get["rejected"] or 0
-        if options.keep_rejects and rejected:
+        refused = seen.get["rejected"] or 0
+        if options.keep_rejects and refused:
             # A second pass over the micro-batch, only where it holds refused lines.
             decoded.rejects.select("file", "value").write.mode("overwrite").parquet(
                 f"{store.root}/_rejects/{version}/{signal}/ingest_batch={batch}"
@@ -146,7 +146,7 @@ def _write_batch(
             decoded.timeless.drop("ingested_at").write.mode("overwrite").parquet(
                 f"{store.root}/_timeless/{version}/{signal}/ingest_batch={batch}"
             )
-        report(store.batch_count(signal, batch, version), rejected)
+        report(store.batch_count(signal, batch, version), refused)
 
     return write
 
