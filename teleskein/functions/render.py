@@ -23,7 +23,7 @@ def time_text(time: Column) -> Column:
 
 def sorted_attributes(attributes: Column) -> Column:
     """The map with its keys in order, so that equal maps give equal text."""
-    return F.map_from_entries(F.array_sort(F.map_entries(attributes)))
+    return F.map_from_entries(F.sort_array(F.map_entries(attributes)))
 
 
 def attributes_text(attributes: Column) -> Column:

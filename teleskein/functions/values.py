@@ -198,8 +198,8 @@ def any_value_text(value: Column) -> Column:
 def service_name(attributes: Column) -> Column:
     """Text of the first ``service.name`` attribute that has a value, else ``unknown``."""
     named = F.filter(attributes, lambda a: (a["key"] == "service.name") & a["value"].isNotNull())
-    first = F.try_element_at(named, F.lit(1))
-    return F.when(F.size(named) > 0, any_value_text(first["value"])).otherwise("unknown")
+    texts = F.transform(F.slice(named, 1, 1), lambda a: any_value_text(a["value"]))
+    return F.coalesce(F.try_element_at(texts, F.lit(1)), F.lit("unknown"))
 
 
 def attribute_map(attributes: Column) -> Column:

@@ -155,3 +155,9 @@ def split_by_signal(lines: DataFrame, line: str = "value") -> dict[str, DataFram
     """The three per-signal line tables of a mixed one."""
     routed = route(lines, line)
     return {s: routed.filter(F.col("signal") == s).drop("signal") for s in SIGNALS}
+
+
+def write_routed(lines: DataFrame, root: str, line: str = "value") -> None:
+    """Append mixed lines to one folder per signal, ``<root>/signal=<kind>``, in one pass."""
+    routed = route(lines, line).filter(F.col("signal").isNotNull())
+    routed.select(F.col(line).alias("value"), "signal").write.mode("append").partitionBy("signal").text(root)

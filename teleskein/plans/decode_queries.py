@@ -10,9 +10,11 @@ from teleskein.functions import wire
 from teleskein.functions.values import time_to_nanos
 from teleskein.functions.render import attributes_text, parse_attributes
 from teleskein.operators.decode import decode
-from teleskein.operators.encode import encode, route, split_by_signal
+from teleskein.operators.encode import encode, split_by_signal, write_routed
 from teleskein.plans import mapping as m
 from teleskein.schemas import SIGNALS
+from teleskein.session import scratch_dir
+from teleskein.sources.jsonl import scan_all
 
 NOW = "2024-06-01 12:00:00"
 NOW_COLUMN = f"timestamp_ntz'{NOW}'"
@@ -538,19 +540,33 @@ def _mixed_lines(spark, sf_dir) -> DataFrame:
 
 
 def s08_signal_routing(spark, sf_dir):
-    """A mixed line table split by kind; each part decoded and counted per service."""
+    """A mixed line table routed to a folder per kind in one pass, then decoded and counted."""
+    root = scratch_dir(spark, "routed")
+    write_routed(_mixed_lines(spark, sf_dir), root)
     out = None
-    for signal, lines in split_by_signal(_mixed_lines(spark, sf_dir)).items():
-        part = decode(lines, signal).rows.groupBy("service_name").agg(F.count(F.lit(1)).alias("n"))
+    for signal, decoded in scan_all(spark, root).items():
+        part = decoded.rows.groupBy("service_name").agg(F.count(F.lit(1)).alias("n"))
         part = part.withColumn("signal", F.lit(signal))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def s08_split(spark, sf_dir):
+    """A mixed line table taken apart without files: rows of each kind."""
+    out = None
+    for signal, lines in split_by_signal(_mixed_lines(spark, sf_dir)).items():
+        part = decode(lines, signal).rows.agg(F.count(F.lit(1)).alias("n"))
+        part = part.select(F.lit(signal).alias("signal"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 S08 = " UNION ALL ".join(
     f"SELECT service_name, COUNT(*) AS n, '{s}' AS signal FROM ({m.SQL[s]}) GROUP BY service_name" for s in SIGNALS
 )
 
+S08_SPLIT = " UNION ALL ".join(f"SELECT '{s}' AS signal, COUNT(*) AS n FROM ({m.SQL[s]})" for s in SIGNALS)
+
 QUERIES = {
     "d01_traces_unnest": (_round_trip("traces"), _round_trip_sql("traces")),
     "d02_metrics_unnest": (_round_trip("metrics"), _round_trip_sql("metrics")),
@@ -578,4 +594,5 @@ QUERIES = {
     "s06_missing_time": (s06_missing_time, S06),
     "s07_sink_batches": (s07_sink_batches, S07),
     "s08_signal_routing": (s08_signal_routing, S08),
+    "s08_split": (s08_split, S08_SPLIT),
 }

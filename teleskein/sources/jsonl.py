@@ -11,7 +11,10 @@ from teleskein.sources import paths
 
 
 def signal_dir(root: str, signal: str) -> str:
-    return f"{root.rstrip('/')}/{check_signal(signal)}"
+    """``<root>/<signal>``, or ``<root>/signal=<signal>`` where mixed lines were routed to."""
+    plain = f"{root.rstrip('/')}/{check_signal(signal)}"
+    routed = f"{root.rstrip('/')}/signal={signal}"
+    return routed if not paths.exists(plain) and paths.exists(routed) else plain
 
 
 def read_lines(spark: SparkSession, root: str, signal: str) -> DataFrame:

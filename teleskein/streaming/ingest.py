@@ -12,6 +12,7 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from teleskein.functions.timeexpr import interval_seconds, trigger_text
 from teleskein.operators.decode import accept_lines, decode_accepted, rejected, utc_now
 from teleskein.schemas import SIGNALS, check_signal
-from teleskein.sources import paths
+from teleskein.sources import paths, tail
 from teleskein.sources.jsonl import signal_dir
 from teleskein.sources.tail import TailSource
 from teleskein.tables import SignalStore
@@ -99,6 +100,9 @@ def tail_lines(
     spark: SparkSession, folder: str, options: IngestOptions, position: dict[str, int] | None = None
 ) -> DataFrame:
     """The followed lines as a stream: ``file``, ``value`` and the micro-batch's time."""
+    # Python workers get the source itself, so they need no copy of this package.
+    for module in (tail, paths):
+        cloudpickle.register_pickle_by_value(module)
     spark.dataSource.register(TailSource)
     return (
         spark.readStream.format(TailSource.name())
