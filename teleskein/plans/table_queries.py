@@ -22,8 +22,9 @@ from teleskein.plans import mapping as m
 from teleskein.plans.decode_queries import NOW, NOW_COLUMN, shown
 from teleskein.schemas import SIGNALS
 from teleskein.session import scratch_dir
-from teleskein.sources import jsonl
-from teleskein.streaming.ingest import ingest_new, rebuild
+from teleskein.sources import jsonl, paths
+from teleskein.sources.tail import SUFFIXES
+from teleskein.streaming.ingest import IngestOptions, ingest_new, rebuild
 from teleskein.tables import SignalStore
 
 SINCE, UNTIL = datetime(2024, 1, 5, 6, 0, 0), datetime(2024, 1, 20, 18, 30, 0)
@@ -412,6 +413,19 @@ S19 = " UNION ALL ".join(
 )
 
 
+def s21_micro_batches(spark, sf_dir):
+    """A cap of a quarter of the bytes: several micro-batches, each row still exactly once."""
+    root, store = _lines(spark, sf_dir, ["logs"]), SignalStore(spark)
+    total = sum(paths.sizes(jsonl.signal_dir(root, "logs"), SUFFIXES).values())
+    report = ingest_new(store, root, IngestOptions(max_bytes=max(1, total // 4)))
+    several = len(store.batches("logs")) >= 4
+    rows = store.table("logs").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("body").alias("bodies"))
+    return rows.select("rows", "bodies", F.lit(several and report.logs > 0).alias("several_batches"))
+
+
+S21 = f"SELECT COUNT(*) AS rows, COUNT(DISTINCT body) AS bodies, TRUE AS several_batches FROM ({m.LOGS_SQL})"
+
+
 def s22_prune_reingest(spark, sf_dir):
     """Pruned points do not come back with the next ingest."""
     root, store = _lines(spark, sf_dir, ["metrics"]), SignalStore(spark)
@@ -581,6 +595,7 @@ QUERIES = {
     "s16_ingest_report": (s16_ingest_report, S16),
     "s17_clear_tables": (s17_clear_tables, S17),
     "s19_full_rebuild": (s19_full_rebuild, S19),
+    "s21_micro_batches": (s21_micro_batches, S21),
     "s22_prune_reingest": (s22_prune_reingest, S22),
     "s23_cursors": (s23_cursors, S23),
     "p01_prune_dry_run": (p01_prune_dry_run, _report_sql()),

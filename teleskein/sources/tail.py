@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ from teleskein.sources import paths
 SUFFIXES = (".jsonl", ".json", ".txt")
 READ_BYTES = 4 << 20
 SPLIT_BYTES = 64 << 20
+# Files looked at side by side for their last newline.
+PROBES = 32
 
 
 @dataclass
@@ -66,6 +69,7 @@ class TailReader(DataSourceStreamReader):
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         self.max_bytes = int(options.get("max_bytes", 0))
         self.position: dict[str, int] = json.loads(options.get("position") or "{}")
+        self.served = ""
 
     def initialOffset(self) -> dict:
         return {}
@@ -76,20 +80,36 @@ class TailReader(DataSourceStreamReader):
         system, _ = paths.resolve(self.path)
         latest = dict(self.position)
         budget = self.max_bytes or None
-        for path, size in sorted(paths.sizes(self.path, SUFFIXES).items()):
+        changed = [
+            (path, size)
+            for path, size in sorted(paths.sizes(self.path, SUFFIXES).items())
+            if size != self.position.get(path, 0)
+        ]
+        # With a budget every file gets its turn: begin behind the one served last.
+        changed = [c for c in changed if c[0] > self.served] + [c for c in changed if c[0] <= self.served]
+
+        def complete(item: tuple[str, int]) -> tuple[str, int, int]:
+            path, size = item
             known = self.position.get(path, 0)
-            if size == known or budget == 0:
-                continue
             start = known if size > known else 0
-            end = last_line_end(system, path, size, start)
-            if budget is not None and end - start > budget:
-                # Whole lines within the budget, or one line if that alone is larger.
-                fitted = last_line_end(system, path, start + budget, start)
-                end = fitted if fitted > start else next_line(system, path, start, end)
-            if budget is not None:
-                budget = max(0, budget - (end - start))
-            if end > start or start < known:
-                latest[path] = end
+            return path, start, last_line_end(system, path, size, start)
+
+        with ThreadPoolExecutor(PROBES) as pool:
+            for at in range(0, len(changed), PROBES):
+                if budget == 0:
+                    break
+                for path, start, end in pool.map(complete, changed[at : at + PROBES]):
+                    if budget == 0:
+                        break
+                    if budget is not None and end - start > budget:
+                        # Whole lines within the budget, or one line if that alone is larger.
+                        fitted = last_line_end(system, path, start + budget, start)
+                        end = fitted if fitted > start else next_line(system, path, start, end)
+                    if budget is not None:
+                        budget = max(0, budget - (end - start))
+                        self.served = path
+                    if end > start or start < self.position.get(path, 0):
+                        latest[path] = end
         self.position = latest
         return latest
 

@@ -157,3 +157,39 @@ def test_periodic(place):
     finally:
         job.stop()
     assert names(store) == ["a", "b"]
+
+
+def test_stretches_meet_on_line_borders(tmp_path):
+    import random
+
+    from teleskein.sources.tail import TailReader
+
+    random.seed(5)
+    lines = ["x" * random.choice([0, 1, 5, 40, 300]) for _ in range(400)]
+    data = "".join(x + "\n" for x in lines)
+    (tmp_path / "a.jsonl").write_text(data + "open end")
+    for split in (1, 7, 64, 1000, 10**6):
+        reader = TailReader({"path": str(tmp_path), "split_bytes": str(split)})
+        end = reader.latestOffset()
+        assert end == {str(tmp_path / "a.jsonl"): len(data)}
+        got = [v.decode() for p in reader.partitions({}, end) for b in reader.read(p) for v in b.column(1).to_pylist()]
+        assert got == lines
+    # With a budget, offsets move on by whole lines until all is read.
+    reader, start, got = TailReader({"path": str(tmp_path), "max_bytes": "500"}), {}, []
+    while (end := dict(reader.latestOffset())) != start:
+        got += [v.decode() for p in reader.partitions(start, end) for b in reader.read(p) for v in b.column(1).to_pylist()]
+        start = end
+    assert got == lines
+
+
+def test_long_lines_over_read_blocks(tmp_path, monkeypatch):
+    from teleskein.sources import tail
+
+    monkeypatch.setattr(tail, "READ_BYTES", 16)
+    lines = ["a" * 100, "", "b" * 15, "c" * 16, "d" * 17, "e"]
+    (tmp_path / "a.jsonl").write_text("".join(x + "\n" for x in lines) + "tail" * 20)
+    for split in (1, 10, 33, 1000):
+        reader = tail.TailReader({"path": str(tmp_path), "split_bytes": str(split)})
+        end = reader.latestOffset()
+        got = [v.decode() for p in reader.partitions({}, end) for b in reader.read(p) for v in b.column(1).to_pylist()]
+        assert got == lines
