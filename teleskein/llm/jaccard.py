@@ -207,8 +207,9 @@ def in_blocks(df: DataFrame, group: str, size: str) -> DataFrame:
     return dealt.drop("blocks", "other", size).repartition(group, "low", "high").sortWithinPartitions(group, "low", "high")
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of rows with equal keys in a sorted stream, each as one table."""
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], whole: bool = True) -> Iterator[pa.Table]:
+    """The runs of rows with equal keys in a sorted stream, each as one table, or, if they need
+    not come whole, as a table for each batch."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -219,7 +220,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         begin = 0
         for end in [*cuts.tolist(), batch.num_rows]:
             key = tuple(columns[begin])
-            if held and key != last:
+            if held and (key != last or not whole):
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(begin, end - begin))

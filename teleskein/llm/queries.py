@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from teleskein.llm import bpe, jaccard, line_dedup, mixing, quality
+from teleskein.llm import bpe, jaccard, line_dedup, lm, mixing, pii, quality, search, suffix, warc
 from teleskein.llm.common import source
 
 
@@ -74,14 +74,35 @@ FROM joined
 """
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(source(spark, sf_dir, "documents"))
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(source(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, source(spark, sf_dir, "pages"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(source(spark, sf_dir, "documents"))
 
 
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.with_pseudonyms(source(spark, sf_dir, "documents"))
+    return done.select(F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"), "n_values")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(source(spark, sf_dir, "documents"), bpe.default_path())
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_substrings(source(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(source(spark, sf_dir, "documents"), source(spark, sf_dir, "labels"))
 
@@ -89,7 +110,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_source_mixing": (op2_source_mixing, OP2_SQL),
+    "op3_lm_scoring": (op3_lm_scoring, None),
+    "op4_topk_search": (op4_topk_search, None),
+    "op5_warc": (op5_warc, None),
     "op6_ngram_jaccard": (op6_ngram_jaccard, None),
+    "op7_pii_pseudonyms": (op7_pii_pseudonyms, None),
     "op8_bpe": (op8_bpe, None),
+    "op9_suffix_array_dedup": (op9_suffix_array_dedup, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
