@@ -5,7 +5,7 @@ pattern; each piece's bytes become a doubly linked list of symbols with a priori
 (merge rank, position). The lowest entry is merged; entries whose symbols have changed since
 are stale and skipped; the two new neighbours enter the queue. O(n log n) for a piece of n
 bytes, so a text of one huge word is no special case. Ids of frequent pieces are remembered per
-worker in a table of bounded size. Decoding joins the byte strings of the vocabulary and reads
+worker in two tables of bounded size. Decoding joins the byte strings of the vocabulary and reads
 the whole as UTF-8, with the replacement character where ids do not form any.
 
 Each row is encoded where it lies; nothing is shuffled. The vocabulary, of fixed size, is read
@@ -56,21 +56,28 @@ class Vocabulary:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[left], ids[right]] = (rank, ids[left + right])
         back = {letter: b for b, letter in letters.items()}
-        self.bytes = {i: bytes(back[x] for x in token) for token, i in ids.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes |= {i: content.encode() for content, i in self.added.items()}
+        self.bytes = [b""] * (1 + max(*ids.values(), *self.added.values()))
+        for token, i in ids.items():
+            self.bytes[i] = bytes(back[x] for x in token)
+        for content, i in self.added.items():
+            self.bytes[i] = content.encode()
 
 
 class _Pieces(dict):
-    """Ids by piece; a missing one is merged and remembered while there is room."""
+    """Ids by piece; a missing one is merged and remembered. A full table becomes the older
+    one, from which pieces that come again return, so frequent ones stay."""
 
     def __init__(self, codec: Codec) -> None:
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.codec.merge(piece.encode("utf-8"))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.codec.merge(piece.encode("utf-8"))
         if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -81,7 +88,10 @@ class Codec:
         self.vocabulary, self.pieces = vocabulary, _Pieces(self)
         self.find = regex.compile(PATTERN).findall
         added = sorted(vocabulary.added, key=len, reverse=True)
-        self.split = regex.compile("(" + "|".join(map(regex.escape, added)) + ")").split if added else lambda text: [text]
+        self.split = regex.compile(f"({'|'.join(map(regex.escape, added))})").split if added else lambda text: [text]
+
+    def __reduce__(self):
+        return Codec, (self.vocabulary,)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         merges, symbols = self.vocabulary.merges, [self.vocabulary.base[b] for b in piece]
@@ -115,16 +125,17 @@ class Codec:
         return ids
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        strings = self.vocabulary.bytes
+        return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
 
 
 def encoded(df: DataFrame, vocabulary_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with its column ``text`` replaced by ``out``, the token ids (array<int>)."""
-    shared = Shared(df.sparkSession, Vocabulary(vocabulary_path))
+    shared = Shared(df.sparkSession, Codec(Vocabulary(vocabulary_path)))
     schema, at = df.select(*[F.col(c) if c != text else F.lit(None).cast("array<int>").alias(out) for c in df.columns]).schema, df.columns.index(text)
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = shared.value
         for batch in row_batches(batches):
             rows = [np.array(codec.encode(t or ""), np.int32) for t in batch.column(at).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
@@ -137,11 +148,11 @@ def encoded(df: DataFrame, vocabulary_path: str, text: str = "text", out: str =
 
 def decoded(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with a further column ``out``, the text of its token ids."""
-    shared = Shared(df.sparkSession, Vocabulary(vocabulary_path))
+    shared = Shared(df.sparkSession, Codec(Vocabulary(vocabulary_path)))
     schema, at = df.withColumn(out, F.lit(None).cast("string")).schema, df.columns.index(ids)
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = shared.value
         for batch in row_batches(batches):
             lists = batch.column(at)
             texts = [None if row is None else codec.decode(row) for row in lists.to_pylist()]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cached_property
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -65,17 +64,17 @@ def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -
 
 
 class Shared:
-    """An object of bounded size for all tasks; each task that asks unpacks it once."""
+    """An object of bounded size for all tasks; a worker process unpacks it once and keeps it
+    beside the broadcast it came from."""
 
     def __init__(self, spark: SparkSession, value: object) -> None:
         self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
-    @cached_property
+    @property
     def value(self) -> object:
-        return cloudpickle.loads(self.packed.value)
-
-    def __getstate__(self) -> dict:
-        return {"packed": self.packed}
+        if not hasattr(self.packed, "unpacked"):
+            self.packed.unpacked = cloudpickle.loads(self.packed.value)
+        return self.packed.unpacked
 
 
 def row_batches(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
