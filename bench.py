@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
 import time
 
 from teleskein.plans import registry
@@ -50,6 +51,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__ui__enabled="false",
         spark__driver__memory="16g",
+        spark__checkpoint__dir=f"file://{tempfile.mkdtemp(prefix='teleskein-bench-')}",
     )
     spark.sparkContext.setLogLevel("ERROR")
     run = registry.queries()

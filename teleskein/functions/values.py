@@ -59,6 +59,30 @@ def span_duration(start_ns: Column, end_ns: Column) -> Column:
 # --- numbers as text ---
 
 
+def _closest_text(number: Column) -> Column:
+    """Text of a whole double from 1e16 on by the fewest of 15 to 17 digits that read back as
+    the same number, and of those the closest. Exact in decimals, NULL from 1e37 on."""
+    size, unit = F.abs(number), 2.0**61
+    high = F.floor(size / F.lit(unit))
+    low = (size - high.cast("double") * F.lit(unit)).cast("bigint").cast("decimal(19,0)")
+    exact = high.cast("decimal(18,0)") * F.lit(2**61).cast("decimal(19,0)") + low
+
+    def rounded(whole: Column, digits: int) -> Column:
+        zeros = F.length(whole.cast("string")) - digits
+        power = F.concat(F.lit("1"), F.repeat(F.lit("0"), zeros)).cast("decimal(38,0)")
+        half = F.when(zeros > 0, F.concat(F.lit("5"), F.repeat(F.lit("0"), zeros - 1))).otherwise("0").cast("decimal(38,0)")
+        return F.concat(int_div(whole + half, power).cast("string"), F.repeat(F.lit("0"), zeros))
+
+    def choose(whole: Column) -> Column:
+        chosen = rounded(whole, 17)
+        for digits in (16, 15):
+            text = rounded(whole, digits)
+            chosen = F.when(text.try_cast("double") == size, text).otherwise(chosen)
+        return F.concat(F.when(number < 0, "-").otherwise(""), chosen)
+
+    return F.when((size >= 1e16) & (size < 1e37), let(exact.cast("decimal(38,0)"), choose))
+
+
 def _digits_and_exponent(number: Column, body) -> Column:
     """Split a finite double into sign, significant digits and decimal exponent.
 
@@ -103,7 +127,8 @@ def _digits_and_exponent(number: Column, body) -> Column:
 
         return let(parts(text), lambda p: F.when(F.length(p["digits"]) == 17, choose(p)).otherwise(p))
 
-    return let(number.cast("string"), lambda text: let(shorten(text), body))
+    text = F.coalesce(_closest_text(number), number.cast("string"))
+    return let(text, lambda text: let(shorten(text), body))
 
 
 def _plain(p: Column) -> Column:
@@ -136,7 +161,7 @@ def double_text(number: Column) -> Column:
         return (
             # Up to 16 digits the JVM's text is as short as can be.
             F.when((mantissa < 0) & (F.length(text) <= 16), without_zero_fraction(text))
-            .when(mantissa.between(1, 17) & size.between(1e7, 1e20), as_decimal(17))
+            .when(mantissa.between(1, 17) & (size >= 1e7) & (size < 1e16), as_decimal(17))
             .when(mantissa.between(1, 17) & size.between(1e-19, 1), as_decimal(37))
             .otherwise(_digits_and_exponent(number, lambda p: F.concat(_sign(p), _plain(p))))
         )

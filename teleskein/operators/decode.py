@@ -55,6 +55,39 @@ def _is_one_value(document: Column, line: Column) -> Column:
     )
 
 
+# A VARIANT has a greatest size; lines over this many bytes that make none are judged in parts.
+LONG_LINE = 16 << 20
+
+
+def _long_line_ok(line: Column, signal: str) -> Column:
+    """What the VARIANT of a line tells, for a line too long to make one: it is one JSON value,
+    and no object repeats a key. Records are judged one by one; what stands around them is
+    short. Field types are left to the parse with VARIANT leaves."""
+    resources, scopes, records = wire.KEYS[signal]
+
+    def lists(text: Column, key: str) -> Column:
+        names = wire.spellings(key)
+        parsed = F.from_json(text, ", ".join(f"`{n}` array<string>" for n in names))
+        return F.concat(*[F.coalesce(parsed[n], F.array().cast("array<string>")) for n in names])
+
+    def unique(text: Column) -> Column:
+        keys = F.json_object_keys(text)
+        return F.size(F.array_distinct(keys)) == F.size(keys)
+
+    def whole(text: Column) -> Column:
+        return text.isNull() | (F.octet_length(text) > LONG_LINE) | F.try_parse_json(text).isNotNull()
+
+    def around(text: Column, key: str, child: str, inner) -> Column:
+        return unique(text) & whole(F.from_json(text, f"{key} string")[key]) & F.forall(lists(text, child), inner)
+
+    marked = F.concat(F.lit("["), line, F.lit(","), F.xxhash64(line).cast("string"), F.lit("]"))
+    one = (F.json_array_length(marked) == 2) & (F.get_json_object(marked, "$[1]") == F.xxhash64(line).cast("string"))
+    ok = one & unique(line) & F.forall(
+        lists(line, resources), lambda r: around(r, "resource", scopes, lambda s: around(s, "scope", records, whole))
+    )
+    return F.coalesce(F.is_valid_utf8(line) & ok, F.lit(False))
+
+
 def accept_lines(lines: DataFrame, signal: str, line: str = "value", strict: bool = True) -> DataFrame:
     """Add ``_resources``: the parsed resource list of an accepted line, else NULL.
 
@@ -79,7 +112,8 @@ def accept_lines(lines: DataFrame, signal: str, line: str = "value", strict: boo
     parsed = (
         trimmed.withColumn("_document", F.when(F.is_valid_utf8(text), _marked_document(text)))
         .withColumn("_shape", F.when(_is_one_value(document, text), shape))
-        .withColumn("_doubtful", wire.doubtful(F.col("_shape"), signal))
+        .withColumn("_long", F.when(document.isNull() & (F.octet_length(text) > LONG_LINE), _long_line_ok(text, signal)))
+        .withColumn("_doubtful", F.when(F.col("_long"), True).otherwise(wire.doubtful(F.col("_shape"), signal)))
         .withColumns(
             {
                 "_plain": F.when(~F.col("_doubtful"), plain),

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from teleskein.functions import wire
 from teleskein.functions.values import int_div, time_to_nanos
 from teleskein.schemas import SIGNALS, check_signal
+from teleskein.session import scratch_dir
 
 # Records per export batch, the collector's default batch size.
 RECORDS_PER_LINE = 1024
@@ -93,6 +95,10 @@ def _metric(points: Column) -> Column:
     )
 
 
+# Kind of the lines that hold none of the root lists.
+UNROUTED = "unrouted"
+
+
 def _line(signal: str, records: Column) -> Column:
     resources, scopes, record_key = wire.KEYS[signal]
     service = F.struct(
@@ -139,25 +145,32 @@ def encode(rows: DataFrame, signal: str, records_per_line: int = RECORDS_PER_LIN
 def route(lines: DataFrame, line: str = "value") -> DataFrame:
     """Add ``signal`` to a mixed line table: the kind whose root list the line holds.
 
-    Lines with none of the roots get NULL. The test reads only the top-level keys.
+    A line with several root lists comes once for each; one with none, also if it is no JSON,
+    is ``unrouted``. Blank lines hold nothing and are left out. The test reads only the
+    top-level keys.
     """
-    keys = F.json_object_keys(F.col(line))
-    kind = F.coalesce(
-        *[
-            F.when(F.arrays_overlap(keys, F.array(*map(F.lit, wire.spellings(wire.KEYS[s][0])))), s)
-            for s in SIGNALS
-        ]
+    keys = F.coalesce(F.json_object_keys(F.col(line)), F.array().cast("array<string>"))
+    kinds = F.array_compact(
+        F.array(*[F.when(F.arrays_overlap(keys, F.array(*map(F.lit, wire.spellings(wire.KEYS[s][0])))), s) for s in SIGNALS])
     )
-    return lines.withColumn("signal", kind)
+    signal = F.explode(F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit(UNROUTED))))
+    return lines.filter(F.col(line).rlike(r"\S")).select("*", signal.alias("signal"))
 
 
 def split_by_signal(lines: DataFrame, line: str = "value") -> dict[str, DataFrame]:
-    """The three per-signal line tables of a mixed one."""
-    routed = route(lines, line)
-    return {s: routed.filter(F.col("signal") == s).drop("signal") for s in SIGNALS}
+    """The line tables of a mixed one: one per signal, and ``unrouted``.
+
+    The routed lines are written once to the scratch folder; each table reads its part.
+    """
+    root = scratch_dir(lines.sparkSession, "split")
+    route(lines, line).write.partitionBy("signal").parquet(root)
+    schema = T.StructType([*lines.schema.fields, T.StructField("signal", T.StringType())])
+    routed = lines.sparkSession.read.schema(schema).parquet(root)
+    return {s: routed.filter(F.col("signal") == s).drop("signal") for s in (*SIGNALS, UNROUTED)}
 
 
 def write_routed(lines: DataFrame, root: str, line: str = "value") -> None:
-    """Append mixed lines to one folder per signal, ``<root>/signal=<kind>``, in one pass."""
-    routed = route(lines, line).filter(F.col("signal").isNotNull())
+    """Append mixed lines to one folder per signal, ``<root>/signal=<kind>``, in one pass;
+    unrouted ones go to a folder of their own."""
+    routed = route(lines, line)
     routed.select(F.col(line).alias("value"), "signal").write.mode("append").partitionBy("signal").text(root)

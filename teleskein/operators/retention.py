@@ -1,12 +1,14 @@
 """Deleting old rows: dry run, deletion, service scope and the report.
 
-Deletion works partition by partition. A date wholly before the cutoff is dropped as a
-folder without being read; only partitions with both expired and remaining rows are
-rewritten.
+Deletion works folder by folder. One wholly before the cutoff is dropped without being read;
+of those with both expired and remaining rows the remaining ones are written anew. Readers
+switch by one record; a prune that stops before it has changed nothing, and
+:meth:`SignalStore.vacuum` deletes the files.
 """
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -14,13 +16,12 @@ from pyspark.sql import functions as F
 
 from teleskein.functions.timeexpr import duration
 from teleskein.schemas import SIGNALS, TIME_COLUMN
-from teleskein.sources import paths
 from teleskein.tables import SignalStore
 
 REPORT = "signal string, service_name string, deleted bigint, cutoff string"
 CUTOFF_FORMAT = "%Y-%m-%dT%H:%M:%S"
-# Partitions rewritten by one job: keeps the partition filter of a plan small.
-FOLDERS_PER_REWRITE = 1000
+# Names of batches that hold what a prune left begin with this.
+KEPT = "kept-"
 # "All" means everything up to this far ahead of now.
 ALL_MARGIN = timedelta(hours=1)
 
@@ -36,9 +37,9 @@ def cutoff_time(
 ) -> datetime:
     """Exactly one of a duration and ``all_rows`` must be given."""
     if all_rows and older_than is not None:
-        raise ValueError("all_rows and older_than exclude each other")
+        raise ValueError("give either older_than or all_rows, not both")
     if not all_rows and older_than is None:
-        raise ValueError("older_than (e.g. '7d', '24h') or all_rows is required")
+        raise ValueError("one of older_than and all_rows has to be given")
     at = now or datetime.now(timezone.utc).replace(tzinfo=None)
     return at + ALL_MARGIN if all_rows else at - duration(older_than)
 
@@ -78,8 +79,8 @@ def prune(
 ) -> DataFrame:
     """Delete rows older than ``cutoff``; three report rows in order traces, metrics, logs.
 
-    Cursors are left alone: pruned rows do not come back with the next ingest. Running it
-    again after a failure finishes the work.
+    Cursors are left alone: pruned rows do not come back with the next ingest. A failure
+    leaves a signal either as it was or pruned; running it again finishes the work.
     """
     spark = store.spark
     report = []
@@ -89,7 +90,7 @@ def prune(
         report.append((signal, service, deleted, cutoff.strftime(CUTOFF_FORMAT)))
         if dry_run or not deleted:
             continue
-        store.log_prune(signal, cutoff.isoformat(sep=" "), service, _last_batch_number(store, signal))
+        store.log_prune(signal, cutoff.isoformat(sep=" "), service, store.last_batch_number(signal))
         _delete(store, signal, cutoff, service, counts)
     return spark.createDataFrame(report, REPORT)
 
@@ -110,7 +111,7 @@ def _expired_per_partition(
     The result has one entry per folder, not per row. Without a service, dates before the
     cutoff's are counted from file footers; only the cutoff's own date has its time read.
     """
-    rows = store.raw(signal).filter(F.col("date") <= F.lit(cutoff.date()))
+    rows = store.raw(signal, until=cutoff.date().isoformat())
     keys = ["ingest_batch", "date"]
     total = F.count(F.lit(1)).alias("total")
     if service is None:
@@ -129,28 +130,14 @@ def _expired_per_partition(
 def _delete(
     store: SignalStore, signal: str, cutoff: datetime, service: str | None, counts: list[dict]
 ) -> None:
-    table = store.table_path(signal)
-    mixed = [f"{c['ingest_batch']}/{c['date']}" for c in counts if c["expired"] < c["total"]]
-    folder = F.concat_ws("/", "ingest_batch", F.col("date").cast("string"))
-    for at in range(0, len(mixed), FOLDERS_PER_REWRITE):
-        chosen = store.raw(signal).filter(folder.isin(mixed[at : at + FOLDERS_PER_REWRITE]))
-        (
-            survivors(chosen, signal, cutoff, service)
-            .hint("rebalance", F.col("ingest_batch"), F.col("date"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("ingest_batch", "date")
-            .parquet(table)
-        )
-    for c in counts:
-        if c["expired"] == c["total"]:
-            paths.drop_dir(f"{table}/ingest_batch={c['ingest_batch']}/date={c['date']}")
-
-
-def _last_batch_number(store: SignalStore, signal: str) -> int:
-    """Highest streaming batch of the current epoch written so far; -1 if none."""
-    prefix = f"ingest_batch={store.state.epoch}-"
-    numbers = [
-        int(n[len(prefix) :]) for n in paths.children(store.table_path(signal)) if n.startswith(prefix)
-    ]
-    return max(numbers, default=-1)
+    """One new batch holds what remains of mixed folders; its record hides all folders with
+    expired rows at the moment it appears. Until then readers see the table as it was."""
+    pairs = {(c["ingest_batch"], str(c["date"])) for c in counts}
+    mixed = {(c["ingest_batch"], str(c["date"])) for c in counts if c["expired"] < c["total"]}
+    version = store.state.version
+    batch, hides = f"{KEPT}{uuid.uuid4().hex}", [list(x) for x in pairs]
+    if mixed:
+        rows = survivors(store.raw(signal, version, only=mixed), signal, cutoff, service)
+        store.append(signal, rows, batch, version, hides)
+    else:
+        store.record(signal, batch, [], hides, version)

@@ -58,7 +58,7 @@ def restrict(rows: DataFrame, signal: str, options: QueryOptions) -> DataFrame:
 
     Tables are partitioned by ``date``, which the optimizer cannot derive from the time
     column, so each time bound brings the date bound it implies: partitions outside it are
-    never listed or read.
+    not read. :func:`dates` keeps a store from listing them.
     """
     time = F.col(TIME_COLUMN[check_signal(signal)])
     if options.service is not None:
@@ -72,6 +72,16 @@ def restrict(rows: DataFrame, signal: str, options: QueryOptions) -> DataFrame:
     return rows
 
 
+def dates(options: QueryOptions) -> dict[str, str | None]:
+    """The first and last date that can hold rows of the options, for ``SignalStore.table``;
+    a bound that is a column is left to the filter."""
+
+    def date(value: datetime | Column | None) -> str | None:
+        return value.date().isoformat() if isinstance(value, datetime) else None
+
+    return {"since": date(options.since), "until": date(options.until)}
+
+
 # Columns that settle the order of rows with equal times, so that limits are repeatable.
 TIE_BREAK = {
     "traces": ["trace_id", "span_id", "name", "service_name", "end_time", "kind", "status_code", "parent_span_id"],
@@ -88,12 +98,23 @@ def scan(rows: DataFrame, signal: str, options: QueryOptions = QueryOptions()) -
     """
     columns = [c for c in TABLES[signal].fieldNames() if c != "date"]
     order = [TIME_COLUMN[signal], *TIE_BREAK[signal]]
+    # Then all that is left, a map by its sorted entries: only equal rows remain tied.
+    order += [
+        F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else f.name
+        for f in TABLES[signal].fields
+        if f.name in columns and f.name not in order
+    ]
     ordered = restrict(rows, signal, options).select(*columns).orderBy(*order)
     if options.limit is not None and options.limit > 0:
         return ordered.limit(options.limit)
     return ordered
 
 
+def scan_store(store, signal: str, options: QueryOptions = QueryOptions()) -> DataFrame:
+    """A scan of a store's table that lists the folders of its own dates only."""
+    return scan(store.table(signal, **dates(options)), signal, options)
+
+
 def scan_traces(rows: DataFrame, options: QueryOptions = QueryOptions()) -> DataFrame:
     return scan(rows, "traces", options)
 

@@ -10,7 +10,7 @@ from teleskein.functions import wire
 from teleskein.functions.values import time_to_nanos
 from teleskein.functions.render import attributes_text, parse_attributes
 from teleskein.operators.decode import decode
-from teleskein.operators.encode import encode, split_by_signal, write_routed
+from teleskein.operators.encode import UNROUTED, encode, split_by_signal, write_routed
 from teleskein.plans import mapping as m
 from teleskein.schemas import SIGNALS
 from teleskein.session import scratch_dir
@@ -539,23 +539,34 @@ def _mixed_lines(spark, sf_dir) -> DataFrame:
     return lines
 
 
+def _with_strays(spark, sf_dir) -> DataFrame:
+    """Mixed lines, and for each event a line that belongs to no signal."""
+    stray = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"event":'), F.col("event_id").cast("string"), F.lit("}")))
+    stray = F.coalesce(stray, F.concat(F.lit("event "), F.col("event_id").cast("string")))
+    return _mixed_lines(spark, sf_dir).unionByName(m.read(spark, sf_dir, "events").select(stray.alias("value")))
+
+
 def s08_signal_routing(spark, sf_dir):
-    """A mixed line table routed to a folder per kind in one pass, then decoded and counted."""
+    """A mixed line table routed to a folder per kind in one pass, then decoded and counted;
+    lines of no kind have a folder too."""
     root = scratch_dir(spark, "routed")
-    write_routed(_mixed_lines(spark, sf_dir), root)
-    out = None
+    write_routed(_with_strays(spark, sf_dir), root)
+    rest = spark.read.text(f"{root}/signal={UNROUTED}")
+    out = rest.groupBy(F.lit(None).cast("string").alias("service_name")).agg(F.count(F.lit(1)).alias("n"))
+    out = out.withColumn("signal", F.lit(UNROUTED))
     for signal, decoded in scan_all(spark, root).items():
         part = decoded.rows.groupBy("service_name").agg(F.count(F.lit(1)).alias("n"))
         part = part.withColumn("signal", F.lit(signal))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out
 
 
 def s08_split(spark, sf_dir):
-    """A mixed line table taken apart without files: rows of each kind."""
+    """A mixed line table taken apart: rows of each kind, and lines of none."""
     out = None
-    for signal, lines in split_by_signal(_mixed_lines(spark, sf_dir)).items():
-        part = decode(lines, signal).rows.agg(F.count(F.lit(1)).alias("n"))
+    for signal, lines in split_by_signal(_with_strays(spark, sf_dir)).items():
+        rows = lines if signal == UNROUTED else decode(lines, signal).rows
+        part = rows.agg(F.count(F.lit(1)).alias("n"))
         part = part.select(F.lit(signal).alias("signal"), "n")
         out = part if out is None else out.unionByName(part)
     return out
@@ -563,9 +574,10 @@ def s08_split(spark, sf_dir):
 
 S08 = " UNION ALL ".join(
     f"SELECT service_name, COUNT(*) AS n, '{s}' AS signal FROM ({m.SQL[s]}) GROUP BY service_name" for s in SIGNALS
-)
+) + " UNION ALL SELECT CAST(NULL AS VARCHAR) AS service_name, COUNT(*) AS n, 'unrouted' AS signal FROM events"
 
 S08_SPLIT = " UNION ALL ".join(f"SELECT '{s}' AS signal, COUNT(*) AS n FROM ({m.SQL[s]})" for s in SIGNALS)
+S08_SPLIT += " UNION ALL SELECT 'unrouted' AS signal, COUNT(*) AS n FROM events"
 
 QUERIES = {
     "d01_traces_unnest": (_round_trip("traces"), _round_trip_sql("traces")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from teleskein.functions import render, timeexpr
 from teleskein.operators import retention
+from teleskein.operators.encode import encode
 from teleskein.operators.scan import (
     QueryOptions,
     aggregate_metric,
@@ -16,6 +18,7 @@ from teleskein.operators.scan import (
     count_rows,
     scan_logs,
     scan_metrics,
+    scan_store,
     scan_traces,
 )
 from teleskein.plans import mapping as m
@@ -23,8 +26,7 @@ from teleskein.plans.decode_queries import NOW, NOW_COLUMN, shown
 from teleskein.schemas import SIGNALS
 from teleskein.session import scratch_dir
 from teleskein.sources import jsonl, paths
-from teleskein.sources.tail import SUFFIXES
-from teleskein.streaming.ingest import IngestOptions, ingest_new, rebuild
+from teleskein.streaming.ingest import IngestOptions, PeriodicIngest, ingest_new, rebuild
 from teleskein.tables import SignalStore
 
 SINCE, UNTIL = datetime(2024, 1, 5, 6, 0, 0), datetime(2024, 1, 20, 18, 30, 0)
@@ -72,21 +74,23 @@ Q07_WHERE = f"WHERE service_name = 'svc-7' AND start_time >= TIMESTAMP '{SPAN_SI
 
 
 def q08_time_sort(spark, sf_dir):
-    """Rows whose time precedes that of the row before them, per date: none."""
-    ordered = scan_logs(m.logs(spark, sf_dir)).select("timestamp", "body")
-    numbered = ordered.select(
-        "*", F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_part")
-    )
-    # One window per sorted partition, so no window is larger than a task of the sort.
-    in_order = Window.partitionBy("_part").orderBy("_at")
-    steps = numbered.withColumn("_before", F.lag("timestamp").over(in_order))
-    return steps.groupBy(F.to_date("timestamp").alias("date")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("_before") > F.col("timestamp")).alias("out_of_order"),
+    """The place of each row in the sorted scan: its place in its partition, behind all rows of
+    the partitions before."""
+    ordered = scan_logs(m.logs(spark, sf_dir)).select(
+        "body", F.monotonically_increasing_id().alias("_at"), F.spark_partition_id().alias("_part")
     )
+    folder = scratch_dir(spark, "sorted")  # a range sort may cut elsewhere when run again
+    ordered.write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) + F.col("_before")
+    return rows.join(offsets, "_part").select("body", place.alias("place"))
 
 
-Q08 = "SELECT CAST(ts AS DATE) AS date, COUNT(*) AS rows, CAST(0 AS BIGINT) AS out_of_order FROM events GROUP BY 1"
+Q08 = f"""SELECT body, row_number() OVER (ORDER BY timestamp, service_name, severity_number, body) AS place
+FROM ({m.LOGS_SQL})"""
 
 
 def q09_limit(spark, sf_dir):
@@ -298,6 +302,56 @@ def s05_table_append(spark, sf_dir):
 S05 = f"SELECT {m.columns_sql('metrics')} FROM ({m.METRICS_SQL})"
 
 
+def s05_traces_append(spark, sf_dir):
+    return shown(_stored(spark, sf_dir, ("traces",)).table("traces"))
+
+
+S05_TRACES = f"SELECT {m.columns_sql('traces')} FROM ({m.TRACES_SQL})"
+
+
+def s01_tail_equals_batch(spark, sf_dir):
+    """A folder of files with all sorts of names: what is followed is what a batch reads."""
+    root, store = scratch_dir(spark, "names"), SignalStore(spark)
+    lines = encode(m.logs(spark, sf_dir), "logs")
+    for k, name in enumerate(("a.log", "noext", "b.jsonl")):
+        part = f"{root}/logs/{name}"
+        lines.filter(F.pmod(F.xxhash64("value"), F.lit(3)) == k).write.text(part)
+    ingest_new(store, root)
+    batch = jsonl.scan_all(spark, root)["logs"].rows
+    return count_rows({"tail": store.table("logs"), "batch": batch})
+
+
+S01_TAIL = "SELECT 'tail' AS signal, COUNT(*) AS rows FROM events UNION ALL SELECT 'batch', COUNT(*) FROM events"
+
+
+def _lines_without_last_newline(spark, sf_dir, root) -> None:
+    """One line an event in one file each thousandth, none of which ends with a newline."""
+    line = encode(m.logs(spark, sf_dir), "logs", 1)
+    line.write.option("lineSep", "\n").text(f"{root}/logs/whole")
+    for name in paths.children(f"{root}/logs/whole"):
+        path = f"{root}/logs/whole/{name}"
+        system, inner = paths.resolve(path)
+        if paths.is_data(name):
+            with system.open_input_stream(inner) as source:
+                text = source.read()
+            with system.open_output_stream(inner) as out:
+                out.write(text.rstrip(b"\n"))
+            paths.drop_file(f"{root}/logs/whole/.{name}.crc")  # of the text as it was
+
+
+def s11_final_line(spark, sf_dir):
+    """Files that end without a newline: ingest waits for their last lines, rebuild takes them."""
+    root, store = scratch_dir(spark, "final"), SignalStore(spark)
+    _lines_without_last_newline(spark, sf_dir, root)
+    waiting = ingest_new(store, root).logs
+    rebuild(store, root)
+    rows = store.table("logs").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.select("rows", (F.lit(waiting) < F.col("rows")).alias("some_waited"))
+
+
+S11_FINAL = "SELECT COUNT(*) AS rows, TRUE AS some_waited FROM events"
+
+
 def s09_json_sink(spark, sf_dir):
     """Scan results written as JSON lines and read back."""
     target = scratch_dir(spark, "json") + "/logs"
@@ -359,6 +413,84 @@ def s11_tail_append(spark, sf_dir):
     return shown(store.table("metrics"))
 
 
+def s11_tail_traces(spark, sf_dir):
+    """The same for spans."""
+    root, store = scratch_dir(spark, "tail"), SignalStore(spark)
+    early = F.col("start_time") < F.lit(str(SPAN_SINCE)).cast("timestamp_ntz")
+    rows = m.traces(spark, sf_dir)
+    for half in (rows.filter(early), rows.filter(~early)):
+        jsonl.write_rows(half, root, "traces")
+        ingest_new(store, root)
+    return shown(store.table("traces"))
+
+
+def s12_replay(spark, sf_dir):
+    """A micro-batch whose commit was lost is written again: its rows are there once."""
+    root, store = _lines(spark, sf_dir, ["logs"]), SignalStore(spark)
+    ingest_new(store, root)
+    checkpoint = store.checkpoint_path("logs")
+    last = max(int(n) for n in paths.children(f"{checkpoint}/commits") if n.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        paths.drop_file(f"{checkpoint}/commits/{name}")
+    again = ingest_new(store, root).logs
+    rows = store.table("logs").groupBy("service_name").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("written_again", F.lit(again > 0))
+
+
+S12 = f"SELECT service_name, COUNT(*) AS n, TRUE AS written_again FROM ({m.LOGS_SQL}) GROUP BY service_name"
+
+
+def s14_truncate(spark, sf_dir):
+    """A followed file that is replaced by a shorter one is read from its start again."""
+    root, store = _lines(spark, sf_dir, ["logs"]), SignalStore(spark)
+    ingest_new(store, root)
+    folder = f"{root}/logs"
+    for name in paths.children(folder):
+        if paths.is_data(name):
+            system, inner = paths.resolve(f"{folder}/{name}")
+            with system.open_input_stream(inner) as source:
+                first = source.read().split(b"\n")[0]
+            with system.open_output_stream(inner) as out:
+                out.write(first + b"\n")
+            paths.drop_file(f"{folder}/.{name}.crc")  # of the text as it was
+    left = jsonl.scan_all(spark, root)["logs"].rows
+    ingest_new(store, root)
+    total = store.table("logs").agg(F.count(F.lit(1)).alias("all_rows"), F.countDistinct("body").alias("bodies"))
+    again = left.agg(F.count(F.lit(1)).alias("again"))
+    return total.crossJoin(again).select((F.col("all_rows") - F.col("again")).alias("rows"), "bodies")
+
+
+S14 = f"SELECT COUNT(*) AS rows, COUNT(DISTINCT body) AS bodies FROM ({m.LOGS_SQL})"
+
+
+def s20_periodic(spark, sf_dir):
+    """Periodic ingest meets a file it cannot follow, and goes on by itself once that is gone."""
+    root, store = _lines(spark, sf_dir, ["traces", "logs"]), SignalStore(spark)
+    packed = f"{root}/traces/spans.jsonl.gz"
+    system, inner = paths.resolve(packed)
+    with system.open_output_stream(inner, compression=None) as out:
+        out.write(b"packed")
+    want = {"traces": m.read(spark, sf_dir, "lineitem").count(), "logs": m.read(spark, sf_dir, "events").count()}
+    periodic, deadline = PeriodicIngest(store, root, "1s"), time.time() + 300
+    try:
+        while periodic.restarts == 0 and time.time() < deadline:
+            time.sleep(0.2)
+        paths.drop_file(packed)
+        while any(getattr(periodic.report, s) < n for s, n in want.items()) and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        periodic.stop()
+    return _per_service({s: store.table(s) for s in ("traces", "logs")}).withColumn(
+        "restarted", F.lit(periodic.restarts > 0)
+    )
+
+
+S20 = " UNION ALL ".join(
+    f"SELECT service_name, COUNT(*) AS n, '{s}' AS signal, TRUE AS restarted FROM ({m.SQL[s]}) GROUP BY service_name"
+    for s in ("traces", "logs")
+)
+
+
 def s13_resume(spark, sf_dir):
     """As above, with the store opened anew for each run."""
     root, home = scratch_dir(spark, "resume"), scratch_dir(spark, "home")
@@ -375,13 +507,13 @@ UNION ALL SELECT 0, 0, COUNT(*), COUNT(*) FROM events WHERE ts >= TIMESTAMP '{CU
 
 
 def s16_ingest_report(spark, sf_dir):
-    root, store = _lines(spark, sf_dir, ["metrics", "logs"]), SignalStore(spark)
+    root, store = _lines(spark, sf_dir), SignalStore(spark)
     first, second = ingest_new(store, root), ingest_new(store, root)
     return first.to_df(spark).unionByName(second.to_df(spark))
 
 
-S16 = """SELECT CAST(0 AS BIGINT) AS traces, COUNT(*) AS metrics, COUNT(*) AS logs, 2 * COUNT(*) AS total FROM events
-UNION ALL SELECT 0, 0, 0, 0"""
+S16 = """SELECT (SELECT COUNT(*) FROM lineitem) AS traces, COUNT(*) AS metrics, COUNT(*) AS logs,
+2 * COUNT(*) + (SELECT COUNT(*) FROM lineitem) AS total FROM events UNION ALL SELECT 0, 0, 0, 0"""
 
 
 def s17_clear_tables(spark, sf_dir):
@@ -416,7 +548,7 @@ S19 = " UNION ALL ".join(
 def s21_micro_batches(spark, sf_dir):
     """A cap of a quarter of the bytes: several micro-batches, each row still exactly once."""
     root, store = _lines(spark, sf_dir, ["logs"]), SignalStore(spark)
-    total = sum(paths.sizes(jsonl.signal_dir(root, "logs"), SUFFIXES).values())
+    total = sum(paths.sizes(jsonl.signal_dir(root, "logs")).values())
     report = ingest_new(store, root, IngestOptions(max_bytes=max(1, total // 4)))
     several = len(store.batches("logs")) >= 4
     rows = store.table("logs").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("body").alias("bodies"))
@@ -493,6 +625,18 @@ def p02_prune_delete(spark, sf_dir):
     return _per_service_day(store)
 
 
+def p02_prune_traces(spark, sf_dir):
+    """Spans of some years go; one folder a day, of which most are dropped unread."""
+    store = _stored(spark, sf_dir, ("traces",))
+    retention.prune(store, SPAN_SINCE)
+    store.vacuum()
+    return store.table("traces").groupBy("service_name").agg(F.count(F.lit(1)).alias("n"), F.min("start_time").alias("first"))
+
+
+P02_TRACES = f"""SELECT service_name, COUNT(*) AS n, MIN(start_time) AS first FROM ({m.TRACES_SQL})
+WHERE start_time >= TIMESTAMP '{SPAN_SINCE}' GROUP BY service_name"""
+
+
 def _per_service_day(store: SignalStore) -> DataFrame:
     out = None
     for signal in ("metrics", "logs"):
@@ -541,7 +685,21 @@ P05 = f"SELECT {m.columns_sql('logs')} FROM ({m.LOGS_SQL}) WHERE timestamp >= TI
 
 
 def p06_prune_report(spark, sf_dir):
-    return retention.prune(_stored(spark, sf_dir), CUTOFF, service="svc-8")
+    return retention.prune(_stored(spark, sf_dir, SIGNALS), CUTOFF, service="svc-8")
+
+
+def c01_compaction_traces(spark, sf_dir):
+    """The same for spans, merged date by date, read for a range of dates."""
+    store, rows = SignalStore(spark), m.traces(spark, sf_dir)
+    for k in (0, 1):
+        store.append("traces", rows.filter(F.col("kind") % 2 == k))
+    store.compact("traces")
+    return shown(scan_store(store, "traces", QueryOptions(since=SPAN_SINCE, until=SPAN_UNTIL)))
+
+
+C01_TRACES = _select(
+    "traces", f"WHERE start_time BETWEEN TIMESTAMP '{SPAN_SINCE}' AND TIMESTAMP '{SPAN_UNTIL}'"
+)
 
 
 def c01_compaction(spark, sf_dir):
@@ -586,7 +744,16 @@ QUERIES = {
     "a03_counts_where": (a03_counts_where, A03_WHERE),
     "s01_full_scan": (s01_full_scan, PER_SERVICE),
     "s02_missing_source": (s02_missing_source, S02),
+    "s01_tail_equals_batch": (s01_tail_equals_batch, S01_TAIL),
     "s05_table_append": (s05_table_append, S05),
+    "s05_traces_append": (s05_traces_append, S05_TRACES),
+    "s11_final_line": (s11_final_line, S11_FINAL),
+    "s11_tail_traces": (s11_tail_traces, S05_TRACES),
+    "s12_replay": (s12_replay, S12),
+    "s14_truncate": (s14_truncate, S14),
+    "s20_periodic": (s20_periodic, S20),
+    "p02_prune_traces": (p02_prune_traces, P02_TRACES),
+    "c01_compaction_traces": (c01_compaction_traces, C01_TRACES),
     "s09_json_sink": (s09_json_sink, S09),
     "s10_direct_insert": (s10_direct_insert, S10),
     "k03_ad_hoc_sql": (k03_ad_hoc_sql, K03),
@@ -606,6 +773,6 @@ QUERIES = {
     ),
     "p04_prune_all": (p04_prune_all, P04),
     "p05_prune_older_than": (p05_prune_older_than, P05),
-    "p06_prune_report": (p06_prune_report, _report_sql("svc-8", ("metrics", "logs"))),
+    "p06_prune_report": (p06_prune_report, _report_sql("svc-8")),
     "c01_compaction": (c01_compaction, S05),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,12 +33,15 @@ def build_session(app_name: str = "teleskein", master: str | None = None, **conf
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for state that outlives one job.
 
-    On a cluster it lies under ``spark.checkpoint.dir``, which every executor sees. Only
-    where that setting is absent (tests, one machine) is a local folder made.
+    It lies under ``spark.checkpoint.dir``, which every executor sees. Only where that setting
+    is absent and the master is this one process is a local folder made.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if shared:
         return f"{shared.rstrip('/')}/teleskein-{label}-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"master {master}: set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"teleskein-{label}-")

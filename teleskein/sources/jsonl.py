@@ -19,7 +19,7 @@ def signal_dir(root: str, signal: str) -> str:
 
 def read_lines(spark: SparkSession, root: str, signal: str) -> DataFrame:
     """All lines of a signal in a column ``value``; no rows where the folder is missing."""
-    folder = signal_dir(root, signal)
+    folder = signal_dir(paths.checked(spark, root), signal)
     if not paths.exists(folder):
         return spark.createDataFrame([], "value string")
     return spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(folder)

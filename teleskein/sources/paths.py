@@ -7,12 +7,33 @@ import json
 from pyarrow import fs
 
 
+# Names that Hadoop gives to storage known here under another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+# Suffixes that Spark's text reader unpacks; such files have no byte offsets to follow.
+COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
+
+
+def checked(spark, path: str) -> str:
+    """``path``, or an error where Spark and this module would look for it in two places: a
+    path without a scheme is Hadoop's default file system to Spark."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    if "://" not in path and not path.startswith("file:") and not default.startswith("file:"):
+        raise ValueError(f"{path} needs a scheme: the default file system is {default}")
+    return path
+
+
+def is_data(name: str) -> bool:
+    """The rule of Spark's readers: all files but hidden ones."""
+    return not name.startswith(("_", "."))
+
+
 def resolve(path: str) -> tuple[fs.FileSystem, str]:
     """The file system a path lives on and the path within it."""
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
     if "://" in path:
-        return fs.FileSystem.from_uri(path)
+        scheme, rest = path.split("://", 1)
+        return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
     return fs.LocalFileSystem(), path
 
 
@@ -39,7 +60,7 @@ def children(path: str) -> list[str]:
     return [info.base_name for info in found]
 
 
-def sizes(path: str, suffixes: tuple[str, ...]) -> dict[str, int]:
+def sizes(path: str) -> dict[str, int]:
     """Size of each data file below a folder (hidden names left out), or of the one file."""
     system, inner = resolve(path)
     info = system.get_file_info(inner)
@@ -49,9 +70,7 @@ def sizes(path: str, suffixes: tuple[str, ...]) -> dict[str, int]:
     return {
         i.path: i.size
         for i in found
-        if i.type == fs.FileType.File
-        and not i.base_name.startswith(("_", "."))
-        and i.base_name.endswith(suffixes)
+        if i.type == fs.FileType.File and all(map(is_data, i.path[len(inner) :].strip("/").split("/")))
     }
 
 
@@ -65,6 +84,12 @@ def put_json(folder: str, name: str, value: dict) -> None:
     system.move(hidden, final)
 
 
+def drop_file(path: str) -> None:
+    system, inner = resolve(path)
+    if system.get_file_info(inner).type == fs.FileType.File:
+        system.delete_file(inner)
+
+
 def get_json(folder: str) -> dict[str, dict]:
     """All small records of a folder by name, in order of names."""
     system, inner = resolve(folder)

@@ -8,6 +8,7 @@ stretches into several partitions that start and end on line borders.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -18,26 +19,32 @@ from pyspark.sql.types import StructType
 
 from teleskein.sources import paths
 
-SUFFIXES = (".jsonl", ".json", ".txt")
 READ_BYTES = 4 << 20
 SPLIT_BYTES = 64 << 20
+log = logging.getLogger(__name__)
 # Files looked at side by side for their last newline.
 PROBES = 32
 
 
 @dataclass
 class Stretch(InputPartition):
-    """Lines that begin in ``[start, end)``; ``whole_start``: a line begins at ``start``."""
+    """Lines that begin in ``[start, end)``; ``whole_start``: a line begins at ``start``.
+    Nothing is read at or behind ``upto``, where the file's last line ends."""
 
     path: str
     start: int
     end: int
     whole_start: bool
+    upto: int
 
 
 class TailSource(DataSource):
     """``format("tail_lines")``: options ``path``, ``split_bytes``, ``max_bytes`` per trigger,
-    and ``position``, the offsets (JSON) a restarted query continues from."""
+    ``position``, the offsets (JSON) a restarted query continues from, and ``final_line``: a
+    file's rest without a newline counts as a line if it is one whole JSON value.
+
+    All files below the path are followed but hidden ones, as Spark's readers do; a compressed
+    file has no offsets to follow and is an error."""
 
     @classmethod
     def name(cls) -> str:
@@ -63,11 +70,23 @@ def last_line_end(system, path: str, size: int, floor: int) -> int:
     return floor
 
 
+def is_whole(system, path: str, begin: int, size: int) -> bool:
+    """Whether the rest of a file is one JSON value."""
+    with system.open_input_file(path) as handle:
+        rest = handle.read_at(size - begin, begin)
+    try:
+        json.loads(rest)
+    except ValueError:
+        return False
+    return True
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options) -> None:
         self.path = options["path"]
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         self.max_bytes = int(options.get("max_bytes", 0))
+        self.final_line = str(options.get("final_line", "false")).lower() == "true"
         self.position: dict[str, int] = json.loads(options.get("position") or "{}")
         self.served = ""
 
@@ -81,10 +100,10 @@ class TailReader(DataSourceStreamReader):
         latest = dict(self.position)
         budget = self.max_bytes or None
         changed = [
-            (path, size)
-            for path, size in sorted(paths.sizes(self.path, SUFFIXES).items())
-            if size != self.position.get(path, 0)
+            (path, size) for path, size in sorted(paths.sizes(self.path).items()) if size != self.position.get(path, 0)
         ]
+        if packed := [path for path, _ in changed if path.endswith(paths.COMPRESSED)]:
+            raise ValueError(f"{packed[0]} is compressed and cannot be followed; read it with scan_all")
         # With a budget every file gets its turn: begin behind the one served last.
         changed = [c for c in changed if c[0] > self.served] + [c for c in changed if c[0] <= self.served]
 
@@ -92,7 +111,12 @@ class TailReader(DataSourceStreamReader):
             path, size = item
             known = self.position.get(path, 0)
             start = known if size > known else 0
-            return path, start, last_line_end(system, path, size, start)
+            if size < known:
+                log.warning("%s was cut from %d to %d bytes; it is read from its start again", path, known, size)
+            end = last_line_end(system, path, size, start)
+            if self.final_line and end < size and is_whole(system, path, end, size):
+                end = size
+            return path, start, end
 
         with ThreadPoolExecutor(PROBES) as pool:
             for at in range(0, len(changed), PROBES):
@@ -120,13 +144,13 @@ class TailReader(DataSourceStreamReader):
             if begin > upto:
                 begin = 0
             for at in range(begin, upto, self.split_bytes):
-                out.append(Stretch(path, at, min(at + self.split_bytes, upto), at == begin))
+                out.append(Stretch(path, at, min(at + self.split_bytes, upto), at == begin, upto))
         return out
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         system, _ = paths.resolve(self.path)
         with system.open_input_file(partition.path) as handle:
-            for lines in line_batches(handle, partition):
+            for lines in line_batches(handle, partition, self.final_line):
                 yield pa.RecordBatch.from_arrays(
                     [pa.repeat(pa.scalar(partition.path), len(lines)), pa.array(lines, pa.binary())],
                     names=["file", "line"],
@@ -147,10 +171,11 @@ def next_line(system, path: str, start: int, end: int) -> int:
     return end
 
 
-def line_batches(handle, part: Stretch) -> Iterator[list[bytes]]:
-    """Lines that begin within the stretch. The last one may run on past its end."""
+def line_batches(handle, part: Stretch, final_line: bool = False) -> Iterator[list[bytes]]:
+    """Lines that begin within the stretch. The last one may run on past its end; with
+    ``final_line`` what stands before ``upto`` without a newline is a line too."""
     at = part.start
-    pending = b""
+    pending: list[bytes] = []  # the open line's blocks, joined once it ends
     if not part.whole_start:
         # The line across the border belongs to the stretch before: begin after the first
         # newline at or behind the byte before the start.
@@ -158,34 +183,31 @@ def line_batches(handle, part: Stretch) -> Iterator[list[bytes]]:
     else:
         skipping = False
     while True:
-        piece = handle.read_at(READ_BYTES, at)
+        piece = handle.read_at(min(READ_BYTES, part.upto - at), at) if at < part.upto else b""
         if not piece:
-            # Offsets end on newlines, so a rest means the file was cut since: drop it.
+            # A rest is a final line, or else the file was changed since its offset was taken.
+            if final_line and any(pending) and at == part.upto:
+                yield [b"".join(pending)]
             return
         if skipping:
             cut = piece.find(b"\n")
-            if cut < 0:
-                at += len(piece)
-                if at >= part.end:
-                    return
-                continue
-            at += cut + 1
-            skipping = False
+            at += len(piece) if cut < 0 else cut + 1
+            skipping = cut < 0
             if at >= part.end:
                 return
             continue
-        base = at - len(pending)
-        data = pending + piece
+        limit = part.end - at
         at += len(piece)
-        limit = part.end - base
-        if len(data) >= limit:
+        if len(piece) >= limit:
             # The stretch ends here, or with the line that is open at its end.
-            stop = limit if data[limit - 1 : limit] == b"\n" else data.find(b"\n", limit) + 1
+            on_border = limit > 0 and piece[limit - 1 : limit] == b"\n"
+            stop = limit if on_border else piece.find(b"\n", max(limit, 0)) + 1
             if stop > 0:
-                yield data[:stop].split(b"\n")[:-1]
+                yield (b"".join(pending) + piece[:stop]).split(b"\n")[:-1]
                 return
-        head, newline, pending = data.rpartition(b"\n")
-        if newline and base + len(head) + 1 <= part.end:
-            yield head.split(b"\n")
+        head, newline, rest = piece.rpartition(b"\n")
+        if newline:
+            yield (b"".join(pending) + head).split(b"\n")
+            pending = [rest]
         else:
-            pending = data
+            pending.append(piece)

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import json
 import logging
+import threading
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -86,10 +87,12 @@ def committed_offsets(spark: SparkSession, checkpoint: str) -> DataFrame | None:
 
 @dataclass(frozen=True)
 class IngestOptions:
-    """``max_bytes`` bounds a micro-batch (0: all there is); ``keep_rejects`` stores refused
-    lines beside the tables."""
+    """``max_bytes`` bounds a micro-batch (0: all there is), the rest follows in the next ones;
+    ``keep_rejects`` stores refused lines beside the tables; ``final_line`` takes a file's last
+    line without its newline if it is whole JSON."""
 
-    max_bytes: int = 0
+    max_bytes: int = 64 << 30
+    final_line: bool = False
     split_bytes: int = 64 << 20
     strict: bool = True
     on_missing_time: str = "fail"
@@ -109,6 +112,7 @@ def tail_lines(
         .option("path", folder)
         .option("max_bytes", options.max_bytes)
         .option("split_bytes", options.split_bytes)
+        .option("final_line", options.final_line)
         .option("position", json.dumps(position or {}))
         .load()
         .select(
@@ -129,6 +133,14 @@ def _write_batch(
     report: Callable[[int, int], None],
 ):
     def write(lines: DataFrame, number: int) -> None:
+        # The files are read once, whatever is made of their lines.
+        lines = lines.persist(StorageLevel.DISK_ONLY)
+        try:
+            write_lines(lines, number)
+        finally:
+            lines.unpersist()
+
+    def write_lines(lines: DataFrame, number: int) -> None:
         batch = f"{epoch}-{number}"
         seen = Observation()
         accepted = accept_lines(lines, signal, strict=options.strict).observe(
@@ -142,7 +154,6 @@ def _write_batch(
         store.append(signal, rows, batch, version)
         refused = seen.get["rejected"] or 0
         if options.keep_rejects and refused:
-            # A second pass over the micro-batch, only where it holds refused lines.
             decoded.rejects.select("file", "value").write.mode("overwrite").parquet(
                 f"{store.root}/_rejects/{version}/{signal}/ingest_batch={batch}"
             )
@@ -166,7 +177,7 @@ def start_signal(
     epoch: str | None = None,
 ) -> StreamingQuery | None:
     """Start following a signal's folder; None where the folder does not exist."""
-    folder = signal_dir(root, check_signal(signal))
+    folder = signal_dir(paths.checked(store.spark, root), check_signal(signal))
     if not paths.exists(folder):
         return None
     state = store.state
@@ -197,6 +208,11 @@ def ingest_new(
 
         return start_signal(store, root, signal, options, None, add, version, epoch)
 
+    def _more(signal: str, before: dict[str, int]) -> bool:
+        now = logged_offsets(store.checkpoint_path(signal, epoch))
+        found = paths.sizes(signal_dir(root, signal)) if options.max_bytes and now != before else {}
+        return any(size > now.get(path, 0) for path, size in found.items())
+
     waiting = list(SIGNALS)
     while waiting:
         before = {s: logged_offsets(store.checkpoint_path(s, epoch)) for s in waiting}
@@ -210,21 +226,18 @@ def ingest_new(
         if failures:
             raise failures[0]
         # With a cap per micro-batch, go on until a run finds nothing more.
-        waiting = [
-            s
-            for s in waiting
-            if options.max_bytes and logged_offsets(store.checkpoint_path(s, epoch)) != before[s]
-        ]
+        waiting = [s for s in waiting if _more(s, before[s])]
     return report
 
 
 def rebuild(store: SignalStore, root: str, options: IngestOptions = IngestOptions()) -> IngestReport:
-    """Ingest everything again from byte 0 into a new version, then switch readers to it."""
+    """Ingest everything again from byte 0, complete last lines included, into a new version,
+    then switch readers to it."""
     number = store.state.sequence + 1
     version, epoch = f"v{number}", f"e{number}"
     for signal in SIGNALS:
         paths.make_dir(store.table_path(signal, version))
-    report = ingest_new(store, root, options, version, epoch)
+    report = ingest_new(store, root, replace(options, final_line=True), version, epoch)
     store.switch(version=version, epoch=epoch)
     return report
 
@@ -232,7 +245,8 @@ def rebuild(store: SignalStore, root: str, options: IngestOptions = IngestOption
 class PeriodicIngest:
     """Ingest at the start and then at an interval, one query per signal.
 
-    A failed query is logged and started again by :meth:`check`; it resumes at its cursor.
+    A failed query is logged and started again at the next tick of a watching thread; it
+    resumes at its cursor. Folders that appear later are followed from then on.
     """
 
     def __init__(
@@ -244,28 +258,44 @@ class PeriodicIngest:
         options: IngestOptions = IngestOptions(),
     ) -> None:
         self.store, self.root, self.options = store, root, options
-        self.trigger = {"processingTime": trigger_text(interval_seconds(interval))}
+        self.seconds = interval_seconds(interval)
+        self.trigger = {"processingTime": trigger_text(self.seconds)}
         self.report = IngestReport()
         self.queries: dict[str, StreamingQuery] = {}
+        self.restarts = 0
+        self._stopped, self._lock = threading.Event(), threading.Lock()
         if enabled:
             self.check()
+            self._watch = threading.Thread(target=self._ticks, name="periodic-ingest", daemon=True)
+            self._watch.start()
+
+    def _ticks(self) -> None:
+        while not self._stopped.wait(self.seconds):
+            try:
+                self.check()
+            except Exception:  # the next tick tries again
+                log.exception("periodic ingest could not start a query")
 
     def check(self) -> None:
         """Start what is not running: at first, after a failure, or once a folder appears."""
-        for signal in SIGNALS:
-            query = self.queries.get(signal)
-            if query is not None and query.isActive:
-                continue
-            if query is not None and query.exception() is not None:
-                log.error("ingest of %s failed, starting again: %s", signal, query.exception())
-
-            def add(rows: int, rejected: int, signal: str = signal) -> None:
-                self.report.add(signal, rows, rejected)
-
-            started = start_signal(self.store, self.root, signal, self.options, self.trigger, add)
-            if started is not None:
-                self.queries[signal] = started
+        with self._lock:
+            for signal in SIGNALS:
+                query = self.queries.get(signal)
+                if self._stopped.is_set() or (query is not None and query.isActive):
+                    continue
+                if query is not None and query.exception() is not None:
+                    log.error("ingest of %s failed, starting again: %s", signal, query.exception())
+                    self.restarts += 1
+
+                def add(rows: int, rejected: int, signal: str = signal) -> None:
+                    self.report.add(signal, rows, rejected)
+
+                started = start_signal(self.store, self.root, signal, self.options, self.trigger, add)
+                if started is not None:
+                    self.queries[signal] = started
 
     def stop(self) -> None:
-        for query in self.queries.values():
-            query.stop()
+        self._stopped.set()
+        with self._lock:
+            for query in self.queries.values():
+                query.stop()

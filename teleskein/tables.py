@@ -5,8 +5,12 @@
 Every write goes to an ``ingest_batch`` of its own and replaces just that, so a repeated
 write leaves the table as one write does. The current version and cursor epoch are the
 newest record of ``<root>/_state``; a record appears whole, so clearing and rebuilding switch
-readers over in one step. ``_compactions`` says which batches a merged batch stands for: until
-that record exists the merged batch is not read, from then on the others are not.
+readers over in one step.
+
+``_manifest`` says which folders are read. A record names the batch it adds, its dates, and the
+(batch, date) folders it hides; it appears whole after the batch is written, so compaction and
+pruning switch readers in one step too, and a scan lists the folders of its own dates only.
+:meth:`SignalStore.vacuum` folds the records into one and deletes folders that are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ class SignalStore:
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
-        self.root = (root or scratch_dir(spark, "store")).rstrip("/")
+        self.root = paths.checked(spark, root or scratch_dir(spark, "store")).rstrip("/")
         self.create()
 
     # --- layout ---
@@ -56,6 +60,8 @@ class SignalStore:
         return State(**list(records.values())[-1]) if records else None
 
     def _add_state(self, state: State) -> None:
+        if paths.exists(f"{self.root}/_state/{state.sequence:012d}.json"):
+            raise RuntimeError("another writer has switched this store meanwhile")
         paths.put_json(f"{self.root}/_state", f"{state.sequence:012d}", asdict(state))
 
     @property
@@ -77,26 +83,55 @@ class SignalStore:
     def checkpoint_path(self, signal: str, epoch: str | None = None) -> str:
         return f"{self.root}/_checkpoints/{epoch or self.state.epoch}/{signal}"
 
+    # --- manifest ---
+
+    def _manifest(self, signal: str, version: str | None = None) -> str:
+        return f"{self.root}/_manifest/{version or self.state.version}/{check_signal(signal)}"
+
+    def record(self, signal: str, batch: str, dates: list[str], hides: list[list[str]] = (), version: str | None = None) -> None:
+        """Switch readers: ``batch`` is read from now on, the folders in ``hides`` are not."""
+        entry = {"batch": batch, "dates": sorted(dates), "hides": sorted(hides)}
+        paths.put_json(self._manifest(signal, version), f"add-{batch}", entry)
+
+    def folders(self, signal: str, version: str | None = None) -> set[tuple[str, str]]:
+        """The (batch, date) folders that are read."""
+        live, hidden, _ = self._folded(signal, version)
+        return live - hidden
+
+    def _folded(self, signal: str, version: str | None = None) -> tuple[set, set, list[str]]:
+        records = paths.get_json(self._manifest(signal, version))
+        folds = sorted(n for n in records if n.startswith("fold-"))
+        fold = records[folds[-1]] if folds else {"live": [], "hidden": [], "records": []}
+        live, hidden = {tuple(x) for x in fold["live"]}, {tuple(x) for x in fold["hidden"]}
+        for name, entry in records.items():
+            if not name.startswith("fold-") and name not in fold["records"]:
+                live |= {(entry["batch"], d) for d in entry["dates"]}
+                hidden |= {tuple(x) for x in entry["hides"]}
+        return live, hidden, list(records)
+
     # --- reading ---
 
-    def raw(self, signal: str, version: str | None = None) -> DataFrame:
-        """The table with its ``ingest_batch`` column."""
+    def raw(
+        self, signal: str, version: str | None = None, since: str | None = None, until: str | None = None,
+        only: set[tuple[str, str]] | None = None,
+    ) -> DataFrame:
+        """The table with its ``ingest_batch`` column; dates outside ``since`` to ``until``
+        (text, inclusive) are not even listed, nor are folders other than ``only``."""
         version = version or self.state.version
         schema = T.StructType(
             [*TABLES[check_signal(signal)].fields, T.StructField("ingest_batch", T.StringType())]
         )
-        rows = self.spark.read.schema(schema).parquet(self.table_path(signal, version))
-        merged = paths.get_json(self._compaction_log(signal, version))
-        batch = F.col("ingest_batch")
-        rows = rows.filter(~batch.startswith(MERGED) | batch.isin(list(merged)))
-        replaced = sorted({b for record in merged.values() for b in record["replaces"]})
-        return rows.filter(~batch.isin(replaced)) if replaced else rows
-
-    def _compaction_log(self, signal: str, version: str) -> str:
-        return f"{self.root}/_compactions/{version}/{signal}"
+        chosen = [
+            (b, d) for b, d in self.folders(signal, version) if (since or d) <= d <= (until or d) and (only is None or (b, d) in only)
+        ]
+        if not chosen:
+            return self.spark.createDataFrame([], schema)
+        table = self.table_path(signal, version)
+        found = [f"{table}/ingest_batch={b}/date={d}" for b, d in sorted(chosen)]
+        return self.spark.read.schema(schema).option("basePath", table).parquet(*found)
 
-    def table(self, signal: str) -> DataFrame:
-        return self.raw(signal).select(*TABLES[signal].fieldNames())
+    def table(self, signal: str, since: str | None = None, until: str | None = None) -> DataFrame:
+        return self.raw(signal, None, since, until).select(*TABLES[signal].fieldNames())
 
     def cursors(self) -> DataFrame:
         """``ingest_cursors``: committed byte offset per followed file."""
@@ -135,8 +170,11 @@ class SignalStore:
 
     # --- writing ---
 
-    def append(self, signal: str, rows: DataFrame, batch: str | None = None, version: str | None = None) -> str:
-        """Add rows as one ingest batch; a batch of the same name is replaced.
+    def append(
+        self, signal: str, rows: DataFrame, batch: str | None = None, version: str | None = None, hides: list[list[str]] = ()
+    ) -> str:
+        """Add rows as one ingest batch; a batch of the same name is replaced. Folders in
+        ``hides`` stop being read at the moment the batch starts to be.
 
         Rows are spread by ``date`` before the write so that files are few and full; a date
         too large for one task is split by the adaptive planner, which leaves no task with a
@@ -157,8 +195,13 @@ class SignalStore:
             .partitionBy("date")
             .parquet(target)
         )
+        self.record(signal, batch, self.written_dates(signal, batch, version), hides, version)
         return batch
 
+    def written_dates(self, signal: str, batch: str, version: str | None = None) -> list[str]:
+        folder = f"{self.table_path(signal, version)}/ingest_batch={batch}"
+        return [n.removeprefix("date=") for n in paths.children(folder) if n.startswith("date=")]
+
     def batch_count(self, signal: str, batch: str, version: str | None = None) -> int:
         """Rows of one ingest batch, from the file footers."""
         folder = f"{self.table_path(signal, version)}/ingest_batch={batch}"
@@ -168,40 +211,57 @@ class SignalStore:
 
     def batches(self, signal: str) -> list[str]:
         """Names of the ingest batches that are read."""
-        version = self.state.version
-        merged = paths.get_json(self._compaction_log(signal, version))
-        replaced = {b for record in merged.values() for b in record["replaces"]}
-        prefix = "ingest_batch="
-        found = [n[len(prefix) :] for n in paths.children(self.table_path(signal)) if n.startswith(prefix)]
-        return sorted(
-            b for b in found if b not in replaced and (not b.startswith(MERGED) or b in merged)
-        )
+        return sorted({b for b, _ in self.folders(signal)})
 
     def compact(self, signal: str, batches: list[str] | None = None) -> str | None:
-        """Merge ingest batches (all small ones, unless named) into one with full files.
+        """Merge the folders of each date that has several (of ``batches``, if named) into one.
 
-        Earlier merged batches are left alone, so the work grows with what was added since.
-        Readers see either the old batches or the merged one, never both.
+        Readers see either the old folders or the merged ones, never both.
         """
-        chosen = batches or [b for b in self.batches(signal) if not b.startswith(MERGED)]
-        if len(chosen) < 2:
+        by_date: dict[str, list[str]] = {}
+        for batch, date in self.folders(signal):
+            if batches is None or batch in batches:
+                by_date.setdefault(date, []).append(batch)
+        chosen = {(b, d) for d, found in by_date.items() if len(found) > 1 for b in found}
+        if not chosen:
             return None
         version = self.state.version
-        rows = self.raw(signal, version).filter(F.col("ingest_batch").isin(chosen))
-        batch = self.append(signal, rows, f"{MERGED}{uuid.uuid4().hex}", version)
-        paths.put_json(self._compaction_log(signal, version), batch, {"replaces": chosen})
-        return batch
+        rows = self.raw(signal, version, only=chosen)
+        return self.append(signal, rows, f"{MERGED}{uuid.uuid4().hex}", version, [list(x) for x in chosen])
 
     def vacuum(self) -> None:
-        """Delete folders nothing reads any more: old versions and merged-away batches."""
+        """Fold the records, and delete what nothing reads any more: old versions, hidden
+        folders, entries about batches that cannot be written again."""
         state = self.state
         for name in paths.children(self.root):
             if name.startswith("v") and name != state.version:
                 paths.drop_dir(f"{self.root}/{name}")
+                paths.drop_dir(f"{self.root}/_manifest/{name}")
         for signal in SIGNALS:
-            for record in paths.get_json(self._compaction_log(signal, state.version)).values():
-                for batch in record["replaces"]:
-                    paths.drop_dir(f"{self.table_path(signal)}/ingest_batch={batch}")
+            live, hidden, names = self._folded(signal, state.version)
+            last = self.last_batch_number(signal)
+            # The last streaming batch may be written once more: what was hidden of it stays so.
+            again = {x for x in hidden if x[0] == f"{state.epoch}-{last}"}
+            folder = self._manifest(signal, state.version)
+            value = {"live": sorted(live - hidden), "hidden": sorted(again), "records": names, "last": last}
+            paths.put_json(folder, f"fold-{time.time_ns():020d}", value)
+            for name in names:
+                paths.drop_file(f"{folder}/{name}.json")
+            for batch, date in hidden:
+                paths.drop_dir(f"{self.table_path(signal)}/ingest_batch={batch}/date={date}")
+            for name, entry in paths.get_json(f"{self.root}/_prunes").items():
+                if entry["signal"] == signal and (entry["epoch"] != state.epoch or entry["upto"] < last):
+                    paths.drop_file(f"{self.root}/_prunes/{name}.json")
+        records = sorted(n for n in paths.children(f"{self.root}/_state") if n.endswith(".json") and not n.startswith("."))
+        for name in records[:-1]:
+            paths.drop_file(f"{self.root}/_state/{name}")
+
+    def last_batch_number(self, signal: str) -> int:
+        """Highest streaming batch of the current epoch written so far; -1 if none."""
+        prefix = f"{self.state.epoch}-"
+        records = paths.get_json(self._manifest(signal))
+        numbers = [int(r["batch"][len(prefix) :]) for r in records.values() if r.get("batch", "").startswith(prefix)]
+        return max([*numbers, *(r.get("last", -1) for r in records.values())], default=-1)
 
     # --- clearing ---
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import sys
+import tempfile
 import time
 from collections import Counter
 from pathlib import Path
@@ -53,7 +55,8 @@ def compare(rows, columns, con, sql) -> str:
 def main() -> None:
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session(
-        "check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g"
+        "check", os.environ.get("CHECK_MASTER", "local[8]"), spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g",
+        spark__checkpoint__dir=f"file://{tempfile.mkdtemp(prefix='teleskein-check-')}",
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)

@@ -6,7 +6,7 @@ from teleskein.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "teleskein-tests",
         "local[4]",
@@ -14,6 +14,7 @@ def spark():
         spark__ui__enabled="false",
         spark__driver__memory="6g",
         spark__sql__session__timeZone="UTC",
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -356,3 +356,19 @@ def test_parse_is_not_repeated(spark):
     rows = decode(frame(spark, [LOG % "{}"]), "logs").rows
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 2 and plan.count("try_parse_json(") <= 1
+
+
+def test_a_line_beyond_the_variant_limit_is_judged_by_its_records(spark, tmp_path):
+    from teleskein.operators.decode import decode
+
+    record = '{"timeUnixNano":"1710000000000000000","body":{"stringValue":"' + "x" * 1000 + '"}}'
+    records = ",".join([record] * 133_000)
+    good = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[' + records + "]}]}]}"
+    bad = good[:-5] + ',{"body":{"stringValue":"a"},"body":{"stringValue":"b"}}' + good[-5:]
+    wrong = good + " trailing"
+    (tmp_path / "good.txt").write_text(good + "\n")
+    (tmp_path / "bad.txt").write_text(bad + "\n" + wrong + "\n")
+    decoded = decode(spark.read.text(str(tmp_path / "good.txt")), "logs")
+    assert decoded.rows.count() == 133_000 and decoded.rejects.count() == 0
+    refused = decode(spark.read.text(str(tmp_path / "bad.txt")), "logs")
+    assert refused.rejects.count() == 2 and refused.rows.count() == 0

@@ -193,3 +193,63 @@ def test_long_lines_over_read_blocks(tmp_path, monkeypatch):
         end = reader.latestOffset()
         got = [v.decode() for p in reader.partitions({}, end) for b in reader.read(p) for v in b.column(1).to_pylist()]
         assert got == lines
+
+
+# --- manifest, prune and last lines ---
+
+
+def test_prune_that_stops_before_its_record_changes_nothing(place, monkeypatch):
+    store, root = place
+    append(root, "traces", span_line("a") + "\n" + span_line("b", service="svc-b") + "\n")
+    ingest_new(store, str(root))
+
+    def stop(*args, **kwargs):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(SignalStore, "record", stop)
+        with pytest.raises(RuntimeError):
+            prune(store, datetime(2030, 1, 1), service="svc-b")
+    assert names(store) == ["a", "b"]
+    prune(store, datetime(2030, 1, 1), service="svc-b")
+    assert names(store) == ["a"]
+    store.vacuum()
+    assert names(store) == ["a"] and ingest_new(store, str(root)).total == 0
+
+
+def test_scan_lists_the_folders_of_its_dates_only(place):
+    store, root = place
+    day = 86_400_000_000_000
+    for k in range(4):
+        append(root, "traces", span_line(f"n{k}", start=START + k * day) + "\n" + span_line(f"m{k}", start=START) + "\n")
+        ingest_new(store, str(root))
+    rows = store.table("traces", since="2024-03-11", until="2024-03-11")
+    assert [r["name"] for r in rows.collect()] == ["n2"]
+    assert {f.rsplit("/", 2)[1] for f in rows.inputFiles()} == {"date=2024-03-11"}
+    assert len(store.folders("traces")) == 7
+    store.compact("traces")
+    assert len(store.folders("traces")) == 4 and len(names(store)) == 8
+    store.vacuum()
+    assert len(names(store)) == 8
+
+
+def test_rebuild_takes_a_whole_last_line_and_leaves_a_broken_one(place):
+    store, root = place
+    append(root, "traces", span_line("a") + "\n" + span_line("b"))
+    append(root, "logs", log_line() + "\n" + log_line()[:20])
+    assert ingest_new(store, str(root)).total == 2
+    report = rebuild(store, str(root))
+    assert (report.traces, report.logs) == (2, 1) and names(store) == ["a", "b"]
+    append(root, "traces", "\n" + span_line("c") + "\n")
+    assert ingest_new(store, str(root)).traces == 1
+
+
+def test_compressed_file_is_an_error_and_other_names_are_followed(place):
+    store, root = place
+    append(root, "logs", log_line() + "\n")
+    (root / "logs" / "other.log").write_text(log_line("x") + "\n")
+    (root / "logs" / ".hidden").write_text(log_line("y") + "\n")
+    assert ingest_new(store, str(root)).logs == 2
+    (root / "logs" / "z.gz").write_bytes(b"z")
+    with pytest.raises(Exception, match="compressed"):
+        ingest_new(store, str(root))

@@ -19,7 +19,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query(spark, con, name):
     df = contract.queries()[name](spark, SF)
     assert compare(df.collect(), df.columns, con, contract.oracle_sql()[name]) == ""
