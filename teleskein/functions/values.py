@@ -64,8 +64,8 @@ def _closest_text(number: Column) -> Column:
     the same number, and of those the closest. Exact in decimals, NULL from 1e37 on."""
     size, unit = F.abs(number), 2.0**61
     high = F.floor(size / F.lit(unit))
-    low = (size - high.cast("double") * F.lit(unit)).cast("bigint").cast("decimal(19,0)")
-    exact = high.cast("decimal(18,0)") * F.lit(2**61).cast("decimal(19,0)") + low
+    low = (size - high.cast("double") * F.lit(unit)).try_cast("bigint").try_cast("decimal(19,0)")
+    exact = high.try_cast("decimal(18,0)") * F.lit(2**61).cast("decimal(19,0)") + low
 
     def rounded(whole: Column, digits: int) -> Column:
         zeros = F.length(whole.cast("string")) - digits
@@ -80,7 +80,7 @@ def _closest_text(number: Column) -> Column:
             chosen = F.when(text.try_cast("double") == size, text).otherwise(chosen)
         return F.concat(F.when(number < 0, "-").otherwise(""), chosen)
 
-    return F.when((size >= 1e16) & (size < 1e37), let(exact.cast("decimal(38,0)"), choose))
+    return F.when((size >= 1e16) & (size < 1e37), let(exact.try_cast("decimal(38,0)"), choose))
 
 
 def _digits_and_exponent(number: Column, body) -> Column:

@@ -123,6 +123,7 @@ def test_double_text_is_plain_and_short(spark):
     numbers += [random.uniform(-1e9, 1e9) for _ in range(500)]
     numbers += [round(random.uniform(0, 1e12), 3) for _ in range(500)]
     numbers += [random.random() * 10 ** random.randint(-30, 16) for _ in range(500)]
+    numbers += [random.uniform(-1, 1) * 10 ** random.randint(17, 36) for _ in range(2000)] + [7.580405169937588e17, 2.0**63, 1e22]
 
     def plain(x):
         text = format(Decimal(repr(x)), "f")
@@ -188,9 +189,10 @@ def test_one_hot_service_fills_bounded_batches(spark, metrics):
 
 
 def test_routing_of_odd_lines(spark):
-    lines = ['{"resource_spans":[]}', '{"other":{"resourceLogs":[]}}', "junk", '{"resourceLogs":1}', ""]
+    lines = ['{"resource_spans":[]}', '{"other":{"resourceLogs":[]}}', "junk", '{"resourceLogs":1}', "", " \t", '{"resourceLogs":[],"resourceSpans":[]}']
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id int, value string")
-    assert [r.signal for r in route(df).orderBy("id").collect()] == ["traces", None, None, "logs", None]
+    got = [(r.id, r.signal) for r in route(df).orderBy("id", "signal").collect()]
+    assert got == [(0, "traces"), (1, "unrouted"), (2, "unrouted"), (3, "logs"), (6, "logs"), (6, "traces")]
 
 
 def old_store(spark):
