@@ -53,16 +53,17 @@ SPELLING_SLOTS = 1 << 19
 TELLING_WORDS = 64
 BLOCK = 1 << 16
 FLUSH_WORDS = 200_000
-SEGMENT = 256
+SEGMENT = 2048
 RATE = 0.02
-ROUNDS = 3
-BUCKETS = 33
+ROUNDS = 2
+BUCKETS = 161
 REACH = 8.0
 PRIOR = 0.4
 SALTS = 16
 INPUTS = 4
 GATES = 32
-PIECE = 2_000_000
+PIECE = 1_000_000
+PENDING = 4_000_000  # slots gathered before they are counted
 
 
 def remainder(doc_id: Column) -> Column:
@@ -152,27 +153,43 @@ def codes(words: list[tuple[bytes, int]], ends: int, rest: int) -> Codes:
     return Codes({w: i for i, (w, _) in enumerate(words)}, np.array([n for _, n in words], np.int64), np.array(start), np.array(node, np.int32), np.array(bit, np.uint8))
 
 
-def _hashed(low: int, high: int, *parts: np.ndarray) -> np.ndarray:
-    """Slots from ``low`` to ``high`` by a hash of the context."""
-    value = np.zeros(len(parts[0]), np.uint32)
+_ODD = np.uint32(0x9E3779B1)
+
+
+def _context(*parts: np.ndarray) -> np.ndarray:
+    """A hash of what is the same for all decisions of a token or letter."""
+    value = np.full(len(parts[0]), 0x2545F491, np.uint32)
     for part in parts:
-        value = (value ^ part.astype(np.uint32)) * np.uint32(0x9E3779B1)
+        value = (value ^ part.astype(np.uint32)) * _ODD
         value ^= value >> np.uint32(15)
-    value = (value * np.uint32(0x85EBCA77)).astype(np.uint64)
-    return (low + ((value * np.uint64(high - low)) >> np.uint64(32))).astype(np.int32)
+    return value
+
+
+def _slots(low: int, high: int, context: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Slots from ``low`` to ``high`` for decisions with a context and a place in it."""
+    value = (context ^ (place.astype(np.uint32) * np.uint32(0x85EBCA77))) * _ODD
+    value ^= value >> np.uint32(13)
+    value *= np.uint32(0xC2B2AE3D)
+    return (low + ((value.astype(np.uint64) * np.uint64(high - low)) >> np.uint64(32)).astype(np.int32)).astype(np.int32)
 
 
 @dataclass
 class Decisions:
-    """Of a list of texts, in order: text, token place in the text, kind (0 word, 1 spelling),
-    slot of each predictor and the bit taken. tokens: how many each text has."""
+    """Of a list of texts: first ``words`` decisions on words, then those of spelled words.
+
+    lengths: decisions of each token on its word; spelled: the tokens that are spelled, and
+    how many decisions each takes; slots: of each predictor; bit: what was taken. tokens: how
+    many each text has; owner: the text of each token; unknown: texts and their spelled words.
+    """
 
-    text: np.ndarray
-    place: np.ndarray
-    kind: np.ndarray
+    words: int
+    lengths: np.ndarray
+    spelled: np.ndarray
+    spelling: np.ndarray
     slots: list[np.ndarray]
     bit: np.ndarray
     tokens: np.ndarray
+    owner: np.ndarray
     symbols: np.ndarray
     unknown: list[tuple[int, bytes]]
 
@@ -181,48 +198,41 @@ def decisions(texts: list[bytes], code: Codes) -> Decisions:
     get, end, escape = code.words.get, code.end, code.escape
     lists = [tokens_of(t) for t in texts]
     tokens = np.array([len(x) + 1 for x in lists], np.int64)
-    symbols, unknown = np.empty(int(tokens.sum()), np.int32), []
-    at = 0
-    for k, own in enumerate(lists):
-        ids = np.fromiter(map(get, own, [escape] * len(own)), np.int32, len(own))
-        symbols[at : at + len(own)] = ids
-        unknown.extend((at + int(i), own[i]) for i in np.flatnonzero(ids == escape))
-        at += len(own) + 1
-        symbols[at - 1] = end
-    owner = np.repeat(np.arange(len(lists)), tokens)
+    symbols = np.fromiter(
+        (s for own in lists for s in (*map(get, own, [escape] * len(own)), end)), np.int32, int(tokens.sum())
+    )
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), tokens)
     first = np.cumsum(tokens) - tokens
-    place = np.arange(len(symbols)) - first[owner]
+    count = np.arange(len(symbols), dtype=np.int32)
+    place = count - first[owner]
     last = np.where(place >= 1, np.roll(symbols, 1), end)
     last2 = np.where(place >= 2, np.roll(symbols, 2), end)
-    # Decisions of the words
-    length = np.diff(code.start)[symbols]
-    token = np.repeat(np.arange(len(symbols)), length)
-    step = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length) + np.repeat(code.start[:-1][symbols], length)
-    node = code.node[step]
-    telling = np.maximum.accumulate(np.where(symbols < TELLING_WORDS, np.arange(len(symbols)), -1))
+    telling = np.maximum.accumulate(np.where(symbols < TELLING_WORDS, count, -1))
     telling = np.concatenate([[-1], telling[:-1]])
     telling = np.where(telling >= first[owner], symbols[np.maximum(telling, 0)], end)
-    one = _hashed(SPELLING_SLOTS, SLOTS, node, telling[token])
-    two = _hashed(SPELLING_SLOTS, SLOTS, node, last[token], last2[token] + 7)
-    zero, bit, kind = node, code.bit[step], np.zeros(len(token), np.uint8)
+    # Decisions of the words
+    lengths = np.diff(code.start)[symbols]
+    total = int(lengths.sum())
+    step = np.arange(total, dtype=np.int32) + np.repeat((code.start[:-1][symbols] - (np.cumsum(lengths) - lengths)).astype(np.int32), lengths)
+    zero, bit = code.node[step], code.bit[step]
+    one = _slots(SPELLING_SLOTS, SLOTS, np.repeat(_context(telling), lengths), zero)
+    two = _slots(SPELLING_SLOTS, SLOTS, np.repeat(_context(last, last2), lengths), zero)
+    spelled = np.flatnonzero(symbols == escape)
+    inner = spelled - first[owner[spelled]]
+    unknown = [(int(o), lists[o][i]) for o, i in zip(owner[spelled].tolist(), inner.tolist(), strict=True)]
+    sizes = np.array([len(w) + 1 for _, w in unknown], np.int64)
     if unknown:  # and of the spelled words
         nodes = len(code.start)
-        sizes = np.array([len(w) + 1 for _, w in unknown], np.int64)
         letters = np.frombuffer(b" ".join(w for _, w in unknown) + b" ", np.uint8).astype(np.uint32)
         inside = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         back = [np.where(inside >= k, np.roll(letters, k), np.uint32(32)) for k in (1, 2, 3, 4, 5)]
-        spelled = np.repeat(letters, 8)
-        at_bit = np.tile(np.arange(8, dtype=np.uint32), len(letters))
-        prefix = (np.uint32(1) << at_bit) | (spelled >> (np.uint32(8) - at_bit))
-        b1, b2, b3, b4, b5 = (np.repeat(b, 8) for b in back)
-        zero = np.concatenate([zero, nodes + (b1 * 256 + prefix).astype(np.int32)])
-        one = np.concatenate([one, _hashed(0, SPELLING_SLOTS, prefix, b1, b2, b3)])
-        two = np.concatenate([two, _hashed(0, SPELLING_SLOTS, prefix, b1, b2, b3, b4, b5)])
-        bit = np.concatenate([bit, ((spelled >> (np.uint32(7) - at_bit)) & 1).astype(np.uint8)])
-        kind = np.concatenate([kind, np.ones(len(spelled), np.uint8)])
-        token = np.concatenate([token, np.repeat(np.array([t for t, _ in unknown], np.int64), sizes * 8)])
-    words = [(int(owner[t]), w) for t, w in unknown]
-    return Decisions(owner[token], place[token], kind, [zero, one, two], bit, tokens, symbols, words)
+        at_bit = np.arange(8, dtype=np.uint32)
+        prefix = ((np.uint32(1) << at_bit) | (letters[:, None] >> (np.uint32(8) - at_bit))).ravel()
+        zero = np.concatenate([zero, (nodes + (back[0] * 256).repeat(8) + prefix).astype(np.int32)])
+        one = np.concatenate([one, _slots(0, SPELLING_SLOTS, _context(*back[:3]).repeat(8), prefix)])
+        two = np.concatenate([two, _slots(0, SPELLING_SLOTS, _context(*back).repeat(8), prefix)])
+        bit = np.concatenate([bit, ((letters[:, None] >> (np.uint32(7) - at_bit)) & 1).astype(np.uint8).ravel()])
+    return Decisions(total, lengths, spelled, 8 * sizes, [zero, one, two], bit, tokens, owner, symbols, unknown)
 
 
 def table_sizes(code: Codes) -> list[int]:
@@ -234,7 +244,17 @@ def count_tables(train: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
 
     def partial(batches):
         begins = np.cumsum([0, *sizes])
-        sums = np.zeros((2, 2, begins[-1]), np.int32)
+        sums = np.zeros((2, begins[-1], 2), np.int32)
+        gathered: list[list[list[np.ndarray]]] = [[[], [], []], [[], [], []]]
+
+        def count(least):
+            for part in (0, 1):
+                for k, slots in enumerate(gathered[part]):
+                    if sum(map(len, slots)) > least:
+                        own = np.bincount(np.concatenate(slots), minlength=2 * sizes[k])
+                        sums[part, begins[k] : begins[k + 1]] += own.reshape(-1, 2).astype(np.int32)
+                        slots.clear()
+
         any_part = [False, False]
         for batch in row_batches(batches, PIECE):
             apart = batch.column("remainder").to_numpy() == FIT
@@ -245,13 +265,14 @@ def count_tables(train: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
                     any_part[part] = True
                     d = decisions(own, code.value)
                     for k, slot in enumerate(d.slots):
-                        for b in (0, 1):
-                            sums[part, b, begins[k] : begins[k + 1]] += np.bincount(slot[d.bit == b], minlength=sizes[k]).astype(np.int32)
+                        gathered[part][k].append(2 * slot + d.bit)
+            count(PENDING)
+        count(0)
         task = TaskContext.get().partitionId()
         for part in (0, 1):
             if any_part[part]:
                 for block in range(begins[-1] // BLOCK):
-                    yield packed(part, block, task % SALTS, sums[part, :, block * BLOCK : (block + 1) * BLOCK])
+                    yield packed(part, block, task % SALTS, sums[part, block * BLOCK : (block + 1) * BLOCK].T)
 
     def packed(part, block, salt, values):
         data = np.ascontiguousarray(values.astype(np.int64)).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -306,7 +327,8 @@ def inputs(model: Model, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
     for k in range(3):
         x[k] = model.odds[k][d.slots[k]]
     x[3] = 0.3
-    gate = d.kind * np.uint8(16) + model.seen[1][d.slots[1]] * np.uint8(4) + model.seen[2][d.slots[2]]
+    gate = model.seen[1][d.slots[1]] * np.uint8(4) + model.seen[2][d.slots[2]]
+    gate[d.words :] += np.uint8(16)
     return x, gate
 
 
@@ -314,14 +336,16 @@ def squash(t: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(t, -REACH, REACH)))
 
 
-def refine(model: Model, t: np.ndarray, kind: np.ndarray) -> np.ndarray:
+def bucket(t: np.ndarray, words: int) -> np.ndarray:
+    """The bucket of each mixed log odds; those of spelling come behind those of words."""
+    at = np.rint((np.clip(t, -REACH, REACH) + REACH) * np.float32((BUCKETS - 1) / (2 * REACH))).astype(np.int32)
+    at[words:] += BUCKETS
+    return at
+
+
+def refine(model: Model, t: np.ndarray, words: int) -> np.ndarray:
     """The mean of the mixed probability and what was observed around it."""
-    t = np.clip(t, -REACH, REACH)
-    at = (t + REACH) * ((BUCKETS - 1) / (2 * REACH))
-    low = np.minimum(at.astype(np.int32), BUCKETS - 2)
-    part = at - low
-    map_ = model.refined.astype(np.float32)
-    return (squash(t) + map_[kind, low] * (1 - part) + map_[kind, low + 1] * part) / 2
+    return (squash(t) + model.refined.astype(np.float32).ravel()[bucket(t, words)]) / 2
 
 
 def _per_task_sums(docs: DataFrame, code: Shared, model: Shared, function, size: int) -> np.ndarray:
@@ -341,22 +365,28 @@ def _per_task_sums(docs: DataFrame, code: Shared, model: Shared, function, size:
     return out
 
 
+def mixed_odds(model: Model, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    w = model.weights.astype(np.float32)
+    return sum(w[:, k][gate] * x[k] for k in range(INPUTS))
+
+
 def newton_sums(model: Model, d: Decisions) -> np.ndarray:
     """Gradient and curvature of the log loss by gate."""
     x, gate = inputs(model, d)
-    w = model.weights.astype(np.float32)
-    p = squash(sum(w[gate, k] * x[k] for k in range(INPUTS)))
-    wrong, bend = d.bit - p, p * (1 - p)
-    rows = [np.bincount(gate, wrong * x[i], GATES) for i in range(INPUTS)]
-    rows += [np.bincount(gate, bend * x[i] * x[j], GATES) for i in range(INPUTS) for j in range(INPUTS)]
-    return np.concatenate(rows)
+    order = np.argsort(gate, kind="stable")
+    cut = np.searchsorted(gate[order], np.arange(GATES + 1))
+    p = squash(mixed_odds(model, x, gate))
+    x, wrong, bend = x[:, order], (d.bit - p)[order], (p * (1 - p))[order]
+    slopes, bends = np.zeros((INPUTS, GATES)), np.zeros((INPUTS, INPUTS, GATES))
+    for g in range(GATES):
+        own = x[:, cut[g] : cut[g + 1]]
+        slopes[:, g] = own @ wrong[cut[g] : cut[g + 1]]
+        bends[:, :, g] = (own * bend[cut[g] : cut[g + 1]]) @ own.T
+    return np.concatenate([slopes.ravel(), bends.ravel()])
 
 
 def refine_sums(model: Model, d: Decisions) -> np.ndarray:
-    x, gate = inputs(model, d)
-    w = model.weights.astype(np.float32)
-    t = np.clip(sum(w[gate, k] * x[k] for k in range(INPUTS)), -REACH, REACH)
-    at = d.kind.astype(np.int64) * BUCKETS + np.rint((t + REACH) * ((BUCKETS - 1) / (2 * REACH))).astype(np.int64)
+    at = bucket(mixed_odds(model, *inputs(model, d)), d.words)
     return np.concatenate([np.bincount(at, minlength=2 * BUCKETS), np.bincount(at, d.bit, 2 * BUCKETS)])
 
 
@@ -378,23 +408,30 @@ def fitted(model: Model, docs: DataFrame, code: Shared) -> Model:
 def log_scores(model: Model, d: Decisions) -> np.ndarray:
     """log10 of each text's probability; a text's own weights learn from segment to segment."""
     x, gate = inputs(model, d)
-    segment = d.place // SEGMENT
-    texts = len(d.tokens)
-    score, own = np.zeros(texts), np.zeros((texts, INPUTS), np.float32)
-    w = model.weights.astype(np.float32)
-    order = np.argsort(segment, kind="stable")
-    cut = np.searchsorted(segment[order], np.arange(int(segment.max(initial=0)) + 2))
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        now = order[a:b] if a or b < len(order) else slice(None)
-        xs, g, text, bit = x[:, now], gate[now], d.text[now], d.bit[now]
-        t = sum((w[g, k] + own[text, k]) * xs[k] for k in range(INPUTS))
-        p = refine(model, t, d.kind[now])
-        score += np.bincount(text, np.log10(np.where(bit == 1, p, 1 - p)), texts)
-        if b < len(order):
-            wrong, n = bit - squash(t), np.maximum(np.bincount(text, minlength=texts), 1)
+    t = mixed_odds(model, x, gate)
+    first = np.cumsum(d.tokens) - d.tokens
+    place = np.arange(len(d.owner)) - first[d.owner]
+    segments = int(place.max(initial=0)) // SEGMENT
+    if segments:
+        own = np.zeros((len(d.tokens), INPUTS), np.float32)
+        token = np.concatenate([np.repeat(np.arange(len(d.owner)), d.lengths), np.repeat(d.spelled, d.spelling)])
+        late = np.flatnonzero(d.tokens[d.owner[token]] > SEGMENT)  # decisions of the long texts
+        segment = place[token[late]] // SEGMENT
+        order = np.argsort(segment, kind="stable")
+        cut = np.searchsorted(segment[order], np.arange(segments + 2))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            now = late[order[a:b]]
+            text, xs = d.owner[token[now]], x[:, now]
+            t[now] += sum(own[text, k] * xs[k] for k in range(INPUTS))
+            wrong, n = d.bit[now] - squash(t[now]), np.maximum(np.bincount(text, minlength=len(own)), 1)
             for k in range(INPUTS):
-                own[:, k] += RATE * np.bincount(text, wrong * xs[k], texts) / n
-    return score
+                own[:, k] += RATE * np.bincount(text, wrong * xs[k], len(own)) / n
+    p = refine(model, t, d.words)
+    log = np.log10(np.where(d.bit == 1, p, 1 - p))
+    by_token = np.add.reduceat(log[: d.words], np.cumsum(d.lengths) - d.lengths, dtype=np.float64)
+    if len(d.spelled):
+        by_token[d.spelled] += np.add.reduceat(log[d.words :], np.cumsum(d.spelling) - d.spelling, dtype=np.float64)
+    return np.bincount(d.owner, by_token, len(d.tokens))
 
 
 @dataclass
@@ -449,7 +486,7 @@ def scored(docs: DataFrame, trained: Trained) -> DataFrame:
             n = batch.num_rows
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             d = decisions(texts, c)
-            owner = np.repeat(np.arange(n), d.tokens)
+            owner = d.owner
             rows = np.arange(task + row, task + row + n)
             yield pa.RecordBatch.from_arrays(
                 [
