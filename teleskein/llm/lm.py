@@ -62,8 +62,8 @@ PRIOR = 0.4
 SALTS = 16
 INPUTS = 4
 GATES = 32
-PIECE = 1_000_000
-PENDING = 4_000_000  # slots gathered before they are counted
+PIECE = 400_000
+PENDING = 2_000_000  # slots gathered before they are counted
 
 
 def remainder(doc_id: Column) -> Column:
