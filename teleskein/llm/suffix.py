@@ -10,9 +10,12 @@ run to that depth, as Spark jobs over chunks of documents:
    fingerprint (dealt by its range of values, sorted in each). A tuple that stands alone is discarded:
    no suffix through it can agree with another for 50 bytes. Names that occur again survive.
 3. Merge: a suffix is ranked with the names only if one of its five sampled positions within
-   the shift has a surviving name. These suffixes are sorted by an 80-bit fingerprint of their
+   the shift has a surviving name. These suffixes are sorted by a 64-bit fingerprint of their
    first 50 bytes, and adjacent equal ones compared for the smallest document.
 
+A document whose whole text an earlier one has needs no suffixes: all its bytes go, and it
+adds no string that the earlier one has not. Such copies are found by one aggregation first.
+
 A further recursion would order suffixes beyond byte 50, which the result does not depend on.
 Keys travel packed: a chunk sends each key once and only with its smallest document, so a
 passage that a third of all documents share is one key a chunk, and what comes back is one bit
@@ -20,7 +23,7 @@ a key. Chunks are written once; each later job recomputes their keys from the wr
 A chunk holds about ``CHUNK`` bytes, or one document if that is longer.
 
 Fingerprints: a collision of two different tuples only adds a suffix to step 3; one of two
-different 50-byte strings has probability 2^-80 for each pair.
+different 50-byte strings has probability 2^-64 for each pair.
 
 Defined cases: null and empty texts have no bytes; texts under 50 bytes lose nothing; a null
 doc_id is larger than all others; rows with the same id do not remove each other's bytes; an
@@ -37,34 +40,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from teleskein.llm.common import row_batches, stored
-from teleskein.llm.jaccard import flat, mixed, runs
+from teleskein.llm.common import join_small, release, row_batches, row_key, stored
+from teleskein.llm.jaccard import mixed, runs
 
 LENGTH = 50
 # A perfect difference cover of the residues modulo 21.
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
-CHUNK = 8_000_000
-PARTS_PER_TASK = 8
+CHUNK = 4_000_000
+PARTS_PER_TASK = 4
+TASKS = 4  # for each shuffle partition of the session, as packed keys take more memory than rows
 LAST = np.int64(2**63 - 1)
 
 _rng = np.random.default_rng(50)
-_LETTERS = _rng.integers(0, 2**64, (2, 256), np.uint64)
-_BASES = (np.uint64(0x9E3779B97F4A7C1B), np.uint64(0xC2B2AE3D27D4EB53))
+_LETTERS = _rng.integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C1B
 
 CHUNK_SCHEMA = "chunk long, ids array<long>, sizes array<long>, blob binary"
-KEY_SCHEMA = "part int, chunk long, keys binary, rest binary, docs binary, base long"
+KEY_SCHEMA = "part int, chunk long, n int, keys binary, rest binary, docs binary, base long"
 REPLY_SCHEMA = "chunk long, part int, flags binary"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _sampled(n: int) -> np.ndarray:
+    """The positions below ``n`` whose residue is in the cover."""
+    whole = np.arange(0, n, PERIOD)[:, None] + np.array(COVER)
+    return whole.ravel()[: np.searchsorted(whole.ravel(), n)]
+
+
 def planes(values: np.ndarray) -> bytes:
-    """The bytes of an array by significance, which packs well where high ones are alike."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    """The bytes of an array by significance, packed: high ones are mostly alike."""
+    data = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return pa.compress(data, "zstd", asbytes=True)
 
 
-def from_planes(data: bytes, kind: type) -> np.ndarray:
+def from_planes(data: bytes, kind: type, n: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
+    data = pa.decompress(data, n * size, "zstd", asbytes=True)
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
@@ -72,22 +84,22 @@ class Prints:
     """Fingerprints of all strings of one width, by prefix sums of a polynomial modulo 2^64."""
 
     def __init__(self) -> None:
-        self.powers = [np.ones(1, np.uint64)] * 4
+        self.powers = [np.ones(1, np.uint64)] * 2
 
-    def _power(self, k: int, base: int, n: int) -> np.ndarray:
+    def _power(self, k: int, n: int) -> np.ndarray:
         if len(self.powers[k]) < n:
-            values = np.full(n, base, np.uint64)
+            values = np.full(n, _BASE if k == 0 else pow(_BASE, -1, 2**64), np.uint64)
             values[0] = 1
             self.powers[k] = np.multiply.accumulate(values)
         return self.powers[k][:n]
 
-    def sums(self, data: np.ndarray, which: int) -> np.ndarray:
-        power = self._power(which, int(_BASES[which]), len(data) + 1)
-        return np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(_LETTERS[which][data] * power[:-1])])
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.multiply(_LETTERS[data], self._power(0, len(data)), out=out[1:])
+        return np.add.accumulate(out, out=out)
 
-    def at(self, sums: np.ndarray, starts: np.ndarray, width: int, which: int) -> np.ndarray:
-        back = self._power(2 + which, pow(int(_BASES[which]), -1, 2**64), len(sums))
-        return mixed((sums[starts + width] - sums[starts]) * back[starts])
+    def at(self, sums: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        return mixed((sums[starts + width] - sums[starts]) * self._power(1, len(sums))[starts])
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,50 +136,54 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 class Chunk:
-    """The keys of one chunk, recomputed alike in every job."""
+    """The keys of one chunk, recomputed alike in every job. ``bits``: of a fingerprint, so
+    many upper ones name its part; the next 32 are the key that is sent, the others the rest."""
 
-    def __init__(self, row: dict, prints: Prints, parts: int) -> None:
-        self.prints, self.parts, self.id = prints, np.uint64(parts), row["chunk"]
+    def __init__(self, row: dict, prints: Prints, bits: int) -> None:
+        self.prints, self.bits, self.id = prints, bits, row["chunk"]
         self.data, self.offsets, self.ids = unpacked(row)
         self.null = [i is None for i in row["ids"]]
-        self.sums = prints.sums(self.data, 0)
+        self.sums = prints.sums(self.data)
         n = np.diff(self.offsets)
         self.doc_of = np.repeat(np.arange(len(n), dtype=np.int32), n)
 
     def names(self) -> None:
-        """order: the sampled positions; slots: part and key of the distinct tuples, sorted;
+        """sampled: the sampled positions; slots: part and key of the distinct tuples, sorted;
         name: the slot of each sampled position."""
         width = LENGTH - PERIOD + 1
-        place = np.arange(len(self.data), dtype=np.int64) - self.offsets[:-1][self.doc_of]
-        cover = np.zeros(PERIOD, bool)
-        cover[list(COVER)] = True
-        left = np.diff(self.offsets)[self.doc_of] - place
-        self.sampled = np.flatnonzero(cover[place % PERIOD] & (left >= width))
-        value = self.prints.at(self.sums, self.sampled, width, 0)
-        slot = ((value >> np.uint64(32)) % self.parts << np.uint64(32)) | (value & np.uint64(0xFFFFFFFF))
-        self.slots, self.name, times = np.unique(slot, return_inverse=True, return_counts=True)
-        self.again = times > 1
+        found = []
+        for begin, end in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
+            if end - begin >= LENGTH:
+                found.append(begin + _sampled(end - begin - width + 1))
+        self.sampled = np.concatenate(found) if found else np.zeros(0, np.int64)
+        slot = self.prints.at(self.sums, self.sampled, width) >> np.uint64(32 - self.bits)
+        order = np.argsort(slot)
+        slot, doc = slot[order], self.doc_of[self.sampled[order]]
+        new = np.concatenate([[True], slot[1:] != slot[:-1]])[: len(slot)]
+        first = np.flatnonzero(new)
+        self.slots, self.name = slot[first], np.empty(len(slot), np.int64)
+        self.name[order] = np.cumsum(new) - 1
+        # Whether two documents of this chunk have the tuple.
+        self.again = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first) if len(first) else first > 0
 
     def suffixes(self, flags: np.ndarray) -> None:
-        """The suffixes that a surviving name admits, sorted by part and fingerprint; for each
-        distinct string its key, rest of the fingerprint and smallest document."""
+        """The suffixes that a surviving name admits, sorted by fingerprint; for each distinct
+        string its key, the rest of the fingerprint and its smallest document."""
         admitted = self.sampled[(flags | self.again)[self.name]]
-        edge = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(edge, np.maximum(admitted - (PERIOD - 1), self.offsets[:-1][self.doc_of[admitted]]), 1)
-        np.add.at(edge, admitted + 1, -1)
-        starts = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        first_of = self.offsets[:-1][self.doc_of[admitted]]
+        edge = np.bincount(np.maximum(admitted - (PERIOD - 1), first_of), minlength=len(self.data) + 1)
+        edge[admitted + 1] -= 1
+        starts = np.flatnonzero(np.add.accumulate(edge, out=edge)[:-1] > 0)
         starts = starts[starts + LENGTH <= self.offsets[1:][self.doc_of[starts]]]
-        value = self.prints.at(self.sums, starts, LENGTH, 0)
-        other = self.prints.at(self.prints.sums(self.data, 1), starts, LENGTH, 1)
-        high = value >> np.uint64(32)
-        slot = (high % self.parts << np.uint64(32)) | (value & np.uint64(0xFFFFFFFF))
-        rest = (high << np.uint64(16)) | (other >> np.uint64(48))
-        order = np.lexsort((rest, slot))
-        slot, rest, self.starts = slot[order], rest[order], starts[order]
-        new = np.concatenate([[True], (slot[1:] != slot[:-1]) | (rest[1:] != rest[:-1])])[: len(slot)]
+        value = self.prints.at(self.sums, starts, LENGTH)
+        order = np.argsort(value)
+        value, self.starts = value[order], starts[order]
+        new = np.concatenate([[True], value[1:] != value[:-1]])[: len(value)]
         first = np.flatnonzero(new)
-        self.string = np.cumsum(new) - 1
-        self.slots, self.rest = slot[first], rest[first]
+        self.string = np.cumsum(new, dtype=np.int32) - 1
+        value = value[first]
+        self.slots = value >> np.uint64(32 - self.bits)
+        self.rest = (value & np.uint64((1 << (32 - self.bits)) - 1)).astype(np.uint32)
         ids = self.ids[self.doc_of[self.starts]]
         self.least = np.minimum.reduceat(ids, first) if len(first) else ids
         self.later = ids > self.least[self.string]
@@ -185,14 +201,14 @@ class Chunk:
             keys.append(planes(np.diff(low[a:b], prepend=np.uint32(0))))
             if full:
                 base.append(int(self.least[a:b].min()))
-                rest.append(planes(self.rest[a:b])[: 6 * (b - a)])
+                rest.append(planes(self.rest[a:b]))
                 docs.append(planes((self.least[a:b] - base[-1]).astype(np.uint64)))
         empty = [None] * len(kinds)
         arrays = [
-            pa.array(kinds.astype(np.int32)), pa.array(np.full(len(kinds), self.id, np.int64)), pa.array(keys, pa.binary()),
+            pa.array(kinds.astype(np.int32)), pa.array(np.full(len(kinds), self.id, np.int64)), pa.array(np.diff(cut).astype(np.int32)), pa.array(keys, pa.binary()),
             pa.array(rest if full else empty, pa.binary()), pa.array(docs if full else empty, pa.binary()), pa.array(base if full else empty, pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["part", "chunk", "keys", "rest", "docs", "base"])
+        return pa.RecordBatch.from_arrays(arrays, names=["part", "chunk", "n", "keys", "rest", "docs", "base"])
 
     def flags(self, replies: dict[int, bytes]) -> np.ndarray:
         kinds, cut = self.bounds()
@@ -202,8 +218,8 @@ class Chunk:
     def result(self, earlier: np.ndarray) -> pa.RecordBatch:
         starts = self.starts[earlier[self.string] | self.later]
         edge = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + LENGTH, -1)
+        edge[starts] += 1
+        edge[starts + LENGTH] -= 1
         gone = np.cumsum(edge)[:-1] > 0
         before = np.concatenate([[False], gone[:-1]]) if len(gone) else gone
         first_byte = np.zeros(len(gone), bool)
@@ -222,7 +238,8 @@ class Chunk:
 
 def shared_names(table: pa.Table) -> list[bytes]:
     """Of the keys of one part, which ones more than one chunk has sent."""
-    keys = [np.cumsum(from_planes(k, np.uint32), dtype=np.uint32) for k in table.column("keys").to_pylist()]
+    columns = zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)
+    keys = [np.cumsum(from_planes(k, np.uint32, n), dtype=np.uint32) for k, n in columns]
     every = np.sort(np.concatenate(keys))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     out = []
@@ -234,22 +251,21 @@ def shared_names(table: pa.Table) -> list[bytes]:
 
 def earlier_strings(table: pa.Table) -> list[bytes]:
     """Of the strings of one part, which ones another chunk has in a smaller document."""
-    keys, rest, docs = [], [], []
-    columns = [table.column(c).to_pylist() for c in ("keys", "rest", "docs", "base")]
-    for k, r, d, base in zip(*columns, strict=True):
-        keys.append(np.cumsum(from_planes(k, np.uint32), dtype=np.uint32).astype(np.uint64))
-        rest.append(from_planes(r + bytes(2 * len(keys[-1])), np.uint64))
-        docs.append(from_planes(d, np.uint64).astype(np.int64) + base)
-    cut = np.cumsum([len(k) for k in keys])[:-1]
-    key, rest, doc = np.concatenate(keys), np.concatenate(rest), np.concatenate(docs)
-    first, second = (key << np.uint64(32)) | (rest >> np.uint64(16)), rest & np.uint64(0xFFFF)
-    order = np.lexsort((second, first))
-    first, second = first[order], second[order]
-    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+    value, docs, sizes = [], [], []
+    columns = [table.column(c).to_pylist() for c in ("keys", "rest", "docs", "base", "n")]
+    for k, r, d, base, n in zip(*columns, strict=True):
+        key = np.cumsum(from_planes(k, np.uint32, n), dtype=np.uint32).astype(np.uint64)
+        value.append((key << np.uint64(32)) | from_planes(r, np.uint32, n))
+        docs.append(from_planes(d, np.uint64, n).astype(np.int64) + base)
+        sizes.append(len(key))
+    value, doc = np.concatenate(value), np.concatenate(docs)
+    order = np.argsort(value)
+    value = value[order]
+    new = np.concatenate([[True], value[1:] != value[:-1]])
     least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
     flags = np.empty(len(doc), bool)
     flags[order] = least[np.cumsum(new) - 1] < doc[order]
-    return [np.packbits(f).tobytes() for f in np.split(flags, cut)]
+    return [np.packbits(f).tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])]
 
 
 def replies(keys: DataFrame, judge, label: str) -> DataFrame:
@@ -260,9 +276,12 @@ def replies(keys: DataFrame, judge, label: str) -> DataFrame:
                 names=["chunk", "part", "flags"],
             )
 
-    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = TASKS * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.repartition(tasks, "part").sortWithinPartitions("part", "chunk")
-    return stored(dealt.mapInArrow(run, REPLY_SCHEMA), label)
+    answers = stored(dealt.mapInArrow(run, REPLY_SCHEMA), label)
+    del keys, dealt
+    release(answers.sparkSession)
+    return answers
 
 
 def with_replies(chunks: DataFrame, answers: list[DataFrame], function, schema: str) -> DataFrame:
@@ -271,7 +290,7 @@ def with_replies(chunks: DataFrame, answers: list[DataFrame], function, schema:
     rows = chunks.select("chunk", F.lit(len(answers)).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("flags"), "ids", "sizes", "blob")
     for kind, answer in enumerate(answers):
         rows = rows.unionByName(answer.select("chunk", F.lit(kind).alias("kind"), "part", "flags", *nothing))
-    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = TASKS * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind", "part")
     asked = len(answers)
 
@@ -287,28 +306,49 @@ def with_replies(chunks: DataFrame, answers: list[DataFrame], function, schema:
     return dealt.mapInArrow(run, schema)
 
 
+def whole_copies(inner: DataFrame) -> DataFrame:
+    """key and least id of the texts that several documents have."""
+    same = inner.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    return stored(same.filter("n > 1 and least is not null").select("key", "least"), "suffix-copies")
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", row_key(F.col("text")))
+    marked = join_small(inner, whole_copies(inner.filter(F.octet_length("text") >= LENGTH)), "key", "left")
+    copy = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
+    size = F.octet_length("text").cast("long")
+    nothing_left = marked.filter(copy).select(
+        "doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
+        F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"),
+    )
+    return _without_repeats(marked.filter(~copy)).unionByName(nothing_left)
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
     chunks = chunked(docs)
-    parts = PARTS_PER_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(24, (PARTS_PER_TASK * tasks - 1).bit_length())
     prints = Prints()
 
     def tuple_keys(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                chunk = Chunk(batch.slice(k, 1).to_pylist()[0], prints, parts)
+                chunk = Chunk(batch.slice(k, 1).to_pylist()[0], prints, bits)
                 chunk.names()
                 yield chunk.key_rows(False)
 
     def admitted(row, answers):
-        chunk = Chunk(row, prints, parts)
+        chunk = Chunk(row, prints, bits)
         chunk.names()
         chunk.suffixes(chunk.flags(answers[0]))
         return chunk
 
+    def string_keys(row, answers):
+        return admitted(row, answers).key_rows(True)
+
     names = replies(chunks.mapInArrow(tuple_keys, KEY_SCHEMA), shared_names, "suffix-names")
-    keys = with_replies(chunks, [names], lambda row, answers: admitted(row, answers).key_rows(True), KEY_SCHEMA)
-    strings = replies(keys, earlier_strings, "suffix-strings")
+    strings = replies(with_replies(chunks, [names], string_keys, KEY_SCHEMA), earlier_strings, "suffix-strings")
 
     def last(row, answers):
         chunk = admitted(row, answers)
