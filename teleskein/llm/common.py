@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,13 +31,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs whose result is written: it does so once the
-    driver's garbage collector has found that nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def wrapped(df: DataFrame, **needed: str) -> DataFrame:
     """``needed`` columns under the operator's own names beside the whole row as one struct,
     so that no column of the caller can clash with the operator's."""

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from teleskein.llm.common import join_small, release, row_batches, row_key, stored
+from teleskein.llm.common import join_small, row_batches, row_key, stored
 from teleskein.llm.jaccard import mixed, runs
 
 LENGTH = 50
@@ -278,10 +278,7 @@ def replies(keys: DataFrame, judge, label: str) -> DataFrame:
 
     tasks = TASKS * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.repartition(tasks, "part").sortWithinPartitions("part", "chunk")
-    answers = stored(dealt.mapInArrow(run, REPLY_SCHEMA), label)
-    del keys, dealt
-    release(answers.sparkSession)
-    return answers
+    return stored(dealt.mapInArrow(run, REPLY_SCHEMA), label)
 
 
 def with_replies(chunks: DataFrame, answers: list[DataFrame], function, schema: str) -> DataFrame:
