@@ -465,12 +465,12 @@ S14 = f"SELECT COUNT(*) AS rows, COUNT(DISTINCT body) AS bodies FROM ({m.LOGS_SQ
 
 def s20_periodic(spark, sf_dir):
     """Periodic ingest meets a file it cannot follow, and goes on by itself once that is gone."""
-    root, store = _lines(spark, sf_dir, ["traces", "logs"]), SignalStore(spark)
-    packed = f"{root}/traces/spans.jsonl.gz"
+    root, store = _lines(spark, sf_dir, ["metrics", "logs"]), SignalStore(spark)
+    packed = f"{root}/metrics/points.jsonl.gz"
     system, inner = paths.resolve(packed)
     with system.open_output_stream(inner, compression=None) as out:
         out.write(b"packed")
-    want = {"traces": m.read(spark, sf_dir, "lineitem").count(), "logs": m.read(spark, sf_dir, "events").count()}
+    want = dict.fromkeys(("metrics", "logs"), m.read(spark, sf_dir, "events").count())
     periodic, deadline = PeriodicIngest(store, root, "1s"), time.time() + 300
     try:
         while periodic.restarts == 0 and time.time() < deadline:
@@ -480,14 +480,14 @@ def s20_periodic(spark, sf_dir):
             time.sleep(0.2)
     finally:
         periodic.stop()
-    return _per_service({s: store.table(s) for s in ("traces", "logs")}).withColumn(
+    return _per_service({s: store.table(s) for s in ("metrics", "logs")}).withColumn(
         "restarted", F.lit(periodic.restarts > 0)
     )
 
 
 S20 = " UNION ALL ".join(
     f"SELECT service_name, COUNT(*) AS n, '{s}' AS signal, TRUE AS restarted FROM ({m.SQL[s]}) GROUP BY service_name"
-    for s in ("traces", "logs")
+    for s in ("metrics", "logs")
 )
 
 
