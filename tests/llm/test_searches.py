@@ -111,6 +111,31 @@ def test_search_equals_all_scores(odd, docs, empty, monkeypatch, bytes_):
     assert search.search(empty).collect() == []
 
 
+@pytest.mark.parametrize("bytes_", [20_000, 10**9])
+def test_search_repeated_queries(spark, odd, monkeypatch, bytes_):
+    """Repeated rows ask once; different texts under one id have a list each."""
+    monkeypatch.setattr(search, "SHARD_BYTES", bytes_)
+    wide = [f"common{i} " * (1 + i % 3) + "shared line" for i in range(15)]
+    rows = [(200 + i, t) for i, t in enumerate(wide)]
+    rows += [(200, wide[0]), (200, wide[0].upper()), (200, "one two"), (200, "one two"), (220, None), (220, None), (220, "")]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    table = odd.filter("length(text) < 10000 or text is null").select("doc_id", "text").unionByName(more)
+    # Ids in the same order that are all different, so that the plain search answers each row alone.
+    ordered = sorted(pairs(table), key=lambda x: (x[0] is None, x[0] or 0))
+    own = {None if d is None else 20 * i + (d % 20 != 0): (d, t) for i, (d, t) in enumerate(ordered)}
+    plain = brute_search([(None if d is None else 20 * i + (d % 20 != 0), t) for i, (d, t) in enumerate(ordered)])
+    want = {}
+    for new, hits in plain.items():
+        key = own[new][0], hashlib.md5((own[new][1] or "").lower().encode()).hexdigest()
+        if hits:
+            want[key] = [(k, 2**63 if d == 2**63 else own[d][0], score) for k, (d, score) in enumerate(hits, 1)]
+    got = defaultdict(list)
+    for r in sorted(search.search(table).collect(), key=lambda r: (r["query_id"], r["query_key"], r["rank"])):
+        got[r["query_id"], r["query_key"]].append((r["rank"], 2**63 if r["doc_id"] is None else r["doc_id"], round(r["score"], 4)))
+    assert got == want
+    assert len([k for k in got if k[0] == 200]) == 2
+
+
 # --- WARC ---
 
 
