@@ -11,13 +11,19 @@ and equal values get equal pseudonyms in all documents, and different ones diffe
 | kind | what is permuted |
 |---|---|
 | card (13 to 19 digits, groups kept) | all digits but the first and the check digit |
-| IBAN | account digits and letters; country stays |
+| IBAN (whole or in groups of four) | account digits and letters; country stays |
 | social security number | area, group, serial within the valid ones |
 | date (yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy) | the day among those of 1900 to 2099 |
+| date with the month first (mm/dd/yyyy, mm.dd.yyyy), day over 12 | the day among those over 12 |
 | IPv4 address | the four octets |
-| telephone number | all digits after the country code |
+| telephone number (with + or brackets, or 3-3-4 digits) | all digits after the country code |
 | e-mail address | letters and digits before the @, each within its class |
 
+Numbers may stand side by side: a run of digits and single blanks or hyphens is searched for
+cards that begin and end at its groups, first those in a card's usual groups (one group, fours,
+4-6-5, 4-6-4), then others of 13 to 19 digits, from the left. Inside a group of digits no card
+is looked for. A date that reads both ways has its day first.
+
 DataFrame functions only. Texts without a digit or @ skip the pattern; nothing is shuffled.
 
 Defined cases: a null text stays null; texts without values come out as they are; a number
@@ -38,14 +44,33 @@ FIRST_DAY, DAY_HALVES = "1900-01-01", (17, 4297)  # 17 * 4297 days to 2099-12-31
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+# Lengths of the countries, so that a grouped IBAN ends where it does whatever stands behind it.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED = [
+    f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, names in IBAN_COUNTRIES.items()
+]
+IBAN_GROUPS = r"(?<![A-Za-z0-9])(?:" + "|".join(_GROUPED) + ")(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9./]*[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+PLAIN_PHONE = r"(?:1[ .-])?[2-9][0-9]{2}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}"
+ALONE_PHONE = rf"(?<![0-9.+-]){PLAIN_PHONE}(?![0-9]|[.-][0-9])"
+# What ends a run of digits: the other kinds that begin with a digit.
+_OTHER = (
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+    rf"|[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![0-9])|{PLAIN_PHONE}(?![0-9]|[ .-][0-9])"
+)
+CARD = rf"(?<![0-9])[0-9](?:[0-9]|[ -](?!{_OTHER})[0-9]){{12,}}+"
 # The inner group of DAY_DATE is the only one of the pattern.
-PATTERN = "|".join([EMAIL, IBAN, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE, CARD])
+PATTERN = "|".join([EMAIL, IBAN, IBAN_GROUPS, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE, CARD, ALONE_PHONE])
 
 
 def let(value: Column, body) -> Column:
@@ -133,6 +158,59 @@ def _card(m: Column, key: str) -> Column:
     return let(_digits(m), changed)
 
 
+USUAL_GROUPS = r"^(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3,4}[0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+
+
+def _cards(m: Column, key: str) -> Column:
+    """The text with those valid cards renewed that begin and end at its groups, and how many changed."""
+    size = F.length(m)
+
+    def borders(chars: Column) -> Column:
+        """Places (from 0) before which a group begins."""
+        places = F.transform(chars, lambda c, i: F.when((i == 0) | F.get(chars, i - 1).isin(" ", "-"), i))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    def candidates(begins: Column) -> Column:
+        """begin, end and text from each group to each of the next ones, with 13 to 19 digits."""
+
+        def from_group(b: Column, at: Column) -> Column:
+            ends = F.slice(F.concat(begins, F.array(size + 1)), at + 2, F.lit(19))
+            spans = F.transform(ends, lambda e: F.struct(b.alias("begin"), (e - 1).alias("end"), F.substring(m, b + 1, e - 1 - b).alias("text")))
+            return F.filter(spans, lambda c: c["text"].rlike("^[0-9](?:[ -]?[0-9]){12,18}$"))
+
+        own = F.flatten(F.transform(begins, from_group))
+        return F.filter(own, lambda c: luhn_sum(_digits(c["text"])) % 10 == 0)
+
+    def chosen(cards: Column, free: Column) -> Column:
+        """From the left, the longest at each place, those that overlap nothing chosen or not free."""
+
+        def step(acc: Column, c: Column) -> Column:
+            clear = (c["begin"] >= acc["end"]) & ~F.exists(free, lambda t: (c["begin"] < t["end"]) & (t["begin"] < c["end"]))
+            return F.struct(F.when(clear, c["end"]).otherwise(acc["end"]).alias("end"), F.when(clear, F.concat(acc["out"], F.array(c))).otherwise(acc["out"]).alias("out"))
+
+        start = F.struct(F.lit(0).alias("end"), F.filter(cards, lambda _: F.lit(False)).alias("out"))
+        ordered = F.array_sort(cards, lambda a, b: F.when(a["begin"] != b["begin"], a["begin"] - b["begin"]).otherwise(b["end"] - a["end"]))
+        return F.aggregate(ordered, start, step)["out"]
+
+    def both(cards: Column) -> Column:
+        none = F.filter(cards, lambda _: F.lit(False))
+        usual = chosen(F.filter(cards, lambda c: c["text"].rlike(USUAL_GROUPS)), none)
+        return let(usual, lambda u: F.array_sort(F.concat(u, chosen(F.filter(cards, lambda c: ~c["text"].rlike(USUAL_GROUPS)), u))))
+
+    def rewritten(cards: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            def added(new: Column) -> Column:
+                text = F.concat(acc["out"], F.substring(m, acc["at"] + 1, c["begin"] - acc["at"]), new)
+                return F.struct(text.alias("out"), c["end"].alias("at"), (acc["n"] + (new != c["text"]).cast("int")).alias("n"))
+
+            return let(_card(c["text"], key), added)
+
+        done = F.aggregate(cards, F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n")), step)
+        return let(done, lambda d: F.struct(F.concat(d["out"], F.substring(m, d["at"] + 1, size - d["at"])).alias("text"), d["n"].alias("n")))
+
+    return let(F.split(m, "(?<=.)(?=.)"), lambda chars: let(borders(chars), lambda begins: let(candidates(begins), lambda c: let(both(c), rewritten))))
+
+
 def _letters(text: Column) -> Column:
     """Digits 0 to 9 and letters A = 10 to Z = 35 of an upper-case text."""
     return F.transform(F.split(text, "(?<=.)(?=.)"), lambda c: F.conv(c, 36, 10).cast("int"))
@@ -142,13 +220,15 @@ def _rest97(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: F.when(v > 9, a * 100 + v).otherwise(a * 10 + v) % 97)
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(match: Column, key: str) -> Column:
+    m = F.replace(match, F.lit(" "), F.lit(""))
     country = F.substring(m, 1, 2)
 
     def renewed(new: Column) -> Column:
         check = 98 - _rest97(F.concat(new, _letters(country), F.array(F.lit(0), F.lit(0))))
         text = F.array_join(F.transform(new, lambda v: F.upper(F.conv(v.cast("string"), 10, 36))), "")
-        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), text)
+        whole = F.concat(country, F.lpad(check.cast("string"), 2, "0"), text)
+        return F.when(match.contains(" "), F.regexp_replace(whole, "(.{4})(?=.)", "$1 ")).otherwise(whole)
 
     def changed(account: Column) -> Column:
         valid = _rest97(F.concat(account, _letters(F.substring(m, 1, 4)))) == 1
@@ -173,13 +253,23 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, let(new, text))
 
 
-def _date(m: Column, key: str, form: str) -> Column:
+def _date(m: Column, key: str, form: str, late: bool = False) -> Column:
+    """``late``: a month stands first, and days over 12, which tell so, move among themselves."""
     day = F.try_to_timestamp(m, F.lit(form)).cast("date")
     n = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
     big, small = DAY_HALVES
-    new = feistel(F.array(F.floor(n / small).cast("int"), n % small), F.array(F.lit(big), F.lit(small)), key, "date")
-    moved = let(new, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(x, 0) * small + F.get(x, 1)))
-    return F.when((n >= 0) & (n < big * small), F.date_format(moved, form))
+
+    def next_day(at: Column) -> Column:
+        new = feistel(F.array(F.floor(at / small).cast("int"), at % small), F.array(F.lit(big), F.lit(small)), key, "date")
+        return let(new, lambda x: F.get(x, 0) * small + F.get(x, 1))
+
+    def day_of(at: Column) -> Column:
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), at)
+
+    moved = next_day(n)
+    if late:  # on through the permutation to the next such day; one in 2.5 is not
+        moved = F.aggregate(F.sequence(F.lit(1), F.lit(60)), n, lambda at, turn: F.when((turn > 1) & (F.dayofmonth(day_of(at)) > 12), at).otherwise(next_day(at)))
+    return F.when((n >= 0) & (n < big * small), let(moved, lambda at: F.date_format(day_of(at), form)))
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -195,7 +285,7 @@ def _phone(m: Column, key: str) -> Column:
         local = let(_digits(m), lambda d: F.slice(d, code + 1, F.size(d) - code))
         return refilled(m, let(local, lambda x: feistel(x, tens(x), key, "phone")), code)
 
-    return let(F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})", 1)), changed)
+    return let(F.length(F.regexp_extract(m, r"^(?:\+|(?=1[ .-]))([0-9]{1,3})", 1)), changed)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -214,21 +304,30 @@ def _email(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of a match, or the match where it is not valid."""
+    """text: the match with its values renewed, as it is where none is valid; n: how many changed."""
     kinds = [
         (m.contains("@"), _email(m, key)),
         (m.rlike("^[A-Z]"), _iban(m, key)),
         (m.rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$"), _ipv4(m, key)),
         (m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), _date(m, key, "yyyy-MM-dd")),
-        (m.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), _date(m, key, "dd/MM/yyyy")),
-        (m.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), _date(m, key, "dd.MM.yyyy")),
+        (m.rlike("^[0-9]{2}/(?:0[0-9]|1[0-2])/[0-9]{4}$"), _date(m, key, "dd/MM/yyyy")),
+        (m.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), _date(m, key, "MM/dd/yyyy", late=True)),
+        (m.rlike(r"^[0-9]{2}\.(?:0[0-9]|1[0-2])\.[0-9]{4}$"), _date(m, key, "dd.MM.yyyy")),
+        (m.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), _date(m, key, "MM.dd.yyyy", late=True)),
         (m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(m, key)),
-        (m.rlike(r"^[+(]"), _phone(m, key)),
+        (m.rlike(rf"^[+(]|^{PLAIN_PHONE}$"), _phone(m, key)),
     ]
-    chosen = _card(m, key)
+    chosen = F.lit(None).cast("string")
     for test, value in reversed(kinds):
         chosen = F.when(test, value).otherwise(chosen)
-    return F.coalesce(chosen, m)
+    # The rest is runs of digits, or an IBAN that fails its check, behind whose start a card may stand.
+    long = ~m.contains("@") & m.rlike("[0-9](?:[ -]?[0-9]){12}")
+
+    def result(new: Column) -> Column:
+        same = F.struct(F.coalesce(new, m).alias("text"), F.coalesce((new != m).cast("int"), F.lit(0)).alias("n"))
+        return F.when(new.isNull() & long, _cards(m, key)).otherwise(same)
+
+    return let(chosen, result)
 
 
 def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -238,8 +337,8 @@ def with_pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = inner.withColumn("found", F.when(some, F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))))
     new = found.withColumn("new", F.transform("found", lambda m: pseudonym(m, key)))
     pieces = F.split("text", PATTERN, -1)
-    joined = F.array_join(F.zip_with(pieces, "new", lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    joined = F.array_join(F.zip_with(pieces, "new", lambda p, m: F.concat(p, F.coalesce(m["text"], F.lit("")))), "")
+    changed = F.aggregate("new", F.lit(0), lambda n, m: n + m["n"])
     return new.select(
         F.col("row").withField("text", F.when(F.col("new").isNull(), F.col("text")).otherwise(joined)).alias("row"),
         F.when(F.col("new").isNull(), 0).otherwise(changed).cast("long").alias("n_values"),

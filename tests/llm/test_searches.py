@@ -210,6 +210,36 @@ def test_pii_formats(spark, empty):
     assert other[1] != one
 
 
+def test_pii_side_by_side(spark):
+    """Cards beside other numbers, grouped IBANs, plain telephone numbers, months first."""
+    card = "4111 1111 1111 1111"
+    kept = {
+        f"{card} 12/27": (card,), "4111111111111111 123": ("4111111111111111",), "2 4111111111111111": (" 4111111111111111",),
+        f"{card} 4929348385146306 5": (card, "4929348385146306"), f"12 {card} 12": (card,), f"{card} 12/27/2025": (card, "12/27/2025"),
+        f"{card} 1987-02-28 4111-1111-1111-1111 078-05-1120": (card, "1987-02-28", "4111-1111-1111-1111", "078-05-1120"),
+        "pay GB82 WEST 1234 5698 7654 32 NOW 1": ("GB82 WEST 1234 5698 7654 32",), f"DE89 3704 0044 0532 0130 00 {card}": ("DE89 3704 0044 0532 0130 00", card),
+        "GB82 4111 1111 1111 1111 12": (card,), "call 555-123-4567, 1-555-123-4567": (" 555-123-4567", "1-555-123-4567"), "555.123.4567 or 555 123 4567.": ("555.123.4567", "555 123 4567"),
+        "12/27/2025 03.31.1999": ("12/27/2025", "03.31.1999"),
+    }
+    plain = ["4111 1111 1111 1112 12", "GB82 WEST 1234 5698 7654 33", "13/27/2025", "02/30/1999", "1 2 3 4", "41111111111111111234567"]
+    df = spark.createDataFrame([(t,) for t in [*kept, *plain]], "text string")
+    rows = {r["old"]: (r["text"], r["n_values"]) for r in pii.with_pseudonyms(df.selectExpr("text", "text as old")).select("row.*", "n_values").collect()}
+    for old, values in kept.items():
+        new, _ = rows[old]
+        assert len(new) == len(old) and re.sub("[0-9]", "0", re.sub("[A-Z]", "A", new)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", old))
+        assert not [v for v in values if v in new], (old, new)
+        for v in values:
+            at = old.index(v)
+            if re.fullmatch("[ 0-9-]{16,19}", v):
+                assert luhn(new[at : at + len(v)]), (old, new)
+    assert {t: rows[t] for t in plain} == {t: (t, 0) for t in plain}
+    same = {rows[t][0][t.index(card) : t.index(card) + 19] for t in kept if card in t}
+    assert len(same) == 1 and rows["4111111111111111 123"][0].endswith(" 123") and rows["2 4111111111111111"][0].startswith("2 ")
+    iban = rows["pay GB82 WEST 1234 5698 7654 32 NOW 1"][0][4:31].replace(" ", "")
+    assert iban[:2] == "GB" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert [int(x[3:5]) > 12 for x in rows["12/27/2025 03.31.1999"][0].split()] == [True, True]
+
+
 def test_pii_is_a_permutation(spark):
     """All values of a small format map to all values; no two to the same."""
     f = pii.F
