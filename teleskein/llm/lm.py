@@ -16,9 +16,11 @@ counts, a partial table in each task, added up by blocks of slots in two rounds;
 and refinement by Newton steps on a tenth of the training documents whose counts are kept
 apart (remainder ``FIT`` of ten), so that counts are never judged on their own documents.
 Afterwards the tables of both parts are added. While a text is scored the mixer goes on
-learning: after each ``SEGMENT`` tokens a text's own weights take a gradient step, so a
-segment is always scored before anything is learned from it. A score depends on its text and
-the model alone, not on the rows around it.
+learning: after its tokens 4, 8, 16 and each further ``SEGMENT`` a text's own weights take the
+sum of the gradients times ``RATE``, and its own shifts of the refined probability (by coarse
+bucket) take the mean of what was missed, held back by ``HOLD`` decisions. A segment is always
+scored before anything is learned from it. The predictors' counts stay as trained. A score
+depends on its text and the model alone, not on the rows around it.
 
 Counts of the frequent words and the tables have fixed sizes and are broadcast. Counts of all
 other words stay distributed: their occurrences, of which no word has a large share, are
@@ -53,9 +55,11 @@ SPELLING_SLOTS = 1 << 19
 TELLING_WORDS = 64
 BLOCK = 1 << 16
 FLUSH_WORDS = 200_000
-SEGMENT = 2048
-RATE = 0.02
-ROUNDS = 2
+SEGMENT = 32
+RATE = 0.0005
+HOLD = 100.0
+COARSE = 7  # buckets of the map that a text's own shifts take together
+ROUNDS = 3
 BUCKETS = 161
 REACH = 8.0
 PRIOR = 0.4
@@ -343,11 +347,6 @@ def bucket(t: np.ndarray, words: int) -> np.ndarray:
     return at
 
 
-def refine(model: Model, t: np.ndarray, words: int) -> np.ndarray:
-    """The mean of the mixed probability and what was observed around it."""
-    return (squash(t) + model.refined.astype(np.float32).ravel()[bucket(t, words)]) / 2
-
-
 def _per_task_sums(docs: DataFrame, code: Shared, model: Shared, function, size: int) -> np.ndarray:
     """``size`` sums of ``function`` over the decisions of all texts, added up by Spark."""
 
@@ -405,28 +404,45 @@ def fitted(model: Model, docs: DataFrame, code: Shared) -> Model:
     return model
 
 
+def learned(model: Model, d: Decisions, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The probability of a 1 in every decision, a text's weights and map learning from segment
+    to segment of the text."""
+    borders = np.concatenate([[4, 8, 16], np.arange(SEGMENT, max(SEGMENT, int(d.tokens.max(initial=0))) + SEGMENT, SEGMENT)])
+    first = np.cumsum(d.tokens) - d.tokens
+    segment = np.searchsorted(borders, np.arange(len(d.owner)) - first[d.owner], "right").astype(np.int32)
+    token = np.concatenate([np.repeat(np.arange(len(d.owner), dtype=np.int32), d.lengths), np.repeat(d.spelled.astype(np.int32), d.spelling)])
+    order = np.argsort(segment[token], kind="stable")
+    cut = np.searchsorted(segment[token[order]], np.arange(int(segment.max(initial=0)) + 2))
+    n, wide = len(d.tokens), 2 * BUCKETS // COARSE
+    own = np.zeros((n, INPUTS), np.float32)
+    missed, seen = np.zeros(n * wide, np.float32), np.zeros(n * wide, np.float32)
+    p = np.empty(len(t), np.float32)
+    flat = model.refined.astype(np.float32).ravel()
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        now = order[a:b]
+        text, xs, bit = d.owner[token[now]], x[:, now], d.bit[now]
+        names, text_of = np.unique(text, return_inverse=True)
+        t_now = t[now] + np.einsum("ik,ki->i", own[text], xs)
+        mixed = squash(t_now)
+        at = bucket(t_now, len(t_now)) + BUCKETS * (now >= d.words)
+        refined = (mixed + flat[at]) / 2
+        # Places of this segment's texts alone, so that a step costs what the segment holds.
+        local = text_of * wide + at // COARSE
+        place = (names[:, None] * wide + np.arange(wide)).ravel()
+        shift = missed[place] / (seen[place] + HOLD)
+        p[now] = np.clip(refined + shift[local], 1e-4, 1 - 1e-4)
+        wrong = bit - mixed
+        for k in range(INPUTS):
+            own[names, k] += RATE * np.bincount(text_of, wrong * xs[k], len(names))
+        missed[place] += np.bincount(local, bit - refined, len(place))
+        seen[place] += np.bincount(local, minlength=len(place))
+    return p
+
+
 def log_scores(model: Model, d: Decisions) -> np.ndarray:
-    """log10 of each text's probability; a text's own weights learn from segment to segment."""
+    """log10 of each text's probability."""
     x, gate = inputs(model, d)
-    t = mixed_odds(model, x, gate)
-    first = np.cumsum(d.tokens) - d.tokens
-    place = np.arange(len(d.owner)) - first[d.owner]
-    segments = int(place.max(initial=0)) // SEGMENT
-    if segments:
-        own = np.zeros((len(d.tokens), INPUTS), np.float32)
-        token = np.concatenate([np.repeat(np.arange(len(d.owner)), d.lengths), np.repeat(d.spelled, d.spelling)])
-        late = np.flatnonzero(d.tokens[d.owner[token]] > SEGMENT)  # decisions of the long texts
-        segment = place[token[late]] // SEGMENT
-        order = np.argsort(segment, kind="stable")
-        cut = np.searchsorted(segment[order], np.arange(segments + 2))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            now = late[order[a:b]]
-            text, xs = d.owner[token[now]], x[:, now]
-            t[now] += sum(own[text, k] * xs[k] for k in range(INPUTS))
-            wrong, n = d.bit[now] - squash(t[now]), np.maximum(np.bincount(text, minlength=len(own)), 1)
-            for k in range(INPUTS):
-                own[:, k] += RATE * np.bincount(text, wrong * xs[k], len(own)) / n
-    p = refine(model, t, d.words)
+    p = learned(model, d, x, mixed_odds(model, x, gate))
     log = np.log10(np.where(d.bit == 1, p, 1 - p))
     by_token = np.add.reduceat(log[: d.words], np.cumsum(d.lengths) - d.lengths, dtype=np.float64)
     if len(d.spelled):

@@ -287,6 +287,33 @@ def test_lm_held_out_beats_base(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_lm_online_learning_raises_held_out_score(spark, monkeypatch):
+    """Also that of texts of few tokens; and a segment is scored before it is learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    inner = docs.select("doc_id", lm.remainder(docs["doc_id"]).alias("remainder"), "text")
+    trained = lm.train(inner)
+    texts = [(r["text"] or "").encode() for r in inner.filter(inner["remainder"] == lm.HELD_OUT).collect()]
+    d = lm.decisions(texts, trained.code)
+    short = d.tokens <= 256
+    assert abs(lm.log_scores(trained.model, d)[:5] - [lm.log_scores(trained.model, lm.decisions([t], trained.code))[0] for t in texts[:5]]).max() < 1e-2
+    text = max((t for t in texts if len(t) < 50_000), key=len)
+    words = lm.tokens_of(text)
+    parts = [lm.decisions([b" ".join(words[:n])], trained.code) for n in (300, len(words))]
+    p, whole = (lm.learned(trained.model, x, lm.inputs(trained.model, x)[0], lm.mixed_odds(trained.model, *lm.inputs(trained.model, x))) for x in parts)
+    n = int(parts[0].lengths[:-1].sum())
+    assert len(words) > 600 and abs(p[:n] - whole[:n]).max() < 1e-5
+    sums = {}
+    rates, holds = (0.0, lm.RATE), (1e12, lm.HOLD)
+    for rate in rates:
+        for hold in holds:
+            monkeypatch.setattr(lm, "RATE", rate), monkeypatch.setattr(lm, "HOLD", hold)
+            scores = lm.log_scores(trained.model, d)
+            sums[rate > 0, hold < 1e12] = scores.sum(), scores[short].sum()
+    for learns in ((True, False), (False, True), (True, True)):  # weights, map, both
+        assert sums[learns] > sums[False, False] and sums[learns][1] > sums[False, False][1]
+    assert sums[True, True][0] > max(sums[True, False][0], sums[False, True][0])
+
+
 def test_lm_decisions_are_a_code():
     """Every symbol's path is a prefix code, so the probabilities of all texts add up to one."""
     code = lm.codes([(b"a", 5), (b"b", 3), (b"c", 3)], 2, 1)
