@@ -1,27 +1,30 @@
 """Deleting old rows: dry run, deletion, service scope and the report.
 
-Deletion works folder by folder. One wholly before the cutoff is dropped without being read;
-of those with both expired and remaining rows the remaining ones are written anew. Readers
-switch by one record; a prune that stops before it has changed nothing, and
-:meth:`SignalStore.vacuum` deletes the files.
+A folder wholly before the cutoff is dropped without being read, and counted by the manifest.
+Of others only those whose statistics allow for expired rows are read, for the count. Nothing
+is written anew: readers subtract what is older than the cutoff (and of the service) from the
+batches concerned until :meth:`SignalStore.compact` writes that out. Readers switch by one
+record; :meth:`SignalStore.vacuum` deletes the files.
 """
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleskein.functions.timeexpr import duration
+from teleskein.manifest import Content, Deletion
 from teleskein.schemas import SIGNALS, TIME_COLUMN
 from teleskein.tables import SignalStore
 
 REPORT = "signal string, service_name string, deleted bigint, cutoff string"
 CUTOFF_FORMAT = "%Y-%m-%dT%H:%M:%S"
-# Names of batches that hold what a prune left begin with this.
-KEPT = "kept-"
+# Names of the records of prunes begin with this.
+PRUNED = "pruned-"
 # "All" means everything up to this far ahead of now.
 ALL_MARGIN = timedelta(hours=1)
 
@@ -85,13 +88,14 @@ def prune(
     spark = store.spark
     report = []
     for signal in SIGNALS:
-        counts = _expired_per_partition(store, signal, cutoff, service)
-        deleted = sum(c["expired"] for c in counts)
-        report.append((signal, service, deleted, cutoff.strftime(CUTOFF_FORMAT)))
-        if dry_run or not deleted:
+        version = store.state.version
+        found = _expired_folders(store, signal, version, cutoff, service)
+        report.append((signal, service, found.deleted, cutoff.strftime(CUTOFF_FORMAT)))
+        if dry_run or not found.deleted:
             continue
         store.log_prune(signal, cutoff.isoformat(sep=" "), service, store.last_batch_number(signal))
-        _delete(store, signal, cutoff, service, counts)
+        deletions = [Deletion(cutoff.isoformat(sep=" "), service, tuple(sorted(found.batches)))] if found.batches else []
+        store.record(signal, f"{PRUNED}{uuid.uuid4().hex}", {}, found.whole, version, deletions)
     return spark.createDataFrame(report, REPORT)
 
 
@@ -103,41 +107,36 @@ def prune_all(store: SignalStore, **options) -> DataFrame:
     return prune(store, cutoff_time(all_rows=True), **options)
 
 
-def _expired_per_partition(
-    store: SignalStore, signal: str, cutoff: datetime, service: str | None
-) -> list[dict]:
-    """Expired and total rows of each partition that may hold expired ones.
+@dataclass
+class Expired:
+    """Folders that go as wholes, batches of which a part goes, and the rows of both."""
 
-    The result has one entry per folder, not per row. Without a service, dates before the
-    cutoff's are counted from file footers; only the cutoff's own date has its time read.
-    """
-    rows = store.raw(signal, until=cutoff.date().isoformat())
-    keys = ["ingest_batch", "date"]
-    total = F.count(F.lit(1)).alias("total")
-    if service is None:
-        whole = rows.filter(F.col("date") < F.lit(cutoff.date())).groupBy(*keys).agg(total)
-        border = rows.filter(F.col("date") == F.lit(cutoff.date()))
-        counts = whole.withColumn("expired", F.col("total")).unionByName(
-            border.groupBy(*keys).agg(total, F.count_if(expired(signal, _literal(cutoff))).alias("expired"))
-        )
-    else:
-        counts = rows.groupBy(*keys).agg(
-            total, F.count_if(expired(signal, _literal(cutoff), service)).alias("expired")
-        )
-    return [r.asDict() for r in counts.filter("expired > 0").collect()]
-
-
-def _delete(
-    store: SignalStore, signal: str, cutoff: datetime, service: str | None, counts: list[dict]
-) -> None:
-    """One new batch holds what remains of mixed folders; its record hides all folders with
-    expired rows at the moment it appears. Until then readers see the table as it was."""
-    pairs = {(c["ingest_batch"], str(c["date"])) for c in counts}
-    mixed = {(c["ingest_batch"], str(c["date"])) for c in counts if c["expired"] < c["total"]}
-    version = store.state.version
-    batch, hides = f"{KEPT}{uuid.uuid4().hex}", [list(x) for x in pairs]
-    if mixed:
-        rows = survivors(store.raw(signal, version, only=mixed), signal, cutoff, service)
-        store.append(signal, rows, batch, version, hides)
-    else:
-        store.record(signal, batch, [], hides, version)
+    whole: set[tuple[str, str]]
+    batches: set[str]
+    deleted: int
+
+
+def _expired_folders(store: SignalStore, signal: str, version: str, cutoff: datetime, service: str | None) -> Expired:
+    """By statistics where they settle it; the rest is read, one count for each batch."""
+    content = store.content(signal, version, until=cutoff.date().isoformat())
+    last = cutoff - timedelta(microseconds=1)
+    whole, rest, deleted = set(), {}, 0
+    for key, stats in content.folders.items():
+        if stats.apart(None, last, service):
+            continue
+        alone = service is None or stats.first == stats.last == service
+        if alone and (stats.within(None, last) or key[1] < cutoff.date().isoformat()):
+            whole.add(key)
+            # With deletions pending the count is what readers still see.
+            if content.deleted_from(key[0]):
+                rest[key] = stats
+            else:
+                deleted += stats.rows
+        else:
+            rest[key] = stats
+    if not rest:
+        return Expired(whole, set(), deleted)
+    rows = store.raw(signal, version, only=set(rest), content=Content(rest, content.deletions))
+    counts = rows.filter(expired(signal, _literal(cutoff), service)).groupBy("ingest_batch", "date").agg(F.count(F.lit(1)).alias("n"))
+    parts = {(r["ingest_batch"], str(r["date"])): r["n"] for r in counts.collect()}
+    return Expired(whole, {b for b, d in parts if (b, d) not in whole}, deleted + sum(parts.values()))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleskein.functions import timeexpr
-from teleskein.schemas import TABLES, TIME_COLUMN, check_signal
+from teleskein.manifest import Content
+from teleskein.schemas import SIGNALS, TABLES, TIME_COLUMN, check_signal
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,7 @@ def restrict(rows: DataFrame, signal: str, options: QueryOptions) -> DataFrame:
 
     Tables are partitioned by ``date``, which the optimizer cannot derive from the time
     column, so each time bound brings the date bound it implies: partitions outside it are
-    not read. :func:`dates` keeps a store from listing them.
+    not read. :func:`scan_store` keeps a store from listing them.
     """
     time = F.col(TIME_COLUMN[check_signal(signal)])
     if options.service is not None:
@@ -72,14 +74,13 @@ def restrict(rows: DataFrame, signal: str, options: QueryOptions) -> DataFrame:
     return rows
 
 
-def dates(options: QueryOptions) -> dict[str, str | None]:
-    """The first and last date that can hold rows of the options, for ``SignalStore.table``;
-    a bound that is a column is left to the filter."""
-
-    def date(value: datetime | Column | None) -> str | None:
-        return value.date().isoformat() if isinstance(value, datetime) else None
-
-    return {"since": date(options.since), "until": date(options.until)}
+def resolved(spark, options: QueryOptions) -> QueryOptions:
+    """The options with bounds that are expressions of constants replaced by their values."""
+    bounds = {k: v for k, v in (("since", options.since), ("until", options.until)) if isinstance(v, Column)}
+    if not bounds:
+        return options
+    one = spark.createDataFrame([(0,)], "x int").select(*[v.cast("timestamp_ntz").alias(k) for k, v in bounds.items()])
+    return replace(options, **one.first().asDict())
 
 
 # Columns that settle the order of rows with equal times, so that limits are repeatable.
@@ -111,8 +112,59 @@ def scan(rows: DataFrame, signal: str, options: QueryOptions = QueryOptions()) -
 
 
 def scan_store(store, signal: str, options: QueryOptions = QueryOptions()) -> DataFrame:
-    """A scan of a store's table that lists the folders of its own dates only."""
-    return scan(store.table(signal, **dates(options)), signal, options)
+    """A scan of a store's table: folders that the manifest's statistics rule out are not
+    listed, and with a limit no dates beyond those that give enough rows are read."""
+    options = resolved(store.spark, options)
+    content = store.selected(signal, options.since, options.until, options.service)
+    if options.limit is not None and options.limit > 0:
+        content = _enough(store, signal, options, content)
+    return scan(store.raw(signal, content=content), signal, options)
+
+
+def _enough(store, signal: str, options: QueryOptions, content: Content) -> Content:
+    """The earliest dates that hold ``limit`` rows.
+
+    Where statistics settle how many rows of a date qualify (no bound cuts through it, one
+    service, nothing deleted) they are added up; other dates are counted, in runs of growing
+    length, up to the rows still wanted.
+    """
+    by_date: dict[str, dict] = {}
+    for (batch, date), stats in content.folders.items():
+        by_date.setdefault(date, {})[batch, date] = stats
+
+    def known(date: str) -> int | None:
+        total = 0
+        for (batch, _), stats in by_date[date].items():
+            alone = options.service is None or stats.first == stats.last == options.service
+            if not alone or not stats.within(options.since, options.until) or content.deleted_from(batch):
+                return None
+            total += stats.rows
+        return total
+
+    chosen: dict = {}
+    dates, wanted, run = sorted(by_date), options.limit, 1
+    while dates and wanted > 0:
+        count = known(dates[0])
+        taken = dates[: 1 if count is not None else run]
+        part = {k: s for d in taken for k, s in by_date[d].items()}
+        if count is None:
+            rows = restrict(store.raw(signal, content=Content(part, content.deletions)), signal, options)
+            count, run = rows.select(F.lit(1)).limit(wanted).count(), 2 * run
+        chosen.update(part)
+        dates, wanted = dates[len(taken) :], wanted - count
+    return Content(chosen, content.deletions)
+
+
+def count_store(store, signals: Sequence[str] = SIGNALS) -> DataFrame:
+    """Rows of each table: from the manifest, but for batches with pending deletions."""
+    counts = []
+    for signal in signals:
+        content = store.content(signal)
+        read = {k: s for k, s in content.folders.items() if content.deleted_from(k[0])}
+        known = sum(s.rows for k, s in content.folders.items() if k not in read)
+        rows = store.raw(signal, content=Content(read, content.deletions)).count() if read else 0
+        counts.append((signal, known + rows))
+    return store.spark.createDataFrame(counts, "signal string, rows bigint")
 
 
 def scan_traces(rows: DataFrame, options: QueryOptions = QueryOptions()) -> DataFrame:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyarrow import fs
 
 
 # Names that Hadoop gives to storage known here under another one.
 SCHEMES = {"s3a": "s3", "s3n": "s3"}
+# Small files that are opened side by side.
+SIDE_BY_SIDE = 32
 # Suffixes that Spark's text reader unpacks; such files have no byte offsets to follow.
 COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate", ".xz")
 
@@ -84,20 +89,67 @@ def put_json(folder: str, name: str, value: dict) -> None:
     system.move(hidden, final)
 
 
+def create_json(spark, folder: str, name: str, value: dict) -> bool:
+    """Like :func:`put_json`, but False where a record of that name exists already.
+
+    Of several writers exactly one gets True: a hard link on a local file system, else
+    Hadoop's rename without overwrite, which is atomic on HDFS. Object stores have no such
+    step; there a store should have one writer.
+    """
+    system, inner = resolve(folder)
+    system.create_dir(inner, recursive=True)
+    hidden, final = f"{inner}/.{name}-{uuid.uuid4().hex}.tmp", f"{inner}/{name}.json"
+    with system.open_output_stream(hidden) as out:
+        out.write(json.dumps(value).encode())
+    try:
+        if isinstance(system, fs.LocalFileSystem):
+            os.link(hidden, final)
+            return True
+        return _renamed(spark, folder.rstrip("/"), hidden.rsplit("/", 1)[1], f"{name}.json")
+    except FileExistsError:
+        return False
+    finally:
+        drop_file(f"{folder}/{hidden.rsplit('/', 1)[1]}")
+
+
+def _renamed(spark, folder: str, old: str, new: str) -> bool:
+    from py4j.protocol import Py4JJavaError
+
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    hadoop = jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    context = hadoop.FileContext.getFileContext(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.NONE
+    try:
+        context.rename(hadoop.Path(path, old), hadoop.Path(path, new), options)
+    except Py4JJavaError as failure:
+        if "FileAlreadyExists" in str(failure.java_exception):
+            return False
+        raise
+    return True
+
+
 def drop_file(path: str) -> None:
     system, inner = resolve(path)
     if system.get_file_info(inner).type == fs.FileType.File:
         system.delete_file(inner)
 
 
-def get_json(folder: str) -> dict[str, dict]:
-    """All small records of a folder by name, in order of names."""
-    system, inner = resolve(folder)
-    out = {}
-    for name in sorted(n for n in children(folder) if n.endswith(".json") and not n.startswith(".")):
-        with system.open_input_stream(f"{inner}/{name}") as source:
-            out[name[: -len(".json")]] = json.loads(source.read())
-    return out
+def names(folder: str) -> list[str]:
+    """Names of the small records of a folder, in order."""
+    return sorted(n[: -len(".json")] for n in children(folder) if n.endswith(".json") and not n.startswith("."))
+
+
+def read_json(path: str) -> dict:
+    return json.loads(read_text(path))
+
+
+def get_json(folder: str, wanted: list[str] | None = None) -> dict[str, dict]:
+    """Small records of a folder by name (all of them, or those ``wanted``), in that order."""
+    chosen = names(folder) if wanted is None else wanted
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return dict(zip(chosen, pool.map(lambda n: read_json(f"{folder}/{n}.json"), chosen), strict=True))
 
 
 def read_text(path: str) -> str:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import logging
 import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -233,8 +234,9 @@ def ingest_new(
 def rebuild(store: SignalStore, root: str, options: IngestOptions = IngestOptions()) -> IngestReport:
     """Ingest everything again from byte 0, complete last lines included, into a new version,
     then switch readers to it."""
-    number = store.state.sequence + 1
-    version, epoch = f"v{number}", f"e{number}"
+    # Names of its own: of two rebuilds at a time neither writes into the other's folders.
+    own = f"{store.state.sequence + 1}-{uuid.uuid4().hex[:8]}"
+    version, epoch = f"v{own}", f"e{own}"
     for signal in SIGNALS:
         paths.make_dir(store.table_path(signal, version))
     report = ingest_new(store, root, replace(options, final_line=True), version, epoch)

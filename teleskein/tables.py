@@ -7,22 +7,26 @@ write leaves the table as one write does. The current version and cursor epoch a
 newest record of ``<root>/_state``; a record appears whole, so clearing and rebuilding switch
 readers over in one step.
 
-``_manifest`` says which folders are read. A record names the batch it adds, its dates, and the
-(batch, date) folders it hides; it appears whole after the batch is written, so compaction and
-pruning switch readers in one step too, and a scan lists the folders of its own dates only.
-:meth:`SignalStore.vacuum` folds the records into one and deletes folders that are not read.
+``_manifest`` says which folders are read, with statistics (:mod:`teleskein.manifest`). A record
+appears whole after its batch is written, so compaction and pruning switch readers in one step
+too, and a scan lists only folders that can hold rows of its dates, times and service.
+:meth:`SignalStore.vacuum` folds the records and deletes folders that are not read.
 """
 
 from __future__ import annotations
 
+import contextlib
 import time
 import uuid
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from teleskein.manifest import Content, Deletion, Manifest, Stats, folder_stats
 from teleskein.schemas import INGEST_CURSORS, SIGNALS, TABLES, check_signal
 from teleskein.session import scratch_dir
 from teleskein.sources import paths
@@ -38,12 +42,17 @@ class State:
     epoch: str
 
 
+class SwitchedMeanwhile(RuntimeError):
+    """Another writer made a record of the same number first; nothing was changed."""
+
+
 class SignalStore:
     """Opened tables. ``root=None`` makes a throw-away store in the scratch folder."""
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
         self.root = paths.checked(spark, root or scratch_dir(spark, "store")).rstrip("/")
+        self._manifests: dict[tuple[str, str], Manifest] = {}
         self.create()
 
     # --- layout ---
@@ -51,25 +60,26 @@ class SignalStore:
     def create(self) -> None:
         """Make what is missing; safe to repeat."""
         if self._states() is None:
-            self._add_state(State(0, "v0", "e0"))
+            with contextlib.suppress(SwitchedMeanwhile):  # made by another one: as good
+                self._add_state(State(0, "v0", "e0"))
         for signal in SIGNALS:
             paths.make_dir(self.table_path(signal))
 
     def _states(self) -> State | None:
-        records = paths.get_json(f"{self.root}/_state")
-        return State(**list(records.values())[-1]) if records else None
+        numbers = paths.names(f"{self.root}/_state")
+        return State(**paths.read_json(f"{self.root}/_state/{numbers[-1]}.json")) if numbers else None
 
     def _add_state(self, state: State) -> None:
-        if paths.exists(f"{self.root}/_state/{state.sequence:012d}.json"):
-            raise RuntimeError("another writer has switched this store meanwhile")
-        paths.put_json(f"{self.root}/_state", f"{state.sequence:012d}", asdict(state))
+        if not paths.create_json(self.spark, f"{self.root}/_state", f"{state.sequence:012d}", asdict(state)):
+            raise SwitchedMeanwhile("another writer has switched this store meanwhile")
 
     @property
     def state(self) -> State:
         return self._states()
 
     def switch(self, version: str | None = None, epoch: str | None = None) -> State:
-        """Make another version or cursor epoch the current one."""
+        """Make another version or cursor epoch the current one. Of two writers that switch
+        from the same state one fails, with nothing changed."""
         old = self.state
         new = State(old.sequence + 1, version or old.version, epoch or old.epoch)
         for signal in SIGNALS:
@@ -85,50 +95,67 @@ class SignalStore:
 
     # --- manifest ---
 
-    def _manifest(self, signal: str, version: str | None = None) -> str:
-        return f"{self.root}/_manifest/{version or self.state.version}/{check_signal(signal)}"
+    def manifest(self, signal: str, version: str | None = None) -> Manifest:
+        key = version or self.state.version, check_signal(signal)
+        if key not in self._manifests:
+            self._manifests[key] = Manifest(self.spark, f"{self.root}/_manifest/{key[0]}/{key[1]}")
+        return self._manifests[key]
 
-    def record(self, signal: str, batch: str, dates: list[str], hides: list[list[str]] = (), version: str | None = None) -> None:
-        """Switch readers: ``batch`` is read from now on, the folders in ``hides`` are not."""
-        entry = {"batch": batch, "dates": sorted(dates), "hides": sorted(hides)}
-        paths.put_json(self._manifest(signal, version), f"add-{batch}", entry)
+    def record(
+        self, signal: str, batch: str, folders: dict[str, Stats], hides: Iterable[tuple[str, str]] = (), version: str | None = None,
+        deletions: Iterable[Deletion] = (),
+    ) -> None:
+        """Switch readers: ``batch`` is read from now on, the folders in ``hides`` are not, and
+        ``deletions`` are subtracted."""
+        self.manifest(signal, version).add(batch, folders, hides, deletions)
 
     def folders(self, signal: str, version: str | None = None) -> set[tuple[str, str]]:
         """The (batch, date) folders that are read."""
-        live, hidden, _ = self._folded(signal, version)
-        return live - hidden
-
-    def _folded(self, signal: str, version: str | None = None) -> tuple[set, set, list[str]]:
-        records = paths.get_json(self._manifest(signal, version))
-        folds = sorted(n for n in records if n.startswith("fold-"))
-        fold = records[folds[-1]] if folds else {"live": [], "hidden": [], "records": []}
-        live, hidden = {tuple(x) for x in fold["live"]}, {tuple(x) for x in fold["hidden"]}
-        for name, entry in records.items():
-            if not name.startswith("fold-") and name not in fold["records"]:
-                live |= {(entry["batch"], d) for d in entry["dates"]}
-                hidden |= {tuple(x) for x in entry["hides"]}
-        return live, hidden, list(records)
+        return set(self.content(signal, version).folders)
+
+    def content(self, signal: str, version: str | None = None, since: str | None = None, until: str | None = None) -> Content:
+        """Folders of the dates with their statistics, and deletions not yet written out."""
+        return self.manifest(signal, version).content(since, until)
 
     # --- reading ---
 
     def raw(
         self, signal: str, version: str | None = None, since: str | None = None, until: str | None = None,
-        only: set[tuple[str, str]] | None = None,
+        only: set[tuple[str, str]] | None = None, content: Content | None = None,
     ) -> DataFrame:
         """The table with its ``ingest_batch`` column; dates outside ``since`` to ``until``
-        (text, inclusive) are not even listed, nor are folders other than ``only``."""
+        (text, inclusive) are not even listed, nor are folders other than ``only``. ``content``
+        is what the manifest said, where the caller has asked it already."""
+        from teleskein.operators.retention import expired
+
         version = version or self.state.version
         schema = T.StructType(
             [*TABLES[check_signal(signal)].fields, T.StructField("ingest_batch", T.StringType())]
         )
-        chosen = [
-            (b, d) for b, d in self.folders(signal, version) if (since or d) <= d <= (until or d) and (only is None or (b, d) in only)
-        ]
+        content = content or self.content(signal, version, since, until)
+        chosen = [(b, d) for b, d in content.folders if (since or d) <= d <= (until or d) and (only is None or (b, d) in only)]
         if not chosen:
             return self.spark.createDataFrame([], schema)
         table = self.table_path(signal, version)
         found = [f"{table}/ingest_batch={b}/date={d}" for b, d in sorted(chosen)]
-        return self.spark.read.schema(schema).option("basePath", table).parquet(*found)
+        rows = self.spark.read.schema(schema).option("basePath", table).parquet(*found)
+        present = {b for b, _ in chosen}
+        for deletion in content.deletions:
+            batches = sorted(present.intersection(deletion.batches))
+            # Only batches that have folders up to the cutoff's date can hold such rows.
+            if any(b in batches and d <= deletion.cutoff[:10] for b, d in chosen):
+                cutoff = F.lit(deletion.cutoff).cast("timestamp_ntz")
+                rows = rows.filter(~(expired(signal, cutoff, deletion.service) & F.col("ingest_batch").isin(batches)))
+        return rows
+
+    def selected(
+        self, signal: str, since: datetime | None = None, until: datetime | None = None, service: str | None = None
+    ) -> Content:
+        """What can hold rows of the times (both inclusive) and the service, by statistics."""
+        dates = [None if t is None else t.date().isoformat() for t in (since, until)]
+        content = self.content(signal, None, *dates)
+        kept = {k: s for k, s in content.folders.items() if not s.apart(since, until, service)}
+        return Content(kept, content.deletions)
 
     def table(self, signal: str, since: str | None = None, until: str | None = None) -> DataFrame:
         return self.raw(signal, None, since, until).select(*TABLES[signal].fieldNames())
@@ -171,7 +198,7 @@ class SignalStore:
     # --- writing ---
 
     def append(
-        self, signal: str, rows: DataFrame, batch: str | None = None, version: str | None = None, hides: list[list[str]] = ()
+        self, signal: str, rows: DataFrame, batch: str | None = None, version: str | None = None, hides: Iterable[tuple[str, str]] = ()
     ) -> str:
         """Add rows as one ingest batch; a batch of the same name is replaced. Folders in
         ``hides`` stop being read at the moment the batch starts to be.
@@ -195,39 +222,37 @@ class SignalStore:
             .partitionBy("date")
             .parquet(target)
         )
-        self.record(signal, batch, self.written_dates(signal, batch, version), hides, version)
+        self.record(signal, batch, folder_stats(self.spark, target, signal), hides, version)
         return batch
 
-    def written_dates(self, signal: str, batch: str, version: str | None = None) -> list[str]:
-        folder = f"{self.table_path(signal, version)}/ingest_batch={batch}"
-        return [n.removeprefix("date=") for n in paths.children(folder) if n.startswith("date=")]
-
     def batch_count(self, signal: str, batch: str, version: str | None = None) -> int:
-        """Rows of one ingest batch, from the file footers."""
-        folder = f"{self.table_path(signal, version)}/ingest_batch={batch}"
-        if not any(n.startswith("date=") for n in paths.children(folder)):
-            return 0
-        return self.spark.read.schema(TABLES[signal]).parquet(folder).count()
+        """Rows of one ingest batch as it was written, by the manifest."""
+        return sum(s.rows for (b, _), s in self.content(signal, version).folders.items() if b == batch)
 
     def batches(self, signal: str) -> list[str]:
         """Names of the ingest batches that are read."""
         return sorted({b for b, _ in self.folders(signal)})
 
     def compact(self, signal: str, batches: list[str] | None = None) -> str | None:
-        """Merge the folders of each date that has several (of ``batches``, if named) into one.
+        """Merge the folders of each date that has several (of ``batches``, if named) into one,
+        and write out deletions.
 
         Readers see either the old folders or the merged ones, never both.
         """
+        version = self.state.version
+        content = self.content(signal, version)
         by_date: dict[str, list[str]] = {}
-        for batch, date in self.folders(signal):
+        for batch, date in content.folders:
             if batches is None or batch in batches:
                 by_date.setdefault(date, []).append(batch)
-        chosen = {(b, d) for d, found in by_date.items() if len(found) > 1 for b in found}
+        chosen = {
+            (b, d) for d, found in by_date.items() for b in found
+            if len(found) > 1 or any(b in x.batches and d <= x.cutoff[:10] for x in content.deletions)
+        }
         if not chosen:
             return None
-        version = self.state.version
-        rows = self.raw(signal, version, only=chosen)
-        return self.append(signal, rows, f"{MERGED}{uuid.uuid4().hex}", version, [list(x) for x in chosen])
+        rows = self.raw(signal, version, only=chosen, content=content)
+        return self.append(signal, rows, f"{MERGED}{uuid.uuid4().hex}", version, chosen)
 
     def vacuum(self) -> None:
         """Fold the records, and delete what nothing reads any more: old versions, hidden
@@ -238,16 +263,9 @@ class SignalStore:
                 paths.drop_dir(f"{self.root}/{name}")
                 paths.drop_dir(f"{self.root}/_manifest/{name}")
         for signal in SIGNALS:
-            live, hidden, names = self._folded(signal, state.version)
-            last = self.last_batch_number(signal)
-            # The last streaming batch may be written once more: what was hidden of it stays so.
-            again = {x for x in hidden if x[0] == f"{state.epoch}-{last}"}
-            folder = self._manifest(signal, state.version)
-            value = {"live": sorted(live - hidden), "hidden": sorted(again), "records": names, "last": last}
-            paths.put_json(folder, f"fold-{time.time_ns():020d}", value)
-            for name in names:
-                paths.drop_file(f"{folder}/{name}.json")
-            for batch, date in hidden:
+            manifest, last = self.manifest(signal, state.version), self.last_batch_number(signal)
+            manifest.fold()
+            for batch, date in manifest.waste():
                 paths.drop_dir(f"{self.table_path(signal)}/ingest_batch={batch}/date={date}")
             for name, entry in paths.get_json(f"{self.root}/_prunes").items():
                 if entry["signal"] == signal and (entry["epoch"] != state.epoch or entry["upto"] < last):
@@ -258,20 +276,26 @@ class SignalStore:
 
     def last_batch_number(self, signal: str) -> int:
         """Highest streaming batch of the current epoch written so far; -1 if none."""
-        prefix = f"{self.state.epoch}-"
-        records = paths.get_json(self._manifest(signal))
-        numbers = [int(r["batch"][len(prefix) :]) for r in records.values() if r.get("batch", "").startswith(prefix)]
-        return max([*numbers, *(r.get("last", -1) for r in records.values())], default=-1)
+        return self.manifest(signal).last_number(f"{self.state.epoch}-")
 
     # --- clearing ---
 
     def clear_signal_tables(self) -> None:
         """Empty the three tables; cursors stay."""
-        self.switch(version=f"v{self.state.sequence + 1}")
+        self._switched(lambda: self.switch(version=f"v{self.state.sequence + 1}-{uuid.uuid4().hex[:8]}"))
 
     def clear_cursors(self) -> None:
         """Forget how far files were read; rows stay."""
-        self.switch(epoch=f"e{self.state.sequence + 1}")
+        self._switched(lambda: self.switch(epoch=f"e{self.state.sequence + 1}-{uuid.uuid4().hex[:8]}"))
+
+    @staticmethod
+    def _switched(switch, tries: int = 20) -> None:
+        """Clearing does not depend on the state before, so it is tried again."""
+        for _ in range(tries):
+            with contextlib.suppress(SwitchedMeanwhile):
+                switch()
+                return
+        switch()
 
     # --- prune log ---
 
