@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyarrow import fs
@@ -81,12 +82,18 @@ def sizes(path: str) -> dict[str, int]:
 
 def put_json(folder: str, name: str, value: dict) -> None:
     """Write a small record under a name of its own; it appears whole or not at all."""
+    put_text(folder, f"{name}.json", [json.dumps(value)])
+
+
+def put_text(folder: str, name: str, pieces: Iterable[str]) -> None:
+    """A file that appears whole or not at all; one of that name is replaced."""
     system, inner = resolve(folder)
     system.create_dir(inner, recursive=True)
-    hidden, final = f"{inner}/.{name}.tmp", f"{inner}/{name}.json"
+    hidden = f"{inner}/.{name}.tmp"
     with system.open_output_stream(hidden) as out:
-        out.write(json.dumps(value).encode())
-    system.move(hidden, final)
+        for piece in pieces:
+            out.write(piece.encode())
+    system.move(hidden, f"{inner}/{name}")
 
 
 def create_json(spark, folder: str, name: str, value: dict) -> bool:

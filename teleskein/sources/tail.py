@@ -3,6 +3,12 @@
 Spark's own file source reads a file once; a collector keeps appending to the same file. This
 source keeps a byte offset per file, reads only complete lines beyond it, and cuts large
 stretches into several partitions that start and end on line borders.
+
+The stream's offset is a version number, whatever the number of files. What it stands for lies
+in a folder of small files: ``delta-<version>`` holds the stretches that a version adds, one
+line a file, written before the version is handed out; every ``SNAPSHOT_EVERY`` versions
+``snap-<version>`` holds all offsets, without those of files that are gone by then. A file that
+comes back after it was forgotten is read from its start.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from teleskein.sources import paths
 READ_BYTES = 4 << 20
 SPLIT_BYTES = 64 << 20
 log = logging.getLogger(__name__)
+# Versions between two snapshots of all offsets.
+SNAPSHOT_EVERY = 32
 # Files looked at side by side for their last newline.
 PROBES = 32
 
@@ -39,9 +47,10 @@ class Stretch(InputPartition):
 
 
 class TailSource(DataSource):
-    """``format("tail_lines")``: options ``path``, ``split_bytes``, ``max_bytes`` per trigger,
-    ``position``, the offsets (JSON) a restarted query continues from, and ``final_line``: a
-    file's rest without a newline counts as a line if it is one whole JSON value.
+    """``format("tail_lines")``: options ``path``, ``positions``, the folder that keeps the
+    offsets, ``version``, the one that a restarted query continues from, ``split_bytes``,
+    ``max_bytes`` per trigger, and ``final_line``: a file's rest without a newline counts as a
+    line if it is one whole JSON value.
 
     All files below the path are followed but hidden ones, as Spark's readers do; a compressed
     file has no offsets to follow and is an error."""
@@ -81,27 +90,78 @@ def is_whole(system, path: str, begin: int, size: int) -> bool:
     return True
 
 
+class Positions:
+    """Byte offsets of all followed files, by version."""
+
+    def __init__(self, folder: str, version: int = 0) -> None:
+        self.folder, self.version = folder, version
+        self.offsets: dict[str, int] = {}
+        for name in position_files(folder, version):
+            self.offsets.update((path, end) for path, _, end in self._lines(name))
+
+    def _lines(self, name: str) -> Iterator[tuple[str, int, int]]:
+        for line in paths.read_text(f"{self.folder}/{name}").splitlines():
+            entry = json.loads(line)
+            yield entry["path"], entry["begin"], entry["end"]
+
+    def _put(self, name: str, entries: Iterator[tuple[str, int, int]]) -> None:
+        lines = (json.dumps({"path": p, "begin": b, "end": e}) + "\n" for p, b, e in entries)
+        paths.put_text(self.folder, name, lines)
+
+    def advance(self, moved: dict[str, tuple[int, int]], present: set[str]) -> None:
+        """The next version: ``moved`` gives the stretch that each changed file adds."""
+        self.version += 1
+        self._put(f"delta-{self.version:012d}.jsonl", ((p, b, e) for p, (b, e) in sorted(moved.items())))
+        self.offsets.update((p, e) for p, (_, e) in moved.items())
+        if self.version % SNAPSHOT_EVERY == 0:
+            self.offsets = {p: e for p, e in self.offsets.items() if p in present}
+            self._put(f"snap-{self.version:012d}.jsonl", ((p, 0, e) for p, e in sorted(self.offsets.items())))
+
+    def stretches(self, start: int, end: int) -> Iterator[tuple[str, int, int]]:
+        """What the versions after ``start`` up to ``end`` add."""
+        for version in range(start + 1, end + 1):
+            yield from self._lines(f"delta-{version:012d}.jsonl")
+
+    def forget(self, version: int) -> None:
+        """Drop the files that neither ``version`` nor a later one needs."""
+        needed = set(position_files(self.folder, version))
+        for name in paths.children(self.folder):
+            if name.endswith(".jsonl") and not name.startswith(".") and _number(name) <= version and name not in needed:
+                paths.drop_file(f"{self.folder}/{name}")
+
+
+def _number(name: str) -> int:
+    return int(name.split("-")[1].split(".")[0])
+
+
+def position_files(folder: str, version: int) -> list[str]:
+    """The newest snapshot up to ``version`` and the deltas after it, in order."""
+    found = sorted(n for n in paths.children(folder) if n.endswith(".jsonl") and not n.startswith(".") and _number(n) <= version)
+    snaps = [n for n in found if n.startswith("snap-")]
+    since = _number(snaps[-1]) if snaps else 0
+    return snaps[-1:] + [n for n in found if n.startswith("delta-") and _number(n) > since]
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options) -> None:
         self.path = options["path"]
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         self.max_bytes = int(options.get("max_bytes", 0))
         self.final_line = str(options.get("final_line", "false")).lower() == "true"
-        self.position: dict[str, int] = json.loads(options.get("position") or "{}")
+        self.positions = Positions(options["positions"], int(options.get("version", 0)))
         self.served = ""
 
     def initialOffset(self) -> dict:
-        return {}
+        return {"version": 0}
 
     def latestOffset(self) -> dict:
-        """Complete lines available per file. Files that have gone keep their offset; a file
-        that has become shorter than its offset starts over."""
+        """A new version where complete lines have been added. A file that has become shorter
+        than its offset starts over."""
         system, _ = paths.resolve(self.path)
-        latest = dict(self.position)
+        known_offsets, moved = self.positions.offsets, {}
         budget = self.max_bytes or None
-        changed = [
-            (path, size) for path, size in sorted(paths.sizes(self.path).items()) if size != self.position.get(path, 0)
-        ]
+        found = paths.sizes(self.path)
+        changed = [(path, size) for path, size in sorted(found.items()) if size != known_offsets.get(path, 0)]
         if packed := [path for path, _ in changed if path.endswith(paths.COMPRESSED)]:
             raise ValueError(f"{packed[0]} is compressed and cannot be followed; read it with scan_all")
         # With a budget every file gets its turn: begin behind the one served last.
@@ -109,7 +169,7 @@ class TailReader(DataSourceStreamReader):
 
         def complete(item: tuple[str, int]) -> tuple[str, int, int]:
             path, size = item
-            known = self.position.get(path, 0)
+            known = known_offsets.get(path, 0)
             start = known if size > known else 0
             if size < known:
                 log.warning("%s was cut from %d to %d bytes; it is read from its start again", path, known, size)
@@ -132,21 +192,23 @@ class TailReader(DataSourceStreamReader):
                     if budget is not None:
                         budget = max(0, budget - (end - start))
                         self.served = path
-                    if end > start or start < self.position.get(path, 0):
-                        latest[path] = end
-        self.position = latest
-        return latest
+                    if end > start or start < known_offsets.get(path, 0):
+                        moved[path] = start, end
+        if moved:
+            self.positions.advance(moved, set(found))
+        return {"version": self.positions.version}
 
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
         out = []
-        for path, upto in end.items():
-            begin = start.get(path, 0)
-            if begin > upto:
-                begin = 0
+        for path, begin, upto in self.positions.stretches(start["version"], end["version"]):
             for at in range(begin, upto, self.split_bytes):
                 out.append(Stretch(path, at, min(at + self.split_bytes, upto), at == begin, upto))
         return out
 
+    def commit(self, end: dict) -> None:
+        # Up to the version before, which a repeat of the last micro-batch starts from.
+        self.positions.forget(end["version"] - 1)
+
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         system, _ = paths.resolve(self.path)
         with system.open_input_file(partition.path) as handle:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import logging
 import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -64,23 +65,26 @@ def _numbers(folder: str) -> list[int]:
     return sorted(int(n) for n in paths.children(folder) if n.isdigit())
 
 
-def logged_offsets(checkpoint: str, committed: bool = False) -> dict[str, int]:
-    """Offsets of the newest logged (or newest committed) micro-batch."""
+def logged_version(checkpoint: str, committed: bool = False) -> int:
+    """The source's version at the newest logged (or newest committed) micro-batch."""
     numbers = _numbers(f"{checkpoint}/{'commits' if committed else 'offsets'}")
     if not numbers:
-        return {}
+        return 0
     text = paths.read_text(f"{checkpoint}/offsets/{numbers[-1]}").splitlines()[-1]
-    return {} if text == "-" else json.loads(text)
+    return 0 if text == "-" else json.loads(text)["version"]
 
 
-def committed_offsets(spark: SparkSession, checkpoint: str) -> DataFrame | None:
-    """File path and byte offset of every followed file, read from the offset log."""
-    numbers = _numbers(f"{checkpoint}/commits")
-    if not numbers:
+def committed_offsets(spark: SparkSession, checkpoint: str, positions: str) -> DataFrame | None:
+    """File path and byte offset of every followed file, read by tasks from the newest snapshot
+    and the deltas since."""
+    version = logged_version(checkpoint, committed=True)
+    files = [f"{positions}/{n}" for n in tail.position_files(positions, version)] if version else []
+    if not files:
         return None
-    text = spark.read.text(f"{checkpoint}/offsets/{numbers[-1]}", wholetext=True)
-    offsets = F.from_json(F.element_at(F.split(F.rtrim("value"), "\n"), -1), "map<string,bigint>")
-    return text.select(F.explode(offsets).alias("file_path", "byte_offset"))
+    lines = spark.read.schema("path string, begin bigint, end bigint").json(files)
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"-(\d+)\.jsonl$", 1)
+    newest = lines.select("path", "end", number.alias("number")).groupBy("path").agg(F.max_by("end", "number").alias("end"))
+    return newest.select(F.col("path").alias("file_path"), F.col("end").alias("byte_offset"))
 
 
 # --- one query per signal ---
@@ -90,7 +94,8 @@ def committed_offsets(spark: SparkSession, checkpoint: str) -> DataFrame | None:
 class IngestOptions:
     """``max_bytes`` bounds a micro-batch (0: all there is), the rest follows in the next ones;
     ``keep_rejects`` stores refused lines beside the tables; ``final_line`` takes a file's last
-    line without its newline if it is whole JSON."""
+    line without its newline if it is whole JSON; ``isolate`` puts lines aside that make their
+    micro-batch fail, instead of failing it."""
 
     max_bytes: int = 64 << 30
     final_line: bool = False
@@ -98,10 +103,11 @@ class IngestOptions:
     strict: bool = True
     on_missing_time: str = "fail"
     keep_rejects: bool = True
+    isolate: bool = False
 
 
 def tail_lines(
-    spark: SparkSession, folder: str, options: IngestOptions, position: dict[str, int] | None = None
+    spark: SparkSession, folder: str, options: IngestOptions, positions: str, version: int = 0
 ) -> DataFrame:
     """The followed lines as a stream: ``file``, ``value`` and the micro-batch's time."""
     # Python workers get the source itself, so they need no copy of this package.
@@ -114,7 +120,8 @@ def tail_lines(
         .option("max_bytes", options.max_bytes)
         .option("split_bytes", options.split_bytes)
         .option("final_line", options.final_line)
-        .option("position", json.dumps(position or {}))
+        .option("positions", positions)
+        .option("version", version)
         .load()
         .select(
             "file",
@@ -125,6 +132,36 @@ def tail_lines(
     )
 
 
+# Probes after which the search for lines that fail is given up.
+MOST_PROBES = 400
+
+
+def failing_hashes(lines: DataFrame, fails: Callable[[DataFrame], bool], most: int = MOST_PROBES) -> list[tuple[int, int]] | None:
+    """Ranges of the lines' hashes such that all lines in them fail, each by itself.
+
+    The hash range is halved until a part that fails holds equal lines only, so a bad line
+    costs some two probes for each doubling of the lines. A part counts as bad if it fails
+    twice: what fails once may be the cluster's fault. None where nothing fails, or too much.
+    """
+    hashed = lines.withColumn("line_hash", F.xxhash64("value"))
+    todo, found, probes = [(-(2**63), 2**63 - 1)], [], 0
+    while todo:
+        low, high = todo.pop()
+        part = hashed.filter(F.col("line_hash").between(low, high))
+        probes += 1
+        if probes > most:
+            return None
+        if not fails(part.drop("line_hash")):
+            continue
+        if low == high or part.select("line_hash").distinct().limit(2).count() < 2:
+            if fails(part.drop("line_hash")):
+                found.append((low, high))
+        else:
+            middle = (low + high) // 2
+            todo += [(middle + 1, high), (low, middle)]
+    return found or None
+
+
 def _write_batch(
     store: SignalStore,
     signal: str,
@@ -137,22 +174,48 @@ def _write_batch(
         # The files are read once, whatever is made of their lines.
         lines = lines.persist(StorageLevel.DISK_ONLY)
         try:
-            write_lines(lines, number)
+            try:
+                write_lines(lines, number)
+            except Exception:
+                if not options.isolate:
+                    raise
+                bad = failing_hashes(lines, fails)
+                if bad is None:
+                    raise
+                put_aside(lines, bad, number)
         finally:
             lines.unpersist()
 
+    def decode(lines: DataFrame):
+        accepted = accept_lines(lines, signal, strict=options.strict)
+        return accepted, lambda seen: decode_accepted(
+            seen, signal, now=F.col("ingested_at"), on_missing_time=options.on_missing_time, keep=("ingested_at",)
+        )
+
+    def fails(lines: DataFrame) -> bool:
+        accepted, decoded = decode(lines)
+        try:
+            decoded(accepted).rows.write.format("noop").mode("overwrite").save()
+        except Exception:
+            return True
+        return False
+
+    def put_aside(lines: DataFrame, bad: list[tuple[int, int]], number: int) -> None:
+        hit = F.lit(False)
+        for low, high in bad:
+            hit = hit | F.xxhash64("value").between(low, high)
+        target = f"{store.root}/_poisoned/{version}/{signal}/ingest_batch={epoch}-{number}"
+        lines.filter(hit).select("file", "value").write.mode("overwrite").parquet(target)
+        log.error("lines of %s that cannot be decoded were put aside: %s", signal, target)
+        write_lines(lines.filter(~hit), number)
+
     def write_lines(lines: DataFrame, number: int) -> None:
         batch = f"{epoch}-{number}"
         seen = Observation()
-        accepted = accept_lines(lines, signal, strict=options.strict).observe(
-            seen, F.count_if(rejected()).alias("rejected")
-        )
-        decoded = decode_accepted(
-            accepted, signal, now=F.col("ingested_at"), on_missing_time=options.on_missing_time,
-            keep=("ingested_at",),
-        )
+        accepted, decoded_from = decode(lines)
+        decoded = decoded_from(accepted.observe(seen, F.count_if(rejected()).alias("rejected")))
         rows = store.without_pruned(signal, decoded.rows, number, epoch)
-        store.append(signal, rows, batch, version)
+        written = store.add_batch(signal, rows, batch, version)
         refused = seen.get["rejected"] or 0
         if options.keep_rejects and refused:
             decoded.rejects.select("file", "value").write.mode("overwrite").parquet(
@@ -162,7 +225,7 @@ def _write_batch(
             decoded.timeless.drop("ingested_at").write.mode("overwrite").parquet(
                 f"{store.root}/_timeless/{version}/{signal}/ingest_batch={batch}"
             )
-        report(store.batch_count(signal, batch, version), refused)
+        report(sum(s.rows for s in written.values()), refused)
 
     return write
 
@@ -184,7 +247,7 @@ def start_signal(
     state = store.state
     version, epoch = version or state.version, epoch or state.epoch
     checkpoint = store.checkpoint_path(signal, epoch)
-    lines = tail_lines(store.spark, folder, options, logged_offsets(checkpoint))
+    lines = tail_lines(store.spark, folder, options, store.positions_path(signal, epoch), logged_version(checkpoint))
     return (
         lines.writeStream.foreachBatch(_write_batch(store, signal, options, version, epoch, report))
         .option("checkpointLocation", checkpoint)
@@ -209,14 +272,20 @@ def ingest_new(
 
         return start_signal(store, root, signal, options, None, add, version, epoch)
 
-    def _more(signal: str, before: dict[str, int]) -> bool:
-        now = logged_offsets(store.checkpoint_path(signal, epoch))
-        found = paths.sizes(signal_dir(root, signal)) if options.max_bytes and now != before else {}
-        return any(size > now.get(path, 0) for path, size in found.items())
+    def version_of(signal: str) -> int:
+        return logged_version(store.checkpoint_path(signal, epoch))
+
+    def more(signal: str, before: int) -> bool:
+        now = version_of(signal)
+        if not options.max_bytes or now == before:
+            return False
+        offsets = tail.Positions(store.positions_path(signal, epoch), now).offsets
+        found = paths.sizes(signal_dir(root, signal))
+        return any(size > offsets.get(path, 0) for path, size in found.items())
 
     waiting = list(SIGNALS)
     while waiting:
-        before = {s: logged_offsets(store.checkpoint_path(s, epoch)) for s in waiting}
+        before = {s: version_of(s) for s in waiting}
         started = {s: run(s) for s in waiting}
         failures = []
         for query in filter(None, started.values()):
@@ -227,7 +296,7 @@ def ingest_new(
         if failures:
             raise failures[0]
         # With a cap per micro-batch, go on until a run finds nothing more.
-        waiting = [s for s in waiting if _more(s, before[s])]
+        waiting = [s for s in waiting if more(s, before[s])]
     return report
 
 
@@ -247,10 +316,15 @@ def rebuild(store: SignalStore, root: str, options: IngestOptions = IngestOption
 class PeriodicIngest:
     """Ingest at the start and then at an interval, one query per signal.
 
-    A failed query is logged and started again at the next tick of a watching thread; it
-    resumes at its cursor. Folders that appear later are followed from then on.
+    A failed query is logged and started again by a watching thread; it resumes at its cursor,
+    and from then on puts lines aside that make a micro-batch fail (``_poisoned`` beside the
+    tables), so that one bad line does not hold up the rest. What fails again waits twice as
+    long each time, up to ``MOST_WAIT`` intervals. Folders that appear later are followed from
+    then on.
     """
 
+    MOST_WAIT = 32
+
     def __init__(
         self,
         store: SignalStore,
@@ -265,6 +339,9 @@ class PeriodicIngest:
         self.report = IngestReport()
         self.queries: dict[str, StreamingQuery] = {}
         self.restarts = 0
+        # Failures of a signal since its last micro-batch that was written, and when to try again.
+        self.failures: dict[str, int] = dict.fromkeys(SIGNALS, 0)
+        self._due: dict[str, float] = dict.fromkeys(SIGNALS, 0.0)
         self._stopped, self._lock = threading.Event(), threading.Lock()
         if enabled:
             self.check()
@@ -287,14 +364,42 @@ class PeriodicIngest:
                     continue
                 if query is not None and query.exception() is not None:
                     log.error("ingest of %s failed, starting again: %s", signal, query.exception())
-                    self.restarts += 1
-
-                def add(rows: int, rejected: int, signal: str = signal) -> None:
-                    self.report.add(signal, rows, rejected)
-
-                started = start_signal(self.store, self.root, signal, self.options, self.trigger, add)
-                if started is not None:
-                    self.queries[signal] = started
+                    del self.queries[signal]
+                    self.failures[signal] += 1
+                    wait = min(self.MOST_WAIT, 2 ** (self.failures[signal] - 1)) - 1
+                    self._due[signal] = time.monotonic() + wait * self.seconds
+                if time.monotonic() >= self._due[signal]:
+                    self._start(signal)
+
+    def _start(self, signal: str) -> None:
+        def add(rows: int, rejected: int) -> None:
+            self.failures[signal] = 0
+            self.report.add(signal, rows, rejected)
+
+        failed = self.failures[signal] > 0
+        options = replace(self.options, isolate=self.options.isolate or failed)
+        started = start_signal(self.store, self.root, signal, options, self.trigger, add)
+        if started is not None:
+            self.restarts += failed
+            self.queries[signal] = started
+
+    def drain(self, timeout: float = 300.0) -> None:
+        """Return once all that the files hold now is ingested; failed queries are waited for."""
+        end = time.monotonic() + timeout
+        while True:
+            with self._lock:
+                waiting = [s for s in SIGNALS if paths.exists(signal_dir(self.root, s)) and s not in self.queries]
+                running = list(self.queries.values())
+            try:
+                for query in running:
+                    query.processAllAvailable()
+                if not waiting and all(q.isActive for q in running):
+                    return
+            except Exception:  # the watching thread starts it again
+                log.info("a query failed while its end was waited for")
+            if time.monotonic() > end:
+                raise TimeoutError(f"periodic ingest of {self.root} did not come to an end")
+            time.sleep(min(1.0, self.seconds))
 
     def stop(self) -> None:
         self._stopped.set()

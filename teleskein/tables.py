@@ -93,6 +93,9 @@ class SignalStore:
     def checkpoint_path(self, signal: str, epoch: str | None = None) -> str:
         return f"{self.root}/_checkpoints/{epoch or self.state.epoch}/{signal}"
 
+    def positions_path(self, signal: str, epoch: str | None = None) -> str:
+        return f"{self.root}/_positions/{epoch or self.state.epoch}/{signal}"
+
     # --- manifest ---
 
     def manifest(self, signal: str, version: str | None = None) -> Manifest:
@@ -164,7 +167,8 @@ class SignalStore:
         """``ingest_cursors``: committed byte offset per followed file."""
         from teleskein.streaming.ingest import committed_offsets
 
-        parts = [committed_offsets(self.spark, self.checkpoint_path(s)) for s in SIGNALS]
+        epoch = self.state.epoch
+        parts = [committed_offsets(self.spark, self.checkpoint_path(s, epoch), self.positions_path(s, epoch)) for s in SIGNALS]
         found = [p for p in parts if p is not None]
         if not found:
             return self.spark.createDataFrame([], INGEST_CURSORS)
@@ -208,6 +212,13 @@ class SignalStore:
         whole hot date.
         """
         batch = batch or f"load-{uuid.uuid4().hex}"
+        self.add_batch(signal, rows, batch, version, hides)
+        return batch
+
+    def add_batch(
+        self, signal: str, rows: DataFrame, batch: str, version: str | None = None, hides: Iterable[tuple[str, str]] = ()
+    ) -> dict[str, Stats]:
+        """The same for a named batch; what each of its dates holds, by the written footers."""
         fields = TABLES[check_signal(signal)].fields
         named = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
         for f in fields:
@@ -222,8 +233,9 @@ class SignalStore:
             .partitionBy("date")
             .parquet(target)
         )
-        self.record(signal, batch, folder_stats(self.spark, target, signal), hides, version)
-        return batch
+        written = folder_stats(self.spark, target, signal)
+        self.record(signal, batch, written, hides, version)
+        return written
 
     def batch_count(self, signal: str, batch: str, version: str | None = None) -> int:
         """Rows of one ingest batch as it was written, by the manifest."""

@@ -159,6 +159,61 @@ def test_periodic(place):
     assert names(store) == ["a", "b"]
 
 
+def test_periodic_survives_a_line_that_fails(place):
+    """A span without a time fails its query; it is put aside and all others come in."""
+    store, root = place
+    append(root, "traces", "".join(span_line(f"n{k:03d}") + "\n" for k in range(40)) + span_line("bad", start=0) + "\n")
+    append(root, "logs", log_line() + "\n")
+    job = PeriodicIngest(store, str(root), "500ms")
+    try:
+        job.drain()
+        assert job.restarts == 1 and job.report.traces == 40 and job.report.logs == 1
+        append(root, "traces", span_line("worse", start=0) + "\n" + span_line("after") + "\n" + span_line("worse", start=0) + "\n")
+        job.drain()
+        assert job.restarts == 1 and set(job.failures.values()) == {0}
+    finally:
+        job.stop()
+    assert names(store) == ["after", *(f"n{k:03d}" for k in range(40))]
+    aside = store.spark.read.parquet(f"{store.root}/_poisoned/v0/traces")
+    assert sorted(json.loads(r.value)["resourceSpans"][0]["scopeSpans"][0]["spans"][0]["name"] for r in aside.collect()) == ["bad", "worse", "worse"]
+
+
+def test_periodic_waits_longer_after_each_failure(place):
+    """A file that cannot be followed is no line's fault: tried again ever more rarely."""
+    import time
+
+    store, root = place
+    append(root, "logs", log_line() + "\n")
+    (root / "logs" / "z.gz").write_bytes(b"z")
+    job = PeriodicIngest(store, str(root), "100ms")
+    try:
+        end = time.time() + 90
+        while job.failures["logs"] < 4 and time.time() < end:
+            time.sleep(0.1)
+        assert job.restarts >= 3 and job.report.logs == 0
+        assert job._due["logs"] - time.monotonic() < 0.1 * job.MOST_WAIT
+        (root / "logs" / "z.gz").unlink()
+        job.drain()
+        assert job.report.logs == 1 and job.failures["logs"] == 0
+    finally:
+        job.stop()
+
+
+def test_search_for_failing_lines(spark):
+    from teleskein.streaming.ingest import failing_hashes
+
+    lines = spark.createDataFrame([(f"line {k}",) for k in range(200)] + [("line 7",)], "value string")
+
+    def bad(*values):
+        return lambda part: not part.filter(part.value.isin(*values)).isEmpty()
+
+    found = failing_hashes(lines, bad("line 7", "line 90"))
+    hit = [r.value for low, high in found for r in lines.filter(f"xxhash64(value) BETWEEN {low} AND {high}").collect()]
+    assert sorted(hit) == ["line 7", "line 7", "line 90"]
+    assert failing_hashes(lines, lambda part: False) is None
+    assert failing_hashes(lines, lambda part: True, most=20) is None
+
+
 def test_stretches_meet_on_line_borders(tmp_path):
     import random
 
@@ -167,31 +222,71 @@ def test_stretches_meet_on_line_borders(tmp_path):
     random.seed(5)
     lines = ["x" * random.choice([0, 1, 5, 40, 300]) for _ in range(400)]
     data = "".join(x + "\n" for x in lines)
-    (tmp_path / "a.jsonl").write_text(data + "open end")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text(data + "open end")
     for split in (1, 7, 64, 1000, 10**6):
-        reader = TailReader({"path": str(tmp_path), "split_bytes": str(split)})
+        reader = TailReader({"path": str(tmp_path / "in"), "positions": str(tmp_path / f"p{split}"), "split_bytes": str(split)})
         end = reader.latestOffset()
-        assert end == {str(tmp_path / "a.jsonl"): len(data)}
-        got = [v.decode() for p in reader.partitions({}, end) for b in reader.read(p) for v in b.column(1).to_pylist()]
+        assert end == {"version": 1} and reader.positions.offsets == {str(tmp_path / "in" / "a.jsonl"): len(data)}
+        got = [v.decode() for p in reader.partitions({"version": 0}, end) for b in reader.read(p) for v in b.column(1).to_pylist()]
         assert got == lines
     # With a budget, offsets move on by whole lines until all is read.
-    reader, start, got = TailReader({"path": str(tmp_path), "max_bytes": "500"}), {}, []
-    while (end := dict(reader.latestOffset())) != start:
+    reader, start, got = TailReader({"path": str(tmp_path / "in"), "positions": str(tmp_path / "p"), "max_bytes": "500"}), {"version": 0}, []
+    while (end := reader.latestOffset()) != start:
         got += [v.decode() for p in reader.partitions(start, end) for b in reader.read(p) for v in b.column(1).to_pylist()]
+        reader.commit(end)
         start = end
     assert got == lines
 
 
+def test_rotated_files_are_forgotten(spark, tmp_path):
+    """10 000 files come and go: the offset stays a number, and snapshots hold what is there."""
+    from teleskein.sources.tail import SNAPSHOT_EVERY, Positions, TailReader, position_files
+
+    folder, kept = tmp_path / "in", tmp_path / "p"
+    folder.mkdir()
+    for k in range(10_000):
+        (folder / f"f{k:05d}.jsonl").write_text("x" * (k % 7) + "\n")
+    options = {"path": str(folder), "positions": str(kept)}
+    reader = TailReader(options)
+    end = reader.latestOffset()
+    assert len(json.dumps(end)) < 30 and len(reader.positions.offsets) == 10_000
+    assert sum(s.upto - s.start for s in reader.partitions(reader.initialOffset(), end)) == sum(k % 7 + 1 for k in range(10_000))
+    for k in range(9_990):
+        (folder / f"f{k:05d}.jsonl").unlink()
+    for turn in range(2 * SNAPSHOT_EVERY):
+        with open(folder / f"f{9_990 + turn % 10:05d}.jsonl", "a") as out:
+            out.write(f"turn {turn}\n")
+        before, end = end, reader.latestOffset()
+        (read,) = reader.partitions(before, end)
+        assert [v for b in reader.read(read) for v in b.column(1).to_pylist()] == [f"turn {turn}".encode()]
+        reader.commit(end)
+        assert reader.latestOffset() == end
+    assert len(reader.positions.offsets) == 10 and len(list(kept.iterdir())) <= SNAPSHOT_EVERY + 3
+    again = TailReader(options | {"version": str(end["version"])})
+    assert again.positions.offsets == reader.positions.offsets and again.latestOffset() == end
+    # A version handed out, but not logged, is made again.
+    (folder / "new.jsonl").write_text("new\n")
+    lost = again.latestOffset()
+    (folder / "new.jsonl").write_text("new\nmore\n")
+    anew = TailReader(options | {"version": str(end["version"])})
+    assert anew.latestOffset() == lost
+    assert [(s.start, s.upto) for s in anew.partitions(end, lost)] == [(0, 9)]
+    assert Positions(str(kept), lost["version"]).offsets[str(folder / "new.jsonl")] == 9
+    assert len(position_files(str(kept), lost["version"])) <= SNAPSHOT_EVERY + 1
+
+
 def test_long_lines_over_read_blocks(tmp_path, monkeypatch):
     from teleskein.sources import tail
 
     monkeypatch.setattr(tail, "READ_BYTES", 16)
     lines = ["a" * 100, "", "b" * 15, "c" * 16, "d" * 17, "e"]
-    (tmp_path / "a.jsonl").write_text("".join(x + "\n" for x in lines) + "tail" * 20)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("".join(x + "\n" for x in lines) + "tail" * 20)
     for split in (1, 10, 33, 1000):
-        reader = tail.TailReader({"path": str(tmp_path), "split_bytes": str(split)})
+        reader = tail.TailReader({"path": str(tmp_path / "in"), "positions": str(tmp_path / f"p{split}"), "split_bytes": str(split)})
         end = reader.latestOffset()
-        got = [v.decode() for p in reader.partitions({}, end) for b in reader.read(p) for v in b.column(1).to_pylist()]
+        got = [v.decode() for p in reader.partitions({"version": 0}, end) for b in reader.read(p) for v in b.column(1).to_pylist()]
         assert got == lines
 
 
