@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from teleskein.llm.common import SPACE, join_small, row_key, stored, wrapped
+from teleskein.llm.common import SPACE, join_small, let, row_key, stored, wrapped
 
 MIN_SITES = 10
 LG_K = 12
@@ -88,7 +88,8 @@ def cleaned(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -
     met = inner.join(drops, (F.col("at") == F.col("drop_at")) & F.col("doc").eqNullSafe(F.col("drop_doc")), "left")
     lines = split_lines(F.col("text"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    # split once for the whole document, not once for each line that stays
+    kept = F.array_join(let(lines, lambda own: F.transform(stay, lambda i: F.get(own, i))), "\n")
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
     return met.select(
         F.col("row").withField("text", text).alias("row"),

@@ -36,13 +36,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from teleskein.llm.common import wrapped
+from teleskein.llm.common import let, wrapped
 
 ROUNDS = 8
 KEY = "a key that the caller replaces"
 FIRST_DAY, DAY_HALVES = "1900-01-01", (17, 4297)  # 17 * 4297 days to 2099-12-31
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}"
+# A repeated group takes stack in the JVM for each round, so it is bounded: a host name has 127
+# labels at most. Possessive groups, as in CARD, are matched in a loop.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 # Lengths of the countries, so that a grouped IBAN ends where it does whatever stands behind it.
 IBAN_COUNTRIES = {
@@ -73,11 +75,6 @@ CARD = rf"(?<![0-9])[0-9](?:[0-9]|[ -](?!{_OTHER})[0-9]){{12,}}+"
 PATTERN = "|".join([EMAIL, IBAN, IBAN_GROUPS, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE, CARD, ALONE_PHONE])
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _digits(values: Column) -> Column:
     """Digits of a text as an array of integers."""
     return F.transform(F.split(F.regexp_replace(values, "[^0-9]", ""), "(?<=.)(?=.)"), lambda c: c.cast("int"))
@@ -158,57 +155,65 @@ def _card(m: Column, key: str) -> Column:
     return let(_digits(m), changed)
 
 
-USUAL_GROUPS = r"^(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3,4}[0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+# Digits alone, or in the groups that cards are printed in. Of other groupings one in ten would
+# pass the check by chance, and tables of plain numbers would be damaged.
+CARD_GROUPS = r"^(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}(?:[0-9]{1,4}|[0-9]{4}[ -][0-9]{1,3})|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+# Characters and groups of the longest of them.
+CARD_LENGTHS, MOST_GROUPS = (13, 23), 5
 
 
 def _cards(m: Column, key: str) -> Column:
-    """The text with those valid cards renewed that begin and end at its groups, and how many changed."""
-    size = F.length(m)
+    """The text with those valid cards renewed that begin and end at its groups, and how many
+    changed. The work grows with the length of the text alone: a place looks at the next few
+    groups, and what stands between cards is copied once."""
+
+    def text(chars: Column, begin: Column, end: Column) -> Column:
+        return F.array_join(F.slice(chars, begin + 1, end - begin), "")
 
     def borders(chars: Column) -> Column:
-        """Places (from 0) before which a group begins."""
+        """Places (from 0) before which a group begins, and one place behind the separator that
+        the text could go on with."""
         places = F.transform(chars, lambda c, i: F.when((i == 0) | F.get(chars, i - 1).isin(" ", "-"), i))
-        return F.filter(places, lambda i: i.isNotNull())
+        return F.concat(F.filter(places, lambda i: i.isNotNull()), F.array(F.size(chars) + 1))
 
-    def candidates(begins: Column) -> Column:
-        """begin, end and text from each group to each of the next ones, with 13 to 19 digits."""
+    def candidates(chars: Column, begins: Column) -> Column:
+        """begin, end and text of the valid cards, by begin and then from the longest on."""
 
         def from_group(b: Column, at: Column) -> Column:
-            ends = F.slice(F.concat(begins, F.array(size + 1)), at + 2, F.lit(19))
-            spans = F.transform(ends, lambda e: F.struct(b.alias("begin"), (e - 1).alias("end"), F.substring(m, b + 1, e - 1 - b).alias("text")))
-            return F.filter(spans, lambda c: c["text"].rlike("^[0-9](?:[ -]?[0-9]){12,18}$"))
+            ends = F.filter(F.slice(begins, at + 2, F.lit(MOST_GROUPS)), lambda e: (e - 1 - b).between(*CARD_LENGTHS))
+            spans = F.transform(ends, lambda e: F.struct(b.alias("begin"), (e - 1).alias("end"), text(chars, b, e - 1).alias("text")))
+            return F.reverse(F.filter(spans, lambda c: c["text"].rlike(CARD_GROUPS) & (luhn_sum(_digits(c["text"])) % 10 == 0)))
 
-        own = F.flatten(F.transform(begins, from_group))
-        return F.filter(own, lambda c: luhn_sum(_digits(c["text"])) % 10 == 0)
+        return F.flatten(F.transform(begins, from_group))
 
-    def chosen(cards: Column, free: Column) -> Column:
-        """From the left, the longest at each place, those that overlap nothing chosen or not free."""
+    def chosen(cards: Column) -> Column:
+        """From the left, the longest at each place, those that overlap nothing chosen."""
 
         def step(acc: Column, c: Column) -> Column:
-            clear = (c["begin"] >= acc["end"]) & ~F.exists(free, lambda t: (c["begin"] < t["end"]) & (t["begin"] < c["end"]))
+            clear = c["begin"] >= acc["end"]
             return F.struct(F.when(clear, c["end"]).otherwise(acc["end"]).alias("end"), F.when(clear, F.concat(acc["out"], F.array(c))).otherwise(acc["out"]).alias("out"))
 
         start = F.struct(F.lit(0).alias("end"), F.filter(cards, lambda _: F.lit(False)).alias("out"))
-        ordered = F.array_sort(cards, lambda a, b: F.when(a["begin"] != b["begin"], a["begin"] - b["begin"]).otherwise(b["end"] - a["end"]))
-        return F.aggregate(ordered, start, step)["out"]
+        return F.aggregate(cards, start, step)["out"]
 
-    def both(cards: Column) -> Column:
-        none = F.filter(cards, lambda _: F.lit(False))
-        usual = chosen(F.filter(cards, lambda c: c["text"].rlike(USUAL_GROUPS)), none)
-        return let(usual, lambda u: F.array_sort(F.concat(u, chosen(F.filter(cards, lambda c: ~c["text"].rlike(USUAL_GROUPS)), u))))
+    def rewritten(chars: Column, cards: Column) -> Column:
+        new = F.transform(cards, lambda c: _card(c["text"], key))
 
-    def rewritten(cards: Column) -> Column:
-        def step(acc: Column, c: Column) -> Column:
-            def added(new: Column) -> Column:
-                text = F.concat(acc["out"], F.substring(m, acc["at"] + 1, c["begin"] - acc["at"]), new)
-                return F.struct(text.alias("out"), c["end"].alias("at"), (acc["n"] + (new != c["text"]).cast("int")).alias("n"))
+        def joined(changed: Column) -> Column:
+            def piece(c: Column, i: Column) -> Column:
+                before = F.when(i == 0, F.lit(0)).otherwise(F.get(cards, i - 1)["end"])
+                return F.concat(text(chars, before, c["begin"]), F.get(changed, i))
+
+            last = F.coalesce(F.get(cards, F.size(cards) - 1)["end"], F.lit(0))
+            count = F.size(F.filter(F.zip_with(changed, cards, lambda x, c: x != c["text"]), lambda x: x))
+            return F.struct(F.concat(F.array_join(F.transform(cards, piece), ""), text(chars, last, F.size(chars))).alias("text"), count.alias("n"))
 
-            return let(_card(c["text"], key), added)
+        return let(new, joined)
 
-        done = F.aggregate(cards, F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n")), step)
-        return let(done, lambda d: F.struct(F.concat(d["out"], F.substring(m, d["at"] + 1, size - d["at"])).alias("text"), d["n"].alias("n")))
+    def of(chars: Column) -> Column:
+        return let(borders(chars), lambda begins: let(candidates(chars, begins), lambda found: let(chosen(found), lambda cards: rewritten(chars, cards))))
 
-    return let(F.split(m, "(?<=.)(?=.)"), lambda chars: let(borders(chars), lambda begins: let(candidates(begins), lambda c: let(both(c), rewritten))))
+    return let(F.split(m, "(?<=.)(?=.)"), of)
 
 
 def _letters(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -115,11 +116,34 @@ def test_line_dedup(odd, empty):
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
+def plain_removed(rows: list[tuple], min_sites: int) -> int:
+    """Lines with at least ``min_sites`` sites, but for those at the first place of each; rows
+    that repeat share their places."""
+    sites, places = {}, {}
+    for doc, text, _, site, *_ in rows:
+        for pos, line in enumerate((text or "").split("\n")):
+            key = line.strip(" \t\n\x0b\x0c\r")
+            if key:
+                sites.setdefault(key, set()).add(site)
+                places.setdefault(key, []).append((doc is None, doc or 0, pos))
+    return sum(p > min(found) for key, found in places.items() if len(sites[key]) >= min_sites for p in found)
+
+
 def test_line_dedup_exact_and_sketched_agree(odd, monkeypatch):
     """A threshold far below the spread takes the sketch's word, one near it the exact count."""
     for sites in (3, 13, 14, 15):
         removed = [r["n_removed"] for r in line_dedup.cleaned(odd, min_sites=sites).collect()]
-        assert sum(removed) == 14
+        assert sum(removed) == plain_removed(brute.odd_rows(), sites)
+
+
+def test_line_dedup_of_a_long_document(spark):
+    """200 000 lines of which two go; the work must not grow with the square of the lines."""
+    lines = [f"l{i}" for i in range(200_000)]
+    rows = [(k, f"shared\nown {k}\nalso", f"s{k}") for k in range(20)] + [(99, "\n".join(["shared", *lines, "also"]), "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    begin = time.monotonic()
+    (text,) = [r["text"] for r in line_dedup.dedup_lines(df).collect() if r["doc_id"] == 99]
+    assert text == "\n".join(lines) and time.monotonic() - begin < 120
 
 
 def test_join_beyond_the_broadcast_bound(odd, monkeypatch):

@@ -319,3 +319,54 @@ def test_lm_decisions_are_a_code():
     code = lm.codes([(b"a", 5), (b"b", 3), (b"c", 3)], 2, 1)
     paths = ["".join(map(str, code.bit[a:b])) for a, b in zip(code.start[:-1], code.start[1:], strict=True)]
     assert sum(2.0 ** -len(p) for p in paths) == 1 and len(set(paths)) == 5
+
+
+# --- personal data in long texts ---
+
+
+def test_pii_long_texts_and_number_tables(spark):
+    """Hosts of many labels, and long lines of numbers: no deep stack, linear work, and clean
+    tables of numbers stay as they are."""
+    rng = random.Random(4)
+    hosts = ["a@" + "b." * 5_000 + "com", "a@" + "b." * 500_000 + "com", "x" * 70 + "@" + "q-" * 300_000, "@" * 100_000]
+    numbers = [" ".join(str(rng.randrange(10, 100)) for _ in range(8_000)), "7" * 1_000_000, "1-" * 200_000, "12 " * 300_000]
+    card = "4111 1111 1111 1111"
+    mixed = " ".join([*(str(rng.randrange(100, 1000)) for _ in range(100_000)), card, *(str(rng.randrange(100)) for _ in range(100_000))])
+    texts = [*hosts, *numbers, mixed, f"mail me@{'x.' * 100}org today"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r["row"]["doc_id"]: r for r in pii.with_pseudonyms(df).collect()}
+    for k, text in enumerate(texts[:-2]):
+        assert rows[k]["row"]["text"] == text and rows[k]["n_values"] == 0
+    new, at = rows[len(texts) - 2]["row"]["text"], mixed.index(card)
+    assert rows[len(texts) - 2]["n_values"] == 1 and new[:at] == mixed[:at] and new[at + 19 :] == mixed[at + 19 :]
+    assert new[at : at + 19] != card and sum(int(d) if k % 2 else 2 * int(d) - 9 * (int(d) > 4) for k, d in enumerate(new[at : at + 19].replace(" ", ""))) % 10 == 0
+    assert rows[len(texts) - 1]["n_values"] == 1
+
+
+def test_pii_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "call 555-123-4567"), (1, "call 555-123-4567"), (None, None), (2, "")], "doc_id long, text string")
+    rows = sorted(((r["row"]["doc_id"] or 0, r["row"]["text"]) for r in pii.with_pseudonyms(df).collect()), key=repr)
+    assert len(rows) == 4 and len({t for d, t in rows if d == 1}) == 1
+
+
+def plain_feistel(values: list[int], radices: list[int], key: str, kind: str) -> list[int]:
+    """The rounds one after the other."""
+    half = len(values) // 2
+    sides, own = [values[:half], values[half:]], [radices[:half], radices[half:]]
+    for turn in range(pii.ROUNDS):
+        side, other = turn % 2, 1 - turn % 2
+        seed = "|".join([key, kind, str(turn), ",".join(map(str, sides[other]))])
+        print_ = hashlib.sha512(seed.encode()).hexdigest()
+        sides[side] = [(v + int(print_[(i % 16) * 8 : (i % 16) * 8 + 8], 16)) % r for i, (v, r) in enumerate(zip(sides[side], own[side], strict=True))]
+    return sides[0] + sides[1]
+
+
+def test_feistel_equals_plain_rounds(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        radices = [rng.choice([2, 10, 26, 256]) for _ in range(rng.randrange(2, 40))]
+        rows.append((k, [rng.randrange(r) for r in radices], radices))
+    df = spark.createDataFrame(rows, "k int, v array<int>, r array<int>")
+    got = {r["k"]: r["x"] for r in df.select("k", pii.feistel(df.v, df.r, "key", "kind").alias("x")).collect()}
+    assert got == {k: plain_feistel(v, r, "key", "kind") for k, v, r in rows}
