@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from teleskein.operators.scan import (
     aggregate_metric,
     aggregate_metrics_by_name,
     count_rows,
+    count_store,
     scan_logs,
     scan_metrics,
     scan_store,
@@ -25,7 +29,7 @@ from teleskein.plans.decode_queries import NOW, NOW_COLUMN, shown
 from teleskein.schemas import SIGNALS
 from teleskein.session import scratch_dir
 from teleskein.sources import jsonl, paths
-from teleskein.streaming.ingest import IngestOptions, ingest_new, rebuild
+from teleskein.streaming.ingest import IngestOptions, PeriodicIngest, ingest_new, rebuild
 from teleskein.tables import SignalStore
 
 SINCE, UNTIL = datetime(2024, 1, 5, 6, 0, 0), datetime(2024, 1, 20, 18, 30, 0)
@@ -106,6 +110,22 @@ def q09_limit_zero(spark, sf_dir):
     return shown(scan_metrics(m.metrics(spark, sf_dir), QueryOptions(limit=0)))
 
 
+def q09_limit_store(spark, sf_dir):
+    """The first spans of a stored table: only its earliest dates are read."""
+    return shown(scan_store(_stored(spark, sf_dir, ("traces",)), "traces", QueryOptions(limit=100)))
+
+
+def q09_limit_store_service(spark, sf_dir):
+    """Log records of one service from a time on: dates are read until there are enough."""
+    options = QueryOptions(service="svc-7", since=SINCE, limit=40)
+    return shown(scan_store(_stored(spark, sf_dir, ("logs",)), "logs", options))
+
+
+def q05_since_store(spark, sf_dir):
+    options = QueryOptions(since=SINCE, until=UNTIL)
+    return shown(scan_store(_stored(spark, sf_dir, ("metrics",)), "metrics", options))
+
+
 def q10_time_parse(spark, sf_dir):
     """RFC 3339 text in several forms, and durations, made from each event."""
     e = m.read(spark, sf_dir, "events").withColumn("ts", m.ntz(F.col("ts")))
@@ -253,6 +273,23 @@ A03_WHERE = " UNION ALL ".join(
 )
 
 
+def a03_counts_store(spark, sf_dir):
+    """Rows of stored tables: from the manifest, but for batches that a prune cut."""
+    store = _stored(spark, sf_dir, SIGNALS)
+    retention.prune(store, CUTOFF, service="svc-2")
+    return count_store(store)
+
+
+def _left_where(signal: str, service: str) -> str:
+    time = "start_time" if signal == "traces" else "timestamp"
+    return f"{time} >= TIMESTAMP '{CUTOFF}' OR service_name <> '{service}'"
+
+
+A03_STORE = " UNION ALL ".join(
+    f"SELECT '{s}' AS signal, COUNT(*) AS rows FROM ({m.SQL[s]}) WHERE {_left_where(s, 'svc-2')}" for s in SIGNALS
+)
+
+
 # --- files and tables ---
 
 
@@ -323,19 +360,58 @@ def s01_tail_equals_batch(spark, sf_dir):
 S01_TAIL = "SELECT 'tail' AS signal, COUNT(*) AS rows FROM events UNION ALL SELECT 'batch', COUNT(*) FROM events"
 
 
+def _changed_in_tasks(spark: SparkSession, folder: str, change: Callable) -> None:
+    """``change(system, path)`` for each data file of a folder, a few files a task."""
+    cloudpickle.register_pickle_by_value(paths)
+    system, inner = paths.resolve(folder)
+    prefix = folder[: len(folder) - len(inner)]
+    files = [(prefix + path,) for path in sorted(paths.sizes(folder))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                own, inside = paths.resolve(path)
+                change(own, inside)
+                parent, _, name = inside.rpartition("/")
+                if own.get_file_info(f"{parent}/.{name}.crc").is_file:  # of the text as it was
+                    own.delete_file(f"{parent}/.{name}.crc")
+            yield batch
+
+    listed = spark.createDataFrame(files, "path string").repartition(max(1, min(len(files), 64)))
+    listed.mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def _copied(system, path: str, size: int, piece: int = 4 << 20) -> None:
+    """A file cut to its first ``size`` bytes, piece by piece."""
+    with system.open_input_file(path) as source, system.open_output_stream(f"{path}.cut") as out:
+        for at in range(0, size, piece):
+            out.write(source.read_at(min(piece, size - at), at))
+    system.move(f"{path}.cut", path)
+
+
+def _without_last_newline(system, path: str) -> None:
+    size = system.get_file_info(path).size
+    with system.open_input_file(path) as source:
+        while size and source.read_at(1, size - 1) == b"\n":
+            size -= 1
+    _copied(system, path, size)
+
+
+def _first_line_only(system, path: str, piece: int = 64 << 10) -> None:
+    size, at = system.get_file_info(path).size, 0
+    with system.open_input_file(path) as source:
+        while at < size:
+            found = source.read_at(min(piece, size - at), at).find(b"\n")
+            if found >= 0:
+                size = at + found + 1
+            at += piece
+    _copied(system, path, size)
+
+
 def _lines_without_last_newline(spark, sf_dir, root) -> None:
-    """One line an event in one file each thousandth, none of which ends with a newline."""
-    line = encode(m.logs(spark, sf_dir), "logs", 1)
-    line.write.option("lineSep", "\n").text(f"{root}/logs/whole")
-    for name in paths.children(f"{root}/logs/whole"):
-        path = f"{root}/logs/whole/{name}"
-        system, inner = paths.resolve(path)
-        if paths.is_data(name):
-            with system.open_input_stream(inner) as source:
-                text = source.read()
-            with system.open_output_stream(inner) as out:
-                out.write(text.rstrip(b"\n"))
-            paths.drop_file(f"{root}/logs/whole/.{name}.crc")  # of the text as it was
+    """One line an event, in files none of which ends with a newline."""
+    encode(m.logs(spark, sf_dir), "logs", 1).write.option("lineSep", "\n").text(f"{root}/logs/whole")
+    _changed_in_tasks(spark, f"{root}/logs/whole", _without_last_newline)
 
 
 def s11_final_line(spark, sf_dir):
@@ -443,15 +519,7 @@ def s14_truncate(spark, sf_dir):
     """A followed file that is replaced by a shorter one is read from its start again."""
     root, store = _lines(spark, sf_dir, ["logs"]), SignalStore(spark)
     ingest_new(store, root)
-    folder = f"{root}/logs"
-    for name in paths.children(folder):
-        if paths.is_data(name):
-            system, inner = paths.resolve(f"{folder}/{name}")
-            with system.open_input_stream(inner) as source:
-                first = source.read().split(b"\n")[0]
-            with system.open_output_stream(inner) as out:
-                out.write(first + b"\n")
-            paths.drop_file(f"{folder}/.{name}.crc")  # of the text as it was
+    _changed_in_tasks(spark, f"{root}/logs", _first_line_only)
     left = jsonl.scan_all(spark, root)["logs"].rows
     ingest_new(store, root)
     total = store.table("logs").agg(F.count(F.lit(1)).alias("all_rows"), F.countDistinct("body").alias("bodies"))
@@ -462,19 +530,31 @@ def s14_truncate(spark, sf_dir):
 S14 = f"SELECT COUNT(*) AS rows, COUNT(DISTINCT body) AS bodies FROM ({m.LOGS_SQL})"
 
 
+def _time_halves(spark, sf_dir, signal):
+    """Rows up to a time and those after it."""
+    rows = m.ROWS[signal](spark, sf_dir)
+    time, cut = (("start_time", SPAN_SINCE) if signal == "traces" else ("timestamp", CUTOFF))
+    early = F.col(time) < F.lit(str(cut)).cast("timestamp_ntz")
+    return rows.filter(early), rows.filter(~early)
+
+
 def s13_resume(spark, sf_dir):
-    """As above, with the store opened anew for each run."""
+    """Half of all signals, then the rest, with the store opened anew for each run."""
     root, home = scratch_dir(spark, "resume"), scratch_dir(spark, "home")
     reports = []
-    for half in _halves(spark, sf_dir, "logs"):
-        jsonl.write_rows(half, root, "logs")
+    for half in (0, 1):
+        for signal in SIGNALS:
+            jsonl.write_rows(_time_halves(spark, sf_dir, signal)[half], root, signal)
         reports.append(ingest_new(SignalStore(spark, home), root).to_df(spark))
     return reports[0].unionByName(reports[1])
 
 
-S13 = f"""SELECT CAST(0 AS BIGINT) AS traces, CAST(0 AS BIGINT) AS metrics, COUNT(*) AS logs, COUNT(*) AS total
-FROM events WHERE ts < TIMESTAMP '{CUTOFF}'
-UNION ALL SELECT 0, 0, COUNT(*), COUNT(*) FROM events WHERE ts >= TIMESTAMP '{CUTOFF}'"""
+def _half_counts(test: str) -> str:
+    spans = f"(SELECT COUNT(*) FROM ({m.TRACES_SQL}) WHERE start_time {test} TIMESTAMP '{SPAN_SINCE}')"
+    return f"SELECT {spans} AS traces, COUNT(*) AS metrics, COUNT(*) AS logs, {spans} + 2 * COUNT(*) AS total FROM events WHERE ts {test} TIMESTAMP '{CUTOFF}'"
+
+
+S13 = f"{_half_counts('<')} UNION ALL {_half_counts('>=')}"
 
 
 def s16_ingest_report(spark, sf_dir):
@@ -489,7 +569,7 @@ S16 = """SELECT (SELECT COUNT(*) FROM lineitem) AS traces, COUNT(*) AS metrics,
 
 def s17_clear_tables(spark, sf_dir):
     """Clearing keeps cursors: nothing is read again, until cursors are cleared too."""
-    root, store = _lines(spark, sf_dir, ["logs"]), SignalStore(spark)
+    root, store = _lines(spark, sf_dir), SignalStore(spark)
     ingest_new(store, root)
     store.clear_signal_tables()
     again = ingest_new(store, root)
@@ -499,20 +579,46 @@ def s17_clear_tables(spark, sf_dir):
 
 
 S17 = """SELECT CAST(0 AS BIGINT) AS traces, CAST(0 AS BIGINT) AS metrics, CAST(0 AS BIGINT) AS logs, CAST(0 AS BIGINT) AS total
-UNION ALL SELECT 0, 0, COUNT(*), COUNT(*) FROM events"""
+UNION ALL SELECT (SELECT COUNT(*) FROM lineitem), COUNT(*), COUNT(*), 2 * COUNT(*) + (SELECT COUNT(*) FROM lineitem) FROM events"""
 
 
 def s19_full_rebuild(spark, sf_dir):
-    root, store = _lines(spark, sf_dir, ["metrics", "logs"]), SignalStore(spark)
+    root, store = _lines(spark, sf_dir), SignalStore(spark)
     ingest_new(store, root)
     store.append("logs", m.logs(spark, sf_dir))  # rows no line stands for
     rebuild(store, root)
-    return _per_service({s: store.table(s) for s in ("metrics", "logs")})
-
-
-S19 = " UNION ALL ".join(
-    f"SELECT service_name, COUNT(*) AS n, '{s}' AS signal FROM ({m.SQL[s]}) GROUP BY service_name"
-    for s in ("metrics", "logs")
+    return _per_service({s: store.table(s) for s in SIGNALS})
+
+
+S19 = PER_SERVICE
+
+
+def s20_periodic(spark, sf_dir):
+    """Periodic ingest of spans and logs in two halves, a span without a time among the first:
+    its query fails, starts again, and puts that line aside."""
+    root, store = scratch_dir(spark, "periodic"), SignalStore(spark)
+    bad = m.traces(spark, sf_dir).orderBy("trace_id", "span_id").limit(1)
+    line = encode(bad, "traces").select(F.regexp_replace("value", '"startTimeUnixNano":"[0-9]+"', '"startTimeUnixNano":"0"').alias("value"))
+    job = None
+    try:
+        for half in (0, 1):
+            for signal in ("traces", "logs"):
+                jsonl.write_rows(_time_halves(spark, sf_dir, signal)[half], root, signal)
+            if half == 0:
+                jsonl.write_lines(line, root, "traces")
+            job = job or PeriodicIngest(store, root, "1s")
+            job.drain()
+    finally:
+        if job:
+            job.stop()
+    aside = spark.read.parquet(f"{store.root}/_poisoned/{store.state.version}/traces").count()
+    rows = _per_service({s: store.table(s) for s in ("traces", "logs")})
+    return rows.select("*", F.lit(job.restarts).alias("restarts"), F.lit(aside).alias("put_aside"))
+
+
+S20 = " UNION ALL ".join(
+    f"SELECT service_name, COUNT(*) AS n, '{s}' AS signal, 1 AS restarts, CAST(1 AS BIGINT) AS put_aside FROM ({m.SQL[s]}) GROUP BY service_name"
+    for s in ("traces", "logs")
 )
 
 
@@ -530,15 +636,20 @@ S21 = f"SELECT COUNT(*) AS rows, COUNT(DISTINCT body) AS bodies, TRUE AS several
 
 
 def s22_prune_reingest(spark, sf_dir):
-    """Pruned points do not come back with the next ingest."""
-    root, store = _lines(spark, sf_dir, ["metrics"]), SignalStore(spark)
+    """Pruned rows do not come back with the next ingest."""
+    root, store = _lines(spark, sf_dir), SignalStore(spark)
     ingest_new(store, root)
-    retention.prune(store, CUTOFF)
+    retention.prune(store, CUTOFF, service="svc-3")
+    retention.prune(store, SPAN_SINCE)
     ingest_new(store, root)
-    return shown(store.table("metrics"))
+    return _per_service_day(store)
 
 
-S22 = f"{S05} WHERE timestamp >= TIMESTAMP '{CUTOFF}'"
+S22 = " UNION ALL ".join(
+    f"SELECT service_name, date, COUNT(*) AS n, '{s}' AS signal FROM ({m.SQL[s]}) WHERE {t} >= TIMESTAMP '{SPAN_SINCE}' "
+    f"AND ({t} >= TIMESTAMP '{CUTOFF}' OR service_name <> 'svc-3') GROUP BY 1, 2"
+    for s, t in (("traces", "start_time"), ("metrics", "timestamp"), ("logs", "timestamp"))
+)
 
 
 def s23_cursors(spark, sf_dir):
@@ -593,7 +704,7 @@ def _report_sql(service: str | None = None, signals=SIGNALS) -> str:
 def p02_prune_delete(spark, sf_dir):
     store = _stored(spark, sf_dir)
     retention.prune(store, CUTOFF)
-    return _per_service_day(store)
+    return _per_service_day(store, ("metrics", "logs"))
 
 
 def p02_prune_traces(spark, sf_dir):
@@ -608,9 +719,9 @@ P02_TRACES = f"""SELECT service_name, COUNT(*) AS n, MIN(start_time) AS first FR
 WHERE start_time >= TIMESTAMP '{SPAN_SINCE}' GROUP BY service_name"""
 
 
-def _per_service_day(store: SignalStore) -> DataFrame:
+def _per_service_day(store: SignalStore, signals=SIGNALS) -> DataFrame:
     out = None
-    for signal in ("metrics", "logs"):
+    for signal in signals:
         part = store.table(signal).groupBy("service_name", "date").agg(F.count(F.lit(1)).alias("n"))
         part = part.withColumn("signal", F.lit(signal))
         out = part if out is None else out.unionByName(part)
@@ -625,11 +736,19 @@ def _left_sql(where: str) -> str:
 
 
 def p03_prune_service(spark, sf_dir):
-    store = _stored(spark, sf_dir)
+    """Of the services' spans, points and log records only those of one go; nothing is
+    rewritten until the tables are compacted, which changes no row."""
+    store = _stored(spark, sf_dir, SIGNALS)
     retention.prune(store, CUTOFF, service="svc-2")
+    store.compact("logs")
     return _per_service_day(store)
 
 
+P03 = " UNION ALL ".join(
+    f"SELECT service_name, date, COUNT(*) AS n, '{s}' AS signal FROM ({m.SQL[s]}) WHERE {_left_where(s, 'svc-2')} GROUP BY 1, 2" for s in SIGNALS
+)
+
+
 def p04_prune_all(spark, sf_dir):
     """Everything up to an hour from now goes; rows dated later stay."""
     store = SignalStore(spark)
@@ -693,6 +812,14 @@ QUERIES = {
     "q07_conjunction": (q07_conjunction, _select("traces", Q07_WHERE)),
     "q08_time_sort": (q08_time_sort, Q08),
     "q09_limit": (q09_limit, _select("traces", TRACE_ORDER, "LIMIT 100")),
+    "q09_limit_store": (q09_limit_store, _select("traces", TRACE_ORDER, "LIMIT 100")),
+    "q09_limit_store_service": (
+        q09_limit_store_service,
+        _select("logs", f"WHERE service_name = 'svc-7' AND timestamp >= TIMESTAMP '{SINCE}' ORDER BY timestamp, service_name, severity_number, body", "LIMIT 40"),
+    ),
+    "q05_since_store": (q05_since_store, _select("metrics", f"WHERE timestamp BETWEEN TIMESTAMP '{SINCE}' AND TIMESTAMP '{UNTIL}'")),
+    "a03_counts_store": (a03_counts_store, A03_STORE),
+    "s20_periodic": (s20_periodic, S20),
     "q09_limit_zero": (q09_limit_zero, _select("metrics")),
     "q10_time_parse": (q10_time_parse, Q10),
     "q11_duration_parse": (q11_duration_parse, Q11),
@@ -737,10 +864,7 @@ QUERIES = {
     "s23_cursors": (s23_cursors, S23),
     "p01_prune_dry_run": (p01_prune_dry_run, _report_sql()),
     "p02_prune_delete": (p02_prune_delete, _left_sql(f"timestamp >= TIMESTAMP '{CUTOFF}'")),
-    "p03_prune_service": (
-        p03_prune_service,
-        _left_sql(f"timestamp >= TIMESTAMP '{CUTOFF}' OR service_name <> 'svc-2'"),
-    ),
+    "p03_prune_service": (p03_prune_service, P03),
     "p04_prune_all": (p04_prune_all, P04),
     "p05_prune_older_than": (p05_prune_older_than, P05),
     "p06_prune_report": (p06_prune_report, _report_sql("svc-8")),

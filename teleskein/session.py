@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.filterPushdown": "true",
+    # Few bytes may go to many date folders: tasks are merged only below this size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Folders are listed by a job; a task for each of thousands of them costs more than it lists.
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",

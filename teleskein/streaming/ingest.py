@@ -144,21 +144,34 @@ def failing_hashes(lines: DataFrame, fails: Callable[[DataFrame], bool], most: i
     twice: what fails once may be the cluster's fault. None where nothing fails, or too much.
     """
     hashed = lines.withColumn("line_hash", F.xxhash64("value"))
-    todo, found, probes = [(-(2**63), 2**63 - 1)], [], 0
-    while todo:
-        low, high = todo.pop()
-        part = hashed.filter(F.col("line_hash").between(low, high))
+    found: list[tuple[int, int]] = []
+    probes = 0
+
+    def bad(part: DataFrame) -> bool:
+        nonlocal probes
         probes += 1
         if probes > most:
-            return None
-        if not fails(part.drop("line_hash")):
-            continue
-        if low == high or part.select("line_hash").distinct().limit(2).count() < 2:
-            if fails(part.drop("line_hash")):
+            raise TimeoutError
+        return fails(part.drop("line_hash"))
+
+    def search(low: int, high: int, known: bool) -> bool:
+        """Whether lines in the range fail; ``known``: they must, as a wider range does."""
+        part = hashed.filter(F.col("line_hash").between(low, high))
+        several = len(part.select("line_hash").distinct().limit(2).collect())
+        if several == 0 or not (known and several > 1 or bad(part)):
+            return False
+        if several == 1:
+            if bad(part):  # by itself once more
                 found.append((low, high))
-        else:
-            middle = (low + high) // 2
-            todo += [(middle + 1, high), (low, middle)]
+            return True
+        middle = (low + high) // 2
+        left = search(low, middle, False)
+        return search(middle + 1, high, not left) or left
+
+    try:
+        search(-(2**63), 2**63 - 1, False)
+    except TimeoutError:
+        return None
     return found or None
 
 
