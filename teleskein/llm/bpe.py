@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from teleskein.llm.common import Shared, row_batches
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_PIECES = 200_000
 CACHE_LENGTH = 40
+PLACE_BITS = 40
+PLACE = (1 << PLACE_BITS) - 1
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,10 +53,13 @@ class Vocabulary:
             spec = json.load(file)
         ids, letters = spec["model"]["vocab"], byte_letters()
         self.base = [ids[letters[b]] for b in range(256)]
-        self.merges = {}
+        # By left symbol: the right symbol's merge rank, shifted to leave room for a place.
+        self.merges: dict[int, dict[int, int]] = {}
+        self.made = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+            self.merges.setdefault(ids[left], {})[ids[right]] = rank << PLACE_BITS
+            self.made.append(ids[left + right])
         back = {letter: b for b, letter in letters.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = [b""] * (1 + max(*ids.values(), *self.added.values()))
@@ -86,6 +91,7 @@ class _Pieces(dict):
 class Codec:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.pieces = vocabulary, _Pieces(self)
+        self.ranks = [vocabulary.merges.get(i, {}).get for i in range(len(vocabulary.bytes))]
         self.find = regex.compile(PATTERN).findall
         added = sorted(vocabulary.added, key=len, reverse=True)
         self.split = regex.compile(f"({'|'.join(map(regex.escape, added))})").split if added else lambda text: [text]
@@ -94,26 +100,30 @@ class Codec:
         return Codec, (self.vocabulary,)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
-        merges, symbols = self.vocabulary.merges, [self.vocabulary.base[b] for b in piece]
+        """Queue entries are one integer each: the merge's rank above the place of its left symbol."""
+        ranks, made = self.ranks, self.vocabulary.made
+        symbols = [self.vocabulary.base[b] for b in piece]
         n = len(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(m[0], i, symbols[i], symbols[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((symbols[i], symbols[i + 1])))]
+        queue = [rank + i for i, (x, y) in enumerate(pairwise(symbols)) if (rank := ranks[x](y)) is not None]
         heapify(queue)
         while queue:
-            _, i, left, right, new = heappop(queue)
+            entry = heappop(queue)
+            i = entry & PLACE
             j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
+            if symbols[i] < 0 or j >= n or ranks[symbols[i]](symbols[j]) != entry - i:
                 continue
-            symbols[i], symbols[j] = new, -1
+            symbols[i] = new = made[entry >> PLACE_BITS]
+            symbols[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((new, symbols[k])):
-                    heappush(queue, (m[0], i, new, symbols[k], m[1]))
+                if (rank := ranks[new](symbols[k])) is not None:
+                    heappush(queue, rank + i)
             h = before[i]
-            if h >= 0 and (m := merges.get((symbols[h], new))):
-                heappush(queue, (m[0], h, symbols[h], new, m[1]))
-        return tuple(s for s in symbols if s >= 0)
+            if h >= 0 and (rank := ranks[symbols[h]](new)) is not None:
+                heappush(queue, rank + h)
+        return tuple([s for s in symbols if s >= 0])
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -126,7 +136,12 @@ class Codec:
 
     def decode(self, ids) -> str:
         strings = self.vocabulary.bytes
-        return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(strings.__getitem__, ids)).decode("utf-8", "replace")
+
+
+def _lists(rows: list[list[int]]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, offsets[-1])))
 
 
 def encoded(df: DataFrame, vocabulary_path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -137,9 +152,7 @@ def encoded(df: DataFrame, vocabulary_path: str, text: str = "text", out: str =
     def run(batches):
         codec = shared.value
         for batch in row_batches(batches):
-            rows = [np.array(codec.encode(t or ""), np.int32) for t in batch.column(at).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.array([], np.int32)))
+            lists = _lists([codec.encode(t or "") for t in batch.column(at).to_pylist()])
             columns = [*batch.columns[:at], lists, *batch.columns[at + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -161,6 +174,25 @@ def decoded(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "d
     return df.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` with ``text`` replaced by ``ids`` and a further column ``out``, the text that these
+    ids decode to: ``encoded`` and ``decoded`` in one pass over the rows."""
+    shared = Shared(df.sparkSession, Codec(Vocabulary(vocabulary_path)))
+    at = df.columns.index(text)
+    kept = [F.col(c) if c != text else F.lit(None).cast("array<int>").alias(ids) for c in df.columns]
+    schema = df.select(*kept, F.lit(None).cast("string").alias(out)).schema
+
+    def run(batches):
+        codec = shared.value
+        for batch in row_batches(batches):
+            rows = [codec.encode(t or "") for t in batch.column(at).to_pylist()]
+            texts = pa.array([codec.decode(row) for row in rows], pa.string())
+            columns = [*batch.columns[:at], _lists(rows), *batch.columns[at + 1 :], texts]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def default_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -169,7 +201,7 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
 
 def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text for every document."""
-    coded = decoded(encoded(docs.select("doc_id", "text"), vocabulary_path), vocabulary_path)
+    coded = round_trip(docs.select("doc_id", "text"), vocabulary_path)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select(
         "doc_id",
