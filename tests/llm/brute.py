@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,3 +77,24 @@ def quality_stats(text: str | None) -> tuple:
         seen.add(x)
     failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), again, len(inside), failed
+
+
+def anomaly(row: list[float], usual: list[list[float]], low: list[float], high: list[float], trees: int, sample: int, rng: random.Random) -> float:
+    """Isolation score of one row: each tree is drawn only along the row's own path."""
+    def expected(n: int) -> float:
+        return 2 * (math.log(max(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n if n > 1 else 0.0
+
+    sample = min(sample, len(usual))
+    total = 0.0
+    for _ in range(trees):
+        part, lo, hi, level = rng.sample(usual, sample), list(low), list(high), 0
+        while len(part) > 1 and level < 2 * math.ceil(math.log2(sample)):
+            f = rng.choice([k for k in range(len(lo)) if hi[k] > lo[k]])
+            cut = rng.uniform(lo[f], hi[f])
+            if row[f] <= cut:
+                part, hi[f] = [r for r in part if r[f] <= cut], cut
+            else:
+                part, lo[f] = [r for r in part if r[f] > cut], cut
+            level += 1
+        total += level + expected(len(part))
+    return 2 ** (-total / trees / expected(sample))

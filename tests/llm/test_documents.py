@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 import pytest
 
 from teleskein.llm import bpe, jaccard, line_dedup, mixing, quality
@@ -210,6 +211,30 @@ def test_quality_held_out(spark):
     assert sum(good) >= 0.995 * len(good) and sum(bad) <= 0.05 * len(bad)
 
 
+def test_forest_equals_plain_paths():
+    """Scores against paths drawn one row at a time from another generator."""
+    rng, plain = np.random.default_rng(1), random.Random(2)
+    usual = rng.normal(0, 1, (400, 3))
+    asked = np.vstack([usual[:4], [[6, 0, 0], [0, -5, 5], [8, 8, 8]]])
+    low, high = np.full(3, -9.0), np.full(3, 9.0)
+    got = quality.Forest(usual, low, high, trees=600, tree_rows=64).score(asked)
+    for row, score in zip(asked.tolist(), got, strict=True):
+        assert abs(score - brute.anomaly(row, usual.tolist(), low.tolist(), high.tolist(), 600, 64, plain)) < 0.02
+
+
+def test_bare_words_are_counted():
+    place = quality.NAMES.index("n_bare_words")
+    for text, n in (("a | b -- c", 2), ("|", 1), ("a|b ?! _ 7 \u00e9\t***\n#", 3), ("", 0), (None, 0), ("!\u00a0!", 1)):
+        assert quality.text_stats(text)[place] == n, text
+
+
+def test_conflicting_labels_take_the_lowest(docs, spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    doubled = labels.union(labels.filter("quality = 0").selectExpr("doc_id", "1 AS quality"))
+    want = sorted(map(repr, quality.assess(docs, labels).collect()))
+    assert sorted(map(repr, quality.assess(docs, doubled.repartition(5)).collect())) == want
+
+
 def test_filtered_equals_verdict(docs, spark, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     kept = {r["doc_id"] for r in quality.assess(docs, labels).collect() if r["kept"]}
