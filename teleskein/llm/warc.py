@@ -16,8 +16,9 @@ digests; payloads meet it by a broadcast join up to a counted size, else a salte
 
 Defined cases: a null payload is empty, a null URL is written as about:blank, line breaks in a
 URL are percent-encoded; rows that repeat the smallest id of their payload are all responses;
-a null id is never referred to and, where no row of its payload has an id, a response; an empty
-table gives an empty result; further columns are not read.
+responses of one page id share its record id, all other record ids differ; a null id is never
+referred to and, where no row of its payload has an id, a response; an empty table gives an
+empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from teleskein.llm.common import join_small, row_batches, stored
 from teleskein.session import scratch_dir
+from teleskein.sources.paths import resolve
 
 ARCHIVE_BYTES = 128_000_000
 LEVEL = 3
@@ -48,12 +49,6 @@ INDEX = "path string, offset long, length long, record_type string, record_id st
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
@@ -63,10 +58,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + END
     block = http if revisit else http + payload
     target = "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "about:blank")
+    # What others refer to is named by its page alone; revisits and rows without id are told apart.
+    name = f"<urn:page:{page_id}:{uuid.uuid4().hex}>" if revisit or page_id is None else f"<urn:page:{page_id}>"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {name}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -143,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
             for page, url, payload, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first")), strict=True):
                 if stream is None:
                     path, size, records = f"{folder}/whole-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    fs, own = opened(path)
+                    fs, own = resolve(path)
                     stream, pack = fs.open_output_stream(own, compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 data = record(page, url, payload, base32_sha1(payload), first, first is not None and page != first)
                 stream.write(pack.compress(data))
@@ -166,8 +163,8 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for source in batch.column("path").to_pylist():
                 path, offset, rows = f"{folder}/members-{uuid.uuid4().hex}.warc.gz", 0, []
-                fs, own = opened(source)
-                to, target = opened(path)
+                fs, own = resolve(source)
+                to, target = resolve(path)
                 with fs.open_input_stream(own, compression=None) as read, to.open_output_stream(target, compression=None) as write, to.open_output_stream(f"{target}.idx", compression=None) as side:
                     for head, data in records_in(inflated(read)):
                         pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -192,7 +189,7 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def page_of(urn: str) -> int | None:
-    text = urn.strip("<>").removeprefix("urn:page:")
+    text = urn.strip("<>").removeprefix("urn:page:").partition(":")[0]
     return None if text == "None" else int(text)
 
 
@@ -207,7 +204,7 @@ def read_records(index: DataFrame) -> DataFrame:
                 if path != name:
                     if stream is not None:
                         stream.close()
-                    fs, own = opened(path)
+                    fs, own = resolve(path)
                     name, stream = path, fs.open_input_file(own)
                 stream.seek(offset)
                 [(head, data)] = records_in(iter([zlib.decompress(stream.read(length), 31)]))
@@ -231,6 +228,6 @@ def read_records(index: DataFrame) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to as the archives have it."""
     folder = scratch_dir(spark, "warc")
-    fs, own = opened(folder)
+    fs, own = resolve(folder)
     fs.create_dir(own)
     return read_records(normalise(write_archives(pages, folder, min_bytes), folder))

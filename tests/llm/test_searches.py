@@ -173,7 +173,21 @@ def test_normalised_members_stand_alone(spark, tmp_path):
     data = open(target, "rb").read()
     parts = [zlib.decompress(data[r["offset"] : r["offset"] + r["length"]], 31) for r in index]
     assert b"".join(parts) == zlib.decompress(open(source, "rb").read(), 31)
-    assert len(open(f"{target}.idx").read().splitlines()) == 50
+    sides = [line.split("\t") for line in open(f"{target}.idx").read().splitlines()]
+    assert [tuple(s) for s in sides] == [tuple(map(str, list(r)[1:])) for r in index]
+    beside = spark.createDataFrame([(target, int(s[0]), int(s[1])) for s in sides], "path string, offset long, length long")
+    assert sorted(r["page_id"] for r in warc.read_records(beside).collect()) == list(range(50))
+
+
+def test_record_ids_differ(spark, tmp_path):
+    pages = [(k, "u", "same") for k in (1, 2, 2, 3, None, None)] + [(None, "u", "x"), (None, "u", "y"), (9, "u", "z")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    index = warc.normalise(warc.write_archives(df, str(tmp_path)), f"file:{tmp_path}")
+    ids = [r["record_id"] for r in index.collect()]
+    assert len(set(ids)) == len(pages) and {"<urn:page:1>", "<urn:page:9>"} < set(ids)
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_records(index).collect()), key=repr)
+    want = [(1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (3, "revisit", 1), (9, "response", None)]
+    assert got == sorted(want + [(None, "revisit", 1)] * 2 + [(None, "response", None)] * 2, key=repr)
 
 
 # --- PII ---
