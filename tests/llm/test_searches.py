@@ -111,6 +111,18 @@ def test_search_equals_all_scores(odd, docs, empty, monkeypatch, bytes_):
     assert search.search(empty).collect() == []
 
 
+def test_shards_are_bounded_in_rows(spark, monkeypatch):
+    """Many short texts: far below a shard's bytes, several shards by their rows, equal hits."""
+    rows = [(k, f"w{k % 7} w{k % 11} x{k}") for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, search.search(table).collect()))
+    monkeypatch.setattr(search, "SHARD_ROWS", 60)
+    dealt = search.search(table)
+    seen = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[shard#\d+[^\]]*\], 7\b", seen)
+    assert [(q, k, r, d, round(s, 9)) for q, k, r, d, s in sorted(map(tuple, dealt.collect()))] == [(q, k, r, d, round(s, 9)) for q, k, r, d, s in whole]
+
+
 @pytest.mark.parametrize("bytes_", [20_000, 10**9])
 def test_search_repeated_queries(spark, odd, monkeypatch, bytes_):
     """Repeated rows ask once; different texts under one id have a list each."""
