@@ -10,20 +10,25 @@ run to that depth, as Spark jobs over chunks of documents:
    fingerprint (dealt by its range of values, sorted in each). A tuple that stands alone is discarded:
    no suffix through it can agree with another for 50 bytes. Names that occur again survive.
 3. Merge: a suffix is ranked with the names only if one of its five sampled positions within
-   the shift has a surviving name. These suffixes are sorted by a 64-bit fingerprint of their
+   the shift has a surviving name. Neighbouring ones form segments, cut where the fingerprint
+   of a suffix says so, so that equal passages are cut alike in all documents. Segments are
+   sorted by the fingerprint of all their bytes; one that a smaller document holds goes whole.
+4. The suffixes of the other segments, each passage once, are sorted by a fingerprint of their
    first 50 bytes, and adjacent equal ones compared for the smallest document.
 
 A document whose whole text an earlier one has needs no suffixes: all its bytes go, and it
 adds no string that the earlier one has not. Such copies are found by one aggregation first.
+The same holds for a segment that a smaller document holds.
 
 A further recursion would order suffixes beyond byte 50, which the result does not depend on.
-Keys travel packed: a chunk sends each key once and only with its smallest document, so a
-passage that a third of all documents share is one key a chunk, and what comes back is one bit
-a key. Chunks are written once; each later job recomputes their keys from the written table.
-A chunk holds about ``CHUNK`` bytes, or one document if that is longer.
+Keys travel packed: a chunk sends each key once and only with its smallest document, and what
+comes back is one bit a key. Chunks are written once; each later job recomputes their keys from
+the written table. A chunk holds about ``CHUNK`` bytes, or one document if that is longer; keys
+are dealt into parts of about ``PART_KEYS``, so both follow the data, not the session.
 
-Fingerprints: a collision of two different tuples only adds a suffix to step 3; one of two
-different 50-byte strings has probability 2^-64 for each pair.
+Fingerprints: a collision of two different tuples only adds a suffix to step 3. Segments and
+strings are told apart by 96 bits of two independent fingerprints, not by their bytes; among n
+different ones some n * n / 2^97 false matches are expected (2e-10 for 5e9).
 
 Defined cases: null and empty texts have no bytes; texts under 50 bytes lose nothing; a null
 doc_id is larger than all others; rows with the same id do not remove each other's bytes; an
@@ -48,16 +53,14 @@ LENGTH = 50
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 CHUNK = 4_000_000
-PARTS_PER_TASK = 4
+PART_KEYS = 1 << 20
+LEAST_PARTS = 256
+CUT = np.uint64(15)  # a suffix in 16 begins a segment
 TASKS = 4  # for each shuffle partition of the session, as packed keys take more memory than rows
 LAST = np.int64(2**63 - 1)
 
-_rng = np.random.default_rng(50)
-_LETTERS = _rng.integers(0, 2**64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C1B
-
 CHUNK_SCHEMA = "chunk long, ids array<long>, sizes array<long>, blob binary"
-KEY_SCHEMA = "part int, chunk long, n int, keys binary, rest binary, docs binary, base long"
+KEY_SCHEMA = "part int, chunk long, n int, keys binary, rest binary, extra binary, docs binary, base long"
 REPLY_SCHEMA = "chunk long, part int, flags binary"
 RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -81,24 +84,28 @@ def from_planes(data: bytes, kind: type, n: int) -> np.ndarray:
 
 
 class Prints:
-    """Fingerprints of all strings of one width, by prefix sums of a polynomial modulo 2^64."""
+    """Fingerprints of strings by prefix sums of a polynomial modulo 2^64, its odd base and the
+    values of the bytes drawn from ``seed``."""
 
-    def __init__(self) -> None:
+    def __init__(self, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        self.letters = rng.integers(0, 2**64, 256, np.uint64)
+        self.base = int(rng.integers(2**62, 2**63, dtype=np.uint64)) * 2 + 1
         self.powers = [np.ones(1, np.uint64)] * 2
 
     def _power(self, k: int, n: int) -> np.ndarray:
         if len(self.powers[k]) < n:
-            values = np.full(n, _BASE if k == 0 else pow(_BASE, -1, 2**64), np.uint64)
+            values = np.full(n, self.base if k == 0 else pow(self.base, -1, 2**64), np.uint64)
             values[0] = 1
             self.powers[k] = np.multiply.accumulate(values)
         return self.powers[k][:n]
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         out = np.zeros(len(data) + 1, np.uint64)
-        np.multiply(_LETTERS[data], self._power(0, len(data)), out=out[1:])
+        np.multiply(self.letters[data], self._power(0, len(data)), out=out[1:])
         return np.add.accumulate(out, out=out)
 
-    def at(self, sums: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    def at(self, sums: np.ndarray, starts: np.ndarray, width: int | np.ndarray) -> np.ndarray:
         return mixed((sums[starts + width] - sums[starts]) * self._power(1, len(sums))[starts])
 
 
@@ -135,15 +142,48 @@ def chunked(docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNK_SCHEMA), "suffix-chunks")
 
 
+def same_as_before(value: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of fingerprints, and which of them in that order repeat the one before."""
+    order = np.argsort(value)
+    same = value[order][1:] == value[order][:-1]
+    if (same & (extra[order][1:] != extra[order][:-1])).any():
+        order = np.lexsort((extra, value))
+        same = (value[order][1:] == value[order][:-1]) & (extra[order][1:] == extra[order][:-1])
+    return order, np.concatenate([[False], same])[: len(order)]
+
+
+def bounds(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    part = (slots >> np.uint64(32)).astype(np.int64)
+    kinds, begins = np.unique(part, return_index=True)
+    return kinds, np.append(begins, len(part))
+
+
+class Keys:
+    """The distinct keys among the items of a chunk, sorted. ``slots``: of a fingerprint, so
+    many upper ``bits`` name its part; the next 32 are the key that is sent, the others the
+    rest. ``of``: the key of each item; ``least``: the smallest document of each key; ``later``:
+    items whose key a smaller document of the chunk has."""
+
+    def __init__(self, value: np.ndarray, extra: np.ndarray, ids: np.ndarray, bits: int) -> None:
+        order, same = same_as_before(value, extra)
+        first = np.flatnonzero(~same)
+        self.of = np.empty(len(value), np.int32)
+        self.of[order] = np.cumsum(~same, dtype=np.int32) - 1
+        value = value[order[first]]
+        self.slots, self.extra = value >> np.uint64(32 - bits), extra[order[first]]
+        self.rest = (value & np.uint64((1 << (32 - bits)) - 1)).astype(np.uint32)
+        self.least = np.minimum.reduceat(ids[order], first) if len(first) else ids
+        self.later = ids > self.least[self.of]
+
+
 class Chunk:
-    """The keys of one chunk, recomputed alike in every job. ``bits``: of a fingerprint, so
-    many upper ones name its part; the next 32 are the key that is sent, the others the rest."""
+    """The keys of one chunk, recomputed alike in every job."""
 
-    def __init__(self, row: dict, prints: Prints, bits: int) -> None:
-        self.prints, self.bits, self.id = prints, bits, row["chunk"]
+    def __init__(self, row: dict, prints: tuple[Prints, Prints], bits: int) -> None:
+        (self.prints, self.second), self.bits, self.id = prints, bits, row["chunk"]
         self.data, self.offsets, self.ids = unpacked(row)
         self.null = [i is None for i in row["ids"]]
-        self.sums = prints.sums(self.data)
+        self.sums = self.prints.sums(self.data)
         n = np.diff(self.offsets)
         self.doc_of = np.repeat(np.arange(len(n), dtype=np.int32), n)
 
@@ -166,57 +206,69 @@ class Chunk:
         # Whether two documents of this chunk have the tuple.
         self.again = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first) if len(first) else first > 0
 
+    def _fingerprints(self, starts: np.ndarray, width: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        extra = self.second.at(self.second_sums, starts, width) >> np.uint64(32)
+        return self.prints.at(self.sums, starts, width), extra.astype(np.uint32)
+
     def suffixes(self, flags: np.ndarray) -> None:
-        """The suffixes that a surviving name admits, sorted by fingerprint; for each distinct
-        string its key, the rest of the fingerprint and its smallest document."""
+        """starts: the suffixes that a surviving name admits; segment: the segment of each;
+        segments: their keys."""
         admitted = self.sampled[(flags | self.again)[self.name]]
         first_of = self.offsets[:-1][self.doc_of[admitted]]
         edge = np.bincount(np.maximum(admitted - (PERIOD - 1), first_of), minlength=len(self.data) + 1)
         edge[admitted + 1] -= 1
         starts = np.flatnonzero(np.add.accumulate(edge, out=edge)[:-1] > 0)
-        starts = starts[starts + LENGTH <= self.offsets[1:][self.doc_of[starts]]]
-        value = self.prints.at(self.sums, starts, LENGTH)
-        order = np.argsort(value)
-        value, self.starts = value[order], starts[order]
-        new = np.concatenate([[True], value[1:] != value[:-1]])[: len(value)]
-        first = np.flatnonzero(new)
-        self.string = np.cumsum(new, dtype=np.int32) - 1
-        value = value[first]
-        self.slots = value >> np.uint64(32 - self.bits)
-        self.rest = (value & np.uint64((1 << (32 - self.bits)) - 1)).astype(np.uint32)
-        ids = self.ids[self.doc_of[self.starts]]
-        self.least = np.minimum.reduceat(ids, first) if len(first) else ids
-        self.later = ids > self.least[self.string]
-
-    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        part = (self.slots >> np.uint64(32)).astype(np.int64)
-        kinds, begins = np.unique(part, return_index=True)
-        return kinds, np.append(begins, len(part))
-
-    def key_rows(self, full: bool) -> pa.RecordBatch:
-        kinds, cut = self.bounds()
-        low = (self.slots & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        keys, rest, docs, base = [], [], [], []
+        self.starts = starts = starts[starts + LENGTH <= self.offsets[1:][self.doc_of[starts]]]
+        self.second_sums = self.second.sums(self.data)
+        # The last start of a document is LENGTH before its end, so neighbours are of one document.
+        head = np.concatenate([[True], starts[1:] != starts[:-1] + 1])[: len(starts)]
+        head |= self.prints.at(self.sums, starts, LENGTH) & CUT == 0
+        self.segment = np.cumsum(head, dtype=np.int32) - 1
+        begin = np.flatnonzero(head)
+        size = np.diff(np.append(begin, len(starts)))
+        value, extra = self._fingerprints(starts[begin], size + (LENGTH - 1))
+        self.segments = Keys(value, extra, self.ids[self.doc_of[starts[begin]]], self.bits)
+
+    def strings_left(self, flags: np.ndarray) -> None:
+        """gone: the suffixes in segments that a smaller document holds; strings: the keys of
+        the others, ``left``."""
+        self.gone = (flags[self.segments.of] | self.segments.later)[self.segment]
+        self.left = self.starts[~self.gone]
+        value, extra = self._fingerprints(self.left, LENGTH)
+        self.strings = Keys(value, extra, self.ids[self.doc_of[self.left]], self.bits)
+
+    def name_rows(self) -> pa.RecordBatch:
+        return self._rows(self.slots, None)
+
+    def key_rows(self, keys: Keys) -> pa.RecordBatch:
+        return self._rows(keys.slots, keys)
+
+    def _rows(self, slots: np.ndarray, full: Keys | None) -> pa.RecordBatch:
+        kinds, cut = bounds(slots)
+        low = (slots & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        keys, rest, extra, docs, base = [], [], [], [], []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             keys.append(planes(np.diff(low[a:b], prepend=np.uint32(0))))
             if full:
-                base.append(int(self.least[a:b].min()))
-                rest.append(planes(self.rest[a:b]))
-                docs.append(planes((self.least[a:b] - base[-1]).astype(np.uint64)))
+                base.append(int(full.least[a:b].min()))
+                rest.append(planes(full.rest[a:b]))
+                extra.append(full.extra[a:b].tobytes())
+                docs.append(planes((full.least[a:b] - base[-1]).astype(np.uint64)))
         empty = [None] * len(kinds)
+        packed = [pa.array(c if full else empty, pa.binary()) for c in (rest, extra, docs)]
         arrays = [
             pa.array(kinds.astype(np.int32)), pa.array(np.full(len(kinds), self.id, np.int64)), pa.array(np.diff(cut).astype(np.int32)), pa.array(keys, pa.binary()),
-            pa.array(rest if full else empty, pa.binary()), pa.array(docs if full else empty, pa.binary()), pa.array(base if full else empty, pa.int64()),
+            *packed, pa.array(base if full else empty, pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays(arrays, names=["part", "chunk", "n", "keys", "rest", "docs", "base"])
+        return pa.RecordBatch.from_arrays(arrays, names=["part", "chunk", "n", "keys", "rest", "extra", "docs", "base"])
 
-    def flags(self, replies: dict[int, bytes]) -> np.ndarray:
-        kinds, cut = self.bounds()
+    def flags(self, slots: np.ndarray, replies: dict[int, bytes]) -> np.ndarray:
+        kinds, cut = bounds(slots)
         found = [np.unpackbits(np.frombuffer(replies[int(k)], np.uint8), count=b - a) for k, a, b in zip(kinds, cut[:-1], cut[1:], strict=True)]
         return np.concatenate(found).astype(bool) if found else np.zeros(0, bool)
 
     def result(self, earlier: np.ndarray) -> pa.RecordBatch:
-        starts = self.starts[earlier[self.string] | self.later]
+        starts = np.concatenate([self.starts[self.gone], self.left[earlier[self.strings.of] | self.strings.later]])
         edge = np.zeros(len(self.data) + 1, np.int32)
         edge[starts] += 1
         edge[starts + LENGTH] -= 1
@@ -250,21 +302,20 @@ def shared_names(table: pa.Table) -> list[bytes]:
 
 
 def earlier_strings(table: pa.Table) -> list[bytes]:
-    """Of the strings of one part, which ones another chunk has in a smaller document."""
-    value, docs, sizes = [], [], []
-    columns = [table.column(c).to_pylist() for c in ("keys", "rest", "docs", "base", "n")]
-    for k, r, d, base, n in zip(*columns, strict=True):
+    """Of the keys of one part, which ones another chunk has in a smaller document."""
+    value, extra, docs, sizes = [], [], [], []
+    columns = [table.column(c).to_pylist() for c in ("keys", "rest", "extra", "docs", "base", "n")]
+    for k, r, e, d, base, n in zip(*columns, strict=True):
         key = np.cumsum(from_planes(k, np.uint32, n), dtype=np.uint32).astype(np.uint64)
         value.append((key << np.uint64(32)) | from_planes(r, np.uint32, n))
+        extra.append(np.frombuffer(e, np.uint32))
         docs.append(from_planes(d, np.uint64, n).astype(np.int64) + base)
-        sizes.append(len(key))
-    value, doc = np.concatenate(value), np.concatenate(docs)
-    order = np.argsort(value)
-    value = value[order]
-    new = np.concatenate([[True], value[1:] != value[:-1]])
-    least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
+        sizes.append(n)
+    doc = np.concatenate(docs)
+    order, same = same_as_before(np.concatenate(value), np.concatenate(extra))
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(~same))
     flags = np.empty(len(doc), bool)
-    flags[order] = least[np.cumsum(new) - 1] < doc[order]
+    flags[order] = least[np.cumsum(~same) - 1] < doc[order]
     return [np.packbits(f).tobytes() for f in np.split(flags, np.cumsum(sizes)[:-1])]
 
 
@@ -319,36 +370,47 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         "doc_id", size.alias("n_bytes"), size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"),
     )
-    return _without_repeats(marked.filter(~copy)).unionByName(nothing_left)
+    n_bytes = inner.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return _without_repeats(marked.filter(~copy), n_bytes).unionByName(nothing_left)
 
 
-def _without_repeats(docs: DataFrame) -> DataFrame:
-    chunks = chunked(docs)
-    tasks = TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(24, (PARTS_PER_TASK * tasks - 1).bit_length())
-    prints = Prints()
+def _without_repeats(docs: DataFrame, n_bytes: int) -> DataFrame:
+    # Small partitions are read together, as each makes a chunk of its own.
+    chunks = chunked(docs.coalesce(max(1, -(-n_bytes // CHUNK))))
+    bits = min(24, (max(LEAST_PARTS, n_bytes * len(COVER) // PERIOD // PART_KEYS) - 1).bit_length())
+    prints = Prints(50), Prints(51)
 
-    def tuple_keys(batches):
+    def name_keys(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk = Chunk(batch.slice(k, 1).to_pylist()[0], prints, bits)
                 chunk.names()
-                yield chunk.key_rows(False)
+                yield chunk.name_rows()
 
     def admitted(row, answers):
         chunk = Chunk(row, prints, bits)
         chunk.names()
-        chunk.suffixes(chunk.flags(answers[0]))
+        chunk.suffixes(chunk.flags(chunk.slots, answers[0]))
         return chunk
 
-    def string_keys(row, answers):
-        return admitted(row, answers).key_rows(True)
+    def left(row, answers):
+        chunk = admitted(row, answers)
+        chunk.strings_left(chunk.flags(chunk.segments.slots, answers[1]))
+        return chunk
 
-    names = replies(chunks.mapInArrow(tuple_keys, KEY_SCHEMA), shared_names, "suffix-names")
-    strings = replies(with_replies(chunks, [names], string_keys, KEY_SCHEMA), earlier_strings, "suffix-strings")
+    def segment_keys(row, answers):
+        chunk = admitted(row, answers)
+        return chunk.key_rows(chunk.segments)
+
+    def string_keys(row, answers):
+        chunk = left(row, answers)
+        return chunk.key_rows(chunk.strings)
 
     def last(row, answers):
-        chunk = admitted(row, answers)
-        return chunk.result(chunk.flags(answers[1]))
+        chunk = left(row, answers)
+        return chunk.result(chunk.flags(chunk.strings.slots, answers[2]))
 
-    return with_replies(chunks, [names, strings], last, RESULT_SCHEMA)
+    names = replies(chunks.mapInArrow(name_keys, KEY_SCHEMA), shared_names, "suffix-names")
+    segments = replies(with_replies(chunks, [names], segment_keys, KEY_SCHEMA), earlier_strings, "suffix-segments")
+    strings = replies(with_replies(chunks, [names, segments], string_keys, KEY_SCHEMA), earlier_strings, "suffix-strings")
+    return with_replies(chunks, [names, segments, strings], last, RESULT_SCHEMA)

@@ -10,6 +10,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from teleskein.llm import lm, pii, search, suffix, warc
@@ -74,6 +76,58 @@ def test_substrings(spark, odd, empty, docs, monkeypatch):
     assert suffix.dedup_substrings(empty).collect() == []
 
 
+def test_substrings_with_clashing_first_fingerprints():
+    """Two chunks whose first fingerprints are all equal: the second one tells strings apart."""
+    rng = random.Random(7)
+    shared = "".join(rng.choice("abcdef") for _ in range(300))
+    texts = [[shared[:150], "q" * 80, shared[40:220]], [shared, "r" * 70, shared[100:] + "q" * 60]]
+    first = suffix.Prints(1)
+    first.letters = np.zeros(256, np.uint64)
+
+    def chunk(k):
+        blob = pa.compress("".join(texts[k]).encode(), "zstd", asbytes=True)
+        row = {"chunk": k, "ids": [k, k + 2, k + 4], "sizes": list(map(len, texts[k])), "blob": blob}
+        out = suffix.Chunk(row, (first, suffix.Prints(2)), 8)
+        out.names()
+        out.suffixes(np.ones(len(out.slots), bool))
+        return out
+
+    def asked(chunks, keys):
+        rows = pa.Table.from_batches([c.key_rows(keys(c)) for c in chunks])
+        parts = set(rows.column("part").to_pylist())
+        assert len(parts) == 1
+        answers = suffix.earlier_strings(rows)
+        return [c.flags(keys(c).slots, {part: a for part in parts}) for c, a in zip(chunks, answers, strict=True)]
+
+    chunks = [chunk(0), chunk(1)]
+    for c, flags in zip(chunks, asked(chunks, lambda c: c.segments), strict=True):
+        c.strings_left(flags)
+    got = [r for c, flags in zip(chunks, asked(chunks, lambda c: c.strings), strict=True) for r in c.result(flags).to_pylist()]
+    want = brute_substrings([(k + 2 * i, t) for k in range(2) for i, t in enumerate(texts[k])])
+    assert sorted((tuple(r.values()) for r in got), key=repr) == want
+    assert any(r[2] for r in want) and not all(r[2] for r in want)
+
+
+def test_passages_in_many_documents(spark, monkeypatch):
+    """Copies with an edit each, one passage at many places, equal and null ids among them."""
+    monkeypatch.setattr(suffix, "CHUNK", 20_000)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    long, passage, rows = text(400), text(60), []
+    for k in range(60):
+        at = rng.randrange(len(long))
+        rows.append((k, long[:at] + "#%d#" % k + long[at + rng.randrange(20) :]))
+        rows.append((100 + k, text(rng.randrange(40)) + passage[rng.randrange(30) :] + text(rng.randrange(40))))
+    rows += [(3, long), (None, passage * 2), (None, long[::-1]), (None, long[::-1] + "x"), (7, passage)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, suffix.dedup_substrings(df).collect()), key=repr) == brute_substrings(rows)
+
+
 # --- search ---
 
 
