@@ -56,6 +56,8 @@ CHUNK = 4_000_000
 PART_KEYS = 1 << 20
 LEAST_PARTS = 256
 CUT = np.uint64(15)  # a suffix in 16 begins a segment
+BASE = 0x9E3779B97F4A7C1B
+TEXT_CODEC = pa.Codec("zstd", compression_level=6)  # chunks are shuffled three times
 TASKS = 4  # for each shuffle partition of the session, as packed keys take more memory than rows
 LAST = np.int64(2**63 - 1)
 
@@ -84,29 +86,30 @@ def from_planes(data: bytes, kind: type, n: int) -> np.ndarray:
 
 
 class Prints:
-    """Fingerprints of strings by prefix sums of a polynomial modulo 2^64, its odd base and the
-    values of the bytes drawn from ``seed``."""
-
-    def __init__(self, seed: int) -> None:
-        rng = np.random.default_rng(seed)
-        self.letters = rng.integers(0, 2**64, 256, np.uint64)
-        self.base = int(rng.integers(2**62, 2**63, dtype=np.uint64)) * 2 + 1
-        self.powers = [np.ones(1, np.uint64)] * 2
-
-    def _power(self, k: int, n: int) -> np.ndarray:
-        if len(self.powers[k]) < n:
-            values = np.full(n, self.base if k == 0 else pow(self.base, -1, 2**64), np.uint64)
+    """Two independent fingerprints of strings, by prefix sums of a polynomial modulo 2^64; the
+    values of the bytes are drawn for each, the powers shared."""
+
+    def __init__(self) -> None:
+        self.letters = np.random.default_rng(50).integers(0, 2**64, (2, 256), np.uint64)
+        self.powers = {BASE: np.ones(1, np.uint64), pow(BASE, -1, 2**64): np.ones(1, np.uint64)}
+
+    def _power(self, base: int, n: int) -> np.ndarray:
+        if len(self.powers[base]) < n:
+            values = np.full(n, base, np.uint64)
             values[0] = 1
-            self.powers[k] = np.multiply.accumulate(values)
-        return self.powers[k][:n]
+            self.powers[base] = np.multiply.accumulate(values)
+        return self.powers[base][:n]
 
-    def sums(self, data: np.ndarray) -> np.ndarray:
+    def sums(self, data: np.ndarray, which: int) -> np.ndarray:
         out = np.zeros(len(data) + 1, np.uint64)
-        np.multiply(self.letters[data], self._power(0, len(data)), out=out[1:])
+        np.multiply(self.letters[which][data], self._power(BASE, len(data)), out=out[1:])
         return np.add.accumulate(out, out=out)
 
     def at(self, sums: np.ndarray, starts: np.ndarray, width: int | np.ndarray) -> np.ndarray:
-        return mixed((sums[starts + width] - sums[starts]) * self._power(1, len(sums))[starts])
+        out = sums[starts + width]
+        out -= sums[starts]
+        out *= self._power(pow(BASE, -1, 2**64), len(sums))[starts]
+        return mixed(out)
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +127,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         ids, sizes, parts = [], [], []
 
         def chunk():
-            blob = pa.compress(b"".join(parts), "zstd", asbytes=True)
+            blob = TEXT_CODEC.compress(b"".join(parts), asbytes=True)
             arrays = [pa.array([(task << 32) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([blob])]
             return pa.RecordBatch.from_arrays(arrays, names=["chunk", "ids", "sizes", "blob"])
 
@@ -179,11 +182,11 @@ class Keys:
 class Chunk:
     """The keys of one chunk, recomputed alike in every job."""
 
-    def __init__(self, row: dict, prints: tuple[Prints, Prints], bits: int) -> None:
-        (self.prints, self.second), self.bits, self.id = prints, bits, row["chunk"]
+    def __init__(self, row: dict, prints: Prints, bits: int) -> None:
+        self.prints, self.bits, self.id = prints, bits, row["chunk"]
         self.data, self.offsets, self.ids = unpacked(row)
         self.null = [i is None for i in row["ids"]]
-        self.sums = self.prints.sums(self.data)
+        self.sums = self.prints.sums(self.data, 0)
         n = np.diff(self.offsets)
         self.doc_of = np.repeat(np.arange(len(n), dtype=np.int32), n)
 
@@ -207,19 +210,20 @@ class Chunk:
         self.again = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first) if len(first) else first > 0
 
     def _fingerprints(self, starts: np.ndarray, width: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        extra = self.second.at(self.second_sums, starts, width) >> np.uint64(32)
+        extra = self.prints.at(self.second_sums, starts, width) >> np.uint64(32)
         return self.prints.at(self.sums, starts, width), extra.astype(np.uint32)
 
     def suffixes(self, flags: np.ndarray) -> None:
         """starts: the suffixes that a surviving name admits; segment: the segment of each;
         segments: their keys."""
         admitted = self.sampled[(flags | self.again)[self.name]]
+        del self.name, self.sampled, self.slots, self.again
         first_of = self.offsets[:-1][self.doc_of[admitted]]
         edge = np.bincount(np.maximum(admitted - (PERIOD - 1), first_of), minlength=len(self.data) + 1)
         edge[admitted + 1] -= 1
         starts = np.flatnonzero(np.add.accumulate(edge, out=edge)[:-1] > 0)
         self.starts = starts = starts[starts + LENGTH <= self.offsets[1:][self.doc_of[starts]]]
-        self.second_sums = self.second.sums(self.data)
+        self.second_sums = self.prints.sums(self.data, 1)
         # The last start of a document is LENGTH before its end, so neighbours are of one document.
         head = np.concatenate([[True], starts[1:] != starts[:-1] + 1])[: len(starts)]
         head |= self.prints.at(self.sums, starts, LENGTH) & CUT == 0
@@ -235,7 +239,9 @@ class Chunk:
         self.gone = (flags[self.segments.of] | self.segments.later)[self.segment]
         self.left = self.starts[~self.gone]
         value, extra = self._fingerprints(self.left, LENGTH)
+        del self.sums, self.second_sums  # memory, by far the most of it
         self.strings = Keys(value, extra, self.ids[self.doc_of[self.left]], self.bits)
+        del self.doc_of
 
     def name_rows(self) -> pa.RecordBatch:
         return self._rows(self.slots, None)
@@ -272,12 +278,12 @@ class Chunk:
         edge = np.zeros(len(self.data) + 1, np.int32)
         edge[starts] += 1
         edge[starts + LENGTH] -= 1
-        gone = np.cumsum(edge)[:-1] > 0
+        gone = np.cumsum(edge, out=edge)[:-1] > 0
         before = np.concatenate([[False], gone[:-1]]) if len(gone) else gone
         first_byte = np.zeros(len(gone), bool)
         first_byte[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
-        removed = np.concatenate([[0], np.cumsum(gone)])
-        spans = np.concatenate([[0], np.cumsum(gone & (~before | first_byte))])
+        removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
+        spans = np.concatenate([[0], np.cumsum(gone & (~before | first_byte), dtype=np.int32)])
         rows = []
         for k, (a, b) in enumerate(zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True)):
             n = int(removed[b] - removed[a])
@@ -378,7 +384,7 @@ def _without_repeats(docs: DataFrame, n_bytes: int) -> DataFrame:
     # Small partitions are read together, as each makes a chunk of its own.
     chunks = chunked(docs.coalesce(max(1, -(-n_bytes // CHUNK))))
     bits = min(24, (max(LEAST_PARTS, n_bytes * len(COVER) // PERIOD // PART_KEYS) - 1).bit_length())
-    prints = Prints(50), Prints(51)
+    prints = Prints()
 
     def name_keys(batches):
         for batch in batches:

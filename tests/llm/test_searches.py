@@ -81,13 +81,13 @@ def test_substrings_with_clashing_first_fingerprints():
     rng = random.Random(7)
     shared = "".join(rng.choice("abcdef") for _ in range(300))
     texts = [[shared[:150], "q" * 80, shared[40:220]], [shared, "r" * 70, shared[100:] + "q" * 60]]
-    first = suffix.Prints(1)
-    first.letters = np.zeros(256, np.uint64)
+    prints = suffix.Prints()
+    prints.letters[0] = 0
 
     def chunk(k):
         blob = pa.compress("".join(texts[k]).encode(), "zstd", asbytes=True)
         row = {"chunk": k, "ids": [k, k + 2, k + 4], "sizes": list(map(len, texts[k])), "blob": blob}
-        out = suffix.Chunk(row, (first, suffix.Prints(2)), 8)
+        out = suffix.Chunk(row, prints, 8)
         out.names()
         out.suffixes(np.ones(len(out.slots), bool))
         return out
