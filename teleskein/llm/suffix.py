@@ -57,7 +57,7 @@ PART_KEYS = 1 << 20
 LEAST_PARTS = 256
 CUT = np.uint64(15)  # a suffix in 16 begins a segment
 BASE = 0x9E3779B97F4A7C1B
-TEXT_CODEC = pa.Codec("zstd", compression_level=6)  # chunks are shuffled three times
+TEXT_LEVEL = 6  # of zstd, as chunks are shuffled three times
 TASKS = 4  # for each shuffle partition of the session, as packed keys take more memory than rows
 LAST = np.int64(2**63 - 1)
 
@@ -125,9 +125,10 @@ def chunked(docs: DataFrame) -> DataFrame:
     def run(batches):
         task, made, total = TaskContext.get().partitionId(), 0, 0
         ids, sizes, parts = [], [], []
+        codec = pa.Codec("zstd", compression_level=TEXT_LEVEL)
 
         def chunk():
-            blob = TEXT_CODEC.compress(b"".join(parts), asbytes=True)
+            blob = codec.compress(b"".join(parts), asbytes=True)
             arrays = [pa.array([(task << 32) + made]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([blob])]
             return pa.RecordBatch.from_arrays(arrays, names=["chunk", "ids", "sizes", "blob"])
 
