@@ -394,6 +394,22 @@ def test_lm_online_learning_raises_held_out_score(spark, monkeypatch):
     assert sums[True, True][0] > max(sums[True, False][0], sums[False, True][0])
 
 
+def test_lm_score_depends_on_its_text_alone():
+    """However texts are cut into pieces, each scores as it does alone."""
+    rng = random.Random(5)
+    known = [bytes([97 + k]) * (1 + k % 4) for k in range(20)]
+    code = lm.codes([(w, 100 - k) for k, w in enumerate(known)], 30, 50)
+    words = [w.decode() for w in known] + ["zebra", "Öl", "x9", "-"]
+    texts = [" ".join(rng.choice(words) for _ in range(n)).encode() for n in (0, 1, 3, 4, 5, 17, 40, 300, 900)]
+    tables = np.random.default_rng(5).integers(0, 40, (2, sum(lm.table_sizes(code))))
+    model = lm.model_of(tables.astype(float), lm.table_sizes(code))
+    alone = [lm.log_scores(model, lm.decisions([t], code))[0] for t in texts]
+    for size in (2, 4, len(texts)):
+        pieces = [texts[k : k + size] for k in range(0, len(texts), size)]
+        together = np.concatenate([lm.log_scores(model, lm.decisions(piece, code)) for piece in pieces])
+        assert np.allclose(together, alone, rtol=1e-6) and (together < 0).all()
+
+
 def test_lm_decisions_are_a_code():
     """Every symbol's path is a prefix code, so the probabilities of all texts add up to one."""
     code = lm.codes([(b"a", 5), (b"b", 3), (b"c", 3)], 2, 1)
