@@ -66,7 +66,7 @@ PRIOR = 0.4
 SALTS = 16
 INPUTS = 4
 GATES = 32
-PIECE = 32_000  # bytes of texts at a time; larger arrays cost several times as much, in page faults
+PIECE = 400_000
 PENDING = 2_000_000  # slots gathered before they are counted
 
 
