@@ -1,12 +1,13 @@
 """Quality rules: rule statistics of a text, an isolation forest over them, thresholds from labels.
 
-Statistics are counted exactly over the whole text of every document. The forest is grown from
-a bounded sample of labelled rows (``SAMPLE_ROWS``; a row's place in the sample depends on its
-id alone), each tree from ``TREE_ROWS`` good ones of them by random splits over the range of
-the sample; the anomaly score of a row is
+Statistics are counted exactly over the whole text of every document. The forest comes from all
+labelled rows that pass the base rules: random splits over the range of all of them, drawn some
+levels at a time; Spark counts all good rows through the trees, and a tree goes on where a node
+holds more than one row in proportion to ``TREE_ROWS`` at the root. That share of rows takes the
+place of a sample for each tree. The anomaly score of a row is
 2^(-mean path length / expected length). The threshold is the score that parts labelled good
 from labelled bad rows with the fewest errors weighted by class, never below the ``KEEP_SHARE``
-quantile of the good ones. All other work covers all rows and needs no shuffle of text.
+quantile of the good ones; all labelled rows are counted by score in steps of 1 / ``BINS``.
 
 Defined cases: a null text has no words and fails the base rules like every text under 50
 words; rows that repeat are scored each; without usable labels the forest judges nothing and
@@ -17,6 +18,7 @@ read, so further columns do not matter.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,21 +26,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from teleskein.llm.common import Shared, map_arrow, stored, wrapped
+from teleskein.llm.common import Shared, map_arrow, row_batches, stored, wrapped
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-SAMPLE_ROWS = 20_000
 TREES = 150
 TREE_ROWS = 256
 KEEP_SHARE = 0.999
+LEVELS = 4
+BINS = 1 << 16
 SEED = 7
 
 STATS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_lines long, n_upper long, n_marks long, n_distinct long, n_bare_words long"
 )
+FEATURES = 8
 NAMES = [part.split()[0] for part in STATS.split(", ")]
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _BARE_WORD = re.compile(r"(?<![^\x20\x09-\x0D])[^\w\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")
@@ -119,82 +123,171 @@ def _expected(n: np.ndarray | float) -> np.ndarray:
 class Forest:
     """Random trees as flat arrays: feature (-1 at a leaf), split, left child, path length.
 
-    ``rows`` are usual ones; splits are drawn over the box that ``low`` and ``high`` span, so a
-    region where no usual row lies is cut off after few of them.
+    Splits are drawn over the box that ``low`` and ``high`` span, without a look at the rows, so
+    a region where no usual row lies is cut off after few of them. All usual rows are counted: a
+    node is split while it holds more than one row in proportion to ``tree_rows`` at the root.
     """
 
     def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> None:
-        rng = np.random.default_rng(seed)
-        self.size = min(tree_rows, len(rows))
+        self._grow(lambda grown: ends(grown, rows), len(rows), low, high, trees, tree_rows, seed)
+
+    @classmethod
+    def over(cls, counted: Callable, n: int, low: np.ndarray, high: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED) -> Forest:
+        """The forest of ``n`` usual rows of which ``counted`` tells, for a list of trees, how
+        many end in each node."""
+        self = cls.__new__(cls)
+        self._grow(counted, n, low, high, trees, tree_rows, seed)
+        return self
+
+    def _grow(self, counted: Callable, n: int, low: np.ndarray, high: np.ndarray, trees: int, tree_rows: int, seed: int) -> None:
+        self.size = min(tree_rows, n)
         depth = 2 * int(np.ceil(np.log2(max(self.size, 2))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], low, high, depth, rng) for _ in range(trees)]
-
-    @staticmethod
-    def _grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-        feature, split, left, length, todo = [-1], [0.0], [0], [0.0], [(0, rows, low, high, 0)]
-        while todo:
-            node, part, low, high, level = todo.pop()
-            wide = np.flatnonzero(high > low) if len(part) > 1 and level < depth else []
-            if not len(wide):
-                length[node] = level + float(_expected(len(part)))
-                continue
-            f = int(rng.choice(wide))
-            at = rng.uniform(low[f], high[f])
-            feature[node], split[node], left[node] = f, at, len(feature)
-            under, over = high.copy(), low.copy()
-            under[f] = over[f] = at
-            for side, lo, hi in ((part[part[:, f] <= at], low, under), (part[part[:, f] > at], over, high)):
-                todo.append((len(feature), side, lo, hi, level + 1))
-                feature.append(-1), split.append(0.0), left.append(0), length.append(0.0)
-        return np.array(feature), np.array(split), np.array(left), np.array(length)
+        growing = [_Growing(np.random.default_rng([seed, k]), low, high, depth) for k in range(trees)]
+        while any([tree.drawn() for tree in growing]):
+            for tree, ended in zip(growing, counted([tree.arrays()[:3] for tree in growing]), strict=True):
+                tree.settle(ended * (self.size / n))
+        self.trees = [tree.arrays() for tree in growing]
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Between 0 and 1; short paths, the anomalous rows, score high."""
-        total, every = np.zeros(len(rows)), np.arange(len(rows))
-        for feature, split, left, length in self.trees:
-            node = np.zeros(len(rows), np.int64)
-            while True:
-                f = feature[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                right = rows[every, np.maximum(f, 0)] > split[node]
-                node = np.where(inner, left[node] + right, node)
-            total += length[node]
+        total = np.zeros(len(rows))
+        for *tree, length in self.trees:
+            total += length[leaves(tree, rows)]
         return 2.0 ** (-total / max(1, len(self.trees)) / max(float(_expected(self.size)), 1e-9))
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, keep_share: float = KEEP_SHARE) -> float:
-    """The score above which a row is rejected."""
-    own, other = np.sort(scores[good]), np.sort(scores[~good])
-    cuts = np.unique(np.concatenate([own, other]))
-    wrong = 1 - np.searchsorted(own, cuts, "right") / len(own) + np.searchsorted(other, cuts, "right") / len(other)
+def leaves(tree: tuple[np.ndarray, ...], rows: np.ndarray) -> np.ndarray:
+    """The node in which each row ends."""
+    feature, split, left = tree
+    node, every = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    while True:
+        f = feature[node]
+        inner = f >= 0
+        if not inner.any():
+            return node
+        right = rows[every, np.maximum(f, 0)] > split[node]
+        node = np.where(inner, left[node] + right, node)
+
+
+def ends(trees: list[tuple[np.ndarray, ...]], rows: np.ndarray) -> list[np.ndarray]:
+    """How many rows end in each node of each tree."""
+    return [np.bincount(leaves(tree, rows), minlength=len(tree[0])) for tree in trees]
+
+
+class _Growing:
+    """A tree that draws ``LEVELS`` levels at a time and keeps what rows reach. A node is a list
+    of feature, split, left child, path length, level and box."""
+
+    def __init__(self, rng: np.random.Generator, low: np.ndarray, high: np.ndarray, depth: int) -> None:
+        self.rng, self.depth = rng, depth
+        self.nodes = [[-1, 0.0, 0, 0.0, 0, (low, high)]]
+        self.open = [0]
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        feature, split, left, length, _, _ = zip(*self.nodes, strict=True)
+        return np.array(feature), np.array(split), np.array(left), np.array(length)
+
+    def drawn(self) -> bool:
+        """Whether there are open nodes; splits are drawn below them."""
+        tops = self.open
+        for _ in range(LEVELS):
+            below = []
+            for top in tops:
+                level, (low, high) = self.nodes[top][4:]
+                wide = np.flatnonzero(high > low)
+                if level == self.depth or not len(wide):
+                    continue
+                f = int(self.rng.choice(wide))
+                at = self.rng.uniform(low[f], high[f])
+                under, over = high.copy(), low.copy()
+                under[f] = over[f] = at
+                self.nodes[top][:3] = f, at, len(self.nodes)
+                for box in ((low, under), (over, high)):
+                    below.append(len(self.nodes))
+                    self.nodes.append([-1, 0.0, 0, 0.0, level + 1, box])
+            tops = below
+        return bool(self.open)
+
+    def settle(self, held: np.ndarray) -> None:
+        """Cuts the tree at nodes that hold one row or less, given what ends in each node, and
+        opens those of the last level that hold more. Nodes that are cut off go."""
+        for k in range(len(held) - 1, 0, -1):
+            node = self.nodes[k]
+            if node[0] >= 0:
+                held[k] += held[node[2]] + held[node[2] + 1]
+        before, kept, self.nodes, self.open = self.nodes, [0], [], []
+        for k in kept:
+            feature, split, left, _, level, box = before[k]
+            if feature >= 0 and (held[k] > 1 or k == 0):
+                self.nodes.append([feature, split, len(kept), 0.0, level, box])
+                kept += [left, left + 1]
+                continue
+            if feature < 0 and held[k] > 1 and level < self.depth and (box[1] > box[0]).any():
+                self.open.append(len(self.nodes))
+            self.nodes.append([-1, 0.0, 0, level + float(_expected(held[k])), level, box])
+
+
+def threshold(good: np.ndarray, bad: np.ndarray, keep_share: float = KEEP_SHARE) -> float:
+    """The score above which a row is rejected, from how many rows have each of ``BINS`` + 1
+    scores, rounded up."""
+    own, other = np.cumsum(good), np.cumsum(bad)
+    wrong = 1 - own / own[-1] + other / other[-1]
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    at = best[len(best) // 2]
-    edge = (cuts[at] + cuts[at + 1]) / 2 if at + 1 < len(cuts) else cuts[at]
-    return float(max(edge, np.quantile(own, keep_share, method="higher")))
-
-
-def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Forest, float] | None:
-    """Forest and threshold from at most ``sample_rows`` labelled rows that pass the base rules;
-    None where there are no good or no bad ones."""
-    known = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = (
-        stats.filter("not base_failed")
-        .join(known, "doc_id")
-        .withColumn("place", F.xxhash64("doc_id"))
-        .orderBy("place", "doc_id", "n_words", "word_chars")
-        .limit(sample_rows)
-        .select(*NAMES, "quality")
-        .toArrow()
-    )
-    table = np.column_stack([rows.column(k).to_numpy() for k in range(len(NAMES) + 1)]).reshape(-1, len(NAMES) + 1)
-    good = table[:, -1] == 1
-    if not good.any() or good.all():
+    least = np.searchsorted(own, np.ceil(keep_share * (own[-1] - 1)) + 1)
+    return float(max(best[len(best) // 2], least) / BINS)
+
+
+def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest, float] | None:
+    """Forest and threshold from all labelled rows that pass the base rules; None where there
+    are no good or no bad ones."""
+    known = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
+
+    def valued(batch: pa.RecordBatch):
+        values = features(np.column_stack([batch.column(c).to_numpy() for c in NAMES]))
+        return [batch.column("good"), *(pa.array(v) for v in values.T)]
+
+    names = [f"f{k}" for k in range(FEATURES)]
+    joined = stats.filter("not base_failed").join(known, "doc_id").select("good", *NAMES)
+    rows = stored(map_arrow(joined, valued, "good boolean, " + ", ".join(f"{c} double" for c in names)), "quality-labelled")
+    box = rows.agg(F.count_if("good"), F.count_if(~F.col("good")), *(F.min(c) for c in names), *(F.max(c) for c in names)).first()
+    if not box[0] or not box[1]:
         return None
-    values = features(table[:, :-1])
-    forest = Forest(values[good], values.min(0), values.max(0))
-    return forest, threshold(forest.score(values), good)
+    low, high = np.array(box[2:]).reshape(2, -1)
+    usual = rows.filter("good").drop("good")
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return np.column_stack([batch.column(c).to_numpy() for c in names])
+
+    def counted(trees: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+        shared = Shared(rows.sparkSession, trees)
+        cut = np.cumsum([0, *(len(tree[0]) for tree in trees)])
+        sums = _sums(usual, lambda batch: np.concatenate(ends(shared.value, matrix(batch))), cut[-1])
+        return np.split(sums, cut[1:-1])
+
+    forest = Forest.over(counted, box[0], low, high)
+    shared = Shared(rows.sparkSession, forest)
+
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
+        bins = np.ceil(shared.value.score(matrix(batch)) * BINS).astype(np.int64)
+        return np.bincount(bins + (BINS + 1) * ~batch.column("good").to_numpy(zero_copy_only=False), minlength=2 * (BINS + 1))
+
+    return forest, threshold(*_sums(rows, scores, 2 * (BINS + 1)).reshape(2, -1))
+
+
+def _sums(rows: DataFrame, function: Callable, size: int) -> np.ndarray:
+    """``size`` sums of ``function`` over all batches, added up by Spark."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in row_batches(batches):
+            total += function(batch)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["k", "n"])
+
+    found = rows.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[found.column("k").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
 def base_failed() -> F.Column:

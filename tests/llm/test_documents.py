@@ -222,6 +222,27 @@ def test_forest_equals_plain_paths():
         assert abs(score - brute.anomaly(row, usual.tolist(), low.tolist(), high.tolist(), 600, 64, plain)) < 0.02
 
 
+def test_quality_fit_counts_every_labelled_row(spark):
+    """Bad rows that come last by hash are learned from, and the forest is that of all good rows."""
+    import pyspark.sql.functions as F
+
+    ids = spark.range(30_000).withColumnRenamed("id", "doc_id")
+    last = [r["doc_id"] for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(300).collect()]
+    labels = ids.select("doc_id", (~F.col("doc_id").isin(last)).cast("int").alias("quality")).repartition(7)
+    n = {c: F.lit(100) + F.pmod(F.xxhash64("doc_id", F.lit(c)), F.lit(20)) for c in quality.NAMES}
+    n["n_symbols"] = F.when(F.col("doc_id").isin(last), F.lit(90)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(5)))
+    stats = ids.select("doc_id", *[n[c].cast("long").alias(c) for c in quality.NAMES], F.lit(False).alias("base_failed"))
+    forest, limit = quality.fit(stats, labels)
+    rows = stats.orderBy("doc_id").toPandas()
+    values, bad = quality.features(rows[quality.NAMES].to_numpy()), rows["doc_id"].isin(last).to_numpy()
+    plain = quality.Forest(values[~bad], values.min(0), values.max(0))
+    assert all(np.array_equal(a, b) for x, y in zip(forest.trees, plain.trees, strict=True) for a, b in zip(x, y, strict=True))
+    scores = plain.score(values)
+    own = np.sort(scores[~bad])
+    assert limit >= own[int(np.ceil(quality.KEEP_SHARE * (len(own) - 1)))]
+    assert (scores[bad] > limit).all() and (scores[~bad] <= limit).mean() >= 0.999
+
+
 def test_bare_words_are_counted():
     place = quality.NAMES.index("n_bare_words")
     for text, n in (("a | b -- c", 2), ("|", 1), ("a|b ?! _ 7 \u00e9\t***\n#", 3), ("", 0), (None, 0), ("!\u00a0!", 1)):
