@@ -3,8 +3,9 @@
 Every line (trimmed of white space) gets a 128-bit key. One aggregation per key builds a
 HyperLogLog sketch of its distinct sites; sketches are partial per task and merged, so a line
 that fills a third of the corpus is one sketch a task. Lines clearly below ``MIN_SITES`` are
-done, lines clearly above are boilerplate, and only those within the sketch's error of the
-threshold get an exact distinct count. Of each boilerplate line the occurrence with the
+done; the occurrences of all others are found in a second pass over the text. Lines clearly above
+are boilerplate, and only those within the sketch's error of the threshold get an exact distinct
+count, from the occurrences. Of each boilerplate line the occurrence with the
 smallest (doc_id, position) stays; all others are removed, so nothing is lost from the corpus.
 
 DataFrame operations only. The text is shuffled once, to meet the positions to drop.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from teleskein.llm.common import SPACE, join_small, let, row_key, stored, wrapped
+from teleskein.llm.common import join_small, let, row_key, stored, wrapped
 
 MIN_SITES = 10
 LG_K = 12
@@ -34,43 +35,41 @@ def split_lines(text: Column) -> Column:
 
 def line_rows(inner: DataFrame) -> DataFrame:
     """site, doc, at (row key), position and line key of every line that is not blank."""
-    lines = inner.select("site", "doc", "at", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    trimmed = F.regexp_replace("line", f"^{SPACE}+|{SPACE}+$", "")
+    site = F.coalesce(F.concat(F.lit("s"), F.col("site")), F.lit("")).alias("site")
+    lines = inner.select(site, "doc", "at", "text").select("site", "doc", "at", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    trimmed = F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))
     return lines.withColumn("line", trimmed).filter("line <> ''").select("site", "doc", "at", "pos", row_key(F.col("line")).alias("key"))
 
 
-def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """key and n_sites (estimated, or exact near the threshold) of the lines with at least
-    ``min_sites`` sites."""
-    site = F.coalesce(F.concat(F.lit("s"), F.col("site")), F.lit(""))
-    sketched = stored(
-        rows.groupBy("key")
-        .agg(F.hll_sketch_agg(site, LG_K).alias("sketch"))
-        .select("key", F.hll_sketch_estimate("sketch").alias("estimate"))
-        .filter(F.col("estimate") >= min_sites - max(1.0, BAND * min_sites)),
-        "line-sketch",
-    )
-    above = min_sites + max(1.0, BAND * min_sites)
-    sure = sketched.filter(F.col("estimate") > above).select("key", F.col("estimate").alias("n_sites"))
-    near = sketched.filter(F.col("estimate") <= above).select("key")
+def candidates(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """key and sure of the lines that may have ``min_sites`` sites; where sure, they have."""
+    sketched = rows.groupBy("key").agg(F.hll_sketch_agg("site", LG_K).alias("sketch")).select("key", F.hll_sketch_estimate("sketch").alias("estimate"))
+    band = max(1.0, BAND * min_sites)
+    return sketched.filter(F.col("estimate") >= min_sites - band).select("key", (F.col("estimate") > min_sites + band).alias("sure"))
+
+
+def boilerplate(maybe: DataFrame, hits: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """The keys of ``maybe`` with at least ``min_sites`` sites, by exact counts over their
+    ``hits`` where the sketch leaves it open."""
     exact = (
-        join_small(rows.withColumn("site", site).select("key", "site"), near, "key")
+        hits.filter("not sure")
         .groupBy("key", "site")
         .agg(F.lit(1).alias("one"))
         .groupBy("key")
         .agg(F.count("*").alias("n_sites"))
         .filter(F.col("n_sites") >= min_sites)
     )
-    return sure.unionByName(exact)
+    return maybe.filter("sure").select("key").unionByName(exact.select("key"))
 
 
 def dropped_lines(inner: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc, at and drop (the positions to remove) of every document that loses a line."""
     rows = line_rows(inner)
-    common = stored(boilerplate(rows, min_sites).select("key"), "boilerplate")
+    maybe = stored(candidates(rows, min_sites), "line-sketch")
+    hits = stored(join_small(rows, maybe, "key"), "line-hits")
+    common = stored(boilerplate(maybe, hits, min_sites), "boilerplate")
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "pos")
-    hits = stored(join_small(rows.select("key", "doc", "at", "pos"), common, "key"), "line-hits")
-    firsts = stored(hits.groupBy("key").agg(F.min(place).alias("first")), "line-firsts")
+    firsts = stored(join_small(hits, common, "key").groupBy("key").agg(F.min(place).alias("first")), "line-firsts")
     later = join_small(hits, firsts, "key").filter(place > F.col("first"))
     return later.groupBy("doc", "at").agg(F.collect_set("pos").alias("drop"))
 

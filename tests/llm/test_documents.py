@@ -137,6 +137,21 @@ def test_line_dedup_exact_and_sketched_agree(odd, monkeypatch):
         assert sum(removed) == plain_removed(brute.odd_rows(), sites)
 
 
+def test_line_dedup_trims_at_the_ends_only(spark):
+    """A blank before a line separator at a line's end is inside the line, not white space after it."""
+    rows = [(k, "shared \u2028\nown" if k % 2 else "shared\u2028\nown " + str(k), f"s{k}") for k in range(18)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sum(r["n_removed"] for r in line_dedup.cleaned(df).collect()) == plain_removed([(d, t, None, s) for d, t, s in rows], 10) == 0
+
+
+def test_line_dedup_cuts_lines_twice_only(odd, monkeypatch):
+    """Once for the sketches, once for the occurrences of the lines that they leave."""
+    plans, plain = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, label))
+    line_dedup.dedup_lines(odd).collect()
+    assert sum(plan.count("posexplode(") for plan in plans) == 2
+
+
 def test_line_dedup_of_a_long_document(spark):
     """200 000 lines of which two go; the work must not grow with the square of the lines."""
     lines = [f"l{i}" for i in range(200_000)]
