@@ -177,6 +177,19 @@ def test_shards_are_bounded_in_rows(spark, monkeypatch):
     assert [(q, k, r, d, round(s, 9)) for q, k, r, d, s in sorted(map(tuple, dealt.collect()))] == [(q, k, r, d, round(s, 9)) for q, k, r, d, s in whole]
 
 
+def test_queries_go_to_parts_not_to_shards(spark, monkeypatch):
+    """Forty shards in a bounded number of parts: copies of queries and hits do not grow with the shards."""
+    rows = [(k, f"w{k % 7} w{k % 11} x{k}") for k in range(1600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = [(q, k, r, d, round(s, 9)) for q, k, r, d, s in sorted(map(tuple, search.search(table).collect()))]
+    monkeypatch.setattr(search, "SHARD_ROWS", 40)
+    dealt = search.search(table)
+    seen = dealt._jdf.queryExecution().optimizedPlan().toString()
+    parts = max(8, spark.sparkContext.defaultParallelism)
+    assert re.search(rf"RepartitionByExpression \[shard#\d+[^\]]*\], {parts}\b", seen)
+    assert [(q, k, r, d, round(s, 9)) for q, k, r, d, s in sorted(map(tuple, dealt.collect()))] == whole
+
+
 @pytest.mark.parametrize("bytes_", [20_000, 10**9])
 def test_search_repeated_queries(spark, odd, monkeypatch, bytes_):
     """Repeated rows ask once; different texts under one id have a list each."""
