@@ -318,8 +318,11 @@ class Model:
 
 def model_of(tables: np.ndarray, sizes: list[int]) -> Model:
     zero, one = tables
-    odds = np.log((one + PRIOR) / (zero + PRIOR)).astype(np.float16)
-    seen = np.searchsorted([0.5, 2.5, 12.5], zero + one).astype(np.uint8)
+    odds, seen = np.empty(len(zero), np.float16), np.empty(len(zero), np.uint8)
+    for at in range(0, len(zero), BLOCK):  # by block, as wide intermediates of all slots fill the driver
+        a, b = zero[at : at + BLOCK], one[at : at + BLOCK]
+        odds[at : at + BLOCK] = np.log((b + PRIOR) / (a + PRIOR))
+        seen[at : at + BLOCK] = np.searchsorted([0.5, 2.5, 12.5], a + b)
     cut = np.cumsum(sizes)[:-1]
     identity = 1 / (1 + np.exp(-np.linspace(-REACH, REACH, BUCKETS)))
     return Model(np.split(odds, cut), np.split(seen, cut), np.tile([0.3, 0.4, 0.3, 0.0], (GATES, 1)), np.tile(identity, (2, 1)))
@@ -404,6 +407,14 @@ def fitted(model: Model, docs: DataFrame, code: Shared) -> Model:
     return model
 
 
+def texts_of(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of ``text``, all below ``n``, in order, and the place of each among them."""
+    if n > len(text):  # a few decisions must not cost what all texts hold
+        return np.unique(text, return_inverse=True)
+    here = np.bincount(text, minlength=n) > 0
+    return np.flatnonzero(here), (np.cumsum(here) - 1)[text]
+
+
 def learned(model: Model, d: Decisions, x: np.ndarray, t: np.ndarray) -> np.ndarray:
     """The probability of a 1 in every decision, a text's weights and map learning from segment
     to segment of the text."""
@@ -411,8 +422,11 @@ def learned(model: Model, d: Decisions, x: np.ndarray, t: np.ndarray) -> np.ndar
     first = np.cumsum(d.tokens) - d.tokens
     segment = np.searchsorted(borders, np.arange(len(d.owner)) - first[d.owner], "right").astype(np.int32)
     token = np.concatenate([np.repeat(np.arange(len(d.owner), dtype=np.int32), d.lengths), np.repeat(d.spelled.astype(np.int32), d.spelling)])
-    order = np.argsort(segment[token], kind="stable")
-    cut = np.searchsorted(segment[token[order]], np.arange(int(segment.max(initial=0)) + 2))
+    last = int(segment.max(initial=0))
+    # Numpy sorts 16 bits by radix, wider numbers by comparison.
+    at_segment = segment.astype(np.uint16 if last < 2**16 else np.int32)[token]
+    order = np.argsort(at_segment, kind="stable")
+    cut = np.concatenate([[0], np.cumsum(np.bincount(at_segment, minlength=last + 1))])
     n, wide = len(d.tokens), 2 * BUCKETS // COARSE
     own = np.zeros((n, INPUTS), np.float32)
     missed, seen = np.zeros(n * wide, np.float32), np.zeros(n * wide, np.float32)
@@ -421,7 +435,7 @@ def learned(model: Model, d: Decisions, x: np.ndarray, t: np.ndarray) -> np.ndar
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         now = order[a:b]
         text, xs, bit = d.owner[token[now]], x[:, now], d.bit[now]
-        names, text_of = np.unique(text, return_inverse=True)
+        names, text_of = texts_of(text, n)
         t_now = t[now] + np.einsum("ik,ki->i", own[text], xs)
         mixed = squash(t_now)
         at = bucket(t_now, len(t_now)) + BUCKETS * (now >= d.words)
@@ -475,7 +489,9 @@ def train(docs: DataFrame) -> Trained:
         at = row["block"] * BLOCK
         tables[row["part"], :, at : at + BLOCK] += np.ascontiguousarray(values).view(np.int64).reshape(2, BLOCK)
     model = fitted(model_of(tables[0], sizes), own.filter(F.col("remainder") == FIT), shared)
-    whole = model_of(tables.sum(0), sizes)
+    tables[0] += tables[1]
+    whole = model_of(tables[0], sizes)
+    del tables
     whole.weights, whole.refined = model.weights, model.refined
     return Trained(code, whole, counts, (total or 0) + ends, distinct + (ends > 0))
 
