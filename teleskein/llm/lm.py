@@ -12,7 +12,8 @@ contexts have been seen, and a map from mixed to observed probability refines th
 probabilities of a text's decisions multiply to the model's probability of the text.
 
 Training, all as Spark jobs over all training documents: word counts by aggregation; decision
-counts, a partial table in each task, added up by blocks of slots in two rounds; mixer weights
+counts, a partial table in each task, added up by blocks of slots in two rounds and turned into
+log odds there, so that the driver holds three bytes a slot and no counts; mixer weights
 and refinement by Newton steps on a tenth of the training documents whose counts are kept
 apart (remainder ``FIT`` of ten), so that counts are never judged on their own documents.
 Afterwards the tables of both parts are added. While a text is scored the mixer goes on
@@ -34,9 +35,9 @@ gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,6 @@ SALTS = 16
 INPUTS = 4
 GATES = 32
 PIECE = 400_000
-PENDING = 2_000_000  # slots gathered before they are counted
 
 
 def remainder(doc_id: Column) -> Column:
@@ -109,8 +109,9 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
         cut = row["level"]
     if cut is None:
         return []
-    found = counts.filter((level >= cut) & (F.col("n") >= MIN_COUNT)).collect()
-    return sorted(((bytes(r["word"]), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
+    found = counts.filter((level >= cut) & (F.col("n") >= MIN_COUNT)).select("word", "n").toArrow()
+    found = found.sort_by([("n", "descending"), ("word", "ascending")])
+    return list(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
 
 
 @dataclass
@@ -135,26 +136,34 @@ class Codes:
 
 def codes(words: list[tuple[bytes, int]], ends: int, rest: int) -> Codes:
     """Huffman paths; ``ends`` documents end, ``rest`` tokens are escaped."""
-    weights = [n for _, n in words] + [max(1, ends), max(1, rest)]
-    queue = [(w, i) for i, w in enumerate(weights)]
-    heapq.heapify(queue)
-    parent, side, made = {}, {}, len(weights)
-    while len(queue) > 1:
-        (a, x), (b, y) = heapq.heappop(queue), heapq.heappop(queue)
-        parent[x] = parent[y] = made
-        side[x], side[y] = 0, 1
-        heapq.heappush(queue, (a + b, made))
-        made += 1
-    start, node, bit = [0], [], []
-    for s in range(len(weights)):
-        path = []
-        while s in parent:
-            path.append((parent[s] - len(weights), side[s]))
-            s = parent[s]
-        node.extend(n for n, _ in reversed(path))
-        bit.extend(b for _, b in reversed(path))
-        start.append(len(node))
-    return Codes({w: i for i, (w, _) in enumerate(words)}, np.array([n for _, n in words], np.int64), np.array(start), np.array(node, np.int32), np.array(bit, np.uint8))
+    weights = np.array([n for _, n in words] + [max(1, ends), max(1, rest)], np.int64)
+    leaves = len(weights)
+    order = np.argsort(weights, kind="stable")
+    # Inner nodes are made in order of weight, so two queues take the place of a heap.
+    parent, side, made = np.full(2 * leaves - 1, -1, np.int32), np.zeros(2 * leaves - 1, np.uint8), []
+    queue, child_of, at, used = weights[order].tolist(), order.tolist(), 0, 0
+    for new in range(leaves, 2 * leaves - 1):
+        total = 0
+        for turn in (0, 1):
+            if used == len(made) or (at < leaves and queue[at] <= made[used]):
+                weight, child, at = queue[at], child_of[at], at + 1
+            else:
+                weight, child, used = made[used], leaves + used, used + 1
+            parent[child], side[child], total = new, turn, total + weight
+        made.append(total)
+    del queue, child_of, made
+    length = np.zeros(2 * leaves - 1, np.int32)
+    for child in range(2 * leaves - 3, -1, -1):
+        length[child] = length[parent[child]] + 1
+    start = np.concatenate([[0], np.cumsum(length[:leaves], dtype=np.int64)])
+    node, bit = np.empty(start[-1], np.int32), np.empty(start[-1], np.uint8)
+    now, place = np.arange(leaves), start[1:] - 1
+    while len(now):  # one step up all paths
+        node[place], bit[place] = parent[now] - leaves, side[now]
+        now, place = parent[now], place - 1
+        deeper = parent[now] >= 0
+        now, place = now[deeper], place[deeper]
+    return Codes({w: i for i, (w, _) in enumerate(words)}, weights[: len(words)], start, node, bit)
 
 
 _ODD = np.uint32(0x9E3779B1)
@@ -170,20 +179,33 @@ def _context(*parts: np.ndarray) -> np.ndarray:
 
 
 def _slots(low: int, high: int, context: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Slots from ``low`` to ``high`` for decisions with a context and a place in it."""
-    value = (context ^ (place.astype(np.uint32) * np.uint32(0x85EBCA77))) * _ODD
+    """Slots from ``low`` to ``high``, a multiple of 2^19 apart, for decisions with a context and a
+    place in it."""
+    value = place.astype(np.uint32) * np.uint32(0x85EBCA77)
+    value ^= context
+    value *= _ODD
     value ^= value >> np.uint32(13)
     value *= np.uint32(0xC2B2AE3D)
-    return (low + ((value.astype(np.uint64) * np.uint64(high - low)) >> np.uint64(32)).astype(np.int32)).astype(np.int32)
+    part, times = value >> np.uint32(13), (high - low) >> 19
+    if times > 1:  # value * (high - low) >> 32 in 32 bits
+        value &= np.uint32(8191)
+        value *= np.uint32(times)
+        value >>= np.uint32(13)
+        part *= np.uint32(times)
+        part += value
+    part += np.uint32(low)
+    return part
 
 
 @dataclass
 class Decisions:
     """Of a list of texts: first ``words`` decisions on words, then those of spelled words.
 
+    Tokens come by segment, then text, then place in it, and decisions in order of their tokens.
     lengths: decisions of each token on its word; spelled: the tokens that are spelled, and
-    how many decisions each takes; slots: of each predictor; bit: what was taken. tokens: how
-    many each text has; owner: the text of each token; unknown: texts and their spelled words.
+    how many decisions each takes; slots: of each predictor; bit: what was taken; letters: each
+    spelled byte behind the one before it, in 16 bits. tokens: how many each text has; segment,
+    owner: segment and text of each token; unknown: texts and their spelled words.
     """
 
     words: int
@@ -192,7 +214,9 @@ class Decisions:
     spelling: np.ndarray
     slots: list[np.ndarray]
     bit: np.ndarray
+    letters: np.ndarray
     tokens: np.ndarray
+    segment: np.ndarray
     owner: np.ndarray
     symbols: np.ndarray
     unknown: list[tuple[int, bytes]]
@@ -202,9 +226,8 @@ def decisions(texts: list[bytes], code: Codes) -> Decisions:
     get, end, escape = code.words.get, code.end, code.escape
     lists = [tokens_of(t) for t in texts]
     tokens = np.array([len(x) + 1 for x in lists], np.int64)
-    symbols = np.fromiter(
-        (s for own in lists for s in (*map(get, own, [escape] * len(own)), end)), np.int32, int(tokens.sum())
-    )
+    known = (chain(map(get, own, repeat(escape)), (end,)) for own in lists)
+    symbols = np.fromiter(chain.from_iterable(known), np.int32, int(tokens.sum()))
     owner = np.repeat(np.arange(len(lists), dtype=np.int32), tokens)
     first = np.cumsum(tokens) - tokens
     count = np.arange(len(symbols), dtype=np.int32)
@@ -214,29 +237,38 @@ def decisions(texts: list[bytes], code: Codes) -> Decisions:
     telling = np.maximum.accumulate(np.where(symbols < TELLING_WORDS, count, -1))
     telling = np.concatenate([[-1], telling[:-1]])
     telling = np.where(telling >= first[owner], symbols[np.maximum(telling, 0)], end)
+    segment = (np.searchsorted([4, 8, 16], place, "right") + place // SEGMENT).astype(np.int32)
+    # Numpy sorts 16 bits by radix, wider numbers by comparison.
+    order = np.argsort(segment.astype(np.uint16) if segment.max(initial=0) < 2**16 else segment, kind="stable")
+    symbols, owner, segment, place, last, last2, telling = (c[order] for c in (symbols, owner, segment, place, last, last2, telling))
     # Decisions of the words
     lengths = np.diff(code.start)[symbols]
-    total = int(lengths.sum())
-    step = np.arange(total, dtype=np.int32) + np.repeat((code.start[:-1][symbols] - (np.cumsum(lengths) - lengths)).astype(np.int32), lengths)
-    zero, bit = code.node[step], code.bit[step]
-    one = _slots(SPELLING_SLOTS, SLOTS, np.repeat(_context(telling), lengths), zero)
-    two = _slots(SPELLING_SLOTS, SLOTS, np.repeat(_context(last, last2), lengths), zero)
     spelled = np.flatnonzero(symbols == escape)
-    inner = spelled - first[owner[spelled]]
-    unknown = [(int(o), lists[o][i]) for o, i in zip(owner[spelled].tolist(), inner.tolist(), strict=True)]
+    unknown = [(o, lists[o][i]) for o, i in zip(owner[spelled].tolist(), place[spelled].tolist(), strict=True)]
     sizes = np.array([len(w) + 1 for _, w in unknown], np.int64)
+    total = int(lengths.sum())
+    step = np.repeat(code.start[:-1][symbols] - (np.cumsum(lengths) - lengths), lengths)
+    step += np.arange(total)
+    every = total + 8 * int(sizes.sum())
+    zero, bit = np.empty(every, np.int32), np.empty(every, np.uint8)
+    one, two = np.empty(every, np.intp), np.empty(every, np.intp)
+    zero[:total], bit[:total] = code.node[step], code.bit[step]
+    one[:total] = _slots(SPELLING_SLOTS, SLOTS, np.repeat(_context(telling), lengths), zero[:total])
+    two[:total] = _slots(SPELLING_SLOTS, SLOTS, np.repeat(_context(last, last2), lengths), zero[:total])
+    pairs = np.zeros(0, np.uint32)
     if unknown:  # and of the spelled words
         nodes = len(code.start)
         letters = np.frombuffer(b" ".join(w for _, w in unknown) + b" ", np.uint8).astype(np.uint32)
         inside = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         back = [np.where(inside >= k, np.roll(letters, k), np.uint32(32)) for k in (1, 2, 3, 4, 5)]
+        pairs = back[0] * np.uint32(256) + letters
         at_bit = np.arange(8, dtype=np.uint32)
         prefix = ((np.uint32(1) << at_bit) | (letters[:, None] >> (np.uint32(8) - at_bit))).ravel()
-        zero = np.concatenate([zero, (nodes + (back[0] * 256).repeat(8) + prefix).astype(np.int32)])
-        one = np.concatenate([one, _slots(0, SPELLING_SLOTS, _context(*back[:3]).repeat(8), prefix)])
-        two = np.concatenate([two, _slots(0, SPELLING_SLOTS, _context(*back).repeat(8), prefix)])
-        bit = np.concatenate([bit, ((letters[:, None] >> (np.uint32(7) - at_bit)) & 1).astype(np.uint8).ravel()])
-    return Decisions(total, lengths, spelled, 8 * sizes, [zero, one, two], bit, tokens, owner, symbols, unknown)
+        zero[total:] = nodes + (back[0] * np.uint32(256)).repeat(8) + prefix
+        one[total:] = _slots(0, SPELLING_SLOTS, _context(*back[:3]).repeat(8), prefix)
+        two[total:] = _slots(0, SPELLING_SLOTS, _context(*back).repeat(8), prefix)
+        bit[total:] = ((letters[:, None] >> (np.uint32(7) - at_bit)) & np.uint32(1)).ravel()
+    return Decisions(total, lengths, spelled, 8 * sizes, [zero, one, two], bit, pairs, tokens, segment, owner, symbols, unknown)
 
 
 def table_sizes(code: Codes) -> list[int]:
@@ -244,21 +276,13 @@ def table_sizes(code: Codes) -> list[int]:
 
 
 def count_tables(train: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
-    """part (0, or 1 for the documents kept for the fit), block and packed counts of both bits."""
+    """block, and what the model holds of its slots (``packed_odds``): from the counts without the
+    documents kept for the fit (fit), and from all (whole)."""
 
     def partial(batches):
-        begins = np.cumsum([0, *sizes])
-        sums = np.zeros((2, begins[-1], 2), np.int32)
-        gathered: list[list[list[np.ndarray]]] = [[[], [], []], [[], [], []]]
-
-        def count(least):
-            for part in (0, 1):
-                for k, slots in enumerate(gathered[part]):
-                    if sum(map(len, slots)) > least:
-                        own = np.bincount(np.concatenate(slots), minlength=2 * sizes[k])
-                        sums[part, begins[k] : begins[k + 1]] += own.reshape(-1, 2).astype(np.int32)
-                        slots.clear()
-
+        c, begins = code.value, np.cumsum([0, *sizes])
+        symbols, pairs = np.zeros((2, len(c.start) - 1), np.int64), np.zeros((2, 1 << 16), np.int64)
+        hashed = np.zeros((2, 2, 2 * SLOTS), np.int32)
         any_part = [False, False]
         for batch in row_batches(batches, PIECE):
             apart = batch.column("remainder").to_numpy() == FIT
@@ -267,16 +291,18 @@ def count_tables(train: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
                 own = [t for t, a in zip(texts, apart, strict=True) if a == part]
                 if own:
                     any_part[part] = True
-                    d = decisions(own, code.value)
-                    for k, slot in enumerate(d.slots):
-                        gathered[part][k].append(2 * slot + d.bit)
-            count(PENDING)
-        count(0)
+                    d = decisions(own, c)
+                    symbols[part] += np.bincount(d.symbols, minlength=len(symbols[part]))
+                    pairs[part] += np.bincount(d.letters, minlength=1 << 16)
+                    for k in (0, 1):
+                        np.add.at(hashed[part, k], 2 * d.slots[k + 1] + d.bit, np.int32(1))
         task = TaskContext.get().partitionId()
         for part in (0, 1):
             if any_part[part]:
-                for block in range(begins[-1] // BLOCK):
-                    yield packed(part, block, task % SALTS, sums[part, block * BLOCK : (block + 1) * BLOCK].T)
+                tables = [place_counts(c, symbols[part], pairs[part], sizes[0]), *(own.reshape(-1, 2) for own in hashed[part])]
+                for table, begin in zip(tables, begins, strict=False):
+                    for at in range(0, len(table), BLOCK):
+                        yield packed(part, (begin + at) // BLOCK, task % SALTS, table[at : at + BLOCK].T)
 
     def packed(part, block, salt, values):
         data = np.ascontiguousarray(values.astype(np.int64)).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -286,26 +312,58 @@ def count_tables(train: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
     def unpacked(data):
         return np.ascontiguousarray(np.frombuffer(pa.decompress(data, 16 * BLOCK, "zstd"), np.uint8).reshape(8, -1).T).view(np.int64).reshape(2, BLOCK)
 
-    def added(batches):
+    def sums(batches):
         held, total = None, None
         for batch in batches:
             for part, block, salt, data in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "salt", "counts")), strict=True):
                 if held != (part, block, salt):
                     if held:
-                        yield packed(*held, total)
+                        yield held, total
                     held, total = (part, block, salt), np.zeros((2, BLOCK), np.int64)
                 total = total + unpacked(data)
         if held:
+            yield held, total
+
+    def added(batches):
+        for held, total in sums(batches):
             yield packed(*held, total)
 
+    def finished(batches):
+        held, fit, whole = None, None, None
+        for (part, block, _), total in sums(batches):
+            if held != block:
+                if held is not None:
+                    yield row(held, fit, whole)
+                held, fit, whole = block, np.zeros((2, BLOCK), np.int64), np.zeros((2, BLOCK), np.int64)
+            whole += total
+            if part == 0:
+                fit += total
+        if held is not None:
+            yield row(held, fit, whole)
+
+    def row(block, fit, whole):
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed_odds(fit)]), pa.array([packed_odds(whole)])], names=["block", "fit", "whole"])
+
     schema = "part int, block int, salt int, counts binary"
     rows = train.mapInArrow(partial, schema)
     keys = ["part", "block", "salt"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(added, schema)
-    rows = rows.withColumn("salt", F.lit(0)).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(added, schema)
+    rows = rows.withColumn("salt", F.lit(0)).repartition("block").sortWithinPartitions("block", "part").mapInArrow(finished, "block int, fit binary, whole binary")
     return stored(rows, "lm-counts")
 
 
+def place_counts(code: Codes, symbols: np.ndarray, pairs: np.ndarray, size: int) -> np.ndarray:
+    """Counts of both bits of the first predictor's slots, from those of symbols and of letters
+    behind each letter: its slots are the places themselves."""
+    out = np.bincount(2 * code.node.astype(np.intp) + code.bit, np.repeat(symbols, np.diff(code.start)), 2 * size)
+    seen = np.flatnonzero(pairs)
+    letter, before = seen & 255, seen >> 8
+    for k in range(8):
+        place = len(code.start) + before * 256 + ((1 << k) | (letter >> (8 - k)))
+        out += np.bincount(2 * place + ((letter >> (7 - k)) & 1), pairs[seen], 2 * size)
+    return out.astype(np.int64).reshape(-1, 2)
+
+
 @dataclass
 class Model:
     """Log odds and confidence of every slot, mixer weights by gate, the refining map."""
@@ -316,18 +374,38 @@ class Model:
     refined: np.ndarray
 
 
-def model_of(tables: np.ndarray, sizes: list[int]) -> Model:
-    zero, one = tables
-    odds, seen = np.empty(len(zero), np.float16), np.empty(len(zero), np.uint8)
-    for at in range(0, len(zero), BLOCK):  # by block, as wide intermediates of all slots fill the driver
-        a, b = zero[at : at + BLOCK], one[at : at + BLOCK]
-        odds[at : at + BLOCK] = np.log((b + PRIOR) / (a + PRIOR))
-        seen[at : at + BLOCK] = np.searchsorted([0.5, 2.5, 12.5], a + b)
+def odds_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds, and how much was seen, of slots from their counts of both bits."""
+    zero, one = counts
+    return np.log((one + PRIOR) / (zero + PRIOR)).astype(np.float16), np.searchsorted([0.5, 2.5, 12.5], zero + one).astype(np.uint8)
+
+
+def packed_odds(counts: np.ndarray) -> bytes:
+    odds, seen = odds_of(counts)
+    return odds.tobytes() + seen.tobytes()
+
+
+def new_model(odds: np.ndarray, seen: np.ndarray, sizes: list[int]) -> Model:
     cut = np.cumsum(sizes)[:-1]
     identity = 1 / (1 + np.exp(-np.linspace(-REACH, REACH, BUCKETS)))
     return Model(np.split(odds, cut), np.split(seen, cut), np.tile([0.3, 0.4, 0.3, 0.0], (GATES, 1)), np.tile(identity, (2, 1)))
 
 
+def model_of(tables: np.ndarray, sizes: list[int]) -> Model:
+    return new_model(*odds_of(tables), sizes)
+
+
+def models_of(blocks: DataFrame, sizes: list[int]) -> list[Model]:
+    """The models of both columns of ``count_tables``; the driver holds no counts."""
+    odds, seen = np.zeros((2, sum(sizes)), np.float16), np.zeros((2, sum(sizes)), np.uint8)
+    for row in blocks.toLocalIterator():
+        at = row["block"] * BLOCK
+        for k, data in enumerate((row["fit"], row["whole"])):
+            odds[k, at : at + BLOCK] = np.frombuffer(data, np.float16, BLOCK)
+            seen[k, at : at + BLOCK] = np.frombuffer(data, np.uint8, BLOCK, 2 * BLOCK)
+    return [new_model(odds[k], seen[k], sizes) for k in (0, 1)]
+
+
 def inputs(model: Model, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
     """The predictors' log odds with a constant, and the gate, of every decision."""
     x = np.empty((INPUTS, len(d.bit)), np.float32)
@@ -340,24 +418,32 @@ def inputs(model: Model, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
 
 
 def squash(t: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(t, -REACH, REACH)))
+    p = np.clip(t, -REACH, REACH)
+    np.negative(p, out=p)
+    np.exp(p, out=p)
+    p += 1
+    return np.reciprocal(p, out=p)
 
 
 def bucket(t: np.ndarray, words: int) -> np.ndarray:
     """The bucket of each mixed log odds; those of spelling come behind those of words."""
-    at = np.rint((np.clip(t, -REACH, REACH) + REACH) * np.float32((BUCKETS - 1) / (2 * REACH))).astype(np.int32)
+    near = np.clip(t, -REACH, REACH)
+    near += REACH
+    near *= np.float32((BUCKETS - 1) / (2 * REACH))
+    at = np.rint(near, out=near).astype(np.intp)
     at[words:] += BUCKETS
     return at
 
 
-def _per_task_sums(docs: DataFrame, code: Shared, model: Shared, function, size: int) -> np.ndarray:
-    """``size`` sums of ``function`` over the decisions of all texts, added up by Spark."""
+def _per_task_sums(docs: DataFrame, code: Shared, model: Shared, weights: np.ndarray, function, size: int) -> np.ndarray:
+    """``size`` sums of ``function`` over the decisions of all texts, added up by Spark. The model
+    has these ``weights`` now; its tables are sent once."""
 
     def run(batches):
-        total = np.zeros(size)
+        total, now = np.zeros(size), replace(model.value, weights=weights)
         for batch in row_batches(batches, PIECE):
             d = decisions([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], code.value)
-            total += function(model.value, d)
+            total += function(now, d)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["k", "v"])
 
@@ -393,63 +479,79 @@ def refine_sums(model: Model, d: Decisions) -> np.ndarray:
 
 
 def fitted(model: Model, docs: DataFrame, code: Shared) -> Model:
-    spark = docs.sparkSession
+    shared = Shared(docs.sparkSession, model)
     for _ in range(ROUNDS):
-        sums = _per_task_sums(docs, code, Shared(spark, model), newton_sums, GATES * (INPUTS + INPUTS**2))
+        sums = _per_task_sums(docs, code, shared, model.weights, newton_sums, GATES * (INPUTS + INPUTS**2))
         slope = sums[: INPUTS * GATES].reshape(INPUTS, GATES).T
         bend = sums[INPUTS * GATES :].reshape(INPUTS, INPUTS, GATES).transpose(2, 0, 1)
         # A pull to the start where a gate has seen little; rounded, as sums come in any order.
         step = np.linalg.solve(bend + 5 * np.eye(INPUTS), slope[:, :, None])[:, :, 0]
         model.weights = np.round(model.weights + np.clip(step, -1, 1), 7)
-    sums = _per_task_sums(docs, code, Shared(spark, model), refine_sums, 4 * BUCKETS)
+    sums = _per_task_sums(docs, code, shared, model.weights, refine_sums, 4 * BUCKETS)
+    shared.drop()
     n, ones = sums[: 2 * BUCKETS].reshape(2, -1), sums[2 * BUCKETS :].reshape(2, -1)
     model.refined = (ones + 20 * model.refined) / (n + 20)
     return model
 
 
-def texts_of(text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different ones of ``text``, all below ``n``, in order, and the place of each among them."""
-    if n > len(text):  # a few decisions must not cost what all texts hold
-        return np.unique(text, return_inverse=True)
-    here = np.bincount(text, minlength=n) > 0
-    return np.flatnonzero(here), (np.cumsum(here) - 1)[text]
+def stretches(segment: np.ndarray, owner: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, text, first decision and number of decisions of each text's tokens in a segment."""
+    first = np.flatnonzero((np.diff(segment, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+    sizes = np.add.reduceat(lengths, first) if len(first) else lengths
+    return segment[first], owner[first], np.cumsum(sizes) - sizes, sizes
 
 
 def learned(model: Model, d: Decisions, x: np.ndarray, t: np.ndarray) -> np.ndarray:
     """The probability of a 1 in every decision, a text's weights and map learning from segment
     to segment of the text."""
-    borders = np.concatenate([[4, 8, 16], np.arange(SEGMENT, max(SEGMENT, int(d.tokens.max(initial=0))) + SEGMENT, SEGMENT)])
-    first = np.cumsum(d.tokens) - d.tokens
-    segment = np.searchsorted(borders, np.arange(len(d.owner)) - first[d.owner], "right").astype(np.int32)
-    token = np.concatenate([np.repeat(np.arange(len(d.owner), dtype=np.int32), d.lengths), np.repeat(d.spelled.astype(np.int32), d.spelling)])
-    last = int(segment.max(initial=0))
-    # Numpy sorts 16 bits by radix, wider numbers by comparison.
-    at_segment = segment.astype(np.uint16 if last < 2**16 else np.int32)[token]
-    order = np.argsort(at_segment, kind="stable")
-    cut = np.concatenate([[0], np.cumsum(np.bincount(at_segment, minlength=last + 1))])
-    n, wide = len(d.tokens), 2 * BUCKETS // COARSE
+    half = BUCKETS // COARSE
+    n, wide = len(d.tokens), 2 * half
     own = np.zeros((n, INPUTS), np.float32)
-    missed, seen = np.zeros(n * wide, np.float32), np.zeros(n * wide, np.float32)
-    p = np.empty(len(t), np.float32)
+    missed, seen = np.zeros((n, wide), np.float32), np.zeros((n, wide), np.float32)
+    p, bits = np.empty(len(t), np.float32), d.bit.astype(np.float32)
     flat = model.refined.astype(np.float32).ravel()
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        now = order[a:b]
-        text, xs, bit = d.owner[token[now]], x[:, now], d.bit[now]
-        names, text_of = texts_of(text, n)
-        t_now = t[now] + np.einsum("ik,ki->i", own[text], xs)
+    words = stretches(d.segment, d.owner, d.lengths)
+    spelled = stretches(d.segment[d.spelled], d.owner[d.spelled], d.spelling)
+    borders = np.arange(int(d.segment.max(initial=-1)) + 2)
+    cut, spelled_cut = (np.searchsorted(kind[0], borders).tolist() for kind in (words, spelled))
+    begin, spelled_begin = np.append(words[2], d.words)[cut].tolist(), (d.words + np.append(spelled[2], len(t) - d.words)[spelled_cut]).tolist()
+    for k in range(len(borders) - 1):
+        # A text's decisions on words lie together, and so do those in its spelled words.
+        runs = slice(cut[k], cut[k + 1])
+        names, sizes = words[1][runs], words[3][runs]
+        a, b, least, most = begin[k], begin[k + 1], spelled_begin[k], spelled_begin[k + 1]
+        text = np.arange(len(names))
+        base = text * wide
+        if most > least:
+            runs = slice(spelled_cut[k], spelled_cut[k + 1])
+            more = np.searchsorted(names, spelled[1][runs])
+            text, sizes = np.concatenate([text, more]), np.concatenate([sizes, spelled[3][runs]])
+            base = np.concatenate([base, more * wide])
+            xs = np.concatenate([x[:, a:b], x[:, least:most]], axis=1)
+            t_now, bit = np.concatenate([t[a:b], t[least:most]]), np.concatenate([bits[a:b], bits[least:most]])
+        else:
+            xs, t_now, bit = x[:, a:b], t[a:b].copy(), bits[a:b]
+        if k:
+            weights = own[names[text]]
+            for i in range(INPUTS):
+                t_now += np.repeat(weights[:, i], sizes) * xs[i]
         mixed = squash(t_now)
-        at = bucket(t_now, len(t_now)) + BUCKETS * (now >= d.words)
+        at = bucket(t_now, b - a)
         refined = (mixed + flat[at]) / 2
         # Places of this segment's texts alone, so that a step costs what the segment holds.
-        local = text_of * wide + at // COARSE
-        place = (names[:, None] * wide + np.arange(wide)).ravel()
-        shift = missed[place] / (seen[place] + HOLD)
-        p[now] = np.clip(refined + shift[local], 1e-4, 1 - 1e-4)
-        wrong = bit - mixed
-        for k in range(INPUTS):
-            own[names, k] += RATE * np.bincount(text_of, wrong * xs[k], len(names))
-        missed[place] += np.bincount(local, bit - refined, len(place))
-        seen[place] += np.bincount(local, minlength=len(place))
+        at //= COARSE
+        at += np.repeat(base, sizes)
+        value = refined + (missed[names] / (seen[names] + np.float32(HOLD))).ravel()[at] if k else refined
+        value = np.clip(value, 1e-4, 1 - 1e-4)
+        p[a:b], p[least:most] = value[: b - a], value[b - a :]
+        if k + 2 < len(borders):
+            wrong, first = bit - mixed, np.cumsum(sizes) - sizes
+            slopes = np.stack([np.add.reduceat(wrong * xs[i], first) for i in range(INPUTS)], axis=1) * np.float32(RATE)
+            own[names] += slopes[: len(names)]
+            if most > least:
+                own[names[more]] += slopes[len(names) :]
+            missed[names] += np.bincount(at, bit - refined, len(names) * wide).reshape(-1, wide)
+            seen[names] += np.bincount(at, minlength=len(names) * wide).reshape(-1, wide)
     return p
 
 
@@ -457,16 +559,20 @@ def log_scores(model: Model, d: Decisions) -> np.ndarray:
     """log10 of each text's probability."""
     x, gate = inputs(model, d)
     p = learned(model, d, x, mixed_odds(model, x, gate))
-    log = np.log10(np.where(d.bit == 1, p, 1 - p))
-    by_token = np.add.reduceat(log[: d.words], np.cumsum(d.lengths) - d.lengths, dtype=np.float64)
-    if len(d.spelled):
-        by_token[d.spelled] += np.add.reduceat(log[d.words :], np.cumsum(d.spelling) - d.spelling, dtype=np.float64)
-    return np.bincount(d.owner, by_token, len(d.tokens))
+    log = np.log(np.where(d.bit == 1, p, 1 - p))
+    scores = np.zeros(len(d.tokens))
+    spelled = d.segment[d.spelled], d.owner[d.spelled], d.spelling
+    for own, kind in ((log[: d.words], (d.segment, d.owner, d.lengths)), (log[d.words :], spelled)):
+        if len(own):
+            _, text, first, _ = stretches(*kind)
+            scores += np.bincount(text, np.add.reduceat(own, first, dtype=np.float64), len(scores))
+    return scores / np.log(10)
 
 
 @dataclass
 class Trained:
     code: Codes
+    shared: Shared
     model: Model
     counts: DataFrame
     n_tokens: int
@@ -481,19 +587,12 @@ def train(docs: DataFrame) -> Trained:
     ends = own.count()
     words = frequent(counts, VOCABULARY)
     code = codes(words, ends, (total or 0) - sum(n for _, n in words))
+    del words
     shared, sizes = Shared(docs.sparkSession, code), table_sizes(code)
-    packed = count_tables(own, shared, sizes)
-    tables = np.zeros((2, 2, sum(sizes)))
-    for row in packed.toLocalIterator():
-        values = np.frombuffer(pa.decompress(row["counts"], 16 * BLOCK, "zstd"), np.uint8).reshape(8, -1).T
-        at = row["block"] * BLOCK
-        tables[row["part"], :, at : at + BLOCK] += np.ascontiguousarray(values).view(np.int64).reshape(2, BLOCK)
-    model = fitted(model_of(tables[0], sizes), own.filter(F.col("remainder") == FIT), shared)
-    tables[0] += tables[1]
-    whole = model_of(tables[0], sizes)
-    del tables
-    whole.weights, whole.refined = model.weights, model.refined
-    return Trained(code, whole, counts, (total or 0) + ends, distinct + (ends > 0))
+    fit, whole = models_of(count_tables(own, shared, sizes), sizes)
+    fit = fitted(fit, own.filter(F.col("remainder") == FIT), shared)
+    whole.weights, whole.refined = fit.weights, fit.refined
+    return Trained(code, shared, whole, counts, (total or 0) + ends, distinct + (ends > 0))
 
 
 SCORE_SCHEMA = (
@@ -504,7 +603,7 @@ SCORE_SCHEMA = (
 def scored(docs: DataFrame, trained: Trained) -> DataFrame:
     """A row for each document, and one for each of its different words outside the vocabulary."""
     spark = docs.sparkSession
-    code, model = Shared(spark, trained.code), Shared(spark, trained.model)
+    code, model = trained.shared, Shared(spark, trained.model)
     total = trained.n_tokens + 0.1 * (trained.n_distinct + 1)
     ends = trained.n_tokens - (trained.counts.agg(F.sum("n")).first()[0] or 0)
 

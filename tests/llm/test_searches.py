@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -430,6 +432,46 @@ def test_lm_decisions_are_a_code():
     assert sum(2.0 ** -len(p) for p in paths) == 1 and len(set(paths)) == 5
 
 
+def test_lm_codes_equal_those_of_a_heap():
+    """Also where weights are equal, and for no words at all."""
+    rng = random.Random(7)
+    for n, most in ((0, 1), (1, 1), (2, 1), (50, 3), (400, 9), (400, 10_000)):
+        words = sorted(((b"w%d" % k, rng.randint(1, most)) for k in range(n)), key=lambda x: (-x[1], x[0]))
+        code = lm.codes(words, 3, 2)
+        weights = [w for _, w in words] + [3, 2]
+        queue, parent = [(w, k) for k, w in enumerate(weights)], {}
+        heapq.heapify(queue)
+        for made in range(len(weights), 2 * len(weights) - 1):
+            (a, x), (b, y) = heapq.heappop(queue), heapq.heappop(queue)
+            parent[x], parent[y] = (made, 0), (made, 1)
+            heapq.heappush(queue, (a + b, made))
+        for s in range(len(weights)):
+            path, at = [], s
+            while at in parent:
+                at, side = parent[at]
+                path.append((at - len(weights), side))
+            own = slice(code.start[s], code.start[s + 1])
+            assert list(zip(code.node[own].tolist(), code.bit[own].tolist(), strict=True)) == path[::-1]
+
+
+def test_lm_tables_stay_off_the_driver(spark):
+    """The driver holds odds and confidence of the slots, three bytes each for two models with their
+    packed copy, but no table of counts; and they are those of counts made in one place."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    inner = docs.select(lm.remainder(docs["doc_id"]).alias("remainder"), "text").cache()
+    tracemalloc.start()
+    trained = lm.train(inner)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    own = [((r["text"] or "").encode(), r["remainder"]) for r in inner.collect() if r["remainder"] != lm.HELD_OUT]
+    d, sizes = lm.decisions([t for t, _ in own], trained.code), lm.table_sizes(trained.code)
+    tables = np.concatenate([np.bincount(2 * s + d.bit, minlength=2 * n).reshape(-1, 2) for s, n in zip(d.slots, sizes, strict=True)])
+    plain = lm.model_of(tables.T, sizes)
+    for got, expected in ((trained.model.odds, plain.odds), (trained.model.seen, plain.seen)):
+        assert all((a == b).all() for a, b in zip(got, expected, strict=True))
+
+
 # --- personal data in long texts ---
 
 
