@@ -345,6 +345,37 @@ def test_pii_is_a_permutation(spark):
     assert pii.hide_pii(days).distinct().count() == 3000
 
 
+def test_search_builds_an_index_once_for_many_queries(monkeypatch):
+    """And scores by sums over the terms that a query and a document share, in double precision."""
+    built = []
+
+    class Counted(search.Shard):
+        def __init__(self, *args, **kinds):
+            built.append(self)
+            super().__init__(*args, **kinds)
+
+    monkeypatch.setattr(search, "Shard", Counted)
+
+    def table(kind, texts):
+        n = range(len(texts))
+        return pa.table({"kind": [kind] * len(texts), "doc_id": n, "text": texts, "query_key": [str(k) for k in n]})
+
+    texts = ["a b b c", "b c d", "d e", ""]
+    part = search.Part(0, len(texts), 2.25, 10, 1 << 20, 1 << 10)
+    found = [*part.take(table(1, texts)), *part.take(table(2, ["b c c"] * 5000)), *part.answers()]
+    part.close()
+    assert len(built) == 1
+    idf = math.log(1 + (len(texts) - 1 + 0.5) / 1.5)  # without counts a term is in one document
+
+    def impact(tf, n):
+        return idf * tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * n / 2.25))
+
+    rows = pa.Table.from_batches(found).to_pylist()
+    assert {(r["query_id"], r["doc_id"]) for r in rows} == {(q, d) for q in range(5000) for d in (0, 1)} and len(rows) == 10_000
+    plain = {0: impact(2, 4) + 2 * impact(1, 4), 1: impact(1, 3) * 3}
+    assert all(abs(r["score"] - plain[r["doc_id"]]) < 1e-12 for r in rows)
+
+
 # --- LM scoring ---
 
 
