@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from teleskein.llm import bpe, jaccard, line_dedup, mixing, quality
@@ -69,6 +71,42 @@ def test_one_of_each_class(odd):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(classes)
 
 
+def test_shingling_takes_bounded_memory(monkeypatch):
+    """Also of one long text; and a hash does not depend on how words are cut into stretches."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 12))) for _ in range(500_000)).encode()
+    tracemalloc.start()
+    whole, counts = jaccard.shingles(*jaccard.flat(pa.array([text], pa.binary())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts.tolist() == [499_996] and peak < 22 * len(text) + 20_000_000
+    part = pa.array([text[:40_000], None, b" ", b"x" * 300 + b" y", text[40_000:60_000]], pa.binary())
+    expected = jaccard.shingles(*jaccard.flat(part))
+    for stretch in (1, 7, 100):
+        monkeypatch.setattr(jaccard, "STRETCH", stretch)
+        assert all((a == b).all() for a, b in zip(jaccard.shingles(*jaccard.flat(part)), expected, strict=True))
+    assert (expected[0][:1000] == whole[:1000]).all()
+
+
+def test_texts_are_shingled_in_small_pieces(spark):
+    inner = spark.createDataFrame([(k, "a b c d e f " * 900) for k in range(600)], "doc long, text string")
+    inner = inner.selectExpr("struct(doc as k1, doc as k2) as key", "doc", "text")
+    held = []
+
+    class Frame:  # keeps the function of a mapInArrow
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, schema):
+            held.append(function)
+            return inner.selectExpr("key", "doc", "cast('' as binary) as sign")
+
+    jaccard.texts_of(Frame())
+    batch = inner.toArrow().combine_chunks().to_batches()[0]
+    pieces = [b.num_rows for b in held[0]([batch])]
+    assert sum(pieces) == 600 and max(pieces) * batch.nbytes / 600 <= 1_000_000
+
+
 def test_least_matches_keep_true_pairs():
     for n, m in jaccard._LEAST.items():
         assert 0 < m < 0.8 * n
