@@ -3,7 +3,7 @@
 A text is its words, lower-cased A to Z, and an end mark. A word is a path of binary decisions
 down a Huffman tree of the ``VOCABULARY`` most frequent training words (seen ``MIN_COUNT``
 times or more, so that rare words teach the spelling), the end mark and an escape; an escaped
-word is spelled in bytes, eight decisions each, with a closing blank. Three predictors see a
+word is spelled in bytes, with a closing blank, by a Huffman tree of the bytes of those words. Three predictors see a
 decision: its place in the tree alone, with the last one of the ``TELLING_WORDS`` most
 frequent words that the text had, and with the last two words; in spelling, its place with the
 last byte, three bytes and five bytes. The second and third use hashed slots of fixed tables. Each gives the
@@ -37,6 +37,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, replace
+from functools import cached_property
 from itertools import chain, repeat
 
 import numpy as np
@@ -56,6 +57,7 @@ SPELLING_SLOTS = 1 << 19
 TELLING_WORDS = 64
 BLOCK = 1 << 16
 FLUSH_WORDS = 200_000
+FLUSH_TOKENS = 500_000
 SEGMENT = 32
 RATE = 0.0005
 HOLD = 100.0
@@ -66,6 +68,7 @@ REACH = 8.0
 PRIOR = 0.4
 SALTS = 16
 INPUTS = 4
+CONSTANT = np.float32(0.3)  # the last input
 GATES = 32
 PIECE = 400_000
 
@@ -117,13 +120,22 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 @dataclass
 class Codes:
     """words: id by word; counts by id; the decisions of symbol s (word ids, then end, then
-    escape) are node[start[s]:start[s + 1]] and bit[...] of the same slice."""
+    escape) are taken[start[s]:start[s + 1]], twice the node and the bit; letters: start and taken
+    of the 256 bytes."""
 
     words: dict[bytes, int]
     counts: np.ndarray
     start: np.ndarray
-    node: np.ndarray
-    bit: np.ndarray
+    taken: np.ndarray
+    letters: tuple[np.ndarray, np.ndarray]
+
+    @property
+    def node(self) -> np.ndarray:
+        return self.taken >> 1
+
+    @property
+    def bit(self) -> np.ndarray:
+        return (self.taken & 1).astype(np.uint8)
 
     @property
     def end(self) -> int:
@@ -135,8 +147,15 @@ class Codes:
 
 
 def codes(words: list[tuple[bytes, int]], ends: int, rest: int) -> Codes:
-    """Huffman paths; ``ends`` documents end, ``rest`` tokens are escaped."""
+    """Huffman paths; ``ends`` documents end, ``rest`` tokens are escaped. Bytes get theirs from the
+    different words, with a floor that keeps the paths of rare ones short."""
     weights = np.array([n for _, n in words] + [max(1, ends), max(1, rest)], np.int64)
+    spelled = np.bincount(np.frombuffer(b"".join(w + b" " for w, _ in words), np.uint8), minlength=256)
+    return Codes({w: i for i, (w, _) in enumerate(words)}, weights[: len(words)], *paths(weights), paths(spelled + spelled.sum() // 1024 + 1))
+
+
+def paths(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start and taken of the Huffman tree of two leaves or more."""
     leaves = len(weights)
     order = np.argsort(weights, kind="stable")
     # Inner nodes are made in order of weight, so two queues take the place of a heap.
@@ -156,14 +175,22 @@ def codes(words: list[tuple[bytes, int]], ends: int, rest: int) -> Codes:
     for child in range(2 * leaves - 3, -1, -1):
         length[child] = length[parent[child]] + 1
     start = np.concatenate([[0], np.cumsum(length[:leaves], dtype=np.int64)])
-    node, bit = np.empty(start[-1], np.int32), np.empty(start[-1], np.uint8)
+    taken = np.empty(start[-1], np.int32)
     now, place = np.arange(leaves), start[1:] - 1
     while len(now):  # one step up all paths
-        node[place], bit[place] = parent[now] - leaves, side[now]
+        taken[place] = 2 * (parent[now] - leaves) + side[now]
         now, place = parent[now], place - 1
         deeper = parent[now] >= 0
         now, place = now[deeper], place[deeper]
-    return Codes({w: i for i, (w, _) in enumerate(words)}, weights[: len(words)], start, node, bit)
+    return start, taken
+
+
+def steps(start: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many decisions each symbol takes, and where in ``taken`` they are, one by one."""
+    lengths = np.diff(start)[symbols]
+    step = np.repeat(start[:-1][symbols] - (np.cumsum(lengths) - lengths), lengths)
+    step += np.arange(len(step))
+    return lengths, step
 
 
 _ODD = np.uint32(0x9E3779B1)
@@ -222,7 +249,9 @@ class Decisions:
     unknown: list[tuple[int, bytes]]
 
 
-def decisions(texts: list[bytes], code: Codes) -> Decisions:
+def contexts(texts: list[bytes], code: Codes) -> tuple:
+    """Words of each text, tokens of each text, and of each token in order: text, place in it,
+    symbol, the last symbol, the one before it and the last telling one."""
     get, end, escape = code.words.get, code.end, code.escape
     lists = [tokens_of(t) for t in texts]
     tokens = np.array([len(x) + 1 for x in lists], np.int64)
@@ -237,38 +266,100 @@ def decisions(texts: list[bytes], code: Codes) -> Decisions:
     telling = np.maximum.accumulate(np.where(symbols < TELLING_WORDS, count, -1))
     telling = np.concatenate([[-1], telling[:-1]])
     telling = np.where(telling >= first[owner], symbols[np.maximum(telling, 0)], end)
+    return lists, tokens, owner, place, symbols, last, last2, telling
+
+
+def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The first letter's place of each word, the letters of all, closing blanks included, and the
+    five letters before each, blanks before a word."""
+    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    letters = np.frombuffer(b"".join(w + b" " for w in words), np.uint8).astype(np.uint32)
+    first = np.cumsum(sizes) - sizes
+    inside = np.arange(len(letters)) - np.repeat(first, sizes)
+    return first, letters, [np.where(inside >= k, np.roll(letters, k), np.uint32(32)) for k in (1, 2, 3, 4, 5)]
+
+
+def decisions(texts: list[bytes], code: Codes) -> Decisions:
+    lists, tokens, owner, place, symbols, last, last2, telling = contexts(texts, code)
     segment = (np.searchsorted([4, 8, 16], place, "right") + place // SEGMENT).astype(np.int32)
     # Numpy sorts 16 bits by radix, wider numbers by comparison.
     order = np.argsort(segment.astype(np.uint16) if segment.max(initial=0) < 2**16 else segment, kind="stable")
     symbols, owner, segment, place, last, last2, telling = (c[order] for c in (symbols, owner, segment, place, last, last2, telling))
     # Decisions of the words
-    lengths = np.diff(code.start)[symbols]
-    spelled = np.flatnonzero(symbols == escape)
+    lengths, step = steps(code.start, symbols)
+    spelled = np.flatnonzero(symbols == code.escape)
     unknown = [(o, lists[o][i]) for o, i in zip(owner[spelled].tolist(), place[spelled].tolist(), strict=True)]
-    sizes = np.array([len(w) + 1 for _, w in unknown], np.int64)
-    total = int(lengths.sum())
-    step = np.repeat(code.start[:-1][symbols] - (np.cumsum(lengths) - lengths), lengths)
-    step += np.arange(total)
-    every = total + 8 * int(sizes.sum())
+    begins, letters, back = spelling([w for _, w in unknown])
+    spans, inner = steps(code.letters[0], letters)
+    total = len(step)
+    every = total + len(inner)
     zero, bit = np.empty(every, np.int32), np.empty(every, np.uint8)
     one, two = np.empty(every, np.intp), np.empty(every, np.intp)
-    zero[:total], bit[:total] = code.node[step], code.bit[step]
+    taken = code.taken[step]
+    np.bitwise_and(taken, 1, out=bit[:total], casting="unsafe")
+    np.right_shift(taken, 1, out=zero[:total])
     one[:total] = _slots(SPELLING_SLOTS, SLOTS, np.repeat(_context(telling), lengths), zero[:total])
     two[:total] = _slots(SPELLING_SLOTS, SLOTS, np.repeat(_context(last, last2), lengths), zero[:total])
-    pairs = np.zeros(0, np.uint32)
+    pairs = back[0] * np.uint32(256) + letters
     if unknown:  # and of the spelled words
-        nodes = len(code.start)
-        letters = np.frombuffer(b" ".join(w for _, w in unknown) + b" ", np.uint8).astype(np.uint32)
-        inside = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        back = [np.where(inside >= k, np.roll(letters, k), np.uint32(32)) for k in (1, 2, 3, 4, 5)]
-        pairs = back[0] * np.uint32(256) + letters
-        at_bit = np.arange(8, dtype=np.uint32)
-        prefix = ((np.uint32(1) << at_bit) | (letters[:, None] >> (np.uint32(8) - at_bit))).ravel()
-        zero[total:] = nodes + (back[0] * np.uint32(256)).repeat(8) + prefix
-        one[total:] = _slots(0, SPELLING_SLOTS, _context(*back[:3]).repeat(8), prefix)
-        two[total:] = _slots(0, SPELLING_SLOTS, _context(*back).repeat(8), prefix)
-        bit[total:] = ((letters[:, None] >> (np.uint32(7) - at_bit)) & np.uint32(1)).ravel()
-    return Decisions(total, lengths, spelled, 8 * sizes, [zero, one, two], bit, pairs, tokens, segment, owner, symbols, unknown)
+        at = code.letters[1][inner]
+        np.bitwise_and(at, 1, out=bit[total:], casting="unsafe")
+        at >>= 1
+        zero[total:] = np.repeat(back[0] * np.uint32(256) + np.uint32(len(code.start)), spans)
+        zero[total:] += at
+        one[total:] = _slots(0, SPELLING_SLOTS, np.repeat(_context(*back[:3]), spans), at)
+        two[total:] = _slots(0, SPELLING_SLOTS, np.repeat(_context(*back), spans), at)
+    sizes = np.add.reduceat(spans, begins) if unknown else spans
+    return Decisions(total, lengths, spelled, sizes, [zero, one, two], bit, pairs, tokens, segment, owner, symbols, unknown)
+
+
+class Tally:
+    """Counts of the decisions of a task. Equal tokens in equal contexts are counted together and
+    followed through the tree once: of ``FLUSH_TOKENS`` tokens, or letters, at a time."""
+
+    def __init__(self, code: Codes, sizes: list[int]) -> None:
+        self.code, self.sizes, self.any = code, sizes, False
+        self.symbols, self.pairs = np.zeros(len(code.start) - 1, np.int64), np.zeros(1 << 16, np.int64)
+        self.hashed = np.zeros((2, 2 * SLOTS), np.int32)
+        self.held: list[list[np.ndarray]] = [[], [], [], []]
+
+    def add(self, texts: list[bytes]) -> None:
+        self.any = True
+        lists, _, owner, place, symbols, last, last2, telling = contexts(texts, self.code)
+        unknown = np.flatnonzero(symbols == self.code.escape)
+        _, letters, back = spelling([lists[o][i] for o, i in zip(owner[unknown].tolist(), place[unknown].tolist(), strict=True)])
+        self.symbols += np.bincount(symbols, minlength=len(self.symbols))
+        self.pairs += np.bincount(back[0] * np.uint32(256) + letters, minlength=1 << 16)
+        many = len(self.symbols)
+        for k, (base, parts) in enumerate([(many, (telling, symbols)), (many, (last, last2, symbols)), (256, (*back[:3], letters)), (256, (*back, letters))]):
+            key = parts[0].astype(np.int64)
+            for part in parts[1:]:
+                key *= base
+                key += part
+            self.held[k].append(key)
+            if sum(map(len, self.held[k])) > FLUSH_TOKENS:
+                self.flush(k)
+
+    def flush(self, k: int) -> None:
+        """Kinds 0 and 1 are words in their two contexts, 2 and 3 letters in theirs."""
+        keys, times = np.unique(np.concatenate(self.held[k]), return_counts=True) if self.held[k] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.held[k] = []
+        base, depth, (start, taken) = (len(self.symbols), k + 1, (self.code.start, self.code.taken)) if k < 2 else (256, 2 * k - 1, self.code.letters)
+        low, high = (SPELLING_SLOTS, SLOTS) if k < 2 else (0, SPELLING_SLOTS)
+        for begin in range(0, len(keys), 1 << 15):
+            rest, parts = keys[begin : begin + (1 << 15)], []
+            for _ in range(depth + 1):
+                rest, part = np.divmod(rest, base)
+                parts.append(part)
+            lengths, step = steps(start, parts[0])
+            slots = _slots(low, high, np.repeat(_context(*parts[:0:-1]), lengths), taken[step] >> 1)
+            np.add.at(self.hashed[k & 1], 2 * slots.astype(np.intp) + (taken[step] & 1), np.repeat(times[begin : begin + (1 << 15)].astype(np.int32), lengths))
+
+    def tables(self) -> list[np.ndarray]:
+        """Counts of both bits of every slot of each predictor."""
+        for k in range(4):
+            self.flush(k)
+        return [place_counts(self.code, self.symbols, self.pairs, self.sizes[0]), *(own.reshape(-1, 2) for own in self.hashed)]
 
 
 def table_sizes(code: Codes) -> list[int]:
@@ -281,26 +372,17 @@ def count_tables(train: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
 
     def partial(batches):
         c, begins = code.value, np.cumsum([0, *sizes])
-        symbols, pairs = np.zeros((2, len(c.start) - 1), np.int64), np.zeros((2, 1 << 16), np.int64)
-        hashed = np.zeros((2, 2, 2 * SLOTS), np.int32)
-        any_part = [False, False]
+        tallies = [Tally(c, sizes), Tally(c, sizes)]
         for batch in row_batches(batches, PIECE):
             apart = batch.column("remainder").to_numpy() == FIT
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for part in (0, 1):
-                own = [t for t, a in zip(texts, apart, strict=True) if a == part]
-                if own:
-                    any_part[part] = True
-                    d = decisions(own, c)
-                    symbols[part] += np.bincount(d.symbols, minlength=len(symbols[part]))
-                    pairs[part] += np.bincount(d.letters, minlength=1 << 16)
-                    for k in (0, 1):
-                        np.add.at(hashed[part, k], 2 * d.slots[k + 1] + d.bit, np.int32(1))
+                if own := [t for t, a in zip(texts, apart, strict=True) if a == part]:
+                    tallies[part].add(own)
         task = TaskContext.get().partitionId()
         for part in (0, 1):
-            if any_part[part]:
-                tables = [place_counts(c, symbols[part], pairs[part], sizes[0]), *(own.reshape(-1, 2) for own in hashed[part])]
-                for table, begin in zip(tables, begins, strict=False):
+            if tallies[part].any:
+                for table, begin in zip(tallies[part].tables(), begins, strict=False):
                     for at in range(0, len(table), BLOCK):
                         yield packed(part, (begin + at) // BLOCK, task % SALTS, table[at : at + BLOCK].T)
 
@@ -355,12 +437,11 @@ def count_tables(train: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
 def place_counts(code: Codes, symbols: np.ndarray, pairs: np.ndarray, size: int) -> np.ndarray:
     """Counts of both bits of the first predictor's slots, from those of symbols and of letters
     behind each letter: its slots are the places themselves."""
-    out = np.bincount(2 * code.node.astype(np.intp) + code.bit, np.repeat(symbols, np.diff(code.start)), 2 * size)
+    out = np.bincount(code.taken, np.repeat(symbols, np.diff(code.start)), 2 * size)
     seen = np.flatnonzero(pairs)
-    letter, before = seen & 255, seen >> 8
-    for k in range(8):
-        place = len(code.start) + before * 256 + ((1 << k) | (letter >> (8 - k)))
-        out += np.bincount(2 * place + ((letter >> (7 - k)) & 1), pairs[seen], 2 * size)
+    lengths, step = steps(code.letters[0], seen & 255)
+    place = len(code.start) + np.repeat(seen >> 8 << 8, lengths)
+    out += np.bincount(2 * place + code.letters[1][step], np.repeat(pairs[seen], lengths), 2 * size)
     return out.astype(np.int64).reshape(-1, 2)
 
 
@@ -373,6 +454,11 @@ class Model:
     weights: np.ndarray
     refined: np.ndarray
 
+    @cached_property
+    def packed(self) -> list[np.ndarray]:
+        """Log odds in 32 bits, with what was seen in the lowest two, which they leave empty."""
+        return [o.astype(np.float32).view(np.uint32) | s for o, s in zip(self.odds, self.seen, strict=True)]
+
 
 def odds_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log odds, and how much was seen, of slots from their counts of both bits."""
@@ -409,10 +495,12 @@ def models_of(blocks: DataFrame, sizes: list[int]) -> list[Model]:
 def inputs(model: Model, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
     """The predictors' log odds with a constant, and the gate, of every decision."""
     x = np.empty((INPUTS, len(d.bit)), np.float32)
-    for k in range(3):
-        x[k] = model.odds[k][d.slots[k]]
-    x[3] = 0.3
-    gate = model.seen[1][d.slots[1]] * np.uint8(4) + model.seen[2][d.slots[2]]
+    x[0], x[3] = model.odds[0][d.slots[0]], CONSTANT
+    one, two = (model.packed[k][d.slots[k]] for k in (1, 2))
+    gate = ((one & np.uint32(3)) * np.uint32(4) + (two & np.uint32(3))).astype(np.uint8)
+    for k, own in ((1, one), (2, two)):
+        own &= ~np.uint32(3)
+        x[k] = own.view(np.float32)
     gate[d.words :] += np.uint8(16)
     return x, gate
 
@@ -426,11 +514,11 @@ def squash(t: np.ndarray) -> np.ndarray:
 
 
 def bucket(t: np.ndarray, words: int) -> np.ndarray:
-    """The bucket of each mixed log odds; those of spelling come behind those of words."""
+    """The nearest bucket of each mixed log odds; those of spelling come behind those of words."""
     near = np.clip(t, -REACH, REACH)
-    near += REACH
     near *= np.float32((BUCKETS - 1) / (2 * REACH))
-    at = np.rint(near, out=near).astype(np.intp)
+    near += np.float32(BUCKETS / 2)
+    at = near.astype(np.intp)
     at[words:] += BUCKETS
     return at
 
@@ -454,8 +542,14 @@ def _per_task_sums(docs: DataFrame, code: Shared, model: Shared, weights: np.nda
 
 
 def mixed_odds(model: Model, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    w = model.weights.astype(np.float32)
-    return sum(w[:, k][gate] * x[k] for k in range(INPUTS))
+    w, at = np.ascontiguousarray(model.weights.T, np.float32), gate.astype(np.intp)
+    total = w[0][at]
+    total *= x[0]
+    for k in range(1, INPUTS):
+        own = w[k][at]
+        own *= x[k]
+        total += own
+    return total
 
 
 def newton_sums(model: Model, d: Decisions) -> np.ndarray:
@@ -510,6 +604,7 @@ def learned(model: Model, d: Decisions, x: np.ndarray, t: np.ndarray) -> np.ndar
     missed, seen = np.zeros((n, wide), np.float32), np.zeros((n, wide), np.float32)
     p, bits = np.empty(len(t), np.float32), d.bit.astype(np.float32)
     flat = model.refined.astype(np.float32).ravel()
+    coarse = np.arange(2 * BUCKETS) // COARSE
     words = stretches(d.segment, d.owner, d.lengths)
     spelled = stretches(d.segment[d.spelled], d.owner[d.spelled], d.spelling)
     borders = np.arange(int(d.segment.max(initial=-1)) + 2)
@@ -532,21 +627,29 @@ def learned(model: Model, d: Decisions, x: np.ndarray, t: np.ndarray) -> np.ndar
         else:
             xs, t_now, bit = x[:, a:b], t[a:b].copy(), bits[a:b]
         if k:
-            weights = own[names[text]]
+            weights = own[names[text]].T
             for i in range(INPUTS):
-                t_now += np.repeat(weights[:, i], sizes) * xs[i]
+                change = np.repeat(weights[i], sizes)
+                change *= xs[i]
+                t_now += change
         mixed = squash(t_now)
         at = bucket(t_now, b - a)
-        refined = (mixed + flat[at]) / 2
+        refined = flat[at]
+        refined += mixed
+        refined *= np.float32(0.5)
         # Places of this segment's texts alone, so that a step costs what the segment holds.
-        at //= COARSE
+        at = coarse[at]
         at += np.repeat(base, sizes)
-        value = refined + (missed[names] / (seen[names] + np.float32(HOLD))).ravel()[at] if k else refined
+        value = refined
+        if k:
+            value = (missed[names] / (seen[names] + np.float32(HOLD))).ravel()[at]
+            value += refined
         value = np.clip(value, 1e-4, 1 - 1e-4)
         p[a:b], p[least:most] = value[: b - a], value[b - a :]
         if k + 2 < len(borders):
             wrong, first = bit - mixed, np.cumsum(sizes) - sizes
-            slopes = np.stack([np.add.reduceat(wrong * xs[i], first) for i in range(INPUTS)], axis=1) * np.float32(RATE)
+            slopes = [np.add.reduceat(wrong * xs[i], first) for i in range(INPUTS - 1)]
+            slopes = np.stack([*slopes, CONSTANT * np.add.reduceat(wrong, first)], axis=1) * np.float32(RATE)
             own[names] += slopes[: len(names)]
             if most > least:
                 own[names[more]] += slopes[len(names) :]
@@ -559,7 +662,8 @@ def log_scores(model: Model, d: Decisions) -> np.ndarray:
     """log10 of each text's probability."""
     x, gate = inputs(model, d)
     p = learned(model, d, x, mixed_odds(model, x, gate))
-    log = np.log(np.where(d.bit == 1, p, 1 - p))
+    log = np.abs(p - (d.bit ^ np.uint8(1)))
+    np.log(log, out=log)
     scores = np.zeros(len(d.tokens))
     spelled = d.segment[d.spelled], d.owner[d.spelled], d.spelling
     for own, kind in ((log[: d.words], (d.segment, d.owner, d.lengths)), (log[d.words :], spelled)):

@@ -463,6 +463,40 @@ def test_lm_decisions_are_a_code():
     assert sum(2.0 ** -len(p) for p in paths) == 1 and len(set(paths)) == 5
 
 
+def test_lm_equal_tokens_are_counted_together(monkeypatch):
+    """And the counts are those of the decisions one by one, however often a task adds up."""
+    rng = random.Random(11)
+    words = [bytes([97 + k % 26]) * (1 + k // 26) for k in range(70)] + ["Ünähnlich".encode(), b"http://x.y/z-9", bytes([0xFF, 0xFE])]
+    texts = [b" ".join(rng.choices(words, k=rng.randrange(0, 90))) for _ in range(60)] + [b""]
+    code = lm.codes([(w, 200 - k) for k, w in enumerate(words[:66])], 60, 90)
+    sizes = lm.table_sizes(code)
+    d = lm.decisions(texts, code)
+    plain = [np.bincount(2 * s.astype(np.int64) + d.bit, minlength=2 * n).reshape(-1, 2) for s, n in zip(d.slots, sizes, strict=True)]
+    followed = []
+    real = lm._slots
+    monkeypatch.setattr(lm, "_slots", lambda *args: (followed.append(len(args[3])), real(*args))[1])
+    for most in (10, 10_000):
+        monkeypatch.setattr(lm, "FLUSH_TOKENS", most)
+        tally = lm.Tally(code, sizes)
+        for k in range(0, len(texts), 7):
+            tally.add(texts[k : k + 7])
+        followed.clear()
+        assert all((a == b).all() for a, b in zip(tally.tables(), plain, strict=True))
+    assert sum(followed) < 1.2 * len(d.bit)  # of both hashed predictors; one by one it were 2
+
+
+def test_lm_letters_are_a_code():
+    """Bytes take a prefix code, shorter than eight decisions for the letters of usual words."""
+    words = [b"".join(rng) for rng in ([b"e"] * 9, [b"t", b"e", b"n"], [b"a", b"n", b"t"])]
+    code = lm.codes([(w * 20, 3) for w in words], 2, 1)
+    start, taken = code.letters
+    paths_ = ["".join(str(x & 1) for x in taken[a:b].tolist()) for a, b in zip(start[:-1], start[1:], strict=True)]
+    assert sum(2.0 ** -len(x) for x in paths_) == 1 and len(set(paths_)) == 256
+    d = lm.decisions([b"teen"], code)
+    assert 0 < len(d.bit) - d.words < 8 * 5 and d.spelling.tolist() == [len(d.bit) - d.words]
+    assert len(set(taken[start[0] : start[1]] >> 1)) == start[1] - start[0] and taken.max() < 2 * 255
+
+
 def test_lm_codes_equal_those_of_a_heap():
     """Also where weights are equal, and for no words at all."""
     rng = random.Random(7)
