@@ -36,12 +36,14 @@ gives an empty result; further columns are not read.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +73,8 @@ INPUTS = 4
 CONSTANT = np.float32(0.3)  # the last input
 GATES = 32
 PIECE = 400_000
+SCORE_PIECE = 2_000_000
+STRETCH = 4096  # tokens whose decisions are made at once outside the segments
 
 
 def remainder(doc_id: Column) -> Column:
@@ -121,13 +125,14 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 class Codes:
     """words: id by word; counts by id; the decisions of symbol s (word ids, then end, then
     escape) are taken[start[s]:start[s + 1]], twice the node and the bit; letters: start and taken
-    of the 256 bytes."""
+    of the 256 bytes; homes: of the nodes of both trees (``homes_of``)."""
 
     words: dict[bytes, int]
     counts: np.ndarray
     start: np.ndarray
     taken: np.ndarray
     letters: tuple[np.ndarray, np.ndarray]
+    homes: tuple[np.ndarray, np.ndarray]
 
     @property
     def node(self) -> np.ndarray:
@@ -151,7 +156,8 @@ def codes(words: list[tuple[bytes, int]], ends: int, rest: int) -> Codes:
     different words, with a floor that keeps the paths of rare ones short."""
     weights = np.array([n for _, n in words] + [max(1, ends), max(1, rest)], np.int64)
     spelled = np.bincount(np.frombuffer(b"".join(w + b" " for w, _ in words), np.uint8), minlength=256)
-    return Codes({w: i for i, (w, _) in enumerate(words)}, weights[: len(words)], *paths(weights), paths(spelled + spelled.sum() // 1024 + 1))
+    known, letters = paths(weights), paths(spelled + spelled.sum() // 1024 + 1)
+    return Codes({w: i for i, (w, _) in enumerate(words)}, weights[: len(words)], *known, letters, (homes_of(*known), homes_of(*letters)))
 
 
 def paths(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +191,27 @@ def paths(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, taken
 
 
-def steps(start: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def homes_of(start: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """16 times the node at which the four levels of each node begin, plus its place in them."""
+    homes = np.zeros(len(start) - 2, np.uint32)
+    symbols, length = np.arange(len(start) - 1), np.diff(start)
+    for depth in range(int(length.max(initial=0))):
+        symbols = symbols[length[symbols] > depth]
+        now = taken[start[symbols] + depth] >> 1
+        if depth % 4 == 0:
+            homes[now] = 16 * now + 1
+        else:
+            before = taken[start[symbols] + depth - 1]
+            above = homes[before >> 1]
+            homes[now] = (above & ~np.uint32(15)) + 2 * (above & np.uint32(15)) + (before & 1).astype(np.uint32)
+    return homes
+
+
+def steps(start: np.ndarray, symbols: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """How many decisions each symbol takes, and where in ``taken`` they are, one by one."""
-    lengths = np.diff(start)[symbols]
-    step = np.repeat(start[:-1][symbols] - (np.cumsum(lengths) - lengths), lengths)
+    if lengths is None:
+        lengths = start[symbols + 1] - start[symbols]
+    step = np.repeat(start[symbols] - (np.cumsum(lengths) - lengths), lengths)
     step += np.arange(len(step))
     return lengths, step
 
@@ -205,112 +228,207 @@ def _context(*parts: np.ndarray) -> np.ndarray:
     return value
 
 
-def _slots(low: int, high: int, context: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Slots from ``low`` to ``high``, a multiple of 2^19 apart, for decisions with a context and a
-    place in it."""
-    value = place.astype(np.uint32) * np.uint32(0x85EBCA77)
+def _slots(low: int, high: int, context: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Slots from ``low`` to ``high``, a multiple of 2^19 and at most 2^21 apart, for decisions with a
+    context and a home (``homes_of``). In a context, nodes of the same four levels are 16 neighbours,
+    a line of the processor's cache."""
+    value = home >> np.uint32(4)
+    value *= np.uint32(0x85EBCA77)
     value ^= context
     value *= _ODD
     value ^= value >> np.uint32(13)
     value *= np.uint32(0xC2B2AE3D)
-    part, times = value >> np.uint32(13), (high - low) >> 19
-    if times > 1:  # value * (high - low) >> 32 in 32 bits
-        value &= np.uint32(8191)
-        value *= np.uint32(times)
-        value >>= np.uint32(13)
-        part *= np.uint32(times)
-        part += value
-    part += np.uint32(low)
-    return part
+    value >>= np.uint32(2)
+    value *= np.uint32((high - low) >> 19)
+    value >>= np.uint32(11)
+    value ^= home & np.uint32(15)
+    value += np.uint32(low)
+    return value
+
+
+@dataclass
+class Stretch:
+    """Decisions one by one, first ``words`` on words, then those of spelled words: the slots of
+    each predictor, and the bit that was taken."""
+
+    words: int
+    slots: list[np.ndarray]
+    bit: np.ndarray
 
 
 @dataclass
 class Decisions:
-    """Of a list of texts: first ``words`` decisions on words, then those of spelled words.
+    """Of a list of texts: first those on words, then those of spelled words.
 
     Tokens come by segment, then text, then place in it, and decisions in order of their tokens.
-    lengths: decisions of each token on its word; spelled: the tokens that are spelled, and
-    how many decisions each takes; slots: of each predictor; bit: what was taken; letters: each
-    spelled byte behind the one before it, in 16 bits. tokens: how many each text has; segment,
-    owner: segment and text of each token; unknown: texts and their spelled words.
+    They are made by stretches of tokens, whose arrays stay in the processor's cache.
+    tokens: how many each text has; segment, owner, symbols: segment, text and symbol of each token;
+    lengths: its decisions on its word; known: its contexts, the last telling symbol, the last symbol
+    and the one before it. spelled: the tokens that are spelled, and how many decisions each takes
+    (spelling); letter: the first letter of each, and the end; letters: their letters, closing
+    blanks included, and the decisions of each (spans).
     """
 
-    words: int
+    code: Codes
+    tokens: np.ndarray
+    segment: np.ndarray
+    owner: np.ndarray
+    symbols: np.ndarray
     lengths: np.ndarray
+    known: list[np.ndarray]
     spelled: np.ndarray
     spelling: np.ndarray
-    slots: list[np.ndarray]
-    bit: np.ndarray
+    letter: np.ndarray
     letters: np.ndarray
+    spans: np.ndarray
+
+    def stretch(self, begin: int, end: int) -> Stretch:
+        """The decisions of the tokens from ``begin`` up to ``end``."""
+        code, lengths = self.code, self.lengths[begin:end]
+        a, b = self.letter[np.searchsorted(self.spelled, (begin, end))]
+        spans = self.spans[a:b]
+        taken = code.taken[steps(code.start, self.symbols[begin:end], lengths)[1]]
+        total = len(taken)
+        every = total + int(spans.sum())
+        bit = np.empty(every, np.uint8)
+        slots = [np.empty(every, np.intp) for _ in range(3)]
+        np.bitwise_and(taken, 1, out=bit[:total], casting="unsafe")
+        taken >>= 1
+        slots[0][:total] = taken
+        home = code.homes[0][slots[0][:total]]
+        telling, last, last2 = (c[begin:end] for c in self.known)
+        for k, context in ((1, _context(telling)), (2, _context(last, last2))):
+            slots[k][:total] = _slots(SPELLING_SLOTS, SLOTS, np.repeat(context, lengths), home)
+        if b > a:
+            letters = self.letters[a:b]
+            back = before(letters)
+            taken = code.letters[1][steps(code.letters[0], letters, spans)[1]]
+            np.bitwise_and(taken, 1, out=bit[total:], casting="unsafe")
+            taken >>= 1
+            slots[0][total:] = np.repeat(back[0] * np.uint32(256) + np.uint32(len(code.start)), spans)
+            slots[0][total:] += taken
+            home = code.homes[1][taken]
+            for k, context in ((1, _context(*back[:3])), (2, _context(*back))):
+                slots[k][total:] = _slots(0, SPELLING_SLOTS, np.repeat(context, spans), home)
+        return Stretch(total, slots, bit)
+
+    def stretches(self) -> Iterator[Stretch]:
+        for begin in range(0, len(self.symbols), STRETCH):
+            yield self.stretch(begin, min(begin + STRETCH, len(self.symbols)))
+
+    @cached_property
+    def _whole(self) -> Stretch:
+        return self.stretch(0, len(self.symbols))
+
+    words = property(lambda self: self._whole.words)
+    slots = property(lambda self: self._whole.slots)
+    bit = property(lambda self: self._whole.bit)
+
+
+@dataclass
+class Encoded:
+    """Texts as symbols: how many tokens each has, the symbols of all, and the letters of all spelled
+    words, each with a closing blank."""
+
     tokens: np.ndarray
-    segment: np.ndarray
-    owner: np.ndarray
     symbols: np.ndarray
-    unknown: list[tuple[int, bytes]]
+    letters: np.ndarray
 
 
-def contexts(texts: list[bytes], code: Codes) -> tuple:
-    """Words of each text, tokens of each text, and of each token in order: text, place in it,
-    symbol, the last symbol, the one before it and the last telling one."""
-    get, end, escape = code.words.get, code.end, code.escape
+def encoded(texts: list[bytes], code: Codes) -> Encoded:
     lists = [tokens_of(t) for t in texts]
     tokens = np.array([len(x) + 1 for x in lists], np.int64)
-    known = (chain(map(get, own, repeat(escape)), (end,)) for own in lists)
-    symbols = np.fromiter(chain.from_iterable(known), np.int32, int(tokens.sum()))
-    owner = np.repeat(np.arange(len(lists), dtype=np.int32), tokens)
-    first = np.cumsum(tokens) - tokens
+    words = list(chain.from_iterable(lists))
+    found = np.fromiter(map(code.words.get, words, repeat(code.escape)), np.int32, len(words))
+    symbols, inside = np.full(len(words) + len(texts), code.end, np.int32), np.ones(len(words) + len(texts), bool)
+    inside[np.cumsum(tokens) - 1] = False
+    symbols[inside] = found
+    letters = b"".join(words[i] + b" " for i in np.flatnonzero(found == code.escape).tolist())
+    return Encoded(tokens, symbols, np.frombuffer(letters, np.uint8))
+
+
+def encoded_rows(docs: DataFrame, code: Shared) -> DataFrame:
+    """``docs`` with symbols and letters of each text (``Encoded``) and its bytes in its place, so that
+    a text is cut into words and looked up once for all jobs that follow."""
+    kept = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        for batch in row_batches(batches, PIECE):
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            e = encoded(texts, code.value)
+            ends = np.cumsum(e.tokens)
+            blanks = np.append(0, np.flatnonzero(e.letters == 32) + 1)  # the end of each word
+            spelled = np.append(0, np.cumsum(e.symbols == code.value.escape))[np.append(0, ends)]
+            columns = [batch.column(c) for c in kept]
+            columns += [pa.array([len(t) for t in texts], pa.int64()), binary(4 * np.append(0, ends), e.symbols), binary(blanks[spelled], e.letters)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "n_bytes", "symbols", "letters"])
+
+    def binary(offsets, values):
+        return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+
+    schema = docs.select(*kept).schema.add("n_bytes", "long").add("symbols", "binary").add("letters", "binary")
+    return docs.mapInArrow(run, schema)
+
+
+def encoded_of(batch: pa.RecordBatch) -> Encoded:
+    """The texts of some rows of ``encoded_rows``."""
+
+    def values(name, kind):
+        column = batch.column(name).cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        inside = (data or b"")[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else b""
+        return np.diff(offsets), np.frombuffer(inside, kind)
+
+    sizes, symbols = values("symbols", np.int32)
+    return Encoded(sizes // 4, symbols, values("letters", np.uint8)[1])
+
+
+def contexts(texts: Encoded, code: Codes) -> tuple:
+    """Of each token in order: text, place in it, the last telling symbol, the last symbol and the
+    one before it."""
+    symbols, tokens, end = texts.symbols, texts.tokens, code.end
+    first = (np.cumsum(tokens) - tokens).astype(np.int32)
+    owner = np.repeat(np.arange(len(tokens), dtype=np.int32), tokens)
+    begin = np.repeat(first, tokens)
     count = np.arange(len(symbols), dtype=np.int32)
-    place = count - first[owner]
-    last = np.where(place >= 1, np.roll(symbols, 1), end)
-    last2 = np.where(place >= 2, np.roll(symbols, 2), end)
-    telling = np.maximum.accumulate(np.where(symbols < TELLING_WORDS, count, -1))
-    telling = np.concatenate([[-1], telling[:-1]])
-    telling = np.where(telling >= first[owner], symbols[np.maximum(telling, 0)], end)
-    return lists, tokens, owner, place, symbols, last, last2, telling
-
-
-def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The first letter's place of each word, the letters of all, closing blanks included, and the
-    five letters before each, blanks before a word."""
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    letters = np.frombuffer(b"".join(w + b" " for w in words), np.uint8).astype(np.uint32)
-    first = np.cumsum(sizes) - sizes
-    inside = np.arange(len(letters)) - np.repeat(first, sizes)
-    return first, letters, [np.where(inside >= k, np.roll(letters, k), np.uint32(32)) for k in (1, 2, 3, 4, 5)]
-
-
-def decisions(texts: list[bytes], code: Codes) -> Decisions:
-    lists, tokens, owner, place, symbols, last, last2, telling = contexts(texts, code)
-    segment = (np.searchsorted([4, 8, 16], place, "right") + place // SEGMENT).astype(np.int32)
+    last, last2 = np.full(len(symbols), end, np.int32), np.full(len(symbols), end, np.int32)
+    last[1:], last2[2:] = symbols[:-1], symbols[:-2]
+    last[first], last2[first], last2[(first + 1)[tokens > 1]] = end, end, end
+    telling = np.full(len(symbols), -1, np.int32)
+    np.maximum.accumulate(np.where(symbols < TELLING_WORDS, count, np.int32(-1))[:-1], out=telling[1:])
+    telling = np.where(telling >= begin, symbols[np.maximum(telling, 0)], np.int32(end))
+    return owner, count - begin, telling, last, last2
+
+
+def before(letters: np.ndarray) -> list[np.ndarray]:
+    """The five letters before each letter of words with closing blanks, blanks before a word."""
+    padded = np.full(len(letters) + 5, 32, np.uint32)
+    padded[5:] = letters
+    back, inside = [padded[4:-1]], padded[4:-1] != 32
+    for k in (2, 3, 4, 5):  # no letter of a word lies behind a blank
+        back.append(np.where(inside, padded[5 - k : -k], np.uint32(32)))
+        inside = back[-1] != 32
+    return back
+
+
+def decisions(texts: list[bytes] | Encoded, code: Codes) -> Decisions:
+    texts = texts if isinstance(texts, Encoded) else encoded(texts, code)
+    owner, place, *known = contexts(texts, code)
+    segment = np.searchsorted([4, 8, 16], np.minimum(place, 16), "right").astype(np.int32) + place // SEGMENT
     # Numpy sorts 16 bits by radix, wider numbers by comparison.
     order = np.argsort(segment.astype(np.uint16) if segment.max(initial=0) < 2**16 else segment, kind="stable")
-    symbols, owner, segment, place, last, last2, telling = (c[order] for c in (symbols, owner, segment, place, last, last2, telling))
-    # Decisions of the words
-    lengths, step = steps(code.start, symbols)
+    symbols, owner, segment, *known = (c.take(order) for c in (texts.symbols, owner, segment, *known))
     spelled = np.flatnonzero(symbols == code.escape)
-    unknown = [(o, lists[o][i]) for o, i in zip(owner[spelled].tolist(), place[spelled].tolist(), strict=True)]
-    begins, letters, back = spelling([w for _, w in unknown])
-    spans, inner = steps(code.letters[0], letters)
-    total = len(step)
-    every = total + len(inner)
-    zero, bit = np.empty(every, np.int32), np.empty(every, np.uint8)
-    one, two = np.empty(every, np.intp), np.empty(every, np.intp)
-    taken = code.taken[step]
-    np.bitwise_and(taken, 1, out=bit[:total], casting="unsafe")
-    np.right_shift(taken, 1, out=zero[:total])
-    one[:total] = _slots(SPELLING_SLOTS, SLOTS, np.repeat(_context(telling), lengths), zero[:total])
-    two[:total] = _slots(SPELLING_SLOTS, SLOTS, np.repeat(_context(last, last2), lengths), zero[:total])
-    pairs = back[0] * np.uint32(256) + letters
-    if unknown:  # and of the spelled words
-        at = code.letters[1][inner]
-        np.bitwise_and(at, 1, out=bit[total:], casting="unsafe")
-        at >>= 1
-        zero[total:] = np.repeat(back[0] * np.uint32(256) + np.uint32(len(code.start)), spans)
-        zero[total:] += at
-        one[total:] = _slots(0, SPELLING_SLOTS, np.repeat(_context(*back[:3]), spans), at)
-        two[total:] = _slots(0, SPELLING_SLOTS, np.repeat(_context(*back), spans), at)
-    sizes = np.add.reduceat(spans, begins) if unknown else spans
-    return Decisions(total, lengths, spelled, sizes, [zero, one, two], bit, pairs, tokens, segment, owner, symbols, unknown)
+    # The letters of spelled words in this order
+    begins = np.append(0, np.flatnonzero(texts.letters == 32) + 1)
+    word = np.cumsum(texts.symbols == code.escape)[order[spelled]] - 1
+    sizes = np.diff(begins)[word]
+    letter = np.append(0, np.cumsum(sizes))
+    letters = texts.letters[np.repeat(begins[word] - letter[:-1], sizes) + np.arange(letter[-1])]
+    lengths, spans = np.diff(code.start)[symbols], np.diff(code.letters[0])[letters]
+    spelling = np.add.reduceat(spans, letter[:-1]) if len(spelled) else spans
+    return Decisions(code, texts.tokens, segment, owner, symbols, lengths, known, spelled, spelling, letter, letters, spans)
 
 
 class Tally:
@@ -323,11 +441,11 @@ class Tally:
         self.hashed = np.zeros((2, 2 * SLOTS), np.int32)
         self.held: list[list[np.ndarray]] = [[], [], [], []]
 
-    def add(self, texts: list[bytes]) -> None:
+    def add(self, texts: list[bytes] | Encoded) -> None:
+        texts = texts if isinstance(texts, Encoded) else encoded(texts, self.code)
         self.any = True
-        lists, _, owner, place, symbols, last, last2, telling = contexts(texts, self.code)
-        unknown = np.flatnonzero(symbols == self.code.escape)
-        _, letters, back = spelling([lists[o][i] for o, i in zip(owner[unknown].tolist(), place[unknown].tolist(), strict=True)])
+        _, _, telling, last, last2 = contexts(texts, self.code)
+        symbols, letters, back = texts.symbols, texts.letters, before(texts.letters)
         self.symbols += np.bincount(symbols, minlength=len(self.symbols))
         self.pairs += np.bincount(back[0] * np.uint32(256) + letters, minlength=1 << 16)
         many = len(self.symbols)
@@ -343,17 +461,22 @@ class Tally:
     def flush(self, k: int) -> None:
         """Kinds 0 and 1 are words in their two contexts, 2 and 3 letters in theirs."""
         keys, times = np.unique(np.concatenate(self.held[k]), return_counts=True) if self.held[k] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.held[k] = []
-        base, depth, (start, taken) = (len(self.symbols), k + 1, (self.code.start, self.code.taken)) if k < 2 else (256, 2 * k - 1, self.code.letters)
+        self.held[k], times = [], times.astype(np.int32)
+        base, depth, (start, taken), homes = (len(self.symbols), k + 1, (self.code.start, self.code.taken), self.code.homes[0]) if k < 2 else (256, 2 * k - 1, self.code.letters, self.code.homes[1])
         low, high = (SPELLING_SLOTS, SLOTS) if k < 2 else (0, SPELLING_SLOTS)
-        for begin in range(0, len(keys), 1 << 15):
-            rest, parts = keys[begin : begin + (1 << 15)], []
-            for _ in range(depth + 1):
-                rest, part = np.divmod(rest, base)
-                parts.append(part)
+        for begin in range(0, len(keys), STRETCH):
+            rest, parts = keys[begin : begin + STRETCH], []
+            for _ in range(depth):
+                more = rest // base
+                parts.append(rest - more * base)
+                rest = more
+            parts.append(rest)
             lengths, step = steps(start, parts[0])
-            slots = _slots(low, high, np.repeat(_context(*parts[:0:-1]), lengths), taken[step] >> 1)
-            np.add.at(self.hashed[k & 1], 2 * slots.astype(np.intp) + (taken[step] & 1), np.repeat(times[begin : begin + (1 << 15)].astype(np.int32), lengths))
+            followed = taken[step].astype(np.intp)
+            slots = 2 * _slots(low, high, np.repeat(_context(*parts[:0:-1]), lengths), homes[followed >> 1]).astype(np.intp)
+            followed &= 1
+            slots += followed
+            np.add.at(self.hashed[k & 1], slots, np.repeat(times[begin : begin + STRETCH], lengths))
 
     def tables(self) -> list[np.ndarray]:
         """Counts of both bits of every slot of each predictor."""
@@ -366,19 +489,18 @@ def table_sizes(code: Codes) -> list[int]:
     return [-(-(len(code.start) + 65536) // BLOCK) * BLOCK, SLOTS, SLOTS]
 
 
-def count_tables(train: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
-    """block, and what the model holds of its slots (``packed_odds``): from the counts without the
+def count_tables(rows: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
+    """Of encoded rows: block, and what the model holds of its slots (``packed_odds``): from the counts without the
     documents kept for the fit (fit), and from all (whole)."""
 
     def partial(batches):
         c, begins = code.value, np.cumsum([0, *sizes])
         tallies = [Tally(c, sizes), Tally(c, sizes)]
         for batch in row_batches(batches, PIECE):
-            apart = batch.column("remainder").to_numpy() == FIT
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            for part in (0, 1):
-                if own := [t for t, a in zip(texts, apart, strict=True) if a == part]:
-                    tallies[part].add(own)
+            apart = pc.equal(batch.column("remainder"), FIT)
+            for part, own in ((0, batch.filter(pc.invert(apart))), (1, batch.filter(apart))):
+                if own.num_rows:
+                    tallies[part].add(encoded_of(own))
         task = TaskContext.get().partitionId()
         for part in (0, 1):
             if tallies[part].any:
@@ -387,12 +509,16 @@ def count_tables(train: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
                         yield packed(part, (begin + at) // BLOCK, task % SALTS, table[at : at + BLOCK].T)
 
     def packed(part, block, salt, values):
-        data = np.ascontiguousarray(values.astype(np.int64)).view(np.uint8).reshape(-1, 8).T.tobytes()
-        arrays = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([pa.compress(data, "zstd", asbytes=True)])]
+        wide = 2 if values.max() < 1 << 16 else 4 if values.max() < 1 << 32 else 8  # bytes a count
+        data = np.ascontiguousarray(values.astype(f"u{wide}")).view(np.uint8).reshape(-1, wide).T.tobytes()
+        data = bytes([wide]) + pa.compress(data, "zstd", asbytes=True)
+        arrays = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([data])]
         return pa.RecordBatch.from_arrays(arrays, names=["part", "block", "salt", "counts"])
 
     def unpacked(data):
-        return np.ascontiguousarray(np.frombuffer(pa.decompress(data, 16 * BLOCK, "zstd"), np.uint8).reshape(8, -1).T).view(np.int64).reshape(2, BLOCK)
+        wide = data[0]
+        planes = np.frombuffer(pa.decompress(memoryview(data)[1:], 2 * wide * BLOCK, "zstd"), np.uint8).reshape(wide, -1)
+        return np.ascontiguousarray(planes.T).view(f"u{wide}").astype(np.int64).reshape(2, BLOCK)
 
     def sums(batches):
         held, total = None, None
@@ -427,7 +553,7 @@ def count_tables(train: DataFrame, code: Shared, sizes: list[int]) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed_odds(fit)]), pa.array([packed_odds(whole)])], names=["block", "fit", "whole"])
 
     schema = "part int, block int, salt int, counts binary"
-    rows = train.mapInArrow(partial, schema)
+    rows = rows.mapInArrow(partial, schema)
     keys = ["part", "block", "salt"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(added, schema)
     rows = rows.withColumn("salt", F.lit(0)).repartition("block").sortWithinPartitions("block", "part").mapInArrow(finished, "block int, fit binary, whole binary")
@@ -454,6 +580,11 @@ class Model:
     weights: np.ndarray
     refined: np.ndarray
 
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Log odds of the first predictor in 32 bits."""
+        return self.odds[0].astype(np.float32)
+
     @cached_property
     def packed(self) -> list[np.ndarray]:
         """Log odds in 32 bits, with what was seen in the lowest two, which they leave empty."""
@@ -492,10 +623,10 @@ def models_of(blocks: DataFrame, sizes: list[int]) -> list[Model]:
     return [new_model(odds[k], seen[k], sizes) for k in (0, 1)]
 
 
-def inputs(model: Model, d: Decisions) -> tuple[np.ndarray, np.ndarray]:
+def inputs(model: Model, d: Stretch | Decisions) -> tuple[np.ndarray, np.ndarray]:
     """The predictors' log odds with a constant, and the gate, of every decision."""
     x = np.empty((INPUTS, len(d.bit)), np.float32)
-    x[0], x[3] = model.odds[0][d.slots[0]], CONSTANT
+    x[0], x[3] = model.places[d.slots[0]], CONSTANT
     one, two = (model.packed[k][d.slots[k]] for k in (1, 2))
     gate = ((one & np.uint32(3)) * np.uint32(4) + (two & np.uint32(3))).astype(np.uint8)
     for k, own in ((1, one), (2, two)):
@@ -523,20 +654,19 @@ def bucket(t: np.ndarray, words: int) -> np.ndarray:
     return at
 
 
-def _per_task_sums(docs: DataFrame, code: Shared, model: Shared, weights: np.ndarray, function, size: int) -> np.ndarray:
+def _per_task_sums(rows: DataFrame, code: Shared, model: Shared, weights: np.ndarray, function, size: int) -> np.ndarray:
     """``size`` sums of ``function`` over the decisions of all texts, added up by Spark. The model
     has these ``weights`` now; its tables are sent once."""
 
     def run(batches):
         total, now = np.zeros(size), replace(model.value, weights=weights)
         for batch in row_batches(batches, PIECE):
-            d = decisions([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], code.value)
-            total += function(now, d)
+            total += function(now, decisions(encoded_of(batch), code.value))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["k", "v"])
 
     out = np.zeros(size)
-    for row in docs.select("text").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for row in rows.select("symbols", "letters").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         out[row["k"]] = row["v"]
     return out
 
@@ -554,122 +684,144 @@ def mixed_odds(model: Model, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
 
 def newton_sums(model: Model, d: Decisions) -> np.ndarray:
     """Gradient and curvature of the log loss by gate."""
-    x, gate = inputs(model, d)
-    order = np.argsort(gate, kind="stable")
-    cut = np.searchsorted(gate[order], np.arange(GATES + 1))
-    p = squash(mixed_odds(model, x, gate))
-    x, wrong, bend = x[:, order], (d.bit - p)[order], (p * (1 - p))[order]
     slopes, bends = np.zeros((INPUTS, GATES)), np.zeros((INPUTS, INPUTS, GATES))
-    for g in range(GATES):
-        own = x[:, cut[g] : cut[g + 1]]
-        slopes[:, g] = own @ wrong[cut[g] : cut[g + 1]]
-        bends[:, :, g] = (own * bend[cut[g] : cut[g + 1]]) @ own.T
+    for stretch in d.stretches():
+        x, gate = inputs(model, stretch)
+        order = np.argsort(gate, kind="stable")
+        cut = np.cumsum(np.bincount(gate, minlength=GATES)).tolist()
+        p = squash(mixed_odds(model, x, gate))
+        for k in range(INPUTS - 1):
+            x[k] = x[k].take(order)
+        wrong, bend = (stretch.bit - p).take(order), (p * (1 - p)).take(order)
+        bent = x * bend
+        for g, (begin, end) in enumerate(zip([0, *cut], cut, strict=False)):
+            if end > begin:
+                own = x[:, begin:end]
+                slopes[:, g] += own @ wrong[begin:end]
+                bends[:, :, g] += bent[:, begin:end] @ own.T
     return np.concatenate([slopes.ravel(), bends.ravel()])
 
 
 def refine_sums(model: Model, d: Decisions) -> np.ndarray:
-    at = bucket(mixed_odds(model, *inputs(model, d)), d.words)
-    return np.concatenate([np.bincount(at, minlength=2 * BUCKETS), np.bincount(at, d.bit, 2 * BUCKETS)])
+    out = np.zeros((2, 2 * BUCKETS))
+    for stretch in d.stretches():
+        at = bucket(mixed_odds(model, *inputs(model, stretch)), stretch.words)
+        out += np.bincount(at, minlength=2 * BUCKETS), np.bincount(at, stretch.bit, 2 * BUCKETS)
+    return out.ravel()
 
 
-def fitted(model: Model, docs: DataFrame, code: Shared) -> Model:
-    shared = Shared(docs.sparkSession, model)
+def fitted(model: Model, rows: DataFrame, code: Shared) -> Model:
+    shared = Shared(rows.sparkSession, model)
     for _ in range(ROUNDS):
-        sums = _per_task_sums(docs, code, shared, model.weights, newton_sums, GATES * (INPUTS + INPUTS**2))
+        sums = _per_task_sums(rows, code, shared, model.weights, newton_sums, GATES * (INPUTS + INPUTS**2))
         slope = sums[: INPUTS * GATES].reshape(INPUTS, GATES).T
         bend = sums[INPUTS * GATES :].reshape(INPUTS, INPUTS, GATES).transpose(2, 0, 1)
         # A pull to the start where a gate has seen little; rounded, as sums come in any order.
         step = np.linalg.solve(bend + 5 * np.eye(INPUTS), slope[:, :, None])[:, :, 0]
         model.weights = np.round(model.weights + np.clip(step, -1, 1), 7)
-    sums = _per_task_sums(docs, code, shared, model.weights, refine_sums, 4 * BUCKETS)
+    sums = _per_task_sums(rows, code, shared, model.weights, refine_sums, 4 * BUCKETS)
     shared.drop()
     n, ones = sums[: 2 * BUCKETS].reshape(2, -1), sums[2 * BUCKETS :].reshape(2, -1)
     model.refined = (ones + 20 * model.refined) / (n + 20)
     return model
 
 
-def stretches(segment: np.ndarray, owner: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segment, text, first decision and number of decisions of each text's tokens in a segment."""
+def runs(segment: np.ndarray, owner: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's tokens in a segment begin, its text and its number of decisions."""
     first = np.flatnonzero((np.diff(segment, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
-    sizes = np.add.reduceat(lengths, first) if len(first) else lengths
-    return segment[first], owner[first], np.cumsum(sizes) - sizes, sizes
+    return first, owner[first], np.add.reduceat(lengths, first) if len(first) else lengths
 
 
-def learned(model: Model, d: Decisions, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+def by_segment(model: Model, d: Decisions, made: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The probability of a 1 in every decision, a text's weights and map learning from segment
-    to segment of the text."""
+    to segment of the text: for some texts of a segment at a time, texts, how many decisions each has
+    on end, their probabilities and their bits. ``made`` gives how many decisions are on words, the
+    inputs, mixed log odds and bits of tokens from one up to another."""
     half = BUCKETS // COARSE
     n, wide = len(d.tokens), 2 * half
     own = np.zeros((n, INPUTS), np.float32)
     missed, seen = np.zeros((n, wide), np.float32), np.zeros((n, wide), np.float32)
-    p, bits = np.empty(len(t), np.float32), d.bit.astype(np.float32)
     flat = model.refined.astype(np.float32).ravel()
     coarse = np.arange(2 * BUCKETS) // COARSE
-    words = stretches(d.segment, d.owner, d.lengths)
-    spelled = stretches(d.segment[d.spelled], d.owner[d.spelled], d.spelling)
-    borders = np.arange(int(d.segment.max(initial=-1)) + 2)
-    cut, spelled_cut = (np.searchsorted(kind[0], borders).tolist() for kind in (words, spelled))
-    begin, spelled_begin = np.append(words[2], d.words)[cut].tolist(), (d.words + np.append(spelled[2], len(t) - d.words)[spelled_cut]).tolist()
-    for k in range(len(borders) - 1):
+    words = runs(d.segment, d.owner, d.lengths)
+    spelled = runs(d.segment[d.spelled], d.owner[d.spelled], d.spelling)
+    # Groups of texts, so that the arrays of a step stay in the processor's cache.
+    of = d.segment[words[0]]
+    inside = words[0] - words[0][np.searchsorted(of, of)]
+    cut = np.append(np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(inside // STRETCH, prepend=0) != 0)), len(of))
+    tokens = np.append(words[0], len(d.symbols))[cut].tolist()
+    spelled_cut = np.searchsorted(d.spelled[spelled[0]], tokens).tolist()
+    of, final = of[cut[:-1]].tolist(), int(d.segment.max(initial=-1))
+    for k, segment in enumerate(of):
         # A text's decisions on words lie together, and so do those in its spelled words.
-        runs = slice(cut[k], cut[k + 1])
-        names, sizes = words[1][runs], words[3][runs]
-        a, b, least, most = begin[k], begin[k + 1], spelled_begin[k], spelled_begin[k + 1]
+        here = slice(cut[k], cut[k + 1])
+        names, sizes = words[1][here], words[2][here]
         text = np.arange(len(names))
-        base = text * wide
-        if most > least:
-            runs = slice(spelled_cut[k], spelled_cut[k + 1])
-            more = np.searchsorted(names, spelled[1][runs])
-            text, sizes = np.concatenate([text, more]), np.concatenate([sizes, spelled[3][runs]])
-            base = np.concatenate([base, more * wide])
-            xs = np.concatenate([x[:, a:b], x[:, least:most]], axis=1)
-            t_now, bit = np.concatenate([t[a:b], t[least:most]]), np.concatenate([bits[a:b], bits[least:most]])
-        else:
-            xs, t_now, bit = x[:, a:b], t[a:b].copy(), bits[a:b]
-        if k:
+        more = np.zeros(0, np.intp)
+        if spelled_cut[k + 1] > spelled_cut[k]:
+            here = slice(spelled_cut[k], spelled_cut[k + 1])
+            more = np.searchsorted(names, spelled[1][here])
+            text, sizes = np.concatenate([text, more]), np.concatenate([sizes, spelled[2][here]])
+        known, x, t, bit = made(tokens[k], tokens[k + 1])
+        if segment:
             weights = own[names[text]].T
             for i in range(INPUTS):
                 change = np.repeat(weights[i], sizes)
-                change *= xs[i]
-                t_now += change
-        mixed = squash(t_now)
-        at = bucket(t_now, b - a)
+                change *= x[i]
+                t += change
+        mixed = squash(t)
+        at = bucket(t, known)
         refined = flat[at]
         refined += mixed
         refined *= np.float32(0.5)
-        # Places of this segment's texts alone, so that a step costs what the segment holds.
+        # Places of these texts alone, so that a step costs what it holds.
         at = coarse[at]
-        at += np.repeat(base, sizes)
+        at += np.repeat(text * wide, sizes)
         value = refined
-        if k:
+        if segment:
             value = (missed[names] / (seen[names] + np.float32(HOLD))).ravel()[at]
             value += refined
-        value = np.clip(value, 1e-4, 1 - 1e-4)
-        p[a:b], p[least:most] = value[: b - a], value[b - a :]
-        if k + 2 < len(borders):
+        yield names[text], sizes, np.clip(value, 1e-4, 1 - 1e-4), bit
+        if segment < final:
             wrong, first = bit - mixed, np.cumsum(sizes) - sizes
-            slopes = [np.add.reduceat(wrong * xs[i], first) for i in range(INPUTS - 1)]
+            slopes = [np.add.reduceat(wrong * x[i], first) for i in range(INPUTS - 1)]
             slopes = np.stack([*slopes, CONSTANT * np.add.reduceat(wrong, first)], axis=1) * np.float32(RATE)
             own[names] += slopes[: len(names)]
-            if most > least:
-                own[names[more]] += slopes[len(names) :]
+            own[names[more]] += slopes[len(names) :]
             missed[names] += np.bincount(at, bit - refined, len(names) * wide).reshape(-1, wide)
             seen[names] += np.bincount(at, minlength=len(names) * wide).reshape(-1, wide)
+
+
+def learned(model: Model, d: Decisions, x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The probability of a 1 in every decision, from inputs and mixed log odds of all of them."""
+    ends, letter_ends = np.append(0, np.cumsum(d.lengths)), d.words + np.append(0, np.cumsum(d.spelling))
+    places = []
+
+    def made(begin, end):
+        a, b = letter_ends[np.searchsorted(d.spelled, (begin, end))]
+        places.append(np.concatenate([np.arange(ends[begin], ends[end]), np.arange(a, b)]))
+        return ends[end] - ends[begin], x[:, places[-1]], t[places[-1]], d.bit[places[-1]].astype(np.float32)
+
+    p = np.empty(len(t), np.float32)
+    for k, (_, _, value, _) in enumerate(by_segment(model, d, made)):
+        p[places[k]] = value
     return p
 
 
 def log_scores(model: Model, d: Decisions) -> np.ndarray:
     """log10 of each text's probability."""
-    x, gate = inputs(model, d)
-    p = learned(model, d, x, mixed_odds(model, x, gate))
-    log = np.abs(p - (d.bit ^ np.uint8(1)))
-    np.log(log, out=log)
+
+    def made(begin, end):
+        stretch = d.stretch(begin, end)
+        x, gate = inputs(model, stretch)
+        return stretch.words, x, mixed_odds(model, x, gate), stretch.bit.astype(np.float32)
+
     scores = np.zeros(len(d.tokens))
-    spelled = d.segment[d.spelled], d.owner[d.spelled], d.spelling
-    for own, kind in ((log[: d.words], (d.segment, d.owner, d.lengths)), (log[d.words :], spelled)):
-        if len(own):
-            _, text, first, _ = stretches(*kind)
-            scores += np.bincount(text, np.add.reduceat(own, first, dtype=np.float64), len(scores))
+    for text, sizes, p, bit in by_segment(model, d, made):
+        p += bit
+        p -= 1
+        log = np.log(np.abs(p, out=p), out=p)
+        scores += np.bincount(text, np.add.reduceat(log, np.cumsum(sizes) - sizes, dtype=np.float64), len(scores))
     return scores / np.log(10)
 
 
@@ -679,12 +831,13 @@ class Trained:
     shared: Shared
     model: Model
     counts: DataFrame
+    rows: DataFrame
     n_tokens: int
     n_distinct: int
 
 
 def train(docs: DataFrame) -> Trained:
-    """The model of the documents (remainder, text) that are not held out."""
+    """The model of the documents (remainder, text) that are not held out; and all of them encoded."""
     own = docs.filter(F.col("remainder") != HELD_OUT)
     counts = stored(word_counts(own), "lm-words")
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
@@ -693,10 +846,11 @@ def train(docs: DataFrame) -> Trained:
     code = codes(words, ends, (total or 0) - sum(n for _, n in words))
     del words
     shared, sizes = Shared(docs.sparkSession, code), table_sizes(code)
-    fit, whole = models_of(count_tables(own, shared, sizes), sizes)
-    fit = fitted(fit, own.filter(F.col("remainder") == FIT), shared)
+    rows = stored(encoded_rows(docs, shared), "lm-encoded")
+    fit, whole = models_of(count_tables(rows.filter(F.col("remainder") != HELD_OUT), shared, sizes), sizes)
+    fit = fitted(fit, stored(rows.filter(F.col("remainder") == FIT), "lm-fit"), shared)
     whole.weights, whole.refined = fit.weights, fit.refined
-    return Trained(code, shared, whole, counts, (total or 0) + ends, distinct + (ends > 0))
+    return Trained(code, shared, whole, counts, rows, (total or 0) + ends, distinct + (ends > 0))
 
 
 SCORE_SCHEMA = (
@@ -704,10 +858,9 @@ SCORE_SCHEMA = (
 )
 
 
-def scored(docs: DataFrame, trained: Trained) -> DataFrame:
+def scored(trained: Trained) -> DataFrame:
     """A row for each document, and one for each of its different words outside the vocabulary."""
-    spark = docs.sparkSession
-    code, model = trained.shared, Shared(spark, trained.model)
+    code, model = trained.shared, Shared(trained.rows.sparkSession, trained.model)
     total = trained.n_tokens + 0.1 * (trained.n_distinct + 1)
     ends = trained.n_tokens - (trained.counts.agg(F.sum("n")).first()[0] or 0)
 
@@ -717,21 +870,20 @@ def scored(docs: DataFrame, trained: Trained) -> DataFrame:
         known = np.concatenate([c.counts, [ends, 0]])
         base = np.log10((known + 0.1) / total)
         base[c.escape] = 0
-        for batch in row_batches(batches, PIECE):
+        for batch in row_batches(batches, SCORE_PIECE):
             n = batch.num_rows
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            d = decisions(texts, c)
+            d = decisions(encoded_of(batch), c)
             owner = d.owner
             rows = np.arange(task + row, task + row + n)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rows), batch.column("doc_id"), batch.column("remainder"), pa.array(d.tokens),
                     pa.array(np.bincount(owner, known[d.symbols] > 0, n).astype(np.int64)), pa.array(np.bincount(owner, base[d.symbols], n)),
-                    pa.array(log_scores(model.value, d)), pa.array([len(t) for t in texts], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()),
+                    pa.array(log_scores(model.value, d)), batch.column("n_bytes"), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()),
                 ],
                 names=names,
             )
-            rest = Counter(d.unknown)
+            rest = Counter((t, word) for t, words in enumerate(batch.column("letters").to_pylist()) for word in words.split())
             k = len(rest)
             if k:
                 empty = [pa.nulls(k, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
@@ -742,14 +894,14 @@ def scored(docs: DataFrame, trained: Trained) -> DataFrame:
             row += n
 
     names = [part.split()[0] for part in SCORE_SCHEMA.split(", ")]
-    return stored(docs.mapInArrow(run, SCORE_SCHEMA), "lm-scored")
+    return stored(trained.rows.mapInArrow(run, SCORE_SCHEMA), "lm-scored")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), remainder(F.col("doc_id")).alias("remainder"), "text")
     trained = train(inner)
-    rows = scored(inner, trained)
+    rows = scored(trained)
     total = F.lit(float(trained.n_tokens + 0.1 * (trained.n_distinct + 1)))
     rest = rows.filter("word is not null").select("row", "word", "times").join(trained.counts, "word", "left")
     count = F.coalesce("n", F.lit(0).cast("long"))

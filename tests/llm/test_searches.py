@@ -519,6 +519,43 @@ def test_lm_codes_equal_those_of_a_heap():
             assert list(zip(code.node[own].tolist(), code.bit[own].tolist(), strict=True)) == path[::-1]
 
 
+def test_lm_encoded_texts_read_back(spark):
+    """Whatever rows of the encoded table a task reads, they give the decisions of their texts."""
+    texts = ["a b zz", None, "", "Ünähnlich\tb a b " * 9, "q", "b zz " * 40, "\n"]
+    code = lm.codes([(b"a", 9), (b"b", 8)], 5, 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    table = lm.encoded_rows(docs, lm.Shared(spark, code)).toArrow().combine_chunks().to_batches()[0]
+    assert table.column("n_bytes").to_pylist() == [len((t or "").encode()) for t in texts]
+    for begin in range(len(texts)):
+        for end in range(begin + 1, len(texts) + 1):
+            got = lm.decisions(lm.encoded_of(table.slice(begin, end - begin)), code)
+            expected = lm.decisions([(t or "").encode() for t in texts[begin:end]], code)
+            assert (got.tokens == expected.tokens).all() and (got.bit == expected.bit).all()
+            assert all((x == y).all() for x, y in zip(got.slots, expected.slots, strict=True))
+
+
+def test_lm_stretches_are_the_whole(monkeypatch):
+    """Decisions made a few tokens at a time are those made at once; sums over them agree; and the
+    decisions of a word touch one line of 16 slots for each four levels of the tree."""
+    rng = random.Random(3)
+    words = [bytes([97 + k % 26]) * (1 + k // 26) for k in range(70)] + ["Öl".encode(), b"http://x.y"]
+    code = lm.codes([(w, 200 - k) for k, w in enumerate(words[:64])], 60, 90)
+    d = lm.decisions([b" ".join(rng.choices(words, k=rng.randrange(0, 90))) for _ in range(30)], code)
+    model = lm.model_of(np.random.default_rng(5).integers(0, 40, (2, sum(lm.table_sizes(code)))).astype(float), lm.table_sizes(code))
+    whole, scores = lm.newton_sums(model, d), lm.log_scores(model, d)
+    monkeypatch.setattr(lm, "STRETCH", 7)
+    parts = list(d.stretches())
+    assert len(parts) > 20 and sum(x.words for x in parts) == d.words
+    assert (np.concatenate([x.slots[2][: x.words] for x in parts]) == d.slots[2][: d.words]).all()
+    assert (np.concatenate([x.bit[x.words :] for x in parts]) == d.bit[d.words :]).all()
+    assert np.allclose(lm.newton_sums(model, d), whole, rtol=1e-4, atol=1e-2) and np.allclose(lm.log_scores(model, d), scores, rtol=1e-6)
+    begin = 0
+    for length in d.lengths.tolist():
+        assert len(set((d.slots[2][begin : begin + length] // 16).tolist())) <= -(-length // 4)
+        assert len(set(d.slots[2][begin : begin + length].tolist())) == length or length > 4
+        begin += length
+
+
 def test_lm_tables_stay_off_the_driver(spark):
     """The driver holds odds and confidence of the slots, three bytes each for two models with their
     packed copy, but no table of counts; and they are those of counts made in one place."""
