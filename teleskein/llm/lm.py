@@ -39,7 +39,6 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +58,8 @@ SPELLING_SLOTS = 1 << 19
 TELLING_WORDS = 64
 BLOCK = 1 << 16
 FLUSH_WORDS = 200_000
+FLUSH_SHORT = 1_000_000
+WORD_PIECE = 2_000_000
 FLUSH_TOKENS = 500_000
 SEGMENT = 32
 RATE = 0.0005
@@ -73,7 +74,7 @@ INPUTS = 4
 CONSTANT = np.float32(0.3)  # the last input
 GATES = 32
 PIECE = 400_000
-SCORE_PIECE = 2_000_000
+SCORE_PIECE = 4_000_000
 STRETCH = 4096  # tokens whose decisions are made at once outside the segments
 
 
@@ -90,17 +91,37 @@ def word_counts(train: DataFrame) -> DataFrame:
     """word (binary) and n over all training documents."""
 
     def run(batches):
-        seen: Counter = Counter()
-        for batch in row_batches(batches):
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                seen.update(tokens_of(text or b""))
-            if len(seen) > FLUSH_WORDS:
-                yield rows(seen)
-                seen = Counter()
-        yield rows(seen)
-
-    def rows(seen):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        short, times, long = np.zeros(0, np.uint64), np.zeros(0, np.int64), Counter()
+        for batch in row_batches(batches, WORD_PIECE):
+            words, _ = words_of([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            keys, n = np.unique(words.eight(np.flatnonzero(words.size <= 8), 0), return_counts=True)
+            short, times = added(np.concatenate([short, keys]), np.concatenate([times, n]))
+            long.update(words.letters(np.flatnonzero(words.size > 8)).tobytes().split())
+            if len(short) > FLUSH_SHORT:
+                yield from rows_short(short, times)
+                short, times = short[:0], times[:0]
+            if len(long) > FLUSH_WORDS:
+                yield rows(pa.array(list(long), pa.binary()), pa.array(list(long.values()), pa.int64()))
+                long = Counter()
+        yield from rows_short(short, times)
+        yield rows(pa.array(list(long), pa.binary()), pa.array(list(long.values()), pa.int64()))
+
+    def added(keys, times):
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        return keys[first], np.add.reduceat(times[order], first) if len(first) else times
+
+    def rows_short(keys, times):
+        for begin in range(0, len(keys), BLOCK):
+            letters = keys[begin : begin + BLOCK].view(np.uint8).reshape(-1, 8)
+            inside = letters != 32
+            offsets = np.append(0, np.cumsum(inside.sum(1))).astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), len(letters), [None, pa.py_buffer(offsets), pa.py_buffer(letters[inside])])
+            yield rows(words, pa.array(times[begin : begin + BLOCK]))
+
+    def rows(words, n):
+        return pa.RecordBatch.from_arrays([words, n], names=["word", "n"])
 
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -121,13 +142,131 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return list(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True))
 
 
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz     ")
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k of eight bytes
+_BLANKS = np.uint64(0x2020202020202020) & ~_FIRST
+HASHED = 256  # bytes of a word that are hashed and compared eight at a time
+
+
+@dataclass
+class Words:
+    """Words as arrays: their bytes one after the other, each with a closing blank, eight bytes more
+    at the end; where each begins, and its size."""
+
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+    def eight(self, which: np.ndarray | slice, at: int) -> np.ndarray:
+        """Bytes ``at`` to ``at`` + 8 of some words as numbers, blanks behind the end."""
+        every = np.ndarray(len(self.data) - 7, np.uint64, self.data, strides=(1,))
+        inside = np.clip(self.size[which] - at, 0, 8)
+        return every[self.start[which] + at] & _FIRST[inside] | _BLANKS[inside]
+
+    def keys(self) -> np.ndarray:
+        """Words of up to eight bytes as numbers, as no word holds a blank; hashes of longer ones
+        with a blank for the first byte, so that these never equal those."""
+        keys, which = self.eight(slice(None), 0), np.flatnonzero(self.size > 8)
+        value = keys[which]
+        for at in range(8, HASHED, 8):
+            more = np.flatnonzero(self.size[which] > at)
+            if not len(more):
+                break
+            part = _mixed(value[more])
+            part += self.eight(which[more], at)
+            value[more] = part
+        keys[which] = _mixed(value) & ~np.uint64(255) | np.uint64(32)
+        return keys
+
+    def same(self, which: np.ndarray, other: Words, others: np.ndarray) -> np.ndarray:
+        """Whether some words equal those of ``other``, byte by byte."""
+        equal = self.size[which] == other.size[others]
+        left = np.flatnonzero(equal)
+        for at in range(0, HASHED, 8):
+            differ = self.eight(which[left], at) != other.eight(others[left], at)
+            equal[left[differ]] = False
+            left = left[~differ & (self.size[which[left]] > at + 8)]
+            if not len(left):
+                break
+        for k in left.tolist():
+            a, b, n = self.start[which[k]], other.start[others[k]], self.size[which[k]]
+            equal[k] = bool((self.data[a : a + n] == other.data[b : b + n]).all())
+        return equal
+
+    def letters(self, which: np.ndarray) -> np.ndarray:
+        """The bytes of some words, closing blanks included."""
+        sizes = self.size[which] + 1
+        return self.data[np.repeat(self.start[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+
+def _mixed(value: np.ndarray) -> np.ndarray:
+    value = value * np.uint64(0x9E3779B97F4A7C15)
+    value ^= value >> np.uint64(32)
+    value *= np.uint64(0xD6E8FEB86659FD93)
+    return value
+
+
+def words_of(texts: list[bytes]) -> tuple[Words, np.ndarray]:
+    """The words of ``tokens_of`` of all texts, and how many each text has."""
+    data = np.frombuffer((b" ".join(texts) + b" ").translate(_LOWER) + bytes(8), np.uint8) if texts else np.zeros(8, np.uint8)
+    blanks = np.flatnonzero(data == 32)
+    start = np.append(0, blanks + 1)[:-1]
+    size = blanks - start
+    real = size > 0
+    ends = np.searchsorted(blanks, np.cumsum([len(t) + 1 for t in texts], dtype=np.int64) - 1)
+    return Words(data, start[real], size[real]), np.diff(np.cumsum(real)[ends], prepend=0)
+
+
+@dataclass
+class Lexicon:
+    """Ids of words, looked up for many at once in an open hash table."""
+
+    words: Words
+    keys: np.ndarray
+    table: np.ndarray
+
+    @staticmethod
+    def of(words: list[bytes]) -> Lexicon:
+        sizes = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(w + b" " for w in words) + bytes(8), np.uint8)
+        own = Words(data, np.cumsum(sizes + 1) - sizes - 1, sizes)
+        out = Lexicon(own, own.keys(), np.full(1 << (4 * len(words) + 1).bit_length(), -1, np.int32))
+        ids, slot = np.arange(len(words), dtype=np.int32), out.slots(out.keys)
+        while len(ids):
+            free = out.table[slot] < 0
+            out.table[slot[free]] = ids[free]
+            rest = out.table[slot] != ids
+            ids, slot = ids[rest], (slot[rest] + 1) % len(out.table)
+        return out
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (_mixed(keys) >> np.uint64(65 - len(self.table).bit_length())).astype(np.intp)
+
+    def find(self, words: Words) -> np.ndarray:
+        """The id of each word, -1 for others."""
+        found = np.full(len(words.size), -1, np.int32)
+        if not len(self.keys):
+            return found
+        keys = words.keys()
+        slot, left = self.slots(keys), np.arange(len(keys))
+        while len(left):
+            ids = self.table[slot]
+            same = (self.keys[ids] == keys) & (ids >= 0)
+            long = np.flatnonzero(same & (words.size[left] > 8))
+            same[long] = words.same(left[long], self.words, ids[long])
+            found[left[same]] = ids[same]
+            rest = np.flatnonzero(~same & (ids >= 0))
+            left, keys, slot = left[rest], keys[rest], (slot[rest] + 1) % len(self.table)
+        return found
+
+
 @dataclass
 class Codes:
-    """words: id by word; counts by id; the decisions of symbol s (word ids, then end, then
+    """words: ids of the words; counts by id; the decisions of symbol s (word ids, then end, then
     escape) are taken[start[s]:start[s + 1]], twice the node and the bit; letters: start and taken
     of the 256 bytes; homes: of the nodes of both trees (``homes_of``)."""
 
-    words: dict[bytes, int]
+    words: Lexicon
     counts: np.ndarray
     start: np.ndarray
     taken: np.ndarray
@@ -142,13 +281,18 @@ class Codes:
     def bit(self) -> np.ndarray:
         return (self.taken & 1).astype(np.uint8)
 
+    @cached_property
+    def routes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Twice the home, and the bit, of every decision in ``taken`` and in that of the letters."""
+        return tuple(home[t >> 1] << np.uint32(1) | (t & 1).astype(np.uint32) for home, t in zip(self.homes, (self.taken, self.letters[1]), strict=True))
+
     @property
     def end(self) -> int:
-        return len(self.words)
+        return len(self.counts)
 
     @property
     def escape(self) -> int:
-        return len(self.words) + 1
+        return len(self.counts) + 1
 
 
 def codes(words: list[tuple[bytes, int]], ends: int, rest: int) -> Codes:
@@ -157,7 +301,7 @@ def codes(words: list[tuple[bytes, int]], ends: int, rest: int) -> Codes:
     weights = np.array([n for _, n in words] + [max(1, ends), max(1, rest)], np.int64)
     spelled = np.bincount(np.frombuffer(b"".join(w + b" " for w, _ in words), np.uint8), minlength=256)
     known, letters = paths(weights), paths(spelled + spelled.sum() // 1024 + 1)
-    return Codes({w: i for i, (w, _) in enumerate(words)}, weights[: len(words)], *known, letters, (homes_of(*known), homes_of(*letters)))
+    return Codes(Lexicon.of([w for w, _ in words]), weights[: len(words)], *known, letters, (homes_of(*known), homes_of(*letters)))
 
 
 def paths(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,11 +392,15 @@ def _slots(low: int, high: int, context: np.ndarray, home: np.ndarray) -> np.nda
 
 @dataclass
 class Stretch:
-    """Decisions one by one, first ``words`` on words, then those of spelled words: the slots of
-    each predictor, and the bit that was taken."""
+    """Decisions one by one, first ``words`` on words, then those of spelled words: where in ``taken``
+    those on words are, the first predictor's slots of the others, the slots of the two other
+    predictors, and the bit that was taken."""
 
+    code: Codes
     words: int
-    slots: list[np.ndarray]
+    paths: np.ndarray
+    spelt: np.ndarray
+    hashed: list[np.ndarray]
     bit: np.ndarray
 
 
@@ -287,30 +435,29 @@ class Decisions:
         code, lengths = self.code, self.lengths[begin:end]
         a, b = self.letter[np.searchsorted(self.spelled, (begin, end))]
         spans = self.spans[a:b]
-        taken = code.taken[steps(code.start, self.symbols[begin:end], lengths)[1]]
-        total = len(taken)
+        paths = steps(code.start, self.symbols[begin:end], lengths)[1]
+        total = len(paths)
         every = total + int(spans.sum())
-        bit = np.empty(every, np.uint8)
-        slots = [np.empty(every, np.intp) for _ in range(3)]
-        np.bitwise_and(taken, 1, out=bit[:total], casting="unsafe")
-        taken >>= 1
-        slots[0][:total] = taken
-        home = code.homes[0][slots[0][:total]]
+        bit, spelt = np.empty(every, np.uint8), np.empty(every - total, np.intp)
+        hashed = [np.empty(every, np.intp) for _ in range(2)]
+        home = code.routes[0].take(paths, mode="clip")  # clip checks no bounds first
+        np.bitwise_and(home, 1, out=bit[:total], casting="unsafe")
+        home >>= np.uint32(1)
         telling, last, last2 = (c[begin:end] for c in self.known)
-        for k, context in ((1, _context(telling)), (2, _context(last, last2))):
-            slots[k][:total] = _slots(SPELLING_SLOTS, SLOTS, np.repeat(context, lengths), home)
+        for k, context in enumerate((_context(telling), _context(last, last2))):
+            hashed[k][:total] = _slots(SPELLING_SLOTS, SLOTS, np.repeat(context, lengths), home)
         if b > a:
             letters = self.letters[a:b]
-            back = before(letters)
-            taken = code.letters[1][steps(code.letters[0], letters, spans)[1]]
-            np.bitwise_and(taken, 1, out=bit[total:], casting="unsafe")
-            taken >>= 1
-            slots[0][total:] = np.repeat(back[0] * np.uint32(256) + np.uint32(len(code.start)), spans)
-            slots[0][total:] += taken
-            home = code.homes[1][taken]
-            for k, context in ((1, _context(*back[:3])), (2, _context(*back))):
-                slots[k][total:] = _slots(0, SPELLING_SLOTS, np.repeat(context, spans), home)
-        return Stretch(total, slots, bit)
+            back, three, four = before(letters)
+            step = steps(code.letters[0], letters, spans)[1]
+            home = code.routes[1].take(step, mode="clip")
+            np.bitwise_and(home, 1, out=bit[total:], casting="unsafe")
+            home >>= np.uint32(1)
+            np.right_shift(code.letters[1].take(step, mode="clip"), 1, out=spelt)
+            spelt += np.repeat(back * np.uint32(256) + np.uint32(len(code.start)), spans)
+            for k, context in enumerate((_context(three), _context(back, four))):
+                hashed[k][total:] = _slots(0, SPELLING_SLOTS, np.repeat(context, spans), home)
+        return Stretch(code, total, paths, spelt, hashed, bit)
 
     def stretches(self) -> Iterator[Stretch]:
         for begin in range(0, len(self.symbols), STRETCH):
@@ -320,9 +467,18 @@ class Decisions:
     def _whole(self) -> Stretch:
         return self.stretch(0, len(self.symbols))
 
-    words = property(lambda self: self._whole.words)
-    slots = property(lambda self: self._whole.slots)
-    bit = property(lambda self: self._whole.bit)
+    @property
+    def words(self) -> int:
+        return self._whole.words
+
+    @property
+    def bit(self) -> np.ndarray:
+        return self._whole.bit
+
+    @property
+    def slots(self) -> list[np.ndarray]:
+        """Of each predictor."""
+        return [np.concatenate([self.code.node[self._whole.paths], self._whole.spelt]), *self._whole.hashed]
 
 
 @dataclass
@@ -336,15 +492,14 @@ class Encoded:
 
 
 def encoded(texts: list[bytes], code: Codes) -> Encoded:
-    lists = [tokens_of(t) for t in texts]
-    tokens = np.array([len(x) + 1 for x in lists], np.int64)
-    words = list(chain.from_iterable(lists))
-    found = np.fromiter(map(code.words.get, words, repeat(code.escape)), np.int32, len(words))
-    symbols, inside = np.full(len(words) + len(texts), code.end, np.int32), np.ones(len(words) + len(texts), bool)
-    inside[np.cumsum(tokens) - 1] = False
+    words, tokens = words_of(texts)
+    found = code.words.find(words)
+    unknown = np.flatnonzero(found < 0)
+    found[unknown] = code.escape
+    symbols, inside = np.full(len(found) + len(texts), code.end, np.int32), np.ones(len(found) + len(texts), bool)
+    inside[np.cumsum(tokens + 1) - 1] = False
     symbols[inside] = found
-    letters = b"".join(words[i] + b" " for i in np.flatnonzero(found == code.escape).tolist())
-    return Encoded(tokens, symbols, np.frombuffer(letters, np.uint8))
+    return Encoded(tokens + 1, symbols, words.letters(unknown))
 
 
 def encoded_rows(docs: DataFrame, code: Shared) -> DataFrame:
@@ -401,15 +556,18 @@ def contexts(texts: Encoded, code: Codes) -> tuple:
     return owner, count - begin, telling, last, last2
 
 
-def before(letters: np.ndarray) -> list[np.ndarray]:
-    """The five letters before each letter of words with closing blanks, blanks before a word."""
+def before(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each letter of words with closing blanks: the letter before it, the last three in one
+    number and the four before the last in another; blanks before a word."""
     padded = np.full(len(letters) + 5, 32, np.uint32)
     padded[5:] = letters
     back, inside = [padded[4:-1]], padded[4:-1] != 32
     for k in (2, 3, 4, 5):  # no letter of a word lies behind a blank
         back.append(np.where(inside, padded[5 - k : -k], np.uint32(32)))
         inside = back[-1] != 32
-    return back
+    three = back[0] << np.uint32(8) | back[1]
+    four = (back[1] << np.uint32(8) | back[2]) << np.uint32(16) | back[3] << np.uint32(8) | back[4]
+    return back[0], three << np.uint32(8) | back[2], four
 
 
 def decisions(texts: list[bytes] | Encoded, code: Codes) -> Decisions:
@@ -445,11 +603,13 @@ class Tally:
         texts = texts if isinstance(texts, Encoded) else encoded(texts, self.code)
         self.any = True
         _, _, telling, last, last2 = contexts(texts, self.code)
-        symbols, letters, back = texts.symbols, texts.letters, before(texts.letters)
-        self.symbols += np.bincount(symbols, minlength=len(self.symbols))
-        self.pairs += np.bincount(back[0] * np.uint32(256) + letters, minlength=1 << 16)
-        many = len(self.symbols)
-        for k, (base, parts) in enumerate([(many, (telling, symbols)), (many, (last, last2, symbols)), (256, (*back[:3], letters)), (256, (*back, letters))]):
+        symbols, letters, many = texts.symbols, texts.letters, len(self.symbols)
+        back, three, four = before(letters)
+        self.symbols += np.bincount(symbols, minlength=many)
+        self.pairs += np.bincount(back * np.uint32(256) + letters, minlength=1 << 16)
+        # The symbol leads, so that equal paths are followed one after the other.
+        bases = [(many, (symbols, telling)), (many, (symbols, last, last2)), (1 << 24, (letters, three)), (1 << 32, (letters.astype(np.int64) << 8 | back, four))]
+        for k, (base, parts) in enumerate(bases):
             key = parts[0].astype(np.int64)
             for part in parts[1:]:
                 key *= base
@@ -461,22 +621,20 @@ class Tally:
     def flush(self, k: int) -> None:
         """Kinds 0 and 1 are words in their two contexts, 2 and 3 letters in theirs."""
         keys, times = np.unique(np.concatenate(self.held[k]), return_counts=True) if self.held[k] else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.held[k], times = [], times.astype(np.int32)
-        base, depth, (start, taken), homes = (len(self.symbols), k + 1, (self.code.start, self.code.taken), self.code.homes[0]) if k < 2 else (256, 2 * k - 1, self.code.letters, self.code.homes[1])
+        self.held[k], times, many = [], times.astype(np.int32), len(self.symbols)
+        start, routes = (self.code.start, self.code.letters[0])[k // 2], self.code.routes[k // 2]
         low, high = (SPELLING_SLOTS, SLOTS) if k < 2 else (0, SPELLING_SLOTS)
         for begin in range(0, len(keys), STRETCH):
-            rest, parts = keys[begin : begin + STRETCH], []
-            for _ in range(depth):
-                more = rest // base
-                parts.append(rest - more * base)
-                rest = more
-            parts.append(rest)
-            lengths, step = steps(start, parts[0])
-            followed = taken[step].astype(np.intp)
-            slots = 2 * _slots(low, high, np.repeat(_context(*parts[:0:-1]), lengths), homes[followed >> 1]).astype(np.intp)
-            followed &= 1
-            slots += followed
-            np.add.at(self.hashed[k & 1], slots, np.repeat(times[begin : begin + STRETCH], lengths))
+            own = keys[begin : begin + STRETCH]
+            base = (many, many * many, 1 << 24, 1 << 40)[k]
+            symbols = own // base
+            own = own - symbols * base
+            parts = {0: [own], 1: [own // many, own % many], 2: [own], 3: [own >> 32, own & 0xFFFFFFFF]}[k]
+            lengths, step = steps(start, symbols)
+            route = routes.take(step, mode="clip")
+            slots = _slots(low, high, np.repeat(_context(*parts), lengths), route >> np.uint32(1)) << np.uint32(1)
+            slots |= route & np.uint32(1)
+            np.add.at(self.hashed[k & 1], slots.astype(np.intp), np.repeat(times[begin : begin + STRETCH], lengths))
 
     def tables(self) -> list[np.ndarray]:
         """Counts of both bits of every slot of each predictor."""
@@ -585,10 +743,18 @@ class Model:
         """Log odds of the first predictor in 32 bits."""
         return self.odds[0].astype(np.float32)
 
+    def along(self, code: Codes) -> np.ndarray:
+        """The same in the order of the decisions in ``taken``, kept for one code."""
+        kept = self.__dict__.get("_along")
+        if kept is None or kept[0] is not code:
+            kept = self._along = code, self.places[code.node]
+        return kept[1]
+
     @cached_property
     def packed(self) -> list[np.ndarray]:
-        """Log odds in 32 bits, with what was seen in the lowest two, which they leave empty."""
-        return [o.astype(np.float32).view(np.uint32) | s for o, s in zip(self.odds, self.seen, strict=True)]
+        """Log odds of the others in 32 bits, with what was seen in the lowest two, which they leave
+        empty."""
+        return [o.astype(np.float32).view(np.uint32) | s for o, s in zip(self.odds[1:], self.seen[1:], strict=True)]
 
 
 def odds_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -625,13 +791,15 @@ def models_of(blocks: DataFrame, sizes: list[int]) -> list[Model]:
 
 def inputs(model: Model, d: Stretch | Decisions) -> tuple[np.ndarray, np.ndarray]:
     """The predictors' log odds with a constant, and the gate, of every decision."""
+    d = d._whole if isinstance(d, Decisions) else d
     x = np.empty((INPUTS, len(d.bit)), np.float32)
-    x[0], x[3] = model.places[d.slots[0]], CONSTANT
-    one, two = (model.packed[k][d.slots[k]] for k in (1, 2))
-    gate = ((one & np.uint32(3)) * np.uint32(4) + (two & np.uint32(3))).astype(np.uint8)
+    model.along(d.code).take(d.paths, out=x[0, : d.words], mode="clip")
+    model.places.take(d.spelt, out=x[0, d.words :], mode="clip")
+    x[3] = CONSTANT
+    one, two = (model.packed[k].take(d.hashed[k], mode="clip") for k in (0, 1))
+    gate = ((one << np.uint32(2) & np.uint32(12)) | (two & np.uint32(3))).astype(np.uint8)
     for k, own in ((1, one), (2, two)):
-        own &= ~np.uint32(3)
-        x[k] = own.view(np.float32)
+        np.bitwise_and(own, ~np.uint32(3), out=x[k].view(np.uint32))
     gate[d.words :] += np.uint8(16)
     return x, gate
 
@@ -673,10 +841,9 @@ def _per_task_sums(rows: DataFrame, code: Shared, model: Shared, weights: np.nda
 
 def mixed_odds(model: Model, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
     w, at = np.ascontiguousarray(model.weights.T, np.float32), gate.astype(np.intp)
-    total = w[0][at]
-    total *= x[0]
-    for k in range(1, INPUTS):
-        own = w[k][at]
+    total = (w[3] * CONSTANT).take(at, mode="clip")
+    for k in range(INPUTS - 1):
+        own = w[k].take(at, mode="clip")
         own *= x[k]
         total += own
     return total
@@ -765,21 +932,22 @@ def by_segment(model: Model, d: Decisions, made: Callable) -> Iterator[tuple[np.
         known, x, t, bit = made(tokens[k], tokens[k + 1])
         if segment:
             weights = own[names[text]].T
-            for i in range(INPUTS):
+            t += np.repeat(weights[3] * CONSTANT, sizes)
+            for i in range(INPUTS - 1):
                 change = np.repeat(weights[i], sizes)
                 change *= x[i]
                 t += change
         mixed = squash(t)
         at = bucket(t, known)
-        refined = flat[at]
+        refined = flat.take(at, mode="clip")
         refined += mixed
         refined *= np.float32(0.5)
         # Places of these texts alone, so that a step costs what it holds.
-        at = coarse[at]
+        at = coarse.take(at, mode="clip")
         at += np.repeat(text * wide, sizes)
         value = refined
         if segment:
-            value = (missed[names] / (seen[names] + np.float32(HOLD))).ravel()[at]
+            value = (missed[names] / (seen[names] + np.float32(HOLD))).ravel().take(at, mode="clip")
             value += refined
         yield names[text], sizes, np.clip(value, 1e-4, 1 - 1e-4), bit
         if segment < final:

@@ -534,6 +534,28 @@ def test_lm_encoded_texts_read_back(spark):
             assert all((x == y).all() for x, y in zip(got.slots, expected.slots, strict=True))
 
 
+def test_lm_words_are_found_as_arrays(spark):
+    """Words cut and looked up many at once are those cut one by one, whatever their bytes and length;
+    and so are the counts of all words."""
+    rng = random.Random(1)
+    letters = [b"a", b"B", "É".encode(), b"\x00", b".", b"xyz", "\u2028".encode(), b"\x1c", "\x85".encode()]
+    blanks = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"  ", b"\r\n"]
+    lengths = [1, 2, 3, 7, 8, 9, 16, 17, 40, 300]
+    texts = [b"".join(b"".join(rng.choices(letters, k=rng.choice(lengths))) + rng.choice(blanks) for _ in range(rng.randrange(20))) for _ in range(80)]
+    texts += [b"", b" ", b"\n a", b"a", b" ".join(b"q" * 300 + w for w in (b"c", b"z", b"", b"cc"))]
+    cut = [lm.tokens_of(t) for t in texts]
+    flat = [w for own in cut for w in own]
+    words, n = lm.words_of(texts)
+    assert n.tolist() == [len(own) for own in cut]
+    assert [words.data[a : a + k].tobytes() for a, k in zip(words.start, words.size, strict=True)] == flat
+    known = list(dict.fromkeys(rng.sample(flat, len(flat) // 2) + [b"q" * 300 + w for w in (b"a", b"c", b"d")]))
+    ids = {w: k for k, w in enumerate(known)}
+    assert lm.Lexicon.of(known).find(words).tolist() == [ids.get(w, -1) for w in flat]
+    assert set(lm.Lexicon.of([]).find(words).tolist()) == {-1}
+    docs = spark.createDataFrame([(t.decode(),) for t in texts] + [(None,)], "text string").repartition(3)
+    assert {bytes(r["word"]): r["n"] for r in lm.word_counts(docs).collect()} == Counter(flat)
+
+
 def test_lm_stretches_are_the_whole(monkeypatch):
     """Decisions made a few tokens at a time are those made at once; sums over them agree; and the
     decisions of a word touch one line of 16 slots for each four levels of the tree."""
@@ -546,7 +568,7 @@ def test_lm_stretches_are_the_whole(monkeypatch):
     monkeypatch.setattr(lm, "STRETCH", 7)
     parts = list(d.stretches())
     assert len(parts) > 20 and sum(x.words for x in parts) == d.words
-    assert (np.concatenate([x.slots[2][: x.words] for x in parts]) == d.slots[2][: d.words]).all()
+    assert (np.concatenate([x.hashed[1][: x.words] for x in parts]) == d.slots[2][: d.words]).all()
     assert (np.concatenate([x.bit[x.words :] for x in parts]) == d.bit[d.words :]).all()
     assert np.allclose(lm.newton_sums(model, d), whole, rtol=1e-4, atol=1e-2) and np.allclose(lm.log_scores(model, d), scores, rtol=1e-6)
     begin = 0
