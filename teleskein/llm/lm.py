@@ -12,10 +12,11 @@ contexts have been seen, and a map from mixed to observed probability refines th
 probabilities of a text's decisions multiply to the model's probability of the text.
 
 Training, all as Spark jobs over all training documents: word counts by aggregation; texts written
-as symbols once the vocabulary is known, for all jobs that follow; decision counts, a partial table in each task, added up by blocks of slots in two rounds and turned into
-log odds there, so that the driver holds three bytes a slot and no counts; mixer weights
-and refinement by Newton steps on a tenth of the training documents whose counts are kept
-apart (remainder ``FIT`` of ten), so that counts are never judged on their own documents.
+as symbols once the vocabulary is known, for all jobs that follow; decision counts, a partial table
+in each task, added up by blocks of slots in two rounds and turned into log odds there, so that the
+driver holds three bytes a slot and no counts; mixer weights and refinement by Newton steps on a
+tenth of the training documents whose counts are kept apart (remainder ``FIT`` of ten), so that
+counts are never judged on their own documents.
 Afterwards the tables of both parts are added. While a text is scored the mixer goes on
 learning: after its tokens 4, 8, 16 and each further ``SEGMENT`` a text's own weights take the
 sum of the gradients times ``RATE``, and its own shifts of the refined probability (by coarse
