@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import struct
+import time
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -17,6 +18,8 @@ from teleskein.operators.encode import encode, route
 from teleskein.operators.retention import cutoff_time, prune
 from teleskein.operators.scan import QueryOptions, aggregate_metric, scan_logs, scan_metrics, scan_traces
 from teleskein.schemas import TABLES
+from teleskein.session import CLEANUP
+from teleskein.sources import jsonl, paths
 from teleskein.tables import SignalStore
 
 DAY = datetime(2024, 3, 9)
@@ -264,3 +267,26 @@ def test_scan_prunes_partitions_and_pushes_filters(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "date#" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
     assert "EqualTo(metric_name,m)" in plan
     assert "ReadSchema: struct<metric_name:string,value:double,timestamp:timestamp_ntz,service_name:string>" in plan
+
+
+def test_compressed_lines_take_little_disk_and_leave_no_shuffle_files(spark, tmp_path):
+    logs = rows(spark, "logs", [dict(timestamp=DAY + timedelta(seconds=k), severity="INFO", severity_number=9, body=f"b{k}", service_name="a", attributes={}) for k in range(3000)])
+    size, before = {}, spark.conf.get(CLEANUP)
+    first = spark._jsc.sc().newShuffleId()
+    for compression in (None, "gzip"):
+        root = str(tmp_path / f"{compression}")
+        jsonl.write_rows(logs, root, "logs", compression=compression)
+        back = jsonl.scan_all(spark, root)["logs"].rows
+        assert sorted(r.body for r in back.collect()) == sorted(f"b{k}" for k in range(3000))
+        size[compression] = sum(paths.sizes(root).values())
+    assert size["gzip"] < size[None] / 4
+    last, end = spark._jsc.sc().newShuffleId(), time.time() + 10
+
+    def left():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        found = [files.apply(k).getName() for k in range(files.size())]
+        return [n for n in found if n.startswith("shuffle_") and first < int(n.split("_")[1]) < last]
+
+    while left() and time.time() < end:
+        time.sleep(0.2)
+    assert last > first + 2 and not left() and spark.conf.get(CLEANUP) == before
