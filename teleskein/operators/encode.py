@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from teleskein.functions import wire
 from teleskein.functions.values import int_div, time_to_nanos
 from teleskein.schemas import SIGNALS, check_signal
-from teleskein.session import scratch_dir
+from teleskein.session import scratch_dir, shuffles_dropped
 
 # Records per export batch, the collector's default batch size.
 RECORDS_PER_LINE = 1024
@@ -163,14 +163,17 @@ def split_by_signal(lines: DataFrame, line: str = "value") -> dict[str, DataFram
     The routed lines are written once to the scratch folder; each table reads its part.
     """
     root = scratch_dir(lines.sparkSession, "split")
-    route(lines, line).write.partitionBy("signal").parquet(root)
+    with shuffles_dropped(lines.sparkSession):
+        route(lines, line).write.partitionBy("signal").parquet(root)
     schema = T.StructType([*lines.schema.fields, T.StructField("signal", T.StringType())])
     routed = lines.sparkSession.read.schema(schema).parquet(root)
     return {s: routed.filter(F.col("signal") == s).drop("signal") for s in (*SIGNALS, UNROUTED)}
 
 
-def write_routed(lines: DataFrame, root: str, line: str = "value") -> None:
+def write_routed(lines: DataFrame, root: str, line: str = "value", compression: str | None = None) -> None:
     """Append mixed lines to one folder per signal, ``<root>/signal=<kind>``, in one pass;
-    unrouted ones go to a folder of their own."""
-    routed = route(lines, line)
-    routed.select(F.col(line).alias("value"), "signal").write.mode("append").partitionBy("signal").text(root)
+    unrouted ones go to a folder of their own. ``compression="gzip"`` as in ``write_lines``."""
+    routed = route(lines, line).select(F.col(line).alias("value"), "signal")
+    options = {"compression": compression} if compression else {}
+    with shuffles_dropped(lines.sparkSession):
+        routed.write.mode("append").options(**options).partitionBy("signal").text(root)

@@ -550,7 +550,7 @@ def s08_signal_routing(spark, sf_dir):
     """A mixed line table routed to a folder per kind in one pass, then decoded and counted;
     lines of no kind have a folder too."""
     root = scratch_dir(spark, "routed")
-    write_routed(_with_strays(spark, sf_dir), root)
+    write_routed(_with_strays(spark, sf_dir), root, compression="gzip")
     rest = spark.read.text(f"{root}/signal={UNROUTED}")
     out = rest.groupBy(F.lit(None).cast("string").alias("service_name")).agg(F.count(F.lit(1)).alias("n"))
     out = out.withColumn("signal", F.lit(UNROUTED))

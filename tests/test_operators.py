@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from teleskein.functions import render, timeexpr, values
 from teleskein.operators.decode import decode
-from teleskein.operators.encode import encode, route
+from teleskein.operators.encode import encode, route, write_routed
 from teleskein.operators.retention import cutoff_time, prune
 from teleskein.operators.scan import QueryOptions, aggregate_metric, scan_logs, scan_metrics, scan_traces
 from teleskein.schemas import TABLES
@@ -290,3 +290,15 @@ def test_compressed_lines_take_little_disk_and_leave_no_shuffle_files(spark, tmp
     while left() and time.time() < end:
         time.sleep(0.2)
     assert last > first + 2 and not left() and spark.conf.get(CLEANUP) == before
+
+
+def test_routed_lines_are_compressed(spark, tmp_path):
+    lines = spark.createDataFrame([(f'{{"resourceLogs":[{{"x":{k % 7}}}]}}',) for k in range(2000)] + [("stray",)], "value string")
+    size = {}
+    for compression in (None, "gzip"):
+        root = str(tmp_path / f"{compression}")
+        write_routed(lines, root, compression=compression)
+        assert jsonl.read_lines(spark, root, "logs").count() == 2000
+        assert [r.value for r in spark.read.text(f"{root}/signal=unrouted").collect()] == ["stray"]
+        size[compression] = sum(paths.sizes(root).values())
+    assert size["gzip"] < size[None] / 4
