@@ -9,12 +9,16 @@ in a folder of small files: ``delta-<version>`` holds the stretches that a versi
 line a file, written before the version is handed out; every ``SNAPSHOT_EVERY`` versions
 ``snap-<version>`` holds all offsets, without those of files that are gone by then. A file that
 comes back after it was forgotten is read from its start.
+
+A gzip file is followed by whole members: it has to appear whole, as Spark's writers make it, or
+to grow by whole members that begin with a new line. Its offset counts compressed bytes.
 """
 
 from __future__ import annotations
 
 import json
 import logging
+import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -32,6 +36,8 @@ log = logging.getLogger(__name__)
 SNAPSHOT_EVERY = 32
 # Files looked at side by side for their last newline.
 PROBES = 32
+# Of the compressed files only these can be followed; each member begins like this.
+GZIP, MEMBER = ".gz", b"\x1f\x8b\x08"
 
 
 @dataclass
@@ -52,8 +58,8 @@ class TailSource(DataSource):
     ``max_bytes`` per trigger, and ``final_line``: a file's rest without a newline counts as a
     line if it is one whole JSON value.
 
-    All files below the path are followed but hidden ones, as Spark's readers do; a compressed
-    file has no offsets to follow and is an error."""
+    All files below the path are followed but hidden ones, as Spark's readers do; a file that is
+    compressed otherwise than by gzip has no offsets to follow and is an error."""
 
     @classmethod
     def name(cls) -> str:
@@ -90,6 +96,13 @@ def is_whole(system, path: str, begin: int, size: int) -> bool:
     return True
 
 
+def check_member(system, path: str, begin: int) -> None:
+    """An error where no gzip member begins."""
+    with system.open_input_file(path) as handle:
+        if handle.read_at(len(MEMBER), begin) != MEMBER:
+            raise ValueError(f"{path} is compressed and cannot be followed: no gzip member begins at byte {begin}")
+
+
 class Positions:
     """Byte offsets of all followed files, by version."""
 
@@ -162,7 +175,7 @@ class TailReader(DataSourceStreamReader):
         budget = self.max_bytes or None
         found = paths.sizes(self.path)
         changed = [(path, size) for path, size in sorted(found.items()) if size != known_offsets.get(path, 0)]
-        if packed := [path for path, _ in changed if path.endswith(paths.COMPRESSED)]:
+        if packed := [path for path, _ in changed if path.endswith(paths.COMPRESSED) and not path.endswith(GZIP)]:
             raise ValueError(f"{packed[0]} is compressed and cannot be followed; read it with scan_all")
         # With a budget every file gets its turn: begin behind the one served last.
         changed = [c for c in changed if c[0] > self.served] + [c for c in changed if c[0] <= self.served]
@@ -173,6 +186,10 @@ class TailReader(DataSourceStreamReader):
             start = known if size > known else 0
             if size < known:
                 log.warning("%s was cut from %d to %d bytes; it is read from its start again", path, known, size)
+            if path.endswith(GZIP):
+                if size:
+                    check_member(system, path, start)
+                return path, start, size
             end = last_line_end(system, path, size, start)
             if self.final_line and end < size and is_whole(system, path, end, size):
                 end = size
@@ -185,7 +202,11 @@ class TailReader(DataSourceStreamReader):
                 for path, start, end in pool.map(complete, changed[at : at + PROBES]):
                     if budget == 0:
                         break
-                    if budget is not None and end - start > budget:
+                    if budget is not None and end - start > budget and path.endswith(GZIP):
+                        if moved:  # whole in the next version, which begins with it
+                            budget = 0
+                            break
+                    elif budget is not None and end - start > budget:
                         # Whole lines within the budget, or one line if that alone is larger.
                         fitted = last_line_end(system, path, start + budget, start)
                         end = fitted if fitted > start else next_line(system, path, start, end)
@@ -201,6 +222,9 @@ class TailReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
         out = []
         for path, begin, upto in self.positions.stretches(start["version"], end["version"]):
+            if path.endswith(GZIP):
+                out += [Stretch(path, begin, upto, True, upto)] * (upto > begin)
+                continue
             for at in range(begin, upto, self.split_bytes):
                 out.append(Stretch(path, at, min(at + self.split_bytes, upto), at == begin, upto))
         return out
@@ -212,13 +236,48 @@ class TailReader(DataSourceStreamReader):
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         system, _ = paths.resolve(self.path)
         with system.open_input_file(partition.path) as handle:
-            for lines in line_batches(handle, partition, self.final_line):
+            packed = partition.path.endswith(GZIP)
+            for lines in member_lines(handle, partition) if packed else line_batches(handle, partition, self.final_line):
                 yield pa.RecordBatch.from_arrays(
                     [pa.repeat(pa.scalar(partition.path), len(lines)), pa.array(lines, pa.binary())],
                     names=["file", "line"],
                 )
 
 
+def inflated(handle, part: Stretch) -> Iterator[bytes]:
+    """The text of the stretch's gzip members in pieces of bounded size."""
+    at, packed, member = part.start, b"", zlib.decompressobj(zlib.MAX_WBITS | 16)
+    while True:
+        piece = member.decompress(packed, READ_BYTES)
+        if piece:
+            yield piece
+        packed = member.unused_data if member.eof else member.unconsumed_tail
+        if not packed and len(piece) < READ_BYTES:
+            packed = handle.read_at(min(READ_BYTES, part.upto - at), at) if at < part.upto else b""
+            at += len(packed)
+            if not packed:
+                break
+        if member.eof and packed:
+            member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+    # Where less was read, the file was changed since its offset was taken.
+    if not member.eof and at == part.upto:
+        raise ValueError(f"{part.path} is compressed and ends inside a gzip member at byte {part.upto}; it has to appear whole")
+
+
+def member_lines(handle, part: Stretch) -> Iterator[list[bytes]]:
+    """All lines of the stretch's gzip members, the last one also without its newline."""
+    pending: list[bytes] = []
+    for piece in inflated(handle, part):
+        head, newline, rest = piece.rpartition(b"\n")
+        if newline:
+            yield (b"".join(pending) + head).split(b"\n")
+            pending = [rest]
+        else:
+            pending.append(piece)
+    if any(pending):
+        yield [b"".join(pending)]
+
+
 def next_line(system, path: str, start: int, end: int) -> int:
     """Offset just past the first newline at or after ``start``."""
     with system.open_input_file(path) as handle:

@@ -134,6 +134,8 @@ def tail_lines(
 
 # Probes after which the search for lines that fail is given up.
 MOST_PROBES = 400
+# Halvings after which the search keeps the lines of its range on disk.
+KEEP_EVERY = 4
 
 
 def failing_hashes(lines: DataFrame, fails: Callable[[DataFrame], bool], most: int = MOST_PROBES) -> list[tuple[int, int]] | None:
@@ -143,7 +145,6 @@ def failing_hashes(lines: DataFrame, fails: Callable[[DataFrame], bool], most: i
     costs some two probes for each doubling of the lines. A part counts as bad if it fails
     twice: what fails once may be the cluster's fault. None where nothing fails, or too much.
     """
-    hashed = lines.withColumn("line_hash", F.xxhash64("value"))
     found: list[tuple[int, int]] = []
     probes = 0
 
@@ -154,9 +155,19 @@ def failing_hashes(lines: DataFrame, fails: Callable[[DataFrame], bool], most: i
             raise TimeoutError
         return fails(part.drop("line_hash"))
 
-    def search(low: int, high: int, known: bool) -> bool:
+    def search(hashed: DataFrame, low: int, high: int, known: bool, depth: int = 0) -> bool:
         """Whether lines in the range fail; ``known``: they must, as a wider range does."""
         part = hashed.filter(F.col("line_hash").between(low, high))
+        if not depth or depth % KEEP_EVERY:
+            return halved(part, low, high, known, depth)
+        # A small share of the lines by now; further probes need not read the files.
+        part = part.persist(StorageLevel.DISK_ONLY)
+        try:
+            return halved(part, low, high, known, depth)
+        finally:
+            part.unpersist()
+
+    def halved(part: DataFrame, low: int, high: int, known: bool, depth: int) -> bool:
         several = len(part.select("line_hash").distinct().limit(2).collect())
         if several == 0 or not (known and several > 1 or bad(part)):
             return False
@@ -165,11 +176,11 @@ def failing_hashes(lines: DataFrame, fails: Callable[[DataFrame], bool], most: i
                 found.append((low, high))
             return True
         middle = (low + high) // 2
-        left = search(low, middle, False)
-        return search(middle + 1, high, not left) or left
+        left = search(part, low, middle, False, depth + 1)
+        return search(part, middle + 1, high, not left, depth + 1) or left
 
     try:
-        search(-(2**63), 2**63 - 1, False)
+        search(lines.withColumn("line_hash", F.xxhash64("value")), -(2**63), 2**63 - 1, False)
     except TimeoutError:
         return None
     return found or None
@@ -184,20 +195,17 @@ def _write_batch(
     report: Callable[[int, int], None],
 ):
     def write(lines: DataFrame, number: int) -> None:
-        # The files are read once, whatever is made of their lines.
-        lines = lines.persist(StorageLevel.DISK_ONLY)
+        # The lines are not kept: a copy of them takes more disk than the table that they make,
+        # and is needed only where lines are refused or fail. Then the files are read again.
         try:
-            try:
-                write_lines(lines, number)
-            except Exception:
-                if not options.isolate:
-                    raise
-                bad = failing_hashes(lines, fails)
-                if bad is None:
-                    raise
-                put_aside(lines, bad, number)
-        finally:
-            lines.unpersist()
+            write_lines(lines, number)
+        except Exception:
+            if not options.isolate:
+                raise
+            bad = failing_hashes(lines, fails)
+            if bad is None:
+                raise
+            put_aside(lines, bad, number)
 
     def decode(lines: DataFrame):
         accepted = accept_lines(lines, signal, strict=options.strict)
@@ -397,9 +405,11 @@ class PeriodicIngest:
             self.queries[signal] = started
 
     def drain(self, timeout: float = 300.0) -> None:
-        """Return once all that the files hold now is ingested; failed queries are waited for."""
+        """Return once all that the files hold now is ingested; failed queries are waited for,
+        ``timeout`` seconds at most, in which the time that micro-batches take does not count."""
         end = time.monotonic() + timeout
         while True:
+            begun = time.monotonic()
             with self._lock:
                 waiting = [s for s in SIGNALS if paths.exists(signal_dir(self.root, s)) and s not in self.queries]
                 running = list(self.queries.values())
@@ -410,6 +420,7 @@ class PeriodicIngest:
                     return
             except Exception:  # the watching thread starts it again
                 log.info("a query failed while its end was waited for")
+            end += time.monotonic() - begun
             if time.monotonic() > end:
                 raise TimeoutError(f"periodic ingest of {self.root} did not come to an end")
             time.sleep(min(1.0, self.seconds))

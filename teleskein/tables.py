@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from teleskein.manifest import Content, Deletion, Manifest, Stats, folder_stats
 from teleskein.schemas import INGEST_CURSORS, SIGNALS, TABLES, check_signal
-from teleskein.session import scratch_dir
+from teleskein.session import scratch_dir, shuffles_dropped
 from teleskein.sources import paths
 
 # Names of merged batches begin with this.
@@ -226,13 +226,15 @@ class SignalStore:
                 refusal = F.raise_error(F.lit(f"{signal}.{f.name} must not be NULL")).cast(f.dataType)
                 named = named.withColumn(f.name, F.coalesce(F.col(f.name), refusal))
         target = f"{self.table_path(signal, version)}/ingest_batch={batch}"
-        (
-            named.hint("rebalance", F.col("date"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy("date")
-            .parquet(target)
-        )
+        with shuffles_dropped(rows.sparkSession):
+            (
+                named.hint("rebalance", F.col("date"))
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "static")
+                .option("compression", "zstd")
+                .partitionBy("date")
+                .parquet(target)
+            )
         written = folder_stats(self.spark, target, signal)
         self.record(signal, batch, written, hides, version)
         return written

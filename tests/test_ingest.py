@@ -348,3 +348,67 @@ def test_compressed_file_is_an_error_and_other_names_are_followed(place):
     (root / "logs" / "z.gz").write_bytes(b"z")
     with pytest.raises(Exception, match="compressed"):
         ingest_new(store, str(root))
+
+
+def test_gzip_files_are_followed_by_members(place, monkeypatch):
+    import gzip
+
+    from teleskein.sources import tail
+
+    store, root = place
+    folder = root / "traces"
+    folder.mkdir(parents=True)
+    (folder / "a.gz").write_bytes(gzip.compress((span_line("a") + "\n" + span_line("b") + "\n").encode()))
+    append(root, "traces", span_line("c") + "\n" + span_line("open")[:9])
+    assert ingest_new(store, str(root)).traces == 3 and ingest_new(store, str(root)).total == 0
+    with open(folder / "a.gz", "ab") as out:
+        out.write(gzip.compress((span_line("d") + "\n").encode()) + gzip.compress(span_line("e").encode()))
+    assert ingest_new(store, str(root), IngestOptions(max_bytes=10)).traces == 2
+    assert names(store) == ["a", "b", "c", "d", "e"]
+    # Pieces of any size give the lines; a member that is not whole is an error.
+    lines = [b"x" * (k * 37 % 300) for k in range(100)] + [b"end"]
+    whole = gzip.compress(b"\n".join(lines[:60]) + b"\n") + gzip.compress(b"\n".join(lines[60:]) + b"\n")
+    for piece in (1, 16, 100, 4 << 20):
+        monkeypatch.setattr(tail, "READ_BYTES", piece)
+        for name, data in (("whole", whole), ("cut", whole[:-3])):
+            (root / name).mkdir(exist_ok=True)
+            (root / name / "a.gz").write_bytes(data)
+            reader = tail.TailReader({"path": str(root / name), "positions": str(root / f"{name}-{piece}"), "split_bytes": "50"})
+            (part,) = reader.partitions({"version": 0}, reader.latestOffset())
+            if name == "whole":
+                assert [v for b in reader.read(part) for v in b.column(1).to_pylist()] == lines
+            else:
+                with pytest.raises(ValueError, match="inside a gzip member"):
+                    list(reader.read(part))
+
+
+def test_micro_batches_keep_no_copy_of_their_lines(place, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    store, root = place
+    kept = []
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *level: kept.append(self) or self)
+    append(root, "logs", log_line() + "\nnot json\n")
+    report = ingest_new(store, str(root))
+    assert report.logs == 1 and report.rejected["logs"] == 1 and not kept
+    rejects = store.spark.read.parquet(f"{store.root}/_rejects/v0/logs").collect()
+    assert [r.value for r in rejects] == ["not json"]
+
+
+def test_drain_does_not_count_the_time_of_micro_batches(place):
+    import time
+
+    class Slow:
+        isActive = True
+
+        def processAllAvailable(self):
+            self.calls = getattr(self, "calls", 0) + 1
+            time.sleep(0.5)
+            if self.calls == 1:
+                raise RuntimeError("fails once, late")
+
+    store, root = place
+    job = PeriodicIngest(store, str(root), "100ms", enabled=False)
+    job.queries["logs"] = slow = Slow()
+    job.drain(timeout=0.4)
+    assert slow.calls == 2
